@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources", "reshape")
+MODULES = ("sources", "reshape", "aggregates", "evaluation")
 
 
 def load_all() -> None:

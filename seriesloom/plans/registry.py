@@ -81,6 +81,29 @@ CTES: dict[str, str] = {
         SELECT event_type AS entity, CAST(date_diff('day', DATE '{EPOCH}', CAST(ts AS DATE)) AS INTEGER) AS period,
                avg(value) AS x
         FROM events GROUP BY 1, 2""",
+    "base": """
+        SELECT entity, period AS o, y, avg((y - yl)*(y - yl)) OVER e AS step2, avg(y) OVER e AS mu, stddev_pop(y) OVER e AS sd,
+               CASE WHEN regr_count(y, yl) OVER e >= 3 THEN regr_slope(y, yl) OVER e END AS b,
+               CASE WHEN regr_count(y, yl) OVER e >= 3 THEN regr_intercept(y, yl) OVER e END AS c,
+               CASE WHEN regr_count(y, yl) OVER e >= 3 THEN greatest(0.0, (regr_syy(y, yl) OVER e)*(1.0 - regr_r2(y, yl) OVER e)/(regr_count(y, yl) OVER e)) END AS v,
+               lead(y, 1) OVER w AS t1, lead(y, 4) OVER w AS t4
+        FROM (SELECT entity, period, y, lag(y) OVER (PARTITION BY entity ORDER BY period) AS yl FROM growth_q)
+        WINDOW w AS (PARTITION BY entity ORDER BY period), e AS (PARTITION BY entity ORDER BY period ROWS UNBOUNDED PRECEDING)""",
+    "records": f"""
+        SELECT entity, model_id, horizon, o AS training_end, h AS periods_ahead, CAST(o + h AS INTEGER) AS forecast_period, t AS true_value,
+               m AS mean, m - 1.959963984540054*se AS lower, m + 1.959963984540054*se AS upper, t - m AS error,
+               'iterated' AS strategy, '95%' AS band_kind
+        FROM (
+          SELECT entity, o, 'RW_Q' AS model_id, 'Q' AS horizon, 1 AS h, t1 AS t, y AS m, sqrt(step2) AS se FROM base
+          UNION ALL SELECT entity, o, 'RW_Y', 'Y', 4, t4, y, sqrt(step2*4) FROM base
+          UNION ALL SELECT entity, o, 'MEAN_Q', 'Q', 1, t1, mu, sd FROM base
+          UNION ALL SELECT entity, o, 'MEAN_Y', 'Y', 4, t4, mu, sd FROM base
+          UNION ALL SELECT entity, o, 'ARIMA_Q', 'Q', 1, t1, c + b*y, sqrt(v) FROM base
+          UNION ALL SELECT entity, o, 'ARIMA_Y', 'Y', 4, t4, c*(1 + b + b*b + b*b*b) + b*b*b*b*y, sqrt(v*(1 + pow(b,2) + pow(b,4) + pow(b,6))) FROM base)
+        WHERE o + h BETWEEN {CUT + 1} AND {LAST}""",
+    "rel": """
+        SELECT *, error/nullif(max(CASE WHEN model_id = 'RW_' || horizon THEN error END) OVER (PARTITION BY entity, horizon, forecast_period), 0) AS rel_error
+        FROM records""",
     "trials": """
         SELECT l_returnflag AS learner, l_orderkey*8 + l_linenumber AS trial_id, l_quantity AS trees, l_discount AS rate,
                l_tax AS cost, l_extendedprice/1000.0 AS rmse
@@ -92,7 +115,9 @@ _USES = {
     "priority_m": ["priority_raw"],
     "flag_m": ["flag_raw"],
     "event_h": ["event_raw"],
+    "base": ["nation_raw", "nation_q", "growth_q"],
     "records": ["nation_raw", "nation_q", "growth_q", "base"],
+    "rel": ["nation_raw", "nation_q", "growth_q", "base", "records"],
 }
 
 

@@ -76,11 +76,11 @@ def drop_first_rows(spark, d):
 @query(
     "q_membership_filter",
     """SELECT doc_id, lang, source FROM documents
-       WHERE lang IN ('en', 'de', 'fr') AND regexp_matches(source, '(?i)^[a-m]') AND NOT regexp_matches(lang, '^d')""",
+       WHERE lang IN ('en', 'de', 'fr') AND regexp_matches(source, '(?i)^[A-W]') AND NOT regexp_matches(lang, '^d')""",
 )
 def membership_filter(spark, d):
     docs = b.table(spark, d, "documents").select("doc_id", "lang", "source")
-    return docs.filter(F.col("lang").isin("en", "de", "fr") & F.col("source").rlike("(?i)^[a-m]") & ~F.col("lang").rlike("^d"))
+    return docs.filter(F.col("lang").isin("en", "de", "fr") & F.col("source").rlike("(?i)^[A-W]") & ~F.col("lang").rlike("^d"))
 
 
 @query(
