@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
@@ -97,21 +98,21 @@ def _series(values: np.ndarray, *inputs: pd.Series) -> pd.Series:
     return pd.Series(np.where(gone, np.nan, values)).astype(object).where(lambda s: s.notna(), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_sf(z: pd.Series) -> pd.Series:
     return _series(normal_tail(z.fillna(0.0)), z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     return _series(gamma_tail(df.fillna(1.0) / 2.0, x.fillna(0.0) / 2.0), x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_sf(t: pd.Series, df: pd.Series) -> pd.Series:
     return _series(t_tail(t.fillna(0.0), df.fillna(1.0)), t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_sf(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return _series(f_tail(f.fillna(0.0), df1.fillna(1.0), df2.fillna(1.0)), f, df1, df2)

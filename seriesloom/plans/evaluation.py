@@ -216,7 +216,7 @@ def _dm_sql(power: int, adjusted: bool) -> str:
               WINDOW w AS (PARTITION BY entity, horizon, model, benchmark ORDER BY forecast_period)),
         a AS (SELECT entity, horizon, h, model, benchmark, count(d) AS n, avg(d) AS mean_d,
                 (sum(c*c) + 2.0*CASE WHEN h > 1 THEN coalesce(sum(g1), 0) + coalesce(sum(g2), 0) + coalesce(sum(g3), 0) ELSE 0 END)/(count(d)*count(d)) AS v
-              FROM l GROUP BY ALL),
+              FROM l GROUP BY entity, horizon, h, model, benchmark),
         s AS (SELECT *, CASE WHEN v > 0 THEN mean_d/sqrt(v)*{factor} END AS statistic FROM a)"""
 
 
