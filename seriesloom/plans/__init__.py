@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources", "reshape", "aggregates", "evaluation")
+MODULES = ("sources", "reshape", "aggregates", "evaluation", "scalars", "diagnostics")
 
 
 def load_all() -> None:
