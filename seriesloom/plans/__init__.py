@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources", "reshape", "aggregates", "evaluation", "scalars", "diagnostics")
+MODULES = ("sources", "reshape", "aggregates", "evaluation", "scalars", "diagnostics", "models")
 
 
 def load_all() -> None:

@@ -101,6 +101,36 @@ def flag_features(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+FACTOR_FEATURES = ["q", "disc", "tax", "gn", "price", "line", "bulk", "sale"]
+# Every second feature belongs to the selective set.
+SELECTED_FEATURES = FACTOR_FEATURES[::2]
+
+
+def factor_panel(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly revenue growth per return flag with eight candidate features for factor extraction."""
+    raw = calendar_panel(
+        table(spark, d, "lineitem"),
+        {"entity": F.col("l_returnflag")},
+        month_index(F.col("l_shipdate")),
+        {
+            "revenue": F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))),
+            "n": F.count(F.lit(1)),
+            "q": F.avg("l_quantity"),
+            "disc": F.avg("l_discount") * 100,
+            "tax": F.avg("l_tax") * 100,
+            "price": F.avg("l_extendedprice") / 1000,
+            "line": F.avg("l_linenumber"),
+            "bulk": F.avg(F.when(F.col("l_quantity") > 40, 1.0).otherwise(0.0)),
+            "sale": F.avg(F.when(F.col("l_discount") > 0.07, 1.0).otherwise(0.0)),
+        },
+    )
+    full = complete_periods(raw, ["entity"], FIRST_MONTH, LAST_SHIP_MONTH)
+    return full.select(
+        "entity", "period", growth("revenue", ["entity"]).alias("y"), growth("n", ["entity"]).alias("gn"),
+        "q", "disc", "tax", "price", "line", "bulk", "sale",
+    )
+
+
 def event_h(spark: SparkSession, d: str) -> DataFrame:
     raw = calendar_panel(
         table(spark, d, "events"), {"entity": F.col("event_type")}, hour_index(F.col("ts"), EPOCH), {"n": F.count(F.lit(1))}
