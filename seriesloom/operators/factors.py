@@ -88,7 +88,7 @@ def correlation_rows(moments: DataFrame, size: int) -> DataFrame:
         return pd.concat(parts)
 
     out = map_rows(moments, run, "k int, a int, b int, n bigint, r double, t double, p_value double")
-    return out.withColumn("t", F.when(F.abs("t") < 1e300, F.col("t")))
+    return out.withColumn("t", F.when((F.col("a") != F.col("b")) & (F.abs("t") < 1e300), F.col("t")))
 
 
 def explained(moments: DataFrame, size: int, top: int) -> DataFrame:

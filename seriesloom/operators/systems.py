@@ -171,6 +171,13 @@ def design(values: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
     return x[good], y[good]
 
 
+def unit_scale(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns divided by their standard deviation, so that units do not decide what is singular."""
+    sd = np.nanstd(values, axis=0)
+    sd = np.where(np.isfinite(sd) & (sd > 0), sd, 1.0)
+    return values / sd, sd
+
+
 def causality_tests(panel: DataFrame, keys: list[str], columns: list[str], p: int) -> DataFrame:
     """Joint Granger tests in a VAR with heteroskedasticity-consistent covariance (HC3).
 
@@ -179,7 +186,7 @@ def causality_tests(panel: DataFrame, keys: list[str], columns: list[str], p: in
     k = len(columns)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = design(pdf[columns].to_numpy(float), p)
+        x, y = design(unit_scale(pdf[columns].to_numpy(float))[0], p)
         n, z = x.shape
         if n <= z:
             return pd.DataFrame(columns=[*keys, "direction", "series", "f_stat", "df1", "df2", "p_value"])
@@ -214,7 +221,7 @@ def system_portmanteau(panel: DataFrame, keys: list[str], columns: list[str], p:
     k = len(columns)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = design(pdf[columns].to_numpy(float), p)
+        x, y = design(unit_scale(pdf[columns].to_numpy(float))[0], p)
         n = len(x)
         u = y - x @ (np.linalg.pinv(x) @ y)
         inv = np.linalg.pinv(u.T @ u / n)
@@ -241,7 +248,8 @@ def var_order(panel: DataFrame, keys: list[str], columns: list[str], max_p: int
     k = len(columns)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = design(pdf[columns].to_numpy(float), max_p)
+        values, sd = unit_scale(pdf[columns].to_numpy(float))
+        x, y = design(values, max_p)
         n = len(x)
         rows = []
         for p in range(1, max_p + 1):
@@ -252,6 +260,7 @@ def var_order(panel: DataFrame, keys: list[str], columns: list[str], max_p: int
             sign, logdet = np.linalg.slogdet(u.T @ u / n)
             if sign <= 0:
                 continue
+            logdet += 2 * np.log(sd).sum()
             size = p * k * k
             fpe = ((n + k * p + 1) / (n - k * p - 1)) ** k * np.exp(logdet)
             rows.append((p, logdet + 2 * size / n, logdet + 2 * np.log(np.log(n)) * size / n, logdet + np.log(n) * size / n, fpe))
@@ -283,7 +292,7 @@ def johansen_trace(panel: DataFrame, keys: list[str], columns: list[str], order:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         v = pdf[columns].to_numpy(float)
-        v = v[np.isfinite(v).all(axis=1)]
+        v = unit_scale(v[np.isfinite(v).all(axis=1)])[0]
         d = np.diff(v, axis=0)
         t = len(d)
         z0 = d[order - 1 :]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources", "reshape", "aggregates", "evaluation", "scalars", "diagnostics", "models")
+MODULES = ("sources", "reshape", "aggregates", "evaluation", "scalars", "diagnostics", "models", "learners")
 
 
 def load_all() -> None:
