@@ -13,8 +13,18 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+def _each(fn, x) -> np.ndarray:
+    x = np.asarray(x, float)
+    return np.array([fn(v) for v in x.ravel()]).reshape(x.shape)
+
+
+def _lgamma(x) -> np.ndarray:
+    return _each(math.lgamma, x)
+
+
+def _erfc(x) -> np.ndarray:
+    return _each(math.erfc, x)
 
 
 def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray, steps: int = 400) -> np.ndarray:

@@ -13,9 +13,10 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     """Exact linear-interpolated percentiles of groups that may hold most of the table.
 
     The built-in exact percentile gathers a group's distinct values in one aggregation buffer.
-    Here a mergeable sketch first brackets each wanted rank within ``4 / accuracy`` of the group;
-    only values inside the bracket are counted, so no task receives more than that slice. Groups
-    of up to ``accuracy`` rows are bracketed by their extremes.
+    Here a mergeable sketch first brackets each wanted rank within ``4 / accuracy`` of the group.
+    A second grouped count keeps apart only the values inside a bracket and lumps the others, so
+    no task receives more than that slice of any group. Groups of up to ``accuracy`` rows are
+    bracketed by their extremes.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     margin = 4.0 / accuracy
@@ -29,35 +30,40 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     brackets = rows.groupBy(*keys).agg(
         size.alias("_n"), bounds(lows, F.min("_v")).alias("_lo"), bounds(highs, F.max("_v")).alias("_hi")
     )
-    wanted = brackets.select(
-        *keys,
-        "_n",
-        F.posexplode(
-            F.arrays_zip(F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), F.array(*[F.lit(p) for p in probs.values()]).alias("p"))
-        ).alias("_i", "_w"),
-    ).select(*keys, "_n", "_i", F.col("_w.lo").alias("_lo"), F.col("_w.hi").alias("_hi"), F.col("_w.p").alias("_p"))
-
     joined = rows.join(brackets, keys)
-    inside = F.exists(F.arrays_zip(F.col("_lo").alias("lo"), F.col("_hi").alias("hi")), lambda b: (F.col("_v") >= b.lo) & (F.col("_v") <= b.hi))
-    below = [F.count(F.when(F.col("_v") < F.col("_lo")[i], 1)).alias(f"_b{i}") for i in range(len(probs))]
-    under = joined.groupBy(*keys).agg(F.array(*below).alias("_below"))
-    counts = joined.filter(inside).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-
-    slots = wanted.join(under, keys).withColumn("_below", F.col("_below")[F.col("_i")])
-    hit = counts.join(slots, keys).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-    running = W.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = hit.withColumn("_upto", F.col("_below") + F.sum("_c").over(running))
+    v, inside = F.col("_v"), F.lit(False)
+    for i in range(len(probs)):
+        inside = inside | ((v >= F.col("_lo")[i]) & (v <= F.col("_hi")[i]))
+    counted = joined.groupBy(*keys, F.when(inside, v).alias("_v"), "_n", "_lo", "_hi").agg(
+        F.count(F.lit(1)).alias("_c"),
+        F.array(*[F.count(F.when(v < F.col("_lo")[i], 1)) for i in range(len(probs))]).alias("_below"),
+    )
+    wanted = F.array(*[F.lit(float(p)) for p in probs.values()])
+    slots = counted.select(*keys, "_v", "_n", "_c", "_lo", "_hi", "_below", F.posexplode(wanted).alias("_i", "_p"))
+    group = W.partitionBy(*keys, "_i")
+    low, high = F.col("_lo")[F.col("_i")], F.col("_hi")[F.col("_i")]
+    hit = (v >= low) & (v <= high)
+    running = F.sum(F.when(hit, F.col("_c"))).over(group.orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    ranked = slots.withColumn("_upto", F.sum(F.col("_below")[F.col("_i")]).over(group) + running).filter(hit)
     place = F.col("_p") * (F.col("_n") - 1)
-    low_value = F.min(F.when(F.col("_upto") >= F.floor(place) + 1, F.col("_v")))
-    high_value = F.min(F.when(F.col("_upto") >= F.ceil(place) + 1, F.col("_v")))
     picked = ranked.groupBy(*keys, "_i").agg(
-        low_value.alias("_x"), high_value.alias("_y"), F.max(place - F.floor(place)).alias("_f")
+        F.min(F.when(F.col("_upto") >= F.floor(place) + 1, v)).alias("_x"),
+        F.min(F.when(F.col("_upto") >= F.ceil(place) + 1, v)).alias("_y"),
+        F.max(place - F.floor(place)).alias("_f"),
     )
     result = F.col("_x") + F.col("_f") * (F.col("_y") - F.col("_x"))
     columns = [F.max(F.when(F.col("_i") == i, result)).alias(name) for i, name in enumerate(probs)]
     return picked.groupBy(*keys).agg(*columns)
 
 
+def exact_percentiles_of(df: DataFrame, keys: list[str], columns: list[str], probs: dict[str, float], accuracy: int = 100_000) -> DataFrame:
+    """Percentiles of several columns in the same passes; results are named ``column_prob``."""
+    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(keys, columns, "_name", "_value")
+    tall = exact_percentiles(long, [*keys, "_name"], "_value", probs, accuracy)
+    cells = [F.max(F.when(F.col("_name") == c, F.col(p))).alias(f"{c}_{p}") for c in columns for p in probs]
+    return tall.groupBy(*keys).agg(*cells)
+
+
 def group_counts(df: DataFrame, facet: str, group: str, order: str) -> DataFrame:
     """Group sizes with their running total, groups in order of first appearance.
 

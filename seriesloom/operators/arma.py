@@ -28,13 +28,14 @@ def css_residuals(y: np.ndarray, n: np.ndarray, params: np.ndarray, p: int, q: i
     if q == 0:
         return w
     live = np.arange(t)[None, :] < n[:, None]
+    theta = params[:, p + 1 : p + 1 + q]
+    recent = np.zeros((count, q))
     e = np.zeros_like(w)
     with np.errstate(all="ignore"):
         for s in range(start, t):
-            value = w[:, s].copy()
-            for j in range(1, min(q, s) + 1):
-                value -= params[:, p + j] * e[:, s - j]
-            e[:, s] = np.where(live[:, s], value, 0.0)
+            e[:, s] = np.where(live[:, s], w[:, s] - (theta * recent).sum(axis=1), 0.0)
+            recent[:, 1:] = recent[:, :-1].copy()
+            recent[:, 0] = e[:, s]
     return e
 
 
@@ -82,12 +83,15 @@ def fit_css(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = No
     damping = np.full(len(y), 1e-3)
     scale = np.maximum(1.0, np.abs(params[:, :1]))
     for _ in range(rounds):
-        jac = np.empty((*e.shape, size))
-        for i in range(size):
-            step = 1e-6 * (scale[:, 0] if i == 0 else 1.0)
-            moved = params.copy()
-            moved[:, i] += step
-            jac[:, :, i] = (css_residuals(y, n, moved, p, q, start) - e) / np.reshape(step, (-1, 1))
+        # every parameter of every row moves in one recursion
+        steps = np.ones((len(y), size)) * 1e-6
+        steps[:, 0] *= scale[:, 0]
+        moved = np.repeat(params[:, None, :], size, axis=1)
+        moved[:, np.arange(size), np.arange(size)] += steps
+        bent = css_residuals(np.repeat(y, size, axis=0), np.repeat(n, size), moved.reshape(-1, size), p, q, start)
+        bent = bent.reshape(len(y), size, -1)
+        with np.errstate(all="ignore"):
+            jac = np.transpose((bent - e[:, None, :]) / steps[:, :, None], (0, 2, 1))
         jac = np.nan_to_num(jac, posinf=0.0, neginf=0.0)
         g = np.einsum("bti,bt->bi", jac, e)
         h = np.einsum("bti,btj->bij", jac, jac)
@@ -106,6 +110,15 @@ def fit_css(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = No
     return params, e, best
 
 
+ROWS_AT_ONCE = 256
+
+
+def fit_many(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = None, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`fit_css` in slices, so that memory does not depend on the Arrow batch size."""
+    parts = [fit_css(y[i : i + ROWS_AT_ONCE], n[i : i + ROWS_AT_ONCE], p, q, start, rounds) for i in range(0, len(y), ROWS_AT_ONCE)]
+    return tuple(np.concatenate(column) for column in zip(*parts))
+
+
 def forecast_css(y, n, params, e, p, q, steps) -> tuple[np.ndarray, np.ndarray]:
     """Means and psi-weight sums for ``1..steps`` ahead."""
     count = len(y)
@@ -166,7 +179,7 @@ def arma_backtest(
         if enough.any():
             some = pdf[enough]
             ys, ns = y[enough], n[enough]
-            params, e, sse = fit_css(ys, ns, p, q)
+            params, e, sse = fit_many(ys, ns, p, q)
             mean, weight = forecast_css(ys, ns, params, e, p, q, max(horizons))
             sigma2 = sse / (ns - p)
             for h in horizons:
@@ -194,7 +207,9 @@ def arma_orders(panel: DataFrame, keys: list[str], value: str, max_p: int = 10,
     grid = arrays.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(max_p)))).withColumn(
         "q", F.explode(F.sequence(F.lit(0), F.lit(max_q)))
     )
-    spread = grid.repartition(slots, *keys, "p", "q") if slots else grid.repartition(*keys, "p", "q")
+    # An explicit count keeps these few but slow rows from being coalesced into one task.
+    count = slots or int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = grid.repartition(count, *keys, "p", "q")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -206,7 +221,7 @@ def arma_orders(panel: DataFrame, keys: list[str], value: str, max_p: int = 10,
             good = used - k - 1 > 0
             aicc, sigma = np.full(len(some), np.nan), np.full(len(some), np.nan)
             if good.any():
-                _, _, sse = fit_css(y[good], n[good], int(p), int(q), start, rounds=15)
+                _, _, sse = fit_many(y[good], n[good], int(p), int(q), start, rounds=15)
                 u = used[good]
                 with np.errstate(all="ignore"):
                     sigma[good] = sse / u

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from seriesloom.functions.scalars import cut_label, percent_text, ratio
-from seriesloom.operators.aggregates import exact_percentiles
+from seriesloom.operators.aggregates import exact_percentiles_of
 from seriesloom.operators.baselines import RECORD_COLUMNS
 
 
@@ -65,11 +65,9 @@ def error_metrics(records: DataFrame, by: list[str], bounded: bool = False) -> D
     if bounded:
         medians = [F.median(F.abs(e)).alias("mdae"), F.median(F.abs("rel_error")).alias("mdrae")]
         return records.groupBy(*by).agg(*sums, *medians)
-    tagged = records.withColumn("_a", F.abs(e)).withColumn("_r", F.abs("rel_error"))
-    plain = tagged.groupBy(*by).agg(*sums)
-    mdae = exact_percentiles(tagged, by, "_a", {"mdae": 0.5})
-    mdrae = exact_percentiles(tagged, by, "_r", {"mdrae": 0.5})
-    return plain.join(mdae, by, "left").join(mdrae, by, "left")
+    tagged = records.select(*by, "error", F.abs(e).alias("mdae"), F.abs("rel_error").alias("mdrae"))
+    medians = exact_percentiles_of(tagged, by, ["mdae", "mdrae"], {"q": 0.5})
+    return tagged.groupBy(*by).agg(*sums).join(medians.withColumnsRenamed({"mdae_q": "mdae", "mdrae_q": "mdrae"}), by, "left")
 
 
 def sign_hits(records: DataFrame, by: list[str], first: int, last: int) -> DataFrame:

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Estimator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -85,8 +86,12 @@ def _members(frame: DataFrame, fold: Fold) -> tuple[DataFrame, DataFrame]:
 
 
 def fit_folds(frame: DataFrame, keys: list[str], make: Callable[[], Estimator], folds: list[Fold], with_train: bool = False) -> Fitted:
-    """Fit one model per fold, at most four at a time, and predict its test (and training) rows."""
-    ready = frame.withColumn("features", array_to_vector("x"))
+    """Fit one model per fold, at most four at a time, and predict its test (and training) rows.
+
+    The frame is held in memory and on disk only while the fits pass over it again and again;
+    lost blocks come back from the staged files.
+    """
+    ready = frame.withColumn("features", array_to_vector("x")).persist(StorageLevel.MEMORY_AND_DISK)
 
     def one(fold: Fold):
         train, test = _members(ready, fold)
@@ -103,6 +108,7 @@ def fit_folds(frame: DataFrame, keys: list[str], make: Callable[[], Estimator],
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         done = list(pool.map(one, folds))
+    ready.unpersist()
     frames = [f for made, _ in done for f in made]
     out = frames[0]
     for f in frames[1:]:

@@ -436,11 +436,7 @@ def best_trials(spark, d):
 
 def trial_bounds(best, params):
     """Quartiles of every parameter among the best trials, as the next search's bounds."""
-    out = None
-    for p in params:
-        one = aggregates.exact_percentiles(best, ["learner"], p, {f"{p}_lo": 0.25, f"{p}_hi": 0.75})
-        out = one if out is None else out.join(one, "learner")
-    return out
+    return aggregates.exact_percentiles_of(best, ["learner"], list(params), {"lo": 0.25, "hi": 0.75})
 
 
 @query(

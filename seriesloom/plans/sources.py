@@ -53,8 +53,9 @@ def split_rows(spark, d):
     meta, data = split_metadata_rows(bind_rows(factors, transform, body))
     no_period = F.lit(None).cast("int").alias("period")
     return bind_rows(
-        meta.select(F.lit("factors").alias("kind"), "series", no_period, F.col("factors").cast("double").alias("value")),
-        meta.select(F.lit("code").alias("kind"), "series", no_period, F.col("code").cast("double").alias("value")),
+        meta.unpivot(["series"], ["factors", "code"], "kind", "value").select(
+            "kind", "series", no_period, F.col("value").cast("double").alias("value")
+        ),
         melt(data, ["period"]).select(F.lit("data").alias("kind"), "series", "period", rounded(F.col("value")).alias("value")),
     )
 
