@@ -103,26 +103,32 @@ def f_tail(f: np.ndarray, df1: np.ndarray, df2: np.ndarray) -> np.ndarray:
     return np.where(f <= 0, 1.0, beta_cdf(df2 / (df2 + df1 * f), df2 / 2.0, df1 / 2.0))
 
 
-def _series(values: np.ndarray, *inputs: pd.Series) -> pd.Series:
-    gone = np.any([i.isna().to_numpy() for i in inputs], axis=0)
-    return pd.Series(np.where(gone, np.nan, values)).astype(object).where(lambda s: s.notna(), None)
+def _guarded(fn, x: pd.Series, *dfs: pd.Series) -> pd.Series:
+    """Apply a tail to the rows with a statistic and positive degrees of freedom; NULL elsewhere."""
+    usable = x.notna().to_numpy()
+    for df in dfs:
+        usable &= (df.fillna(0.0) > 0).to_numpy()
+    out = np.full(len(x), None, dtype=object)
+    if usable.any():
+        out[usable] = fn(x[usable].to_numpy(float), *(d[usable].to_numpy(float) for d in dfs))
+    return pd.Series(out)
 
 
 @F.pandas_udf(T.DoubleType())
 def normal_sf(z: pd.Series) -> pd.Series:
-    return _series(normal_tail(z.fillna(0.0)), z)
+    return _guarded(normal_tail, z)
 
 
 @F.pandas_udf(T.DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
-    return _series(gamma_tail(df.fillna(1.0) / 2.0, x.fillna(0.0) / 2.0), x, df)
+    return _guarded(lambda v, d: gamma_tail(d / 2.0, v / 2.0), x, df)
 
 
 @F.pandas_udf(T.DoubleType())
 def t_sf(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _series(t_tail(t.fillna(0.0), df.fillna(1.0)), t, df)
+    return _guarded(t_tail, t, df)
 
 
 @F.pandas_udf(T.DoubleType())
 def f_sf(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
-    return _series(f_tail(f.fillna(0.0), df1.fillna(1.0), df2.fillna(1.0)), f, df1, df2)
+    return _guarded(f_tail, f, df1, df2)

@@ -108,8 +108,9 @@ def dm_statistic(
 ) -> DataFrame:
     """Diebold-Mariano statistic per series, horizon and pair; large values favour the model.
 
-    The long-run variance takes h - 1 autocovariances; a variance that is not positive leaves the
-    statistic NULL. ``adjusted`` applies the small-sample factor.
+    The long-run variance takes h - 1 autocovariances. With n <= h targets these are all there are
+    and their weighted sum is zero by construction, so the statistic is NULL; so it is for any
+    variance that is not positive. ``adjusted`` applies the small-sample factor.
     """
     by = [*keys, "horizon", "periods_ahead", "model", "benchmark"]
     w = W.partitionBy(*by).orderBy("forecast_period")
@@ -125,7 +126,8 @@ def dm_statistic(
     n, h = F.col("n"), F.col("periods_ahead")
     tail = [F.when(h > k, F.coalesce(F.col(f"_s{k}"), F.lit(0.0))).otherwise(F.lit(0.0)) for k in range(1, max_h)]
     variance = ratio(F.col("_s0") + 2.0 * reduce(lambda a, b: a + b, tail), n * n)
-    raw = F.when(variance > 0, F.col("mean_d") / F.sqrt(F.when(variance > 0, variance)))
+    usable = (variance > 0) & (n > h)
+    raw = F.when(usable, F.col("mean_d") / F.sqrt(F.when(usable, variance)))
     inner = (n + 1 - 2 * h + h * (h - 1) / n) / n
     factor = F.when(inner > 0, F.sqrt(F.when(inner > 0, inner))) if adjusted else F.lit(1.0)
     return sums.select(*by, "n", "mean_d", (raw * factor).alias("statistic"))

@@ -140,7 +140,7 @@ def accuracy_suite(spark, d):
 @query(
     "q_growth",
     sql(
-        f"""SELECT entity, period, {r6('g')} AS growth, {r6('a')} AS annualised, {r6('100.0*(pow(1.0 + a/100.0, 0.25) - 1.0)')} AS back
+        f"""SELECT entity, period, {r6('g')} AS growth, {r6('a/1e6')} AS annualised_m, {r6('100.0*(pow(1.0 + a/100.0, 0.25) - 1.0)')} AS back
             FROM (SELECT *, 100.0*(value/nullif(lag(value) OVER w, 0) - 1.0) AS g,
                          100.0*(pow(value/nullif(lag(value) OVER w, 0), 4) - 1.0) AS a FROM nation_q {_W})""",
         "nation_q",
@@ -154,7 +154,7 @@ def growth(spark, d):
         "entity",
         "period",
         rounded(F.col("g")).alias("growth"),
-        rounded(F.col("a")).alias("annualised"),
+        rounded(F.col("a") / 1e6).alias("annualised_m"),
         rounded(windows.deannualise(F.col("a"))).alias("back"),
     )
 

@@ -142,8 +142,15 @@ def forecast_actual_join(spark, d):
     return joined.select("entity", "period", "model_id", *[rounded(F.col(c)).alias(c) for c in ("actual", "mean", "lower", "upper")])
 
 
-_METRICS = f"""count(error) AS n, {r6('avg(error*error)')} AS mse, {r6('sqrt(avg(error*error))')} AS rmse, {r6('avg(abs(error))')} AS mae,
+_METRICS = f"""count(error) AS n, {r6('avg(error*error)/1e6')} AS mse, {r6('sqrt(avg(error*error))')} AS rmse, {r6('avg(abs(error))')} AS mae,
   {r6('avg(error)')} AS me, {r6('median(abs(error))')} AS mdae, {r6('median(abs(rel_error))')} AS mdrae"""
+
+
+def _shown_metrics():
+    """Mean squares are shown in millions to keep their rounding meaningful."""
+    return [rounded(F.col(c) / 1e6 if c == "mse" else F.col(c)).alias(c) for c in _METRIC_NAMES]
+
+
 _METRIC_NAMES = ("mse", "rmse", "mae", "me", "mdae", "mdrae")
 
 
@@ -151,14 +158,14 @@ _METRIC_NAMES = ("mse", "rmse", "mae", "me", "mdae", "mdrae")
 def error_metrics(spark, d):
     rel = evaluate.relative_errors(records(spark, d), ["entity"], "RW")
     out = evaluate.error_metrics(rel, ["model_id"])
-    return out.select("model_id", "n", *[rounded(F.col(c)).alias(c) for c in _METRIC_NAMES])
+    return out.select("model_id", "n", *_shown_metrics())
 
 
 @query("q_error_metrics_series", sql(f"SELECT entity, model_id, {_METRICS} FROM rel GROUP BY 1, 2", "rel"))
 def error_metrics_series(spark, d):
     rel = evaluate.relative_errors(records(spark, d), ["entity"], "RW")
     out = evaluate.error_metrics(rel, ["entity", "model_id"], bounded=True)
-    return out.select("entity", "model_id", "n", *[rounded(F.col(c)).alias(c) for c in _METRIC_NAMES])
+    return out.select("entity", "model_id", "n", *_shown_metrics())
 
 
 @query(
@@ -217,7 +224,7 @@ def _dm_sql(power: int, adjusted: bool) -> str:
         a AS (SELECT entity, horizon, h, model, benchmark, count(d) AS n, avg(d) AS mean_d,
                 (sum(c*c) + 2.0*CASE WHEN h > 1 THEN coalesce(sum(g1), 0) + coalesce(sum(g2), 0) + coalesce(sum(g3), 0) ELSE 0 END)/(count(d)*count(d)) AS v
               FROM l GROUP BY entity, horizon, h, model, benchmark),
-        s AS (SELECT *, CASE WHEN v > 0 THEN mean_d/sqrt(v)*{factor} END AS statistic FROM a)"""
+        s AS (SELECT *, CASE WHEN v > 0 AND n > h THEN mean_d/sqrt(v)*{factor} END AS statistic FROM a)"""
 
 
 _T5 = """CASE WHEN statistic IS NULL THEN NULL ELSE 0.5 - (atan(statistic/sqrt(5.0)) + sin(atan(statistic/sqrt(5.0)))*cos(atan(statistic/sqrt(5.0)))
