@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from seriesloom.functions.scalars import cut, ratio
+from seriesloom.operators.joins import attach_group_stats
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], accuracy: int = 100_000) -> DataFrame:
@@ -30,7 +31,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     brackets = rows.groupBy(*keys).agg(
         size.alias("_n"), bounds(lows, F.min("_v")).alias("_lo"), bounds(highs, F.max("_v")).alias("_hi")
     )
-    joined = rows.join(brackets, keys)
+    joined = attach_group_stats(rows, brackets, keys)
     v, inside = F.col("_v"), F.lit(False)
     for i in range(len(probs)):
         inside = inside | ((v >= F.col("_lo")[i]) & (v <= F.col("_hi")[i]))
@@ -113,7 +114,7 @@ def histogram_density(df: DataFrame, keys: list[str], value: str, low: float, wi
         F.count(value).alias("_total"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")
     )
     return (
-        cells.join(curve, keys)
+        cells.join(curve, keys)  # both sides are aggregates
         .withColumn("density", F.col("n") / (F.col("_total") * F.lit(float(width))))
         .drop("_total")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from seriesloom.operators.moments import map_rows
+from seriesloom.operators.moments import map_rows, spread
 from seriesloom.operators.systems import FORECAST_FIELDS, key_schema, to_records
 
 
@@ -193,12 +193,12 @@ def arma_backtest(
                 )
         return pd.concat(parts) if parts else pd.DataFrame(columns=[*keys, "training_end", "periods_ahead", "true_value", "mean", "se"])
 
-    out = map_rows(rows, run, f"{key_schema(rows, keys)}, {FORECAST_FIELDS}")
+    out = map_rows(spread(rows, [*keys, "training_end"]), run, f"{key_schema(rows, keys)}, {FORECAST_FIELDS}")
     target = F.col("training_end") + F.col("periods_ahead")
     return to_records(out.filter(target.between(cut + 1, last)), keys, model)
 
 
-def arma_orders(panel: DataFrame, keys: list[str], value: str, max_p: int = 10, max_q: int = 10, slots: int | None = None) -> DataFrame:
+def arma_orders(panel: DataFrame, keys: list[str], value: str, max_p: int = 10, max_q: int = 10) -> DataFrame:
     """AICc of every ARMA(p, q) up to the given orders on one common sample, with the best per series.
 
     Candidates are rows: (series, p) pairs spread over the cluster, each fitting its range of q.
@@ -207,9 +207,7 @@ def arma_orders(panel: DataFrame, keys: list[str], value: str, max_p: int = 10,
     grid = arrays.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(max_p)))).withColumn(
         "q", F.explode(F.sequence(F.lit(0), F.lit(max_q)))
     )
-    # An explicit count keeps these few but slow rows from being coalesced into one task.
-    count = slots or int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = grid.repartition(count, *keys, "p", "q")
+    spread_grid = spread(grid, [*keys, "p", "q"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -229,7 +227,7 @@ def arma_orders(panel: DataFrame, keys: list[str], value: str, max_p: int = 10,
             parts.append(some[keys].assign(p=p, q=q, sigma2=sigma, aicc=aicc))
         return pd.concat(parts)
 
-    scored = map_rows(spread, run, f"{key_schema(grid, keys)}, p int, q int, sigma2 double, aicc double")
+    scored = map_rows(spread_grid, run, f"{key_schema(grid, keys)}, p int, q int, sigma2 double, aicc double")
     usable = F.when(F.abs("aicc") < 1e300, F.col("aicc"))
     w = W.partitionBy(*keys)
     return (

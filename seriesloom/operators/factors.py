@@ -1,7 +1,7 @@
 """Correlation, principal components and factor-augmented models.
 
-Rows of any number are reduced to a k x k cross-product matrix: dense partial products per Arrow
-batch, added up by a grouped sum. Only that matrix is decomposed.
+Rows of any number are reduced to a k x k cross-product matrix: one dense partial product per task,
+added up by a grouped sum. Only that matrix is decomposed.
 """
 
 from __future__ import annotations
@@ -21,19 +21,20 @@ from seriesloom.operators.systems import FORECAST_FIELDS, companion_forecast, de
 def gram(df: DataFrame, vector: str, size: int, key: str | None = None) -> DataFrame:
     """Sums of products of (1, vector) as one array of upper-triangle cells per key.
 
-    ``key`` must have few values (folds, say): each batch emits one matrix per key it contains.
+    ``key`` must have few values (folds, say): each task keeps and emits one matrix per key.
     """
     rows, cols = np.triu_indices(size + 1)
     source = df.select(*([key] if key else []), vector).filter(F.col(vector).isNotNull())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            groups = batch.groupby(key) if key else [(0, batch)]
-            for name, part in groups:
+            for name, part in batch.groupby(key) if key else [(0, batch)]:
                 x = np.column_stack([np.ones(len(part)), np.stack(part[vector].to_numpy()).astype(float)])
                 x = x[np.isfinite(x).all(axis=1)]
-                product = x.T @ x
-                yield pd.DataFrame({"k": int(name), "cell": np.arange(len(rows)), "value": product[rows, cols]})
+                sums[int(name)] = sums.get(int(name), 0.0) + x.T @ x
+        for name, product in sums.items():
+            yield pd.DataFrame({"k": name, "cell": np.arange(len(rows)), "value": product[rows, cols]})
 
     cells = source.mapInPandas(run, "k int, cell int, value double")
     summed = cells.groupBy("k", "cell").agg(F.sum("value").alias("value"))

@@ -212,7 +212,7 @@ class KernelRegression:
     Features and target are standardised, so cost and tube width are in units of the target's
     deviation.
 
-    Each step is one pass over the frame: every batch forms, per model, the weighted normal
+    Each step is one pass over the frame: every task forms, per model, the weighted normal
     equations of its training rows (iteratively reweighted least squares); a grouped sum adds them
     up and the driver solves one small system per model.
     """
@@ -229,6 +229,7 @@ class KernelRegression:
         models, weights, space = self.models, dict(self.weights), self.space
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums: dict[int, np.ndarray] = {}
             for batch in batches:
                 x, y = np.stack(batch["x"].to_numpy()).astype(float), batch["y"].to_numpy(float)
                 period = batch["period"].to_numpy()
@@ -249,8 +250,9 @@ class KernelRegression:
                         tube = np.sign(r) * m.epsilon
                     left = (phi * a[:, None]).T @ phi
                     right = (phi * a[:, None]).T @ (t - tube)
-                    cells = np.concatenate([left.ravel(), right])
-                    yield pd.DataFrame({"model": m.number, "cell": np.arange(len(cells)), "value": cells})
+                    sums[m.number] = sums.get(m.number, 0.0) + np.concatenate([left.ravel(), right])
+            for number, cells in sums.items():
+                yield pd.DataFrame({"model": number, "cell": np.arange(len(cells)), "value": cells})
 
         sums = self.frame.select("period", "y", "x").mapInPandas(run, "model int, cell int, value double")
         table = sums.groupBy("model", "cell").agg(F.sum("value").alias("value")).toPandas()  # models x landmarks^2 numbers

@@ -101,12 +101,21 @@ def map_rows(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema:
 
 
 def per_series(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Apply ``fn`` to each series in time order. Its input is bounded by the calendar."""
+    """Apply ``fn`` to each series in time order. Its input is bounded by the calendar.
+
+    The work is in the arithmetic, not in the bytes, so the partition count is explicit: adaptive
+    execution would merge small partitions and leave most cores idle.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return fn(pdf.sort_values("period", ignore_index=True))
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return spread(df, keys).groupBy(*keys).applyInPandas(run, schema)
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Repartition by key into the configured number of shuffle partitions, not fewer."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def lag_columns(df: DataFrame, keys: list[str], columns: list[str], lags: int) -> tuple[DataFrame, list[str]]:

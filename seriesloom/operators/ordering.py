@@ -29,7 +29,8 @@ def bind_rows(*frames: DataFrame) -> DataFrame:
 
 
 def common_keys(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    return left.select(on).intersect(right.select(on))
+    """Keys are made distinct before they meet, so a frequent key crosses the shuffle once per task."""
+    return left.select(on).distinct().intersect(right.select(on).distinct())
 
 
 def mismatch_report(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
@@ -44,4 +45,4 @@ def minus_keys(left: DataFrame, *others: DataFrame) -> DataFrame:
     gone = others[0]
     for o in others[1:]:
         gone = gone.unionByName(o)
-    return left.subtract(gone)
+    return left.distinct().subtract(gone.distinct())

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from seriesloom.functions.scalars import ratio
+from seriesloom.operators.joins import attach_group_stats
 from seriesloom.operators.reshape import by_period
 
 
@@ -80,7 +81,7 @@ def top_with_ties(df: DataFrame, keys: list[str], value: str, n: int, smallest:
     before = F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")
     inside = best.withColumn("_before", before).filter(F.col("_before") < n)
     cutoff = inside.groupBy(*keys).agg((F.max(value) if smallest else F.min(value)).alias("_cut"))
-    kept = df.join(cutoff, keys) if keys else df.withColumn("_cut", cutoff.scalar())
+    kept = attach_group_stats(df, cutoff, keys)
     keep = F.col(value) <= F.col("_cut") if smallest else F.col(value) >= F.col("_cut")
     return kept.filter(keep).drop("_cut")
 
@@ -89,19 +90,22 @@ def minmax_rescale(df: DataFrame, keys: list[str], value: str, name: str = "resc
     """Rescale to [0, 1] within each group by its aggregated extremes."""
     span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     return (
-        df.join(span, keys)
+        attach_group_stats(df, span, keys)
         .withColumn(name, ratio(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")))
         .drop("_lo", "_hi")
     )
 
 
 def dual_axis(df: DataFrame, keys: list[str], primary: str, secondary: str, name: str = "scaled") -> DataFrame:
-    """Map the range of ``secondary`` linearly onto that of ``primary`` (ranges widened to integers)."""
-    p_lo, p_hi = F.floor(F.min(primary)), F.ceil(F.max(primary))
-    s_lo, s_hi = F.ceil(F.min(secondary)), F.ceil(F.max(secondary))
+    """Map the range of ``secondary`` linearly onto that of ``primary`` (ranges widened to integers).
+
+    A window over the whole series: its length is that of the calendar.
+    """
+    w = W.partitionBy(*keys)
+    p_lo, p_hi = F.floor(F.min(primary).over(w)), F.ceil(F.max(primary).over(w))
+    s_lo, s_hi = F.ceil(F.min(secondary).over(w)), F.ceil(F.max(secondary).over(w))
     slope = ratio(p_hi - p_lo, s_hi - s_lo)
-    span = df.groupBy(*keys).agg(slope.alias("_b"), (p_lo - slope * s_lo).alias("_a"))
-    return df.join(span, keys).withColumn(name, F.col("_a") + F.col("_b") * F.col(secondary)).drop("_a", "_b")
+    return df.withColumn(name, p_lo - slope * s_lo + slope * F.col(secondary))
 
 
 def zscore(df: DataFrame, keys: list[str], value: str, training: Column | None = None, name: str = "z") -> DataFrame:
