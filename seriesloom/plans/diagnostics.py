@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions.scalars import rounded
 from seriesloom.operators import diagnostics as dg
 from seriesloom.plans import bindings as b
+from seriesloom.plans import sqltools as st
 from seriesloom.plans.registry import HOURS, query, r6, sql
 
 _ACF = """c AS (SELECT entity, period, x - avg(x) OVER (PARTITION BY entity) AS d FROM event_h),
@@ -62,13 +63,87 @@ def ljung_box(spark, d):
     return out.select("entity", "n", *[rounded(F.col(c)).alias(c) for c in names])
 
 
-@query("q_adf")
+LEVELS = 26  # quarters of the complete calendar
+_SRC = "src AS (SELECT entity, period, value/1e6 AS x, row_number() OVER (PARTITION BY entity ORDER BY period) AS t FROM nation_q WHERE value IS NOT NULL)"
+_DIFF = """dif AS (SELECT *, x - lag(x) OVER w AS dy, lag(x) OVER w AS y1, count(*) OVER (PARTITION BY entity) AS size FROM src WINDOW w AS (PARTITION BY entity ORDER BY period)),
+  lagd AS (SELECT *, lag(dy, 1) OVER w AS d1, lag(dy, 2) OVER w AS d2 FROM dif WINDOW w AS (PARTITION BY entity ORDER BY period))"""
+_ADF_MODELS = {"none": ([3, 4], [5]), "drift": ([1, 3, 4], [5]), "trend": ([1, 2, 3, 4], [5]), "rd": ([4], [5]), "rt": ([1, 4], [5])}
+
+
+def _critical_case(name: str, which: int) -> str:
+    table = dg.ADF_CRITICAL[name]
+    arms = " ".join(f"WHEN size - 1 < {size} THEN {row[which]}" for size, row in zip(dg.ADF_SIZES, table))
+    return f"(CASE {arms} ELSE {table[-1][which]} END)"
+
+
+def _bucket(stat: str, name: str, lower: bool) -> str:
+    one, five, ten = (_critical_case(name, i) for i in range(3))
+    lt, gt = ("<", ">") if lower else (">", "<")
+    return (
+        f"CASE WHEN {stat} IS NULL THEN NULL WHEN {stat} {lt} {ten} AND {stat} {gt} {five} THEN '<0.1' "
+        f"WHEN {stat} {lt} {five} AND {stat} {gt} {one} THEN '<0.05' WHEN {stat} {lt} {one} THEN '<0.01' ELSE '>0.1' END"
+    )
+
+
+def _model_value(model: str, expression: str) -> str:
+    return f"max(CASE WHEN model = '{model}' THEN {expression} END)"
+
+
+_ADF = f"""{_SRC}, {_DIFF},
+  {st.moments_cte('mom', '(SELECT * FROM lagd WHERE d1 IS NOT NULL)', ['entity', 'size'], ['1.0', 't/10.0', 'y1', 'd1', 'dy'])},
+  {st.solve_ctes('mom', ['entity', 'size'], _ADF_MODELS)},
+  r AS (SELECT entity, size, max(n) AS n, {', '.join(f"{_model_value(k, st.rss(x, 5))} AS rss_{k}" for k, (x, _) in _ADF_MODELS.items())},
+        {_model_value('none', st.beta(1, 2))} AS b1, {_model_value('none', st.inverse(1, 2))} AS v1,
+        {_model_value('trend', st.beta(3, 4))} AS b3, {_model_value('trend', st.inverse(3, 4))} AS v3 FROM sol GROUP BY 1, 2),
+  adf AS (SELECT entity, size, b1/sqrt(rss_none/(n - 2)*v1) AS tau1, ((rss_rd - rss_drift)/2)/(rss_drift/(n - 3)) AS phi1,
+        ((rss_rt - rss_trend)/2)/(rss_trend/(n - 4)) AS phi3, b3/sqrt(rss_trend/(n - 4)*v3) AS tau3 FROM r),
+  adfb AS (SELECT *, {_bucket('tau1', 'tau1', True)} AS p_none, {_bucket('phi1', 'phi1', False)} AS p_drift, {_bucket('phi3', 'phi3', False)} AS p_trend FROM adf)"""
+
+
+def _levels(spark, d):
+    return b.nation_q(spark, d).select("entity", "period", (F.col("value") / 1e6).alias("x"))
+
+
+@query(
+    "q_adf",
+    sql(
+        f"""+{_ADF} SELECT entity, size, {r6('tau1')} AS tau1, {r6('phi1')} AS phi1, {r6('phi3')} AS phi3, {r6('tau3')} AS tau3, p_none, p_drift, p_trend FROM adfb""",
+        "nation_q",
+        recursive=True,
+    ),
+)
 def adf(spark, d):
-    return dg.adf_tests(b.event_h(spark, d), ["entity"], "x", 1)
+    out = dg.adf_tests(_levels(spark, d), ["entity"], "x", 1)
+    return out.select("entity", "size", *[rounded(F.col(c)).alias(c) for c in ("tau1", "phi1", "phi3", "tau3")], "p_none", "p_drift", "p_trend")
+
+
+_ADF_P = f"""ordered AS (SELECT *, CAST(floor(pow(size - 1.0, 1/3.0) + 1e-9) AS INTEGER) AS ord FROM lagd),
+  {st.moments_cte('momp', '(SELECT * FROM ordered WHERE t > ord + 1 AND ord = 2)', ['entity', 'size', 'ord'], ['1.0', 't/10.0', 'y1', 'd1', 'd2', 'dy'])},
+  {st.moments_cte('momq', '(SELECT * FROM ordered WHERE t > ord + 1 AND ord = 1)', ['entity', 'size', 'ord'], ['1.0', 't/10.0', 'y1', 'd1', 'dy'])},
+  {st.solve_ctes('momp', ['entity', 'size', 'ord'], {'two': ([1, 2, 3, 4, 5], [6])}, 'p')},
+  {st.solve_ctes('momq', ['entity', 'size', 'ord'], {'one': ([1, 2, 3, 4], [5])}, 'q')},
+  stat AS (SELECT entity, size, ord, {st.beta(3, 5)}/sqrt({st.rss([1, 2, 3, 4, 5], 6)}/(n - 5)*{st.inverse(3, 5)}) AS statistic FROM solp
+           UNION ALL SELECT entity, size, ord, {st.beta(3, 4)}/sqrt({st.rss([1, 2, 3, 4], 5)}/(n - 4)*{st.inverse(3, 4)}) FROM solq),
+  adfp AS (SELECT *, {st.interpolate('statistic', dg.ADF_P_TABLE[0], dg.ADF_P_LEVELS)} AS p_value FROM stat)"""
 
 
-@query("q_adf_p")
+@query(
+    "q_adf_p",
+    sql(
+        f"""+{_SRC}, {_DIFF}, {_ADF_P} SELECT entity, ord AS k, {r6('statistic')} AS statistic, {r6('p_value')} AS p_value FROM adfp""",
+        "nation_q",
+        recursive=True,
+    ),
+)
 def adf_p(spark, d):
+    """Series have at most 26 quarters, so the SQL needs the first row of the p-value table only."""
+    out = dg.adf_trend_p(_levels(spark, d), ["entity"], "x", LEVELS)
+    return out.select("entity", "k", rounded(F.col("statistic")).alias("statistic"), rounded(F.col("p_value")).alias("p_value"))
+
+
+@query("q_adf_long")
+def adf_long(spark, d):
+    """Long hourly series: lag order eight, p-values interpolated over sample sizes."""
     return dg.adf_trend_p(b.event_h(spark, d), ["entity"], "x", HOURS)
 
 
@@ -95,9 +170,9 @@ def _interp(s: str, crit: list[float]) -> str:
     return f"CASE {' '.join(arms)} ELSE {ps[-1]} END"
 
 
-_KPSS = """r AS (SELECT entity, period, x, CAST(row_number() OVER (PARTITION BY entity ORDER BY period) AS DOUBLE) AS t FROM event_h),
+_KPSS = """kr AS (SELECT entity, period, x, CAST(row_number() OVER (PARTITION BY entity ORDER BY period) AS DOUBLE) AS t FROM {source}),
   e AS (SELECT entity, period, x - avg(x) OVER p AS el, x - (regr_intercept(x, t) OVER p + (regr_slope(x, t) OVER p)*t) AS et, count(*) OVER p AS n
-        FROM r WINDOW p AS (PARTITION BY entity)),
+        FROM kr WINDOW p AS (PARTITION BY entity)),
   c AS (SELECT *, floor(4*pow(n/100.0, 0.25) + 1e-9) AS l, sum(el) OVER w AS sl, sum(et) OVER w AS st FROM e
         WINDOW w AS (PARTITION BY entity ORDER BY period ROWS UNBOUNDED PRECEDING)),
   g AS (SELECT entity, k, sum(el*ll)*(1 - k/(max(l) + 1)) AS gl, sum(et*lt)*(1 - k/(max(l) + 1)) AS gt FROM (
@@ -111,7 +186,7 @@ _KPSS = """r AS (SELECT entity, period, x, CAST(row_number() OVER (PARTITION BY
 @query(
     "q_kpss",
     sql(
-        f"""+{_KPSS} SELECT entity, n, {r6('level')} AS level, {r6('trend')} AS trend, {r6(_interp('level', dg.KPSS_CRITICAL['level']))} AS p_level,
+        f"""+{_KPSS.format(source='event_h')} SELECT entity, n, {r6('level')} AS level, {r6('trend')} AS trend, {r6(_interp('level', dg.KPSS_CRITICAL['level']))} AS p_level,
             {r6(_interp('trend', dg.KPSS_CRITICAL['trend']))} AS p_trend FROM k""",
         "event_h",
     ),
@@ -121,13 +196,36 @@ def kpss(spark, d):
     return out.select("entity", "n", *[rounded(F.col(c)).alias(c) for c in ("level", "trend", "p_level", "p_trend")])
 
 
-@query("q_stationarity_vote")
+def _flag(condition: str) -> str:
+    return f"CASE WHEN {condition} THEN 1 WHEN NOT ({condition}) THEN 0 END"
+
+
+_VOTES = {
+    "adf_none": "p_none IN ('<0.1', '>0.1')",
+    "adf_drift": "p_drift IN ('<0.1', '>0.1')",
+    "adf_trend1": "p_trend IN ('<0.1', '>0.1')",
+    "adf_trend2": "p_value > 0.05",
+    "kpss_level": f"{_interp('level', dg.KPSS_CRITICAL['level'])} < 0.05",
+    "kpss_trend": f"{_interp('trend', dg.KPSS_CRITICAL['trend'])} < 0.05",
+}
+
+
+@query(
+    "q_stationarity_vote",
+    sql(
+        f"""+{_ADF}, {_ADF_P}, {_KPSS.format(source='src')},
+        v AS (SELECT adfb.entity, {', '.join(f"{_flag(c)} AS {name}" for name, c in _VOTES.items())} FROM adfb JOIN adfp ON adfp.entity = adfb.entity JOIN k ON k.entity = adfb.entity)
+        SELECT *, {' + '.join(dg.VERDICTS)} AS total, {' + '.join(dg.TREND_VERDICTS)} AS total_trend, {' + '.join(dg.LEVEL_VERDICTS)} AS total_level FROM v""",
+        "nation_q",
+        recursive=True,
+    ),
+)
 def stationarity_vote(spark, d):
-    panel = b.event_h(spark, d)
+    panel = _levels(spark, d)
     votes = dg.verdicts(
         dg.adf_tests(panel, ["entity"], "x", 1),
-        dg.adf_trend_p(panel, ["entity"], "x", HOURS),
-        dg.kpss_tests(panel, ["entity"], "x", HOURS),
+        dg.adf_trend_p(panel, ["entity"], "x", LEVELS),
+        dg.kpss_tests(panel, ["entity"], "x", LEVELS),
         ["entity"],
     )
     return dg.stationarity_vote(votes)
@@ -153,11 +251,53 @@ def granger_pair(spark, d):
     return out.select("entity", "series", "n", rounded(F.col("f_stat")).alias("f_stat"))
 
 
-@query("q_granger_pair_lags")
+_NAMES = ["y", "q", "disc", "tax", "gn"]
+FLAGS = """feat AS (SELECT entity, period, 100.0*(revenue/nullif(lag(revenue) OVER w, 0) - 1.0) AS y, quantity AS q, discount*100 AS disc, tax*100 AS tax,
+    100.0*(n/nullif(CAST(lag(n) OVER w AS DOUBLE), 0) - 1.0) AS gn FROM flag_m WINDOW w AS (PARTITION BY entity ORDER BY period))"""
+_LAGGED = f"""{FLAGS}, lagged AS (SELECT entity, period, {', '.join(_NAMES)}, {', '.join(f'lag({c}, {k}) OVER w AS {c}{k}' for c in _NAMES for k in (1, 2))}
+    FROM feat WINDOW w AS (PARTITION BY entity ORDER BY period))"""
+
+
+def _f_sql(less: str, full: str, q: int, df: str) -> str:
+    return f"(({less} - {full})/{q})/({full}/{df})"
+
+
+def _pair_sql() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT entity, '{c}' AS series, y, y1, y2, {c}1 AS x1, {c}2 AS x2 FROM lagged WHERE y IS NOT NULL AND y2 IS NOT NULL AND {c}2 IS NOT NULL" for c in _NAMES[1:]
+    )
+    base, full = [1, 2, 3], [1, 2, 3, 4, 5]
+    return f"""+{_LAGGED}, pairs AS ({parts}),
+      {st.moments_cte('mom', 'pairs', ['entity', 'series'], ['1.0', 'y1', 'y2', 'x1', 'x2', 'y'])},
+      {st.solve_ctes('mom', ['entity', 'series'], {'base': (base, [6]), 'full': (full, [6])})},
+      r AS (SELECT entity, series, max(n) AS n, {_model_value('base', st.rss(base, 6))} AS r0, {_model_value('full', st.rss(full, 6))} AS r1 FROM sol GROUP BY 1, 2),
+      f AS (SELECT entity, series, n, {_f_sql('r0', 'r1', 2, '(n - 5)')} AS f FROM r)
+      SELECT entity, series, n, {r6('f')} AS f_stat, {r6('pow(1 + 2*f/(n - 5), -(n - 5)/2)')} AS p_value FROM f"""
+
+
+@query("q_granger_pair_lags", sql(_pair_sql(), "flag_m", recursive=True))
 def granger_pair_lags(spark, d):
-    return dg.granger_pairs(b.flag_features(spark, d), ["entity"], "y", ["q", "disc", "tax", "gn"], 3)
+    """Two lags: an F law with two numerator degrees of freedom has a closed tail for the SQL."""
+    out = dg.granger_pairs(b.flag_features(spark, d), ["entity"], "y", _NAMES[1:], 2)
+    return out.select("entity", "series", "n", rounded(F.col("f_stat")).alias("f_stat"), rounded(F.col("p_value")).alias("p_value"))
+
+
+def _stepwise_sql() -> str:
+    z = ["1.0", *[f"{c}{k}" for c in _NAMES for k in (1, 2)], "y"]
+    everything = list(range(1, 12))
+    models = {"full": (everything, [12])}
+    for i, c in enumerate(_NAMES[1:], 1):
+        models[c] = ([j for j in everything if j not in (2 + 2 * i, 3 + 2 * i)], [12])
+    rows = " UNION ALL ".join(
+        f"SELECT entity, '{c}' AS series, max(n) AS n, {_model_value(c, st.rss(models[c][0], 12))} AS r0, {_model_value('full', st.rss(everything, 12))} AS r1 FROM sol GROUP BY 1"
+        for c in _NAMES[1:]
+    )
+    return f"""+{_LAGGED}, {st.moments_cte('mom', '(SELECT * FROM lagged WHERE y IS NOT NULL AND y2 IS NOT NULL AND gn2 IS NOT NULL)', ['entity'], z)},
+      {st.solve_ctes('mom', ['entity'], models)}, r AS ({rows}), f AS (SELECT *, {_f_sql('r0', 'r1', 2, '(n - 11)')} AS f FROM r)
+      SELECT entity, series, n, {r6('f')} AS f_stat, {r6('pow(1 + 2*f/(n - 11), -(n - 11)/2)')} AS p_value FROM f"""
 
 
-@query("q_granger_stepwise")
+@query("q_granger_stepwise", sql(_stepwise_sql(), "flag_m", recursive=True))
 def granger_stepwise(spark, d):
-    return dg.granger_stepwise(b.flag_features(spark, d), ["entity"], "y", ["q", "disc", "tax", "gn"], 2)
+    out = dg.granger_stepwise(b.flag_features(spark, d), ["entity"], "y", _NAMES[1:], 2)
+    return out.select("entity", "series", "n", rounded(F.col("f_stat")).alias("f_stat"), rounded(F.col("p_value")).alias("p_value"))

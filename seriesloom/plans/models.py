@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from seriesloom.functions.scalars import rounded
 from seriesloom.operators import arma, factors, joins, systems
 from seriesloom.plans import bindings as b
+from seriesloom.plans import sqltools as st
+from seriesloom.plans.diagnostics import FLAGS
 from seriesloom.plans.registry import CUT, LAST, LAST_SHIP_MONTH, query, r6, sql
 
 MONTH_CUT = 24000  # 2000-01
@@ -42,9 +44,70 @@ def var_univariate(spark, d):
     return out.select("entity", "forecast_period", *[rounded(F.col(c)).alias(c) for c in ("mean", "lower", "error")])
 
 
-@query("q_coef_table")
+_Z = ["1.0", *[f"{c}{k}" for k in (1, 2) for c in NK], *NK]
+_TERMS = ["const", *[f"{c}_l{k}" for k in (1, 2) for c in NK]]
+_NK_LAGS = f"""{FLAGS}, lagged AS (SELECT entity, period, {', '.join(NK)}, {', '.join(f'lag({c}, {k}) OVER w AS {c}{k}' for c in NK for k in (1, 2))},
+    lead(y, 1) OVER w AS t1, lead(y, 4) OVER w AS t4 FROM feat WINDOW w AS (PARTITION BY entity ORDER BY period))"""
+_X = list(range(1, 8))
+
+
+def _coef_sql() -> str:
+    parts = []
+    for e, name in enumerate(NK):
+        y = 8 + e
+        for r, term in enumerate(_TERMS, 1):
+            parts.append(
+                f"SELECT entity, '{name}' AS equation, '{term}' AS term, n, {st.beta(r, 7, e)} AS b, {st.inverse(r, 7, 3)} AS v, {st.rss(_X, y, e)} AS rss, "
+                f"m[{y}][{y}] - m[1][{y}]*m[1][{y}]/n AS tss FROM sol"
+            )
+    return f"""+{_NK_LAGS}, {st.moments_cte('mom', '(SELECT * FROM lagged WHERE y IS NOT NULL AND y2 IS NOT NULL AND q2 IS NOT NULL)', ['entity'], _Z)},
+      {st.solve_ctes('mom', ['entity'], {'var': (_X, [8, 9, 10])})}, c AS ({' UNION ALL '.join(parts)})
+      SELECT entity, equation, term, n, {r6('b')} AS estimate, {r6('sqrt(rss/(n - 7)*v)')} AS std_error, {r6('b/sqrt(rss/(n - 7)*v)')} AS t_value,
+             {r6('1 - rss/tss')} AS r2, {r6('1 - rss/tss*(n - 1)/(n - 7)')} AS adj_r2, {r6('((1 - rss/tss)/6)/((rss/tss)/(n - 7))')} AS f_stat FROM c"""
+
+
+@query("q_coef_table", sql(_coef_sql(), "flag_m", recursive=True))
 def coef_table(spark, d):
-    return systems.coefficient_table(b.flag_features(spark, d), ["entity"], NK, 2)
+    out = systems.coefficient_table(b.flag_features(spark, d), ["entity"], NK, 2)
+    names = ("estimate", "std_error", "t_value", "r2", "adj_r2", "f_stat")
+    return out.select("entity", "equation", "term", "n", *[rounded(F.col(c)).alias(c) for c in names])
+
+
+@query("q_coef_pvalues")
+def coef_pvalues(spark, d):
+    return systems.coefficient_table(b.flag_features(spark, d), ["entity"], LI, 1).select("entity", "equation", "term", "t_value", "p_value")
+
+
+def _var_sql() -> str:
+    complete = "y IS NOT NULL AND y2 IS NOT NULL AND q2 IS NOT NULL"
+    sums = ", ".join(
+        "[" + ", ".join(f"sum(CASE WHEN {complete} THEN ({a})*({c}) END) OVER e" for c in _Z) + "]" for a in _Z
+    )
+    states = {0: list(NK), -1: [f"{c}1" for c in NK]}
+    steps = []
+    for h in range(1, 5):
+        source = "sol JOIN lagged l ON l.entity = sol.entity AND l.period = o" if h == 1 else f"step{h - 1} s"
+        now = [f"l.{c}" for c in states[0]] if h == 1 else [f"f{h - 1}_{c}" for c in NK]
+        before = [f"l.{c}" for c in states[-1]] if h == 1 else [f"l_{c}" for c in NK] if h == 2 else [f"f{h - 2}_{c}" for c in NK]
+        cols = []
+        for e, name in enumerate(NK):
+            terms = [st.beta(1, 7, e)] + [f"{st.beta(2 + i, 7, e)}*{v}" for i, v in enumerate([*now, *before])]
+            cols.append(f"{' + '.join(terms)} AS f{h}_{name}")
+        carry = "sol.entity, o, a, l.t1, l.t4, " + ", ".join(f"l.{c} AS l_{c}" for c in NK) if h == 1 else "s.*"
+        steps.append(f"step{h} AS (SELECT {carry}, {', '.join(cols)} FROM {source})")
+    return f"""+{_NK_LAGS}, mom AS (SELECT entity, period AS o, sum(CASE WHEN {complete} THEN 1.0 END) OVER e AS n, [{sums}] AS m FROM lagged
+        WINDOW e AS (PARTITION BY entity ORDER BY period ROWS UNBOUNDED PRECEDING)),
+      want AS (SELECT * FROM mom WHERE o BETWEEN {MONTH_CUT - 3} AND {LAST_SHIP_MONTH - 1}),
+      {st.solve_ctes('want', ['entity', 'o'], {'var': (_X, [8, 9, 10])})}, {', '.join(steps)}
+      SELECT entity, 'VAR_NK_Q' AS model_id, CAST(o + 1 AS INTEGER) AS forecast_period, {r6('f1_y')} AS mean, {r6('t1 - f1_y')} AS error FROM step4 WHERE o + 1 > {MONTH_CUT}
+      UNION ALL SELECT entity, 'VAR_NK_Y', CAST(o + 4 AS INTEGER), {r6('f4_y')}, {r6('t4 - f4_y')} FROM step4 WHERE o + 4 BETWEEN {MONTH_CUT + 1} AND {LAST_SHIP_MONTH}"""
+
+
+@query("q_var_forecast", sql(_var_sql(), "flag_m", recursive=True))
+def var_forecast(spark, d):
+    """Iterated forecasts of the three-variable system at every origin."""
+    out = systems.var_backtest(b.flag_features(spark, d), ["entity"], NK, 2, "VAR_NK", MONTH_CUT, LAST_SHIP_MONTH)
+    return out.select("entity", "model_id", "forecast_period", rounded(F.col("mean")).alias("mean"), rounded(F.col("error")).alias("error"))
 
 
 @query(
