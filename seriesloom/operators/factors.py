@@ -120,6 +120,15 @@ def loading_rows(moments: DataFrame, size: int, top: int) -> DataFrame:
     return map_rows(moments, run, "k int, feature int, component int, loading double")
 
 
+def loading_matrix(moments: DataFrame, size: int) -> DataFrame:
+    """All loadings as one value: per feature its weights on every component."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"w": [[list(row) for row in components(correlation(matrix(v, size))[3])[1]] for v in pdf["moments"]]})
+
+    return map_rows(moments, run, "w array<array<double>>")
+
+
 def projection(moments: DataFrame, size: int, top: int) -> DataFrame:
     """The affine map to scores, one row: weights per component and their offset."""
 

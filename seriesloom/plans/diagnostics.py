@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from seriesloom.functions.scalars import rounded
@@ -141,10 +142,28 @@ def adf_p(spark, d):
     return out.select("entity", "k", rounded(F.col("statistic")).alias("statistic"), rounded(F.col("p_value")).alias("p_value"))
 
 
-@query("q_adf_long")
+_LONG_LAGS = 8  # whole cube root of 719
+_LONG_POINTS = [float(v) for v in (np.interp(HOURS - 1, dg.ADF_P_SIZES, column) for column in zip(*dg.ADF_P_TABLE))]
+_LONG_X = list(range(1, 4 + _LONG_LAGS))
+
+
+@query(
+    "q_adf_long",
+    sql(
+        f"""+s AS (SELECT entity, period, x, row_number() OVER w AS t, x - lag(x) OVER w AS dy, lag(x) OVER w AS y1 FROM event_h WINDOW w AS (PARTITION BY entity ORDER BY period)),
+        l AS (SELECT *, {', '.join(f'lag(dy, {k}) OVER w AS d{k}' for k in range(1, _LONG_LAGS + 1))} FROM s WINDOW w AS (PARTITION BY entity ORDER BY period)),
+        {st.moments_cte('mom', f'(SELECT * FROM l WHERE d{_LONG_LAGS} IS NOT NULL)', ['entity'], ['1.0', 't/100.0', 'y1', *[f'd{k}' for k in range(1, _LONG_LAGS + 1)], 'dy'])},
+        {st.solve_ctes('mom', ['entity'], {'trend': (_LONG_X, [len(_LONG_X) + 1])})},
+        r AS (SELECT entity, {st.beta(3, len(_LONG_X))}/sqrt({st.rss(_LONG_X, len(_LONG_X) + 1)}/(n - {len(_LONG_X)})*{st.inverse(3, len(_LONG_X))}) AS statistic FROM sol)
+        SELECT entity, {_LONG_LAGS} AS k, {r6('statistic')} AS statistic, {r6(st.interpolate('statistic', _LONG_POINTS, dg.ADF_P_LEVELS))} AS p_value FROM r""",
+        "event_h",
+        recursive=True,
+    ),
+)
 def adf_long(spark, d):
     """Long hourly series: lag order eight, p-values interpolated over sample sizes."""
-    return dg.adf_trend_p(b.event_h(spark, d), ["entity"], "x", HOURS)
+    out = dg.adf_trend_p(b.event_h(spark, d), ["entity"], "x", HOURS)
+    return out.select("entity", "k", rounded(F.col("statistic")).alias("statistic"), rounded(F.col("p_value")).alias("p_value"))
 
 
 @query(

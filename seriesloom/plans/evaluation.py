@@ -9,6 +9,7 @@ from seriesloom.functions.tails import normal_sf, t_sf
 from seriesloom.operators import aggregates, evaluate, folds, joins, windows
 from seriesloom.operators.baselines import baseline_records, direct_predictions, residuals_ar_one
 from seriesloom.plans import bindings as b
+from seriesloom.plans import sqltools as st
 from seriesloom.plans.registry import CUT, LAST, query, r6, sql
 from seriesloom.sources import literals
 
@@ -249,12 +250,22 @@ def dm_test(spark, d):
     )
 
 
-@query("q_dm_pvalues")
+@query(
+    "q_dm_pvalues",
+    sql(
+        f"""{_dm_sql(1, True)}, p AS (SELECT *, {st.t_tail('statistic', '(n - 1)')} AS p FROM s)
+        SELECT entity, horizon, model, benchmark, n, {r6('statistic')} AS statistic, {r6('p')} AS p_greater,
+               CASE WHEN p < 0.01 THEN '***' WHEN p < 0.05 THEN '**' WHEN p < 0.1 THEN '*' WHEN p IS NOT NULL THEN '' END AS mark FROM p""",
+        "records",
+    ),
+)
 def dm_pvalues(spark, d):
-    """The same test with its t(n - 1) p-value for every series length, pooled over nothing."""
+    """Absolute loss, with the t(n - 1) p-value at every series length and its mark."""
     out = evaluate.dm_statistic(records(spark, d), ["entity"], PAIRS, 1, True)
-    return out.withColumn("p_greater", t_sf(F.col("statistic"), (F.col("n") - 1).cast("double"))).withColumn(
-        "mark", stars(F.col("p_greater"))
+    p = out.withColumn("p", t_sf(F.col("statistic"), (F.col("n") - 1).cast("double")))
+    return p.select(
+        "entity", "horizon", "model", "benchmark", "n", rounded(F.col("statistic")).alias("statistic"),
+        rounded(F.col("p")).alias("p_greater"), stars(F.col("p")).alias("mark"),
     )
 
 

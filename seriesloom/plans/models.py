@@ -73,9 +73,25 @@ def coef_table(spark, d):
     return out.select("entity", "equation", "term", "n", *[rounded(F.col(c)).alias(c) for c in names])
 
 
-@query("q_coef_pvalues")
+def _coef_p_sql() -> str:
+    lags = [f"{c}1" for c in LI]
+    x = list(range(1, len(LI) + 2))
+    parts = []
+    for e, name in enumerate(LI):
+        y = len(x) + 1 + e
+        for r, term in enumerate(["const", *[f"{c}_l1" for c in LI]], 1):
+            t = f"{st.beta(r, len(x), e)}/sqrt({st.rss(x, y, e)}/(n - {len(x)})*{st.inverse(r, len(x), len(LI))})"
+            parts.append(f"SELECT entity, '{name}' AS equation, '{term}' AS term, n, {t} AS t FROM sol")
+    return f"""+{FLAGS}, lagged AS (SELECT entity, {', '.join(LI)}, {', '.join(f'lag({c}) OVER w AS {c}1' for c in LI)} FROM feat WINDOW w AS (PARTITION BY entity ORDER BY period)),
+      {st.moments_cte('mom', '(SELECT * FROM lagged WHERE y1 IS NOT NULL AND gn1 IS NOT NULL)', ['entity'], ['1.0', *lags, *LI])},
+      {st.solve_ctes('mom', ['entity'], {'var': (x, [len(x) + 1 + e for e in range(len(LI))])})}, c AS ({' UNION ALL '.join(parts)})
+      SELECT entity, equation, term, {r6('t')} AS t_value, {r6('2*(' + st.t_tail('abs(t)', f'(n - {len(x)})') + ')')} AS p_value FROM c"""
+
+
+@query("q_coef_pvalues", sql(_coef_p_sql(), "flag_m", recursive=True))
 def coef_pvalues(spark, d):
-    return systems.coefficient_table(b.flag_features(spark, d), ["entity"], LI, 1).select("entity", "equation", "term", "t_value", "p_value")
+    out = systems.coefficient_table(b.flag_features(spark, d), ["entity"], LI, 1)
+    return out.select("entity", "equation", "term", rounded(F.col("t_value")).alias("t_value"), rounded(F.col("p_value")).alias("p_value"))
 
 
 def _var_sql() -> str:
@@ -139,6 +155,77 @@ def portmanteau(spark, d):
     return systems.system_portmanteau(b.flag_features(spark, d), ["entity"], NK, 2, LAGS)
 
 
+@query(
+    "q_var_order_univariate",
+    sql(
+        f"""+p AS (SELECT entity, y, lag(y, 1) OVER w AS y1, lag(y, 2) OVER w AS y2, lag(y, 3) OVER w AS y3 FROM growth_q WINDOW w AS (PARTITION BY entity ORDER BY period)),
+        {st.moments_cte('mom', '(SELECT * FROM p WHERE y IS NOT NULL AND y1 IS NOT NULL AND y2 IS NOT NULL AND y3 IS NOT NULL)', ['entity'], ['1.0', 'y1', 'y2', 'y3', 'y'])},
+        {st.solve_ctes('mom', ['entity'], {'1': ([1, 2], [5]), '2': ([1, 2, 3], [5]), '3': ([1, 2, 3, 4], [5])})},
+        r AS (SELECT entity, CAST(model AS INTEGER) AS p, n, CASE model WHEN '1' THEN {st.rss([1, 2], 5)} WHEN '2' THEN {st.rss([1, 2, 3], 5)} ELSE {st.rss([1, 2, 3, 4], 5)} END AS rss FROM sol)
+        SELECT entity, p, {r6('ln(rss/n) + 2*p/n')} AS aic, {r6('ln(rss/n) + 2*ln(ln(n))*p/n')} AS hq, {r6('ln(rss/n) + ln(n)*p/n')} AS sc,
+               arg_min(p, ln(rss/n) + ln(n)*p/n) OVER (PARTITION BY entity) AS best_sc FROM r WHERE n > p + 1""",
+        "growth_q",
+        recursive=True,
+    ),
+)
+def var_order_univariate(spark, d):
+    out = systems.var_order(b.growth_q(spark, d), ["entity"], ["y"], 3)
+    return out.select("entity", "p", *[rounded(F.col(c)).alias(c) for c in ("aic", "hq", "sc")], "best_sc")
+
+
+_AR_RESIDUALS = """u AS (SELECT entity, period, x - (regr_intercept(x, p) OVER e + (regr_slope(x, p) OVER e)*p) AS u FROM
+    (SELECT *, lag(x) OVER (PARTITION BY entity ORDER BY period) AS p FROM event_h) WINDOW e AS (PARTITION BY entity) QUALIFY p IS NOT NULL),
+  c AS (SELECT entity, j, sum(u*ul) AS c FROM (SELECT entity, j, u, lag(u, j) OVER (PARTITION BY entity, j ORDER BY period) AS ul FROM u, range(1, 16) t(j)) GROUP BY 1, 2),
+  z AS (SELECT entity, CAST(count(*) AS DOUBLE) AS n, sum(u*u) AS c0 FROM u GROUP BY 1)"""
+
+
+@query(
+    "q_portmanteau_univariate",
+    sql(
+        f"""+{_AR_RESIDUALS} SELECT entity, CAST(h AS INTEGER) AS lags, CAST(h - 1 AS DOUBLE) AS df, {r6('n*sum(c*c)/(c0*c0)')} AS box_pierce,
+               {r6('n*(n + 2)*sum(c*c/(n - j))/(c0*c0)')} AS ljung_box, {r6('n*n*sum(c*c/(n - j))/(c0*c0)')} AS hosking
+        FROM (VALUES (10), (15)) t(h), c JOIN z USING (entity) WHERE j <= h GROUP BY entity, h, n, c0""",
+        "event_h",
+    ),
+)
+def portmanteau_univariate(spark, d):
+    out = systems.system_portmanteau(b.event_h(spark, d), ["entity"], ["x"], 1, [10, 15])
+    return out.select("entity", "lags", "df", *[rounded(F.col(c)).alias(c) for c in ("box_pierce", "ljung_box", "hosking")])
+
+
+def _johansen_sql() -> str:
+    def s(i: int, j: int) -> str:
+        """Residual cross moment of z columns i and j given columns 1..3."""
+        terms = " - ".join(f"{st.beta(r, 3, i - 4)}*m[{r}][{j}]" for r in (1, 2, 3))
+        return f"(m[{i}][{j}] - {terms})"
+
+    cells = ", ".join(f"{s(i, j)} AS s{i}{j}" for i in range(4, 8) for j in range(i, 8))
+    inv0 = {"44": "s55/d0", "55": "s44/d0", "45": "(-s45/d0)"}
+    # w = S_k0 S_00^-1 S_0k, a symmetric 2 x 2 matrix
+    def w(a: int, c: int) -> str:
+        return f"(s4{a}*({inv0['44']}*s4{c} + {inv0['45']}*s5{c}) + s5{a}*({inv0['45']}*s4{c} + {inv0['55']}*s5{c}))"
+
+    return f"""+v AS (SELECT entity, period, quantity AS a, discount*100 AS b FROM flag_m WHERE quantity IS NOT NULL AND discount IS NOT NULL),
+      l AS (SELECT *, a - lag(a) OVER w AS da, b - lag(b) OVER w AS db, lag(a, 1) OVER w - lag(a, 2) OVER w AS da1, lag(b, 1) OVER w - lag(b, 2) OVER w AS db1,
+                   lag(a, 2) OVER w AS a2, lag(b, 2) OVER w AS b2 FROM v WINDOW w AS (PARTITION BY entity ORDER BY period)),
+      {st.moments_cte('mom', '(SELECT * FROM l WHERE a2 IS NOT NULL)', ['entity'], ['1.0', 'da1', 'db1', 'da', 'db', 'a2', 'b2'])},
+      {st.solve_ctes('mom', ['entity'], {'z': ([1, 2, 3], [4, 5, 6, 7])})},
+      c AS (SELECT entity, n, {cells} FROM sol), d AS (SELECT *, s44*s55 - s45*s45 AS d0, s66*s77 - s67*s67 AS dk FROM c),
+      e AS (SELECT entity, n, dk, s66, s77, s67, {w(6, 6)} AS w66, {w(6, 7)} AS w67, {w(7, 7)} AS w77 FROM d),
+      f AS (SELECT entity, n, (s77*w66 - 2*s67*w67 + s66*w77)/dk AS tr, (w66*w77 - w67*w67)/dk AS det FROM e),
+      g AS (SELECT entity, n, (tr + sqrt(greatest(0, tr*tr - 4*det)))/2 AS l1, (tr - sqrt(greatest(0, tr*tr - 4*det)))/2 AS l2 FROM f)
+      SELECT entity, 0 AS rank, {r6('l1')} AS eigenvalue, {r6('-n*(ln(1 - l1) + ln(1 - l2))')} AS trace, 23.52 + 0.0 AS crit1 FROM g
+      UNION ALL SELECT entity, 1, {r6('l2')}, {r6('-n*ln(1 - l2)')}, 11.65 FROM g"""
+
+
+@query("q_johansen_pair", sql(_johansen_sql(), "flag_m", recursive=True))
+def johansen_pair(spark, d):
+    """Two variables, where the eigenvalues have a closed form."""
+    panel = b.flag_m(spark, d).select("entity", "period", "quantity", (F.col("discount") * 100).alias("discount"))
+    out = systems.johansen_trace(panel, ["entity"], ["quantity", "discount"], 2)
+    return out.select("entity", "rank", rounded(F.col("eigenvalue")).alias("eigenvalue"), rounded(F.col("trace")).alias("trace"), "crit1")
+
+
 @query("q_var_order")
 def var_order(spark, d):
     return systems.var_order(b.flag_features(spark, d), ["entity"], NK, 10)
@@ -154,6 +241,20 @@ def arma_backtest(spark, d):
     return arma.arma_backtest(b.growth_q(spark, d), ["entity"], "y", (2, 1), "ARIMA", CUT, LAST)
 
 
+@query(
+    "q_arma_ar_one",
+    sql(
+        """SELECT entity, model_id, forecast_period, round(mean, 3) + 0.0 AS mean, round(upper, 3) + 0.0 AS upper FROM records
+           WHERE model_id LIKE 'ARIMA%' AND mean IS NOT NULL""",
+        "records",
+    ),
+)
+def arma_ar_one(spark, d):
+    """Without a moving average the conditional sum of squares is least squares."""
+    out = arma.arma_backtest(b.growth_q(spark, d), ["entity"], "y", (1, 0), "ARIMA", CUT, LAST)
+    return out.select("entity", "model_id", "forecast_period", rounded(F.col("mean"), 3).alias("mean"), rounded(F.col("upper"), 3).alias("upper"))
+
+
 @query("q_arma_order")
 def arma_order(spark, d):
     return arma.arma_orders(b.flag_features(spark, d), ["entity"], "y", 10, 10)
@@ -173,9 +274,31 @@ def corr_matrix(spark, d):
     return out.select("a", "b", "n", rounded(F.col("r")).alias("r"))
 
 
-@query("q_corr_pvalues")
+@query(
+    "q_corr_pvalues",
+    f"""WITH x AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+          c AS (SELECT CAST(l.i AS INTEGER) AS a, CAST(r.i AS INTEGER) AS b, count(*) AS n, corr(l.v, r.v) AS r FROM x l JOIN x r USING (vec_id) WHERE l.i < r.i GROUP BY 1, 2),
+          t AS (SELECT *, r*sqrt((n - 2)/(1 - r*r)) AS t FROM c)
+        SELECT a, b, {r6('t')} AS t, {r6('2*(' + st.t_tail('abs(t)', '(n - 2)') + ')')} AS p_value FROM t""",
+)
 def corr_pvalues(spark, d):
-    return factors.correlation_rows(_gram(spark, d), DIM).drop("k")
+    """P-values from the data, pairs of different columns only."""
+    out = factors.correlation_rows(_gram(spark, d), DIM).filter("a < b")
+    return out.select("a", "b", rounded(F.col("t")).alias("t"), rounded(F.col("p_value")).alias("p_value"))
+
+
+@query(
+    "q_pca_identity",
+    f"""WITH x AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)
+        SELECT vec_id, CAST(i AS INTEGER) AS feature, {r6('(v - avg(v) OVER p)/stddev_samp(v) OVER p')} AS z FROM x WINDOW p AS (PARTITION BY i)""",
+)
+def pca_identity(spark, d):
+    """Scores on all components times loadings: the standardised data, if the decomposition is right."""
+    moments = _gram(spark, d)
+    scored = factors.scores(b.vectors(spark, d), "v", moments, DIM, DIM)
+    weights = factors.loading_matrix(moments, DIM).scalar()
+    rows = scored.withColumn("_w", weights).select("vec_id", F.posexplode(F.transform("_w", lambda w: factors.dot(w, F.col("scores")))).alias("i", "z"))
+    return rows.select("vec_id", (F.col("i") + 1).alias("feature"), rounded(F.col("z")).alias("z"))
 
 
 @query("q_pca")

@@ -52,3 +52,18 @@ def interpolate(value: str, points: list[float], levels: list[float]) -> str:
     for a, c, p, q in zip(points, points[1:], levels, levels[1:]):
         arms.append(f"WHEN {value} < {c} THEN {p} + ({value} - ({a}))/({c} - ({a}))*({q} - {p})")
     return f"CASE WHEN {value} IS NULL THEN NULL {' '.join(arms)} ELSE {levels[-1]} END"
+
+
+def t_tail(t: str, df: str) -> str:
+    """Upper tail of the t law for an integer number of degrees of freedom (finite trigonometric sums)."""
+    angle = f"atan(abs({t})/sqrt({df}))"
+    odd = (
+        f"2/pi()*({angle} + CASE WHEN {df} > 1 THEN sin({angle})*list_sum(list_transform(range(0, CAST(({df} - 1)//2 AS BIGINT)), "
+        f"lambda k: exp(k*ln(4.0) + 2*lgamma(k + 1.0) - lgamma(2*k + 2.0))*pow(cos({angle}), 2*k + 1))) ELSE 0 END)"
+    )
+    even = (
+        f"sin({angle})*list_sum(list_transform(range(0, CAST({df}//2 AS BIGINT)), "
+        f"lambda k: exp(lgamma(2*k + 1.0) - k*ln(4.0) - 2*lgamma(k + 1.0))*pow(cos({angle}), 2*k)))"
+    )
+    inner = f"CASE WHEN CAST({df} AS BIGINT) % 2 = 1 THEN {odd} ELSE {even} END"
+    return f"CASE WHEN {t} IS NULL OR {df} < 1 THEN NULL ELSE 0.5 - sign({t})*0.5*({inner}) END"
