@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from seriesloom.functions.scalars import band
 from seriesloom.operators.reshape import by_period
@@ -104,16 +105,21 @@ def as_records(
 
 
 def baseline_records(
-    panel: DataFrame, keys: list[str], value: str, cut: int, last: int, horizons: tuple[int, ...] = (1, 4)
+    panel: DataFrame, keys: list[str], value: str, cut: int, last: int, horizons: tuple[int, ...] = (1, 4),
+    models: tuple[str, ...] = ("RW", "MEAN", "ARIMA"),
 ) -> DataFrame:
-    """Records of random walk, expanding mean and AR(1), for targets after ``cut``."""
+    """Records of random walk, expanding mean and AR(1), for targets after ``cut``.
+
+    Only the estimates of the chosen models are computed: the others are pruned from the plan.
+    """
     estimates = origin_estimates(panel, keys, value)
     y, forecasts = F.col("_y"), {}
     for h in horizons:
         forecasts["RW", h] = random_walk(y, F.col("_step2"), h)
         forecasts["MEAN", h] = (F.col("_mu"), F.col("_sd"))
         forecasts["ARIMA", h] = ar_one(y, F.col("_slope"), F.col("_icept"), F.col("_var"), h)
-    return as_records(estimates, keys, forecasts, cut + 1, last)
+    chosen = {k: v for k, v in forecasts.items() if k[0] in models}
+    return as_records(estimates, keys, chosen, cut + 1, last)
 
 
 def direct_predictions(panel: DataFrame, keys: list[str], value: str, h: int) -> DataFrame:
@@ -144,8 +150,6 @@ def direct_predictions(panel: DataFrame, keys: list[str], value: str, h: int) ->
 
 def residuals_ar_one(panel: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Full-sample AR(1) residuals beside their period; the first row of a series has none."""
-    from pyspark.sql import Window as W
-
     whole = W.partitionBy(*keys)
     paired = panel.withColumn("_x", F.lag(value).over(by_period(keys)))
     y, x = F.col(value), F.col("_x")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.functions.periods import day_index, hour_index, month_index, quarter_index
-from seriesloom.operators.reshape import complete_periods
+from seriesloom.operators.reshape import complete_periods, date_slice
 from seriesloom.operators.windows import growth
 from seriesloom.plans.registry import EPOCH, FIRST, FIRST_MONTH, HOURS, LAST, LAST_ORDER_MONTH, LAST_SHIP_MONTH
 from seriesloom.sources.panels import calendar_panel
@@ -16,14 +16,14 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def nation_raw(spark: SparkSession, d: str) -> DataFrame:
-    """Order value per nation and quarter, observed cells only.
+def nation_raw(spark: SparkSession, d: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Order value per nation and quarter, observed cells only; bounds reach the scan as dates.
 
     Orders shrink to one row per customer and quarter before they meet the customers, so neither
     the join nor its shuffle sees more than a calendar's worth of rows of any customer.
     """
     per_customer = calendar_panel(
-        table(spark, d, "orders"),
+        date_slice(table(spark, d, "orders"), "o_orderdate", first, last),
         {"c_custkey": F.col("o_custkey")},
         quarter_index(F.col("o_orderdate")),
         {"value": F.sum("o_totalprice"), "n_orders": F.count(F.lit(1))},
@@ -38,7 +38,7 @@ def nation_raw(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nation_q(spark: SparkSession, d: str) -> DataFrame:
-    return complete_periods(nation_raw(spark, d), ["entity"], FIRST, LAST)
+    return complete_periods(nation_raw(spark, d, FIRST, LAST), ["entity"], FIRST, LAST)
 
 
 def growth_q(spark: SparkSession, d: str) -> DataFrame:

@@ -18,8 +18,8 @@ RECORD = ("entity", "model_id", "horizon", "training_end", "periods_ahead", "for
 _RECORD_SQL = ", ".join(RECORD) + ", " + ", ".join(f"{r6(c)} AS {c}" for c in NUMBERS) + ", strategy, band_kind"
 
 
-def records(spark, d):
-    return baseline_records(b.growth_q(spark, d), ["entity"], "y", CUT, LAST)
+def records(spark, d, horizons=(1, 4), models=("RW", "MEAN", "ARIMA")):
+    return baseline_records(b.growth_q(spark, d), ["entity"], "y", CUT, LAST, horizons, models)
 
 
 def _show(rows, *extra):
@@ -35,7 +35,7 @@ def _show(rows, *extra):
     ),
 )
 def flagship(spark, d):
-    rows = records(spark, d).filter(F.col("model_id") == "RW_Q")
+    rows = records(spark, d, (1,), ("RW",))
     flagged = joins.regime_join(rows, literals.recessions(spark), "forecast_period")
     return flagged.groupBy("entity", "in_regime").agg(
         rounded(F.sqrt(F.avg(F.col("error") * F.col("error")))).alias("rmse"), F.count("error").alias("n")
@@ -49,12 +49,12 @@ def backtest_records(spark, d):
 
 @query("q_rw_backtest", sql(f"SELECT {_RECORD_SQL} FROM records WHERE model_id LIKE 'RW%'", "records"))
 def rw_backtest(spark, d):
-    return _show(records(spark, d).filter(F.col("model_id").startswith("RW")))
+    return _show(records(spark, d, models=("RW",)))
 
 
 @query("q_ar_expanding", sql(f"SELECT {_RECORD_SQL} FROM records WHERE model_id LIKE 'ARIMA%'", "records"))
 def ar_expanding(spark, d):
-    return _show(records(spark, d).filter(F.col("model_id").startswith("ARIMA")))
+    return _show(records(spark, d, models=("ARIMA",)))
 
 
 @query(

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seriesloom.functions.scalars import rounded
-from seriesloom.operators import arma, factors, joins, systems
+from seriesloom.operators import arma, baselines, evaluate, factors, joins, systems
+from seriesloom.operators.ordering import bind_rows
 from seriesloom.plans import bindings as b
 from seriesloom.plans import sqltools as st
 from seriesloom.plans.diagnostics import FLAGS
 from seriesloom.plans.registry import CUT, LAST, LAST_SHIP_MONTH, query, r6, sql
+from seriesloom.sources import literals
+from seriesloom.sources.panels import stage
 
 MONTH_CUT = 24000  # 2000-01
 NK = ["y", "q", "disc"]
@@ -344,3 +347,23 @@ def factor_cv(spark, d):
     return errors.groupBy("entity", "r").agg(
         F.count("error").alias("folds"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse")
     )
+
+
+@query("q_model_comparison")
+def model_comparison(spark, d):
+    """All econometric models on one panel, one accuracy table relative to the full FAVAR.
+
+    The panel is staged once: six models read the small table instead of the records behind it.
+    """
+    panel = stage(b.factor_panel(spark, d), "factor-panel")
+    span = (["entity"], "y")
+    made = [
+        baselines.baseline_records(panel, *span, MONTH_CUT, LAST_SHIP_MONTH, models=("RW",)),
+        arma.arma_backtest(panel, *span, (2, 1), "ARIMA", MONTH_CUT, LAST_SHIP_MONTH),
+        systems.var_backtest(panel, ["entity"], NK, 2, "VAR_NK", MONTH_CUT, LAST_SHIP_MONTH),
+        systems.var_backtest(panel, ["entity"], LI, 1, "VAR_LI", MONTH_CUT, LAST_SHIP_MONTH),
+        factors.favar_backtest(panel, *span, b.FACTOR_FEATURES, 1, 3, "FAVAR_FULL", MONTH_CUT, LAST_SHIP_MONTH),
+        factors.favar_backtest(panel, *span, b.SELECTED_FEATURES, 2, 3, "FAVAR_SW", MONTH_CUT, LAST_SHIP_MONTH),
+    ]
+    records = stage(bind_rows(*made), "forecast-records", ["model_id"])
+    return evaluate.accuracy_table(records, ["entity"], "FAVAR_FULL", literals.model_order(spark))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seriesloom.functions.periods import format_quarter, quarter_index, quarter_of, year_of
+from seriesloom.functions.periods import format_quarter, parse_quarter, quarter_index, quarter_of, year_of
 from seriesloom.functions.scalars import clean_name, rounded
 from seriesloom.operators.joins import regime_join
 from seriesloom.operators.ordering import bind_rows
@@ -12,8 +12,9 @@ from seriesloom.operators.reshape import melt
 from seriesloom.operators.stationary import override_codes
 from seriesloom.plans import bindings as b
 from seriesloom.plans.registry import query, r6, sql
+from seriesloom.session import stage_path
 from seriesloom.sources import literals
-from seriesloom.sources.panels import load_dictionary, split_metadata_rows, stage
+from seriesloom.sources.panels import load_dictionary, read_wide_csv, split_metadata_rows, stage
 
 NATIONS = [f"NATION_{i}" for i in range(25)]
 
@@ -39,7 +40,7 @@ def load_panel(spark, d):
     ),
 )
 def split_rows(spark, d):
-    """The wide text layout of the feature file is rebuilt from the panel, then taken apart."""
+    """The wide feature file is rebuilt from the panel as CSV, read as text and taken apart."""
     panel, info, codes = b.nation_q(spark, d), b.info(spark, d), b.codes(spark, d)
 
     def wide(long, key, value):
@@ -50,7 +51,9 @@ def split_rows(spark, d):
     body = wide(panel.withColumn("sasdate", first_day), ("entity", "sasdate"), F.col("value").cast("string"))
     factors = wide(info.withColumn("sasdate", F.lit("factors")), ("series", "sasdate"), F.col("factors").cast("string"))
     transform = wide(codes.withColumn("sasdate", F.lit("transform:")), ("series", "sasdate"), F.col("code").cast("string"))
-    meta, data = split_metadata_rows(bind_rows(factors, transform, body))
+    path = stage_path(spark, "wide-file")
+    bind_rows(factors, transform, body).select("sasdate", *NATIONS).write.csv(path, header=True)
+    meta, data = split_metadata_rows(read_wide_csv(spark, path, ["sasdate", *NATIONS]))
     no_period = F.lit(None).cast("int").alias("period")
     return bind_rows(
         meta.unpivot(["series"], ["factors", "code"], "kind", "value").select(
@@ -154,8 +157,6 @@ def tcode_override(spark, d):
        GROUP BY 1, 2, 3""",
 )
 def period_codec(spark, d):
-    from seriesloom.functions.periods import parse_quarter
-
     day = F.col("o_orderdate")
     year, part = F.year(day).cast("string"), F.quarter(day).cast("string")
     text = (
