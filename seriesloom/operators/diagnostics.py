@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from seriesloom.functions.scalars import chi2_tail_even, critical_bucket, normal_quantile, ratio
 from seriesloom.functions.tails import f_tail
-from seriesloom.operators.moments import ONE, f_statistic, grouped_moments, map_rows, ols, unpack
+from seriesloom.operators.moments import ONE, f_statistic, grouped_moments, map_rows, ols, shift_to_start, unpack
 from seriesloom.operators.reshape import by_period, recode, row_sum
 from seriesloom.operators.windows import lagged
 
@@ -112,6 +112,7 @@ def adf_critical(name: str, n: Column, which: int) -> Column:
 
 def _unit_root_frame(panel: DataFrame, keys: list[str], value: str, lags: int) -> tuple[DataFrame, list[str]]:
     seen = panel.filter(F.col(value).isNotNull()).withColumn("_x", F.col(value).cast("double"))
+    seen = shift_to_start(seen, keys, ["_x"])
     w = by_period(keys)
     base = seen.withColumns(
         {
@@ -129,12 +130,15 @@ def adf_tests(panel: DataFrame, keys: list[str], value: str, lag: int = 1) -> Da
     """Augmented Dickey-Fuller statistics without constant (tau1), with drift (phi1), with trend (phi3)."""
     frame, lags = _unit_root_frame(panel, keys, value, lag)
     columns = [ONE, "_t", "_y1", *lags, "_dy"]
-    sums = grouped_moments(frame, keys, columns, F.col("_t") > lag + 1, F.max("_size").alias("size"))
+    sums = grouped_moments(frame, keys, columns, F.col("_t") > lag + 1, F.max("_size").alias("size"), F.max("_s__x").alias("shift"))
     dy, d = len(columns) - 1, list(range(3, 3 + lag))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m = unpack(pdf["moments"], len(columns))
-        none, drift, trend = ols(m, [2, *d], dy), ols(m, [0, 2, *d], dy), ols(m, [0, 1, 2, *d], dy)
+        # without a constant the level itself is the regressor: undo its shift
+        level = np.broadcast_to(np.eye(len(columns)), m.shape).copy()
+        level[:, 2, 0] = pdf["shift"]
+        none, drift, trend = ols(level @ m @ np.transpose(level, (0, 2, 1)), [2, *d], dy), ols(m, [0, 2, *d], dy), ols(m, [0, 1, 2, *d], dy)
         out = pdf[[*keys, "size"]].copy()
         with np.errstate(all="ignore"):
             out["tau1"] = none["beta"][:, 0] / none["se"][:, 0]
@@ -276,6 +280,7 @@ def stationarity_vote(votes: DataFrame) -> DataFrame:
 def granger_pairs(panel: DataFrame, keys: list[str], target: str, features: list[str], lags: int = 1) -> DataFrame:
     """F-test per series and feature: do lags of the feature help an autoregression of the target."""
     w = by_period(keys)
+    panel = shift_to_start(panel, keys, [target, *features])
     frame = panel.withColumns({f"_y{k}": lagged(target, keys, k) for k in range(1, lags + 1)})
     frame = frame.withColumns({f"_{c}_{k}": F.lag(c, k).over(w) for c in features for k in range(1, lags + 1)})
     cells = [
@@ -305,6 +310,7 @@ def granger_stepwise(panel: DataFrame, keys: list[str], target: str, features: l
     One moment matrix per series serves the full and all reduced models.
     """
     columns_in = [target, *features]
+    panel = shift_to_start(panel, keys, columns_in)
     frame = panel.withColumns({f"_{c}_{k}": lagged(c, keys, k) for c in columns_in for k in range(1, lags + 1)})
     columns = [ONE, *[f"_{c}_{k}" for c in columns_in for k in range(1, lags + 1)], target]
     sums = grouped_moments(frame, keys, columns)

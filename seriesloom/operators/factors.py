@@ -19,18 +19,24 @@ from seriesloom.operators.systems import FORECAST_FIELDS, companion_forecast, de
 
 
 def gram(df: DataFrame, vector: str, size: int, key: str | None = None) -> DataFrame:
-    """Sums of products of (1, vector) as one array of upper-triangle cells per key.
+    """Sums of products of (1, vector - centre) as one array of upper-triangle cells per key.
+
+    The centre is any one vector of the data; it only keeps the sums near zero and is returned
+    beside them.
 
     ``key`` must have few values (folds, say): each task keeps and emits one matrix per key.
     """
     rows, cols = np.triu_indices(size + 1)
     source = df.select(*([key] if key else []), vector).filter(F.col(vector).isNotNull())
 
+    start = source.select(vector).first()
+    centre = np.nan_to_num(np.asarray(start[0], dtype=float)) if start else np.zeros(size)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for name, part in batch.groupby(key) if key else [(0, batch)]:
-                x = np.column_stack([np.ones(len(part)), np.stack(part[vector].to_numpy()).astype(float)])
+                x = np.column_stack([np.ones(len(part)), np.stack(part[vector].to_numpy()).astype(float) - centre])
                 x = x[np.isfinite(x).all(axis=1)]
                 sums[int(name)] = sums.get(int(name), 0.0) + x.T @ x
         for name, product in sums.items():
@@ -39,7 +45,8 @@ def gram(df: DataFrame, vector: str, size: int, key: str | None = None) -> DataF
     cells = source.mapInPandas(run, "k int, cell int, value double")
     summed = cells.groupBy("k", "cell").agg(F.sum("value").alias("value"))
     ordered = F.array_sort(F.collect_list(F.struct("cell", "value")))
-    return summed.groupBy("k").agg(F.transform(ordered, lambda c: c["value"]).alias("moments"))
+    out = summed.groupBy("k").agg(F.transform(ordered, lambda c: c["value"]).alias("moments"))
+    return out.withColumn("centre", F.array(*[F.lit(float(c)) for c in centre]))
 
 
 def matrix(values, size: int) -> np.ndarray:
@@ -134,12 +141,12 @@ def projection(moments: DataFrame, size: int, top: int) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for values in pdf["moments"]:
+        for values, centre in zip(pdf["moments"], pdf["centre"]):
             _, mean, sd, corr = correlation(matrix(values, size))
             _, vectors = components(corr)
             with np.errstate(all="ignore"):
                 weights = np.where(sd[:, None] > 0, vectors[:, :top] / sd[:, None], 0.0).T
-            out.append({"w": [list(w) for w in weights], "o": list(weights @ mean)})
+            out.append({"w": [list(w) for w in weights], "o": list(weights @ (mean + np.asarray(centre)))})
         return pd.DataFrame(out)
 
     mapped = map_rows(moments, run, "w array<array<double>>, o array<double>")

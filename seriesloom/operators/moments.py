@@ -14,6 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from seriesloom.operators.reshape import by_period
 
 ONE = "_one"
 
@@ -40,6 +43,18 @@ def grouped_moments(df: DataFrame, keys: list[str], columns: list[str], keep: Co
     return df.groupBy(*keys).agg(moment_array(columns, keep=keep).alias("moments"), *extra)
 
 
+def shift_to_start(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Subtract from each column its series' first observed value, kept as ``_s_<column>``.
+
+    Sums of squares of values far from zero lose the digits that carry their variation, the more so
+    the more records each cell averages. Slopes, fits and tests do not change under the shift, and
+    the first value is known at every origin.
+    """
+    w = by_period(keys).rowsBetween(W.unboundedPreceding, 0)
+    firsts = {f"_s_{c}": F.first(F.col(c).cast("double"), ignorenulls=True).over(w) for c in columns}
+    return df.withColumns(firsts).withColumns({c: F.col(c) - F.col(f"_s_{c}") for c in columns})
+
+
 def unpack(arrays: pd.Series, size: int) -> np.ndarray:
     """Stack of symmetric matrices from arrays of upper triangles; missing cells become NaN."""
     flat = np.array([np.full(size * (size + 1) // 2, np.nan) if a is None else np.asarray(a, dtype=float) for a in arrays])

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from seriesloom.functions.scalars import band
 from seriesloom.functions.tails import f_tail, gamma_tail, t_tail
 from seriesloom.operators.baselines import HORIZON_NAMES, RECORD_COLUMNS
-from seriesloom.operators.moments import ONE, grouped_moments, lag_columns, map_rows, moment_array, ols, per_series, solve, unpack
+from seriesloom.operators.moments import ONE, grouped_moments, lag_columns, map_rows, moment_array, ols, per_series, shift_to_start, solve, unpack
 from seriesloom.operators.reshape import by_period
 from seriesloom.operators.windows import expanding
 
@@ -93,7 +93,7 @@ def var_backtest(
     is one row holding its moments and latest values; the solves need no shuffle and no raw data.
     """
     k = len(columns)
-    frame, lags = lag_columns(panel, keys, columns, p)
+    frame, lags = lag_columns(shift_to_start(panel, keys, columns), keys, columns, p)
     names = [ONE, *lags, *columns]
     latest = [F.col(c).cast("double") for c in (*columns, *lags[: k * (p - 1)])]
     w = by_period(keys)
@@ -103,6 +103,7 @@ def var_backtest(
         moment_array(names, expanding(keys)).alias("moments"),
         F.array(*latest).alias("state"),
         F.array(*[F.lead(columns[0], h).over(w).cast("double") for h in horizons]).alias("truth"),
+        F.col(f"_s_{columns[0]}").alias("shift"),
     ).filter(F.col("period").between(cut + 1 - max(horizons), last - min(horizons)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -111,6 +112,8 @@ def var_backtest(
         state = np.array([np.asarray(s, dtype=float) for s in pdf["state"]])
         truth = np.array([np.asarray(t, dtype=float) for t in pdf["truth"]])
         mean, se = companion_forecast(coef, sigma, state, p, max(horizons))
+        shift = pdf["shift"].to_numpy(float)
+        truth, mean = truth + shift[:, None], mean + shift[:, None, None]
         parts = [
             pdf[keys].assign(
                 training_end=pdf["period"], periods_ahead=h, true_value=truth[:, i], mean=mean[:, h - 1, 0], se=se[:, h - 1, 0]
@@ -126,18 +129,23 @@ def var_backtest(
 
 def coefficient_table(panel: DataFrame, keys: list[str], columns: list[str], p: int) -> DataFrame:
     """Estimate, standard error, t, p and fit statistics per series, equation and term."""
-    frame, lags = lag_columns(panel, keys, columns, p)
+    frame, lags = lag_columns(shift_to_start(panel, keys, columns), keys, columns, p)
     names = [ONE, *lags, *columns]
     terms = ["const", *lags]
-    sums = grouped_moments(frame, keys, names)
+    sums = grouped_moments(frame, keys, names, None, F.array(*[F.max(f"_s_{c}") for c in columns]).alias("shift"))
     x = list(range(len(terms)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m = unpack(pdf["moments"], len(names))
+        shift = np.array([np.asarray(v, dtype=float) for v in pdf["shift"]])
+        # the constant in original units is a combination of the shifted coefficients
+        back = np.hstack([np.ones((len(pdf), 1)), -np.tile(shift, (1, p))])
         parts = []
         for e, name in enumerate(columns):
             y = len(terms) + e
             fit = ols(m, x, y)
+            fit["se"][:, 0] = np.sqrt(fit["sigma2"] * np.einsum("bi,bij,bj->b", back, fit["inverse"], back))
+            fit["beta"][:, 0] = np.einsum("bi,bi->b", back, fit["beta"]) + shift[:, e]
             with np.errstate(all="ignore"):
                 tss = m[:, y, y] - m[:, 0, y] ** 2 / m[:, 0, 0]
                 r2 = 1 - fit["rss"] / tss

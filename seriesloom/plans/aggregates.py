@@ -70,14 +70,16 @@ def binned_heatmap(spark, d):
 @query(
     "q_moments",
     sql(
-        f"""SELECT entity, count(revenue) AS n, {r6('avg(revenue)/1e3')} AS mean, {r6('stddev_samp(revenue)/1e3')} AS sd,
-                   {r6('min(revenue)/1e3')} AS min, {r6('max(revenue)/1e3')} AS max FROM flag_m GROUP BY 1""",
+        f"""SELECT entity, count(revenue) AS n, {r6('avg(revenue)')} AS mean, {r6('stddev_samp(revenue)')} AS sd,
+                   round(min(revenue), 4) AS min, round(max(revenue), 4) AS max FROM flag_m GROUP BY 1""",
         "flag_m",
     ),
 )
 def moments(spark, d):
     out = aggregates.moments(b.flag_m(spark, d), ["entity"], "revenue")
-    return out.select("entity", "n", *[rounded(F.col(c) / 1e3).alias(c) for c in ("mean", "sd", "min", "max")])
+    return out.select(
+        "entity", "n", *[rounded(F.col(c)).alias(c) for c in ("mean", "sd")], *[rounded(F.col(c), 4).alias(c) for c in ("min", "max")]
+    )
 
 
 @query(
@@ -219,7 +221,7 @@ def revision_flag(spark, d):
 @query(
     "q_cumsum",
     sql(
-        f"""SELECT entity, period, {r6('sum(value) OVER (w ROWS UNBOUNDED PRECEDING)')} AS cum_value,
+        f"""SELECT entity, period, round(sum(value) OVER (w ROWS UNBOUNDED PRECEDING), 2) AS cum_value,
                    {r6('sum(value) OVER (w ROWS UNBOUNDED PRECEDING)/sum(value) OVER (PARTITION BY entity)')} AS cum_share
             FROM nation_q {_W}""",
         "nation_q",
@@ -230,7 +232,7 @@ def cumsum(spark, d):
     return b.nation_q(spark, d).select(
         "entity",
         "period",
-        rounded(running).alias("cum_value"),
+        rounded(running, 2).alias("cum_value"),
         rounded(ratio(running, F.sum("value").over(W.partitionBy("entity")))).alias("cum_share"),
     )
 

@@ -89,14 +89,14 @@ def flag_m(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flag_features(spark: SparkSession, d: str) -> DataFrame:
-    """Monthly revenue growth with candidate indicators, all on comparable scales."""
+    """Monthly revenue growth with candidate indicators, as deviations on comparable scales."""
     return flag_m(spark, d).select(
         "entity",
         "period",
         growth("revenue", ["entity"]).alias("y"),
-        F.col("quantity").alias("q"),
-        (F.col("discount") * 100).alias("disc"),
-        (F.col("tax") * 100).alias("tax"),
+        (F.col("quantity") - 25).alias("q"),
+        (F.col("discount") * 100 - 5).alias("disc"),
+        (F.col("tax") * 100 - 4).alias("tax"),
         growth("n", ["entity"]).alias("gn"),
     )
 

@@ -271,7 +271,7 @@ def granger_pair(spark, d):
 
 
 _NAMES = ["y", "q", "disc", "tax", "gn"]
-FLAGS = """feat AS (SELECT entity, period, 100.0*(revenue/nullif(lag(revenue) OVER w, 0) - 1.0) AS y, quantity AS q, discount*100 AS disc, tax*100 AS tax,
+FLAGS = """feat AS (SELECT entity, period, 100.0*(revenue/nullif(lag(revenue) OVER w, 0) - 1.0) AS y, quantity - 25 AS q, discount*100 - 5 AS disc, tax*100 - 4 AS tax,
     100.0*(n/nullif(CAST(lag(n) OVER w AS DOUBLE), 0) - 1.0) AS gn FROM flag_m WINDOW w AS (PARTITION BY entity ORDER BY period))"""
 _LAGGED = f"""{FLAGS}, lagged AS (SELECT entity, period, {', '.join(_NAMES)}, {', '.join(f'lag({c}, {k}) OVER w AS {c}{k}' for c in _NAMES for k in (1, 2))}
     FROM feat WINDOW w AS (PARTITION BY entity ORDER BY period))"""

@@ -208,7 +208,7 @@ def _johansen_sql() -> str:
     def w(a: int, c: int) -> str:
         return f"(s4{a}*({inv0['44']}*s4{c} + {inv0['45']}*s5{c}) + s5{a}*({inv0['45']}*s4{c} + {inv0['55']}*s5{c}))"
 
-    return f"""+v AS (SELECT entity, period, quantity AS a, discount*100 AS b FROM flag_m WHERE quantity IS NOT NULL AND discount IS NOT NULL),
+    return f"""+v AS (SELECT entity, period, quantity - 25 AS a, discount*100 - 5 AS b FROM flag_m WHERE quantity IS NOT NULL AND discount IS NOT NULL),
       l AS (SELECT *, a - lag(a) OVER w AS da, b - lag(b) OVER w AS db, lag(a, 1) OVER w - lag(a, 2) OVER w AS da1, lag(b, 1) OVER w - lag(b, 2) OVER w AS db1,
                    lag(a, 2) OVER w AS a2, lag(b, 2) OVER w AS b2 FROM v WINDOW w AS (PARTITION BY entity ORDER BY period)),
       {st.moments_cte('mom', '(SELECT * FROM l WHERE a2 IS NOT NULL)', ['entity'], ['1.0', 'da1', 'db1', 'da', 'db', 'a2', 'b2'])},
