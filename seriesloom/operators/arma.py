@@ -61,7 +61,7 @@ def starting_values(y: np.ndarray, p: int, q: int) -> np.ndarray:
     return out
 
 
-def fit_css(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = None, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_css(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = None, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Parameters, residuals and sums of squares by damped Gauss-Newton steps on all rows at once."""
     start = p if start is None else start
     params = np.array([starting_values(row[:size], p, q) for row, size in zip(y, n)])
@@ -82,38 +82,43 @@ def fit_css(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = No
     size = params.shape[1]
     damping = np.full(len(y), 1e-3)
     scale = np.maximum(1.0, np.abs(params[:, :1]))
+    active = np.ones(len(y), dtype=bool)
     for _ in range(rounds):
-        # every parameter of every row moves in one recursion
-        steps = np.ones((len(y), size)) * 1e-6
-        steps[:, 0] *= scale[:, 0]
-        moved = np.repeat(params[:, None, :], size, axis=1)
+        # every parameter of every unfinished row moves in one recursion
+        i = np.flatnonzero(active)
+        if not len(i):
+            break
+        steps = np.ones((len(i), size)) * 1e-6
+        steps[:, 0] *= scale[i, 0]
+        moved = np.repeat(params[i][:, None, :], size, axis=1)
         moved[:, np.arange(size), np.arange(size)] += steps
-        bent = css_residuals(np.repeat(y, size, axis=0), np.repeat(n, size), moved.reshape(-1, size), p, q, start)
-        bent = bent.reshape(len(y), size, -1)
+        bent = css_residuals(np.repeat(y[i], size, axis=0), np.repeat(n[i], size), moved.reshape(-1, size), p, q, start)
+        bent = bent.reshape(len(i), size, -1)
         with np.errstate(all="ignore"):
-            jac = np.transpose((bent - e[:, None, :]) / steps[:, :, None], (0, 2, 1))
+            jac = np.transpose((bent - e[i][:, None, :]) / steps[:, :, None], (0, 2, 1))
         jac = np.nan_to_num(jac, posinf=0.0, neginf=0.0)
-        g = np.einsum("bti,bt->bi", jac, e)
+        g = np.einsum("bti,bt->bi", jac, e[i])
         h = np.einsum("bti,btj->bij", jac, jac)
         diag = np.maximum(np.einsum("bii->bi", h), 1e-12)
-        h[:, np.arange(size), np.arange(size)] += damping[:, None] * diag + 1e-12
-        trial = params - np.linalg.solve(h, g[:, :, None])[:, :, 0]
-        e_new, s_new = loss(trial)
-        ok = s_new < best
-        gain = np.where(ok, (best - s_new) / np.maximum(best, 1e-300), 0.0)
-        params[ok], e[ok], best[ok] = trial[ok], e_new[ok], s_new[ok]
-        damping = np.clip(np.where(ok, damping / 5, damping * 8), 1e-9, 1e9)
-        if ok.any() and gain.max() < 1e-12:
-            break
-        if not ok.any() and damping.min() > 1e6:
-            break
+        h[:, np.arange(size), np.arange(size)] += damping[i, None] * diag + 1e-12
+        trial = params[i] - np.linalg.solve(h, g[:, :, None])[:, :, 0]
+        e_new = css_residuals(y[i], n[i], trial, p, q, start)
+        with np.errstate(all="ignore"):
+            s_new = (e_new * e_new).sum(axis=1)
+        ok = s_new < best[i]
+        gain = np.where(ok, (best[i] - s_new) / np.maximum(best[i], 1e-300), np.inf)
+        took = i[ok]
+        params[took], e[took], best[took] = trial[ok], e_new[ok], s_new[ok]
+        damping[i] = np.where(ok, np.maximum(damping[i] / 5, 1e-9), damping[i] * 8)
+        # a row ends by its own progress only, so that its neighbours in the batch do not matter
+        active[i] = (gain > 1e-12) & (damping[i] < 1e8)
     return params, e, best
 
 
 ROWS_AT_ONCE = 256
 
 
-def fit_many(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = None, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_many(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = None, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """:func:`fit_css` in slices, so that memory does not depend on the Arrow batch size."""
     parts = [fit_css(y[i : i + ROWS_AT_ONCE], n[i : i + ROWS_AT_ONCE], p, q, start, rounds) for i in range(0, len(y), ROWS_AT_ONCE)]
     return tuple(np.concatenate(column) for column in zip(*parts))
@@ -219,7 +224,7 @@ def arma_orders(panel: DataFrame, keys: list[str], value: str, max_p: int = 10,
             good = used - k - 1 > 0
             aicc, sigma = np.full(len(some), np.nan), np.full(len(some), np.nan)
             if good.any():
-                _, _, sse = fit_many(y[good], n[good], int(p), int(q), start, rounds=15)
+                _, _, sse = fit_many(y[good], n[good], int(p), int(q), start, rounds=25)
                 u = used[good]
                 with np.errstate(all="ignore"):
                     sigma[good] = sse / u
