@@ -16,23 +16,32 @@ from seriesloom.operators.moments import map_rows, spread
 from seriesloom.operators.systems import FORECAST_FIELDS, key_schema, to_records
 
 
-def css_residuals(y: np.ndarray, n: np.ndarray, params: np.ndarray, p: int, q: int, start: int) -> np.ndarray:
-    """One-step errors given (mean, ar.., ma..); zero before ``start`` and beyond each row's length."""
+def live_mask(y: np.ndarray, n: np.ndarray, start: int, lags: int) -> np.ndarray:
+    """Times with an observation and all its lags: a hole is skipped, never closed up."""
+    seen = np.isfinite(y) & (np.arange(y.shape[1])[None, :] < n[:, None])
+    live = seen.copy()
+    for i in range(1, lags + 1):
+        live[:, i:] &= seen[:, :-i]
+        live[:, :i] = False
+    live[:, :start] = False
+    return live
+
+
+def css_residuals(y: np.ndarray, live: np.ndarray, params: np.ndarray, p: int, q: int) -> np.ndarray:
+    """One-step errors given (mean, ar.., ma..) at live times, zero elsewhere."""
     count, t = y.shape
-    z = y - params[:, :1]
+    z = np.nan_to_num(y) - params[:, :1]
     w = z.copy()
     for i in range(1, p + 1):
         w[:, i:] -= params[:, i : i + 1] * z[:, :-i]
-    w[:, :start] = 0.0
-    w[np.arange(t)[None, :] >= n[:, None]] = 0.0
+    w = np.where(live, w, 0.0)
     if q == 0:
         return w
-    live = np.arange(t)[None, :] < n[:, None]
     theta = params[:, p + 1 : p + 1 + q]
     recent = np.zeros((count, q))
     e = np.zeros_like(w)
     with np.errstate(all="ignore"):
-        for s in range(start, t):
+        for s in range(t):
             e[:, s] = np.where(live[:, s], w[:, s] - (theta * recent).sum(axis=1), 0.0)
             recent[:, 1:] = recent[:, :-1].copy()
             recent[:, 0] = e[:, s]
@@ -61,13 +70,13 @@ def starting_values(y: np.ndarray, p: int, q: int) -> np.ndarray:
     return out
 
 
-def fit_css(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = None, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_css(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = None, rounds: int = 60, lags: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Parameters, residuals and sums of squares by damped Gauss-Newton steps on all rows at once."""
-    start = p if start is None else start
-    params = np.array([starting_values(row[:size], p, q) for row, size in zip(y, n)])
+    live = live_mask(y, n, p if start is None else start, p if lags is None else lags)
+    params = np.array([starting_values(row[:size][np.isfinite(row[:size])], p, q) for row, size in zip(y, n)])
 
     def loss(theta):
-        e = css_residuals(y, n, theta, p, q, start)
+        e = css_residuals(y, live, theta, p, q)
         with np.errstate(all="ignore"):
             s = (e * e).sum(axis=1)
         return e, np.where(np.isfinite(s), s, np.inf)
@@ -92,7 +101,7 @@ def fit_css(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = No
         steps[:, 0] *= scale[i, 0]
         moved = np.repeat(params[i][:, None, :], size, axis=1)
         moved[:, np.arange(size), np.arange(size)] += steps
-        bent = css_residuals(np.repeat(y[i], size, axis=0), np.repeat(n[i], size), moved.reshape(-1, size), p, q, start)
+        bent = css_residuals(np.repeat(y[i], size, axis=0), np.repeat(live[i], size, axis=0), moved.reshape(-1, size), p, q)
         bent = bent.reshape(len(i), size, -1)
         with np.errstate(all="ignore"):
             jac = np.transpose((bent - e[i][:, None, :]) / steps[:, :, None], (0, 2, 1))
@@ -102,7 +111,7 @@ def fit_css(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = No
         diag = np.maximum(np.einsum("bii->bi", h), 1e-12)
         h[:, np.arange(size), np.arange(size)] += damping[i, None] * diag + 1e-12
         trial = params[i] - np.linalg.solve(h, g[:, :, None])[:, :, 0]
-        e_new = css_residuals(y[i], n[i], trial, p, q, start)
+        e_new = css_residuals(y[i], live[i], trial, p, q)
         with np.errstate(all="ignore"):
             s_new = (e_new * e_new).sum(axis=1)
         ok = s_new < best[i]
@@ -118,9 +127,9 @@ def fit_css(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = No
 ROWS_AT_ONCE = 256
 
 
-def fit_many(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = None, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_many(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = None, rounds: int = 60, lags: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """:func:`fit_css` in slices, so that memory does not depend on the Arrow batch size."""
-    parts = [fit_css(y[i : i + ROWS_AT_ONCE], n[i : i + ROWS_AT_ONCE], p, q, start, rounds) for i in range(0, len(y), ROWS_AT_ONCE)]
+    parts = [fit_css(y[i : i + ROWS_AT_ONCE], n[i : i + ROWS_AT_ONCE], p, q, start, rounds, lags) for i in range(0, len(y), ROWS_AT_ONCE)]
     return tuple(np.concatenate(column) for column in zip(*parts))
 
 
@@ -147,12 +156,14 @@ def forecast_css(y, n, params, e, p, q, steps) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _padded(arrays, sizes) -> tuple[np.ndarray, np.ndarray]:
+    """Rows from their first observation on, holes kept, padded at the end."""
     cleaned = []
     for a, s in zip(arrays, sizes):
         v = np.asarray(a, dtype=float)[: int(s)]
-        cleaned.append(v[np.isfinite(v)])
+        seen = np.flatnonzero(np.isfinite(v))
+        cleaned.append(v[seen[0] :] if len(seen) else v[:0])
     n = np.array([len(v) for v in cleaned])
-    out = np.zeros((len(cleaned), max(1, n.max(initial=1))))
+    out = np.full((len(cleaned), max(1, n.max(initial=1))), np.nan)
     for row, v in zip(out, cleaned):
         row[: len(v)] = v
     return out, n
@@ -179,14 +190,15 @@ def arma_backtest(
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y, n = _padded(pdf["values"], pdf["size"])
-        enough = n >= p + q + 4
+        used = live_mask(y, n, p, p).sum(axis=1)
+        enough = used >= p + q + 2
         parts = []
         if enough.any():
             some = pdf[enough]
             ys, ns = y[enough], n[enough]
             params, e, sse = fit_many(ys, ns, p, q)
             mean, weight = forecast_css(ys, ns, params, e, p, q, max(horizons))
-            sigma2 = sse / (ns - p)
+            sigma2 = sse / used[enough]
             for h in horizons:
                 index = (some["size"] - 1 + h).to_numpy()
                 truth = [v[i] if i < len(v) else np.nan for v, i in zip(some["values"], index)]
@@ -219,12 +231,12 @@ def arma_orders(panel: DataFrame, keys: list[str], value: str, max_p: int = 10,
         for (p, q), some in pdf.groupby(["p", "q"]):
             y, n = _padded(some["values"], [len(v) for v in some["values"]])
             start = max(max_p, max_q)
-            used = n - start
+            used = live_mask(y, n, start, max_p).sum(axis=1)
             k = p + q + 2
             good = used - k - 1 > 0
             aicc, sigma = np.full(len(some), np.nan), np.full(len(some), np.nan)
             if good.any():
-                _, _, sse = fit_many(y[good], n[good], int(p), int(q), start, rounds=25)
+                _, _, sse = fit_many(y[good], n[good], int(p), int(q), start, 25, max_p)
                 u = used[good]
                 with np.errstate(all="ignore"):
                     sigma[good] = sse / u

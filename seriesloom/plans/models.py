@@ -247,15 +247,22 @@ def arma_backtest(spark, d):
 @query(
     "q_arma_ar_one",
     sql(
-        """SELECT entity, model_id, forecast_period, round(mean, 3) + 0.0 AS mean, round(upper, 3) + 0.0 AS upper FROM records
+        """SELECT entity, model_id, forecast_period, round(sign(mean)*ln(1 + abs(mean)), 4) + 0.0 AS mean_log, round(sign(upper)*ln(1 + abs(upper)), 4) + 0.0 AS upper_log FROM records
            WHERE model_id LIKE 'ARIMA%' AND mean IS NOT NULL""",
         "records",
     ),
 )
 def arma_ar_one(spark, d):
-    """Without a moving average the conditional sum of squares is least squares."""
-    out = arma.arma_backtest(b.growth_q(spark, d), ["entity"], "y", (1, 0), "ARIMA", CUT, LAST)
-    return out.select("entity", "model_id", "forecast_period", rounded(F.col("mean"), 3).alias("mean"), rounded(F.col("upper"), 3).alias("upper"))
+    """Without a moving average the conditional sum of squares is least squares.
+
+    Shown on a signed log scale, since unstable fits of short series can be of any size.
+    """
+
+    def log(c):
+        return rounded(F.signum(c) * F.log1p(F.abs(F.col(c))), 4).alias(f"{c}_log")
+
+    out = arma.arma_backtest(b.growth_q(spark, d), ["entity"], "y", (1, 0), "ARIMA", CUT, LAST).filter("mean IS NOT NULL")
+    return out.select("entity", "model_id", "forecast_period", log("mean"), log("upper"))
 
 
 @query("q_arma_order")

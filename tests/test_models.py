@@ -296,3 +296,17 @@ def test_kernel_regression_learns_a_curve(spark):
     out = ml.fold_scores(ml.KernelRegression(frame, ["entity"], models, 24, 15).predictions(), ["model"])
     scores = {r["model"]: r["rmse"] for r in out.collect()}
     assert len(scores) == 4 and max(scores[0], scores[1]) < 0.25 and max(scores[2], scores[3]) < 0.4
+
+
+def test_arma_does_not_close_holes():
+    """With a hole the AR(1) fit uses only true neighbours."""
+    rng = np.random.default_rng(4)
+    y = np.zeros(60)
+    for t in range(1, 60):
+        y[t] = 0.6 * y[t - 1] + rng.normal()
+    y[[20, 21, 40]] = np.nan
+    params, _, _ = arma.fit_css(y[None], np.array([60]), 1, 0)
+    a, c = y[:-1], y[1:]
+    good = np.isfinite(a) & np.isfinite(c)
+    slope = np.polyfit(a[good], c[good], 1)[0]
+    assert params[0, 1] == pytest.approx(slope, abs=1e-5)
