@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -12,13 +13,14 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     """A session for tests and the bench; on a cluster the caller brings its own."""
     spark = (
         SparkSession.builder.master(master)
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="seriesloom-"))
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "20g")
+        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -28,20 +30,32 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or where that is unset one in the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/seriesloom-stage").rstrip("/")
 
-    Only a local master may fall back to a folder of this machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        fallback = tempfile.mkdtemp(prefix="seriesloom-")
-        spark.conf.set("spark.checkpoint.dir", fallback)
-        return fallback
-    raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+
+_STAGED: list[str] = []
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, so that runs never overwrite each other."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, so that runs never overwrite each other.
+
+    It is removed when the driver ends.
+    """
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _STAGED:
+        atexit.register(clear_staged)
+    _STAGED.append(path)
+    return path
+
+
+def clear_staged() -> None:
+    """Remove what this driver has staged, if its session still runs; results that read it end here."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(conf).delete(path, True)
