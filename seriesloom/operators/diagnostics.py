@@ -158,8 +158,14 @@ def adf_tests(panel: DataFrame, keys: list[str], value: str, lag: int = 1) -> Da
     return clean.withColumns({"p_none": bucket("tau1", True), "p_drift": bucket("phi1", False), "p_trend": bucket("phi3", False)})
 
 
-def adf_trend_p(panel: DataFrame, keys: list[str], value: str, max_periods: int) -> DataFrame:
+def longest_series(panel: DataFrame, keys: list[str], value: str) -> int:
+    """Observations of the longest series: one number, which bounds lag orders."""
+    return panel.filter(F.col(value).isNotNull()).groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
+def adf_trend_p(panel: DataFrame, keys: list[str], value: str, max_periods: int | None = None) -> DataFrame:
     """Trend statistic with ``trunc((n - 1)^(1/3))`` lags per series and its interpolated p-value."""
+    max_periods = max(2, max_periods or 0, longest_series(panel, keys, value))
     top = max(1, int((max_periods - 1) ** (1 / 3) + 1e-9))
     frame, lags = _unit_root_frame(panel, keys, value, top)
     order = F.floor(F.pow(F.col("_size") - 1.0, F.lit(1.0 / 3.0)) + 1e-9)
@@ -172,8 +178,6 @@ def adf_trend_p(panel: DataFrame, keys: list[str], value: str, max_periods: int)
         m = unpack(pdf["moments"], len(columns))
         stat = np.full(len(pdf), np.nan)
         for k in pdf["k"].unique():
-            if k > top:
-                raise ValueError("a series is longer than max_periods")
             mine = (pdf["k"] == k).to_numpy()
             fit = ols(m[mine], [0, 1, 2, *range(3, 3 + int(k))], dy)
             with np.errstate(all="ignore"):
@@ -205,13 +209,14 @@ def kpss_p(statistic: Column, kind: str) -> Column:
     return F.when(statistic.isNotNull(), out)
 
 
-def kpss_tests(panel: DataFrame, keys: list[str], value: str, max_periods: int) -> DataFrame:
+def kpss_tests(panel: DataFrame, keys: list[str], value: str, max_periods: int | None = None) -> DataFrame:
     """KPSS statistics around a level and a trend, short Bartlett window.
 
-    The lag length depends on each series' size, so weights beyond it are zero; ``max_periods``
+    The lag length depends on each series' size, so weights beyond it are zero; the longest series
     bounds the number of lag products. All windows share one partitioning and order.
     """
-    top = int(4 * (max_periods / 100) ** 0.25)
+    max_periods = max(2, max_periods or 0, longest_series(panel, keys, value))
+    top = int(4 * (max_periods / 100) ** 0.25 + 1e-9)
     w, whole = by_period(keys), W.partitionBy(*keys)
     seen = panel.filter(F.col(value).isNotNull()).withColumn("_x", F.col(value).cast("double"))
     timed = seen.withColumn("_t", F.row_number().over(w).cast("double")).withColumn("_n", F.count("_x").over(whole))

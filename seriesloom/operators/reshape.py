@@ -96,6 +96,11 @@ def melt(df: DataFrame, ids: list[str], variable: str = "series", value: str = "
     return df.unpivot(ids, [c for c in df.columns if c not in ids], variable, value)
 
 
+def levels(df: DataFrame, column: str) -> list:
+    """The distinct values of a column that names columns of a wide table, sorted; NULL names none."""
+    return sorted(r[0] for r in df.select(column).distinct().collect() if r[0] is not None)
+
+
 def spread(df: DataFrame, ids: list[str], key: str, levels: list, values: list[str]) -> DataFrame:
     """Long to wide for several value columns at once; columns are named ``level_value``."""
     picked = [

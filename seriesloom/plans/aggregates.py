@@ -90,7 +90,7 @@ def moments(spark, d):
 def univariate_r2(spark, d):
     vectors = b.vectors(spark, d)
     long = vectors.select(
-        F.col("v")[0].alias("y"), F.posexplode(F.slice("v", 2, 10_000)).alias("i", "value")
+        F.col("v")[0].alias("y"), F.posexplode(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0)))).alias("i", "value")
     ).withColumn("feature", (F.col("i") + 1).cast("int"))
     out = aggregates.univariate_r2(long, ["feature"], "y", "value")
     return out.select("feature", rounded(F.col("r2")).alias("r2"), "n")

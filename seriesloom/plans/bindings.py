@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.functions.periods import day_index, hour_index, month_index, quarter_index
 from seriesloom.operators.reshape import complete_periods, date_slice
 from seriesloom.operators.windows import growth
-from seriesloom.plans.registry import EPOCH, FIRST, FIRST_MONTH, HOURS, LAST, LAST_ORDER_MONTH, LAST_SHIP_MONTH
+from seriesloom.plans.registry import EPOCH
 from seriesloom.sources.panels import calendar_panel
 
 
@@ -16,6 +16,28 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def span(df: DataFrame, period: Column) -> tuple[int, int]:
+    """First and last calendar cell of a table, both 0 for an empty one: two numbers, read from one column."""
+    low, high = df.agg(F.min(period), F.max(period)).first()
+    return (0, 0) if low is None else (low, high)
+
+
+def quarters(spark: SparkSession, d: str) -> tuple[int, int]:
+    return span(table(spark, d, "orders"), quarter_index(F.col("o_orderdate")))
+
+
+def order_months(spark: SparkSession, d: str) -> tuple[int, int]:
+    return span(table(spark, d, "orders"), month_index(F.col("o_orderdate")))
+
+
+def ship_months(spark: SparkSession, d: str) -> tuple[int, int]:
+    return span(table(spark, d, "lineitem"), month_index(F.col("l_shipdate")))
+
+
+def hours(spark: SparkSession, d: str) -> tuple[int, int]:
+    return span(table(spark, d, "events"), hour_index(F.col("ts"), EPOCH))
+
+
 def nation_raw(spark: SparkSession, d: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """Order value per nation and quarter, observed cells only; bounds reach the scan as dates.
 
@@ -38,7 +60,7 @@ def nation_raw(spark: SparkSession, d: str, first: int | None = None, last: int
 
 
 def nation_q(spark: SparkSession, d: str) -> DataFrame:
-    return complete_periods(nation_raw(spark, d, FIRST, LAST), ["entity"], FIRST, LAST)
+    return complete_periods(nation_raw(spark, d), ["entity"], *quarters(spark, d))
 
 
 def growth_q(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +91,7 @@ def priority_raw(spark: SparkSession, d: str) -> DataFrame:
 
 
 def priority_m(spark: SparkSession, d: str) -> DataFrame:
-    return complete_periods(priority_raw(spark, d), ["entity"], FIRST_MONTH, LAST_ORDER_MONTH)
+    return complete_periods(priority_raw(spark, d), ["entity"], *order_months(spark, d))
 
 
 def flag_m(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +107,7 @@ def flag_m(spark: SparkSession, d: str) -> DataFrame:
             "n": F.count(F.lit(1)),
         },
     )
-    return complete_periods(raw, ["entity"], FIRST_MONTH, LAST_SHIP_MONTH)
+    return complete_periods(raw, ["entity"], *ship_months(spark, d))
 
 
 def flag_features(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +146,7 @@ def factor_panel(spark: SparkSession, d: str) -> DataFrame:
             "sale": F.avg(F.when(F.col("l_discount") > 0.07, 1.0).otherwise(0.0)),
         },
     )
-    full = complete_periods(raw, ["entity"], FIRST_MONTH, LAST_SHIP_MONTH)
+    full = complete_periods(raw, ["entity"], *ship_months(spark, d))
     return full.select(
         "entity", "period", growth("revenue", ["entity"]).alias("y"), growth("n", ["entity"]).alias("gn"),
         "q", "disc", "tax", "price", "line", "bulk", "sale",
@@ -135,7 +157,7 @@ def event_h(spark: SparkSession, d: str) -> DataFrame:
     raw = calendar_panel(
         table(spark, d, "events"), {"entity": F.col("event_type")}, hour_index(F.col("ts"), EPOCH), {"n": F.count(F.lit(1))}
     )
-    full = complete_periods(raw, ["entity"], 0, HOURS - 1)
+    full = complete_periods(raw, ["entity"], *hours(spark, d))
     return full.select("entity", "period", F.coalesce("n", F.lit(0)).cast("double").alias("x"))
 
 

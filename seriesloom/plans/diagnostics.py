@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from seriesloom.functions.scalars import rounded
 from seriesloom.operators import diagnostics as dg
 from seriesloom.plans import bindings as b
 from seriesloom.plans import sqltools as st
-from seriesloom.plans.registry import HOURS, query, r6, sql
+from seriesloom.plans.registry import query, r6, sql
 
 _ACF = """c AS (SELECT entity, period, x - avg(x) OVER (PARTITION BY entity) AS d FROM event_h),
   a AS (SELECT entity, k, count(*) AS n_pairs, sum(d*dl) AS s FROM (
@@ -64,7 +63,8 @@ def ljung_box(spark, d):
     return out.select("entity", "n", *[rounded(F.col(c)).alias(c) for c in names])
 
 
-LEVELS = 26  # quarters of the complete calendar
+# the p-value table at each series' own size
+_SIZE_POINTS = [f"({st.interpolate('size - 1', dg.ADF_P_SIZES, list(column))})" for column in zip(*dg.ADF_P_TABLE)]
 _SRC = "src AS (SELECT entity, period, value/1e6 AS x, row_number() OVER (PARTITION BY entity ORDER BY period) AS t FROM nation_q WHERE value IS NOT NULL)"
 _DIFF = """dif AS (SELECT *, x - lag(x) OVER w AS dy, lag(x) OVER w AS y1, count(*) OVER (PARTITION BY entity) AS size FROM src WINDOW w AS (PARTITION BY entity ORDER BY period)),
   lagd AS (SELECT *, lag(dy, 1) OVER w AS d1, lag(dy, 2) OVER w AS d2 FROM dif WINDOW w AS (PARTITION BY entity ORDER BY period))"""
@@ -125,7 +125,7 @@ _ADF_P = f"""ordered AS (SELECT *, CAST(floor(pow(size - 1.0, 1/3.0) + 1e-9) AS
   {st.solve_ctes('momq', ['entity', 'size', 'ord'], {'one': ([1, 2, 3, 4], [5])}, 'q')},
   stat AS (SELECT entity, size, ord, {st.beta(3, 5)}/sqrt({st.rss([1, 2, 3, 4, 5], 6)}/(n - 5)*{st.inverse(3, 5)}) AS statistic FROM solp
            UNION ALL SELECT entity, size, ord, {st.beta(3, 4)}/sqrt({st.rss([1, 2, 3, 4], 5)}/(n - 4)*{st.inverse(3, 4)}) FROM solq),
-  adfp AS (SELECT *, {st.interpolate('statistic', dg.ADF_P_TABLE[0], dg.ADF_P_LEVELS)} AS p_value FROM stat)"""
+  adfp AS (SELECT *, {st.interpolate('statistic', _SIZE_POINTS, dg.ADF_P_LEVELS)} AS p_value FROM stat)"""
 
 
 @query(
@@ -137,13 +137,11 @@ _ADF_P = f"""ordered AS (SELECT *, CAST(floor(pow(size - 1.0, 1/3.0) + 1e-9) AS
     ),
 )
 def adf_p(spark, d):
-    """Series have at most 26 quarters, so the SQL needs the first row of the p-value table only."""
-    out = dg.adf_trend_p(_levels(spark, d), ["entity"], "x", LEVELS)
+    out = dg.adf_trend_p(_levels(spark, d), ["entity"], "x")
     return out.select("entity", "k", rounded(F.col("statistic")).alias("statistic"), rounded(F.col("p_value")).alias("p_value"))
 
 
 _LONG_LAGS = 8  # whole cube root of 719
-_LONG_POINTS = [float(v) for v in (np.interp(HOURS - 1, dg.ADF_P_SIZES, column) for column in zip(*dg.ADF_P_TABLE))]
 _LONG_X = list(range(1, 4 + _LONG_LAGS))
 
 
@@ -154,15 +152,15 @@ _LONG_X = list(range(1, 4 + _LONG_LAGS))
         l AS (SELECT *, {', '.join(f'lag(dy, {k}) OVER w AS d{k}' for k in range(1, _LONG_LAGS + 1))} FROM s WINDOW w AS (PARTITION BY entity ORDER BY period)),
         {st.moments_cte('mom', f'(SELECT * FROM l WHERE d{_LONG_LAGS} IS NOT NULL)', ['entity'], ['1.0', 't/100.0', 'y1', *[f'd{k}' for k in range(1, _LONG_LAGS + 1)], 'dy'])},
         {st.solve_ctes('mom', ['entity'], {'trend': (_LONG_X, [len(_LONG_X) + 1])})},
-        r AS (SELECT entity, {st.beta(3, len(_LONG_X))}/sqrt({st.rss(_LONG_X, len(_LONG_X) + 1)}/(n - {len(_LONG_X)})*{st.inverse(3, len(_LONG_X))}) AS statistic FROM sol)
-        SELECT entity, {_LONG_LAGS} AS k, {r6('statistic')} AS statistic, {r6(st.interpolate('statistic', _LONG_POINTS, dg.ADF_P_LEVELS))} AS p_value FROM r""",
+        r AS (SELECT entity, n + {_LONG_LAGS} + 1 AS size, {st.beta(3, len(_LONG_X))}/sqrt({st.rss(_LONG_X, len(_LONG_X) + 1)}/(n - {len(_LONG_X)})*{st.inverse(3, len(_LONG_X))}) AS statistic FROM sol)
+        SELECT entity, {_LONG_LAGS} AS k, {r6('statistic')} AS statistic, {r6(st.interpolate('statistic', _SIZE_POINTS, dg.ADF_P_LEVELS))} AS p_value FROM r""",
         "event_h",
         recursive=True,
     ),
 )
 def adf_long(spark, d):
     """Long hourly series: lag order eight, p-values interpolated over sample sizes."""
-    out = dg.adf_trend_p(b.event_h(spark, d), ["entity"], "x", HOURS)
+    out = dg.adf_trend_p(b.event_h(spark, d), ["entity"], "x")
     return out.select("entity", "k", rounded(F.col("statistic")).alias("statistic"), rounded(F.col("p_value")).alias("p_value"))
 
 
@@ -211,7 +209,7 @@ _KPSS = """kr AS (SELECT entity, period, x, CAST(row_number() OVER (PARTITION BY
     ),
 )
 def kpss(spark, d):
-    out = dg.kpss_tests(b.event_h(spark, d), ["entity"], "x", HOURS)
+    out = dg.kpss_tests(b.event_h(spark, d), ["entity"], "x")
     return out.select("entity", "n", *[rounded(F.col(c)).alias(c) for c in ("level", "trend", "p_level", "p_trend")])
 
 
@@ -243,8 +241,8 @@ def stationarity_vote(spark, d):
     panel = _levels(spark, d)
     votes = dg.verdicts(
         dg.adf_tests(panel, ["entity"], "x", 1),
-        dg.adf_trend_p(panel, ["entity"], "x", LEVELS),
-        dg.kpss_tests(panel, ["entity"], "x", LEVELS),
+        dg.adf_trend_p(panel, ["entity"], "x"),
+        dg.kpss_tests(panel, ["entity"], "x"),
         ["entity"],
     )
     return dg.stationarity_vote(votes)

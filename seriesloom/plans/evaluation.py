@@ -10,7 +10,7 @@ from seriesloom.operators import aggregates, evaluate, folds, joins, windows
 from seriesloom.operators.baselines import baseline_records, direct_predictions, residuals_ar_one
 from seriesloom.plans import bindings as b
 from seriesloom.plans import sqltools as st
-from seriesloom.plans.registry import CUT, LAST, query, r6, sql
+from seriesloom.plans.registry import CUT, query, r6, sql
 from seriesloom.sources import literals
 
 NUMBERS = ("true_value", "mean", "lower", "upper", "error")
@@ -19,7 +19,7 @@ _RECORD_SQL = ", ".join(RECORD) + ", " + ", ".join(f"{r6(c)} AS {c}" for c in NU
 
 
 def records(spark, d, horizons=(1, 4), models=("RW", "MEAN", "ARIMA")):
-    return baseline_records(b.growth_q(spark, d), ["entity"], "y", CUT, LAST, horizons, models)
+    return baseline_records(b.growth_q(spark, d), ["entity"], "y", CUT, b.quarters(spark, d)[1], horizons, models)
 
 
 def _show(rows, *extra):

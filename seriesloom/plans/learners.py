@@ -8,7 +8,7 @@ from seriesloom.functions.scalars import rounded
 from seriesloom.operators import evaluate, ml
 from seriesloom.operators.windows import growth, lag_frame
 from seriesloom.plans import bindings as b
-from seriesloom.plans.registry import CUT, LAST, query, r6, sql
+from seriesloom.plans.registry import CUT, query, r6, sql
 from seriesloom.plans.reshape import _supply
 
 FEATURES = ["y", "orders", "supply", "season"]
@@ -34,7 +34,7 @@ def _backtest(spark, d, model, make):
     out = None
     for h, horizon in ((1, "Q"), (4, "Y")):
         rows, names = frame(spark, d, h)
-        fitted = ml.fit_folds(rows, ["entity"], lambda n=len(names): make(n), ml.test_folds(CUT + 1, LAST, h - 1))
+        fitted = ml.fit_folds(rows, ["entity"], lambda n=len(names): make(n), ml.test_folds(CUT + 1, b.quarters(spark, d)[1], h - 1))
         records = _records(fitted.predictions, model, h, horizon)
         out = records if out is None else out.unionByName(records)
     return out
@@ -66,7 +66,7 @@ def svr_backtest(spark, d):
     out = None
     for h, horizon in ((1, "Q"), (4, "Y")):
         rows, _ = frame(spark, d, h)
-        fit, _ = _svr(rows, ["sigmoid"], [ml.FINAL_SVR["cost"]], [0.1], ml.test_folds(CUT + 1, LAST, h - 1))
+        fit, _ = _svr(rows, ["sigmoid"], [ml.FINAL_SVR["cost"]], [0.1], ml.test_folds(CUT + 1, b.quarters(spark, d)[1], h - 1))
         records = _records(fit.predictions(), "SVR", h, horizon)
         out = records if out is None else out.unionByName(records)
     return out
@@ -108,7 +108,7 @@ def tune_select(spark, d):
 def benchmark(spark, d):
     """Three learners on the same folds: RMSE and median absolute error of test and training rows."""
     rows, names = frame(spark, d, 1)
-    folds = ml.test_folds(CUT + 1, LAST, 0, skip=2)
+    folds = ml.test_folds(CUT + 1, b.quarters(spark, d)[1], 0, skip=2)
     rf = ml.fit_folds(rows, ["entity"], lambda: ml.forest(30, 4, 5, len(names), depth=5), folds, True).predictions
     gb = ml.fit_folds(rows, ["entity"], lambda: ml.boosting(10, 3, 0.1), folds, True).predictions
     fit, _ = _svr(rows, ["sigmoid"], [0.06], [0.1], folds)
@@ -125,7 +125,7 @@ def importance(spark, d):
     out = None
     for h, horizon in ((1, "1-quarter ahead"), (4, "1-year ahead")):
         rows, names = frame(spark, d, h)
-        fitted = ml.fit_folds(rows, ["entity"], lambda n=len(names): ml.forest(20, 4, 5, n, depth=5), ml.test_folds(CUT + 1, LAST, h - 1, skip=2))
+        fitted = ml.fit_folds(rows, ["entity"], lambda n=len(names): ml.forest(20, 4, 5, n, depth=5), ml.test_folds(CUT + 1, b.quarters(spark, d)[1], h - 1, skip=2))
         table = [(horizon, names[i], fold, g) for fold, i, g in fitted.importance]
         part = spark.createDataFrame(table, "horizon string, feature string, fold int, gain double")
         out = part if out is None else out.unionByName(part)

@@ -10,7 +10,7 @@ from seriesloom.operators.ordering import bind_rows
 from seriesloom.plans import bindings as b
 from seriesloom.plans import sqltools as st
 from seriesloom.plans.diagnostics import FLAGS
-from seriesloom.plans.registry import CUT, LAST, LAST_SHIP_MONTH, query, r6, sql
+from seriesloom.plans.registry import CUT, LAST_QUARTER, LAST_SHIPPED, query, r6, sql
 from seriesloom.sources import literals
 from seriesloom.sources.panels import stage
 
@@ -25,8 +25,8 @@ LAGS = list(range(10, 51, 5))
 @query("q_var_backtest")
 def var_backtest(spark, d):
     panel = b.flag_features(spark, d)
-    small = systems.var_backtest(panel, ["entity"], NK, 2, "VAR_NK", MONTH_CUT, LAST_SHIP_MONTH)
-    return small.unionByName(systems.var_backtest(panel, ["entity"], LI, 1, "VAR_LI", MONTH_CUT, LAST_SHIP_MONTH))
+    small = systems.var_backtest(panel, ["entity"], NK, 2, "VAR_NK", MONTH_CUT, b.ship_months(spark, d)[1])
+    return small.unionByName(systems.var_backtest(panel, ["entity"], LI, 1, "VAR_LI", MONTH_CUT, b.ship_months(spark, d)[1]))
 
 
 @query(
@@ -37,13 +37,13 @@ def var_backtest(spark, d):
             FROM (SELECT entity, period, y, lag(y) OVER (PARTITION BY entity ORDER BY period) AS yl FROM growth_q)
             WINDOW w AS (PARTITION BY entity ORDER BY period), e AS (PARTITION BY entity ORDER BY period ROWS UNBOUNDED PRECEDING))
         SELECT entity, CAST(o + 1 AS INTEGER) AS forecast_period, {r6('c + b*y')} AS mean, {r6('c + b*y - 1.959963984540054*sqrt(v)')} AS lower,
-               {r6('t1 - (c + b*y)')} AS error FROM v WHERE o + 1 BETWEEN {CUT + 1} AND {LAST}""",
+               {r6('t1 - (c + b*y)')} AS error FROM v WHERE o + 1 BETWEEN {CUT + 1} AND {LAST_QUARTER}""",
         "growth_q",
     ),
 )
 def var_univariate(spark, d):
     """The system code on one variable, where SQL can follow it."""
-    out = systems.var_backtest(b.growth_q(spark, d), ["entity"], ["y"], 1, "VAR", CUT, LAST, (1,))
+    out = systems.var_backtest(b.growth_q(spark, d), ["entity"], ["y"], 1, "VAR", CUT, b.quarters(spark, d)[1], (1,))
     return out.select("entity", "forecast_period", *[rounded(F.col(c)).alias(c) for c in ("mean", "lower", "error")])
 
 
@@ -116,16 +116,16 @@ def _var_sql() -> str:
         steps.append(f"step{h} AS (SELECT {carry}, {', '.join(cols)} FROM {source})")
     return f"""+{_NK_LAGS}, mom AS (SELECT entity, period AS o, sum(CASE WHEN {complete} THEN 1.0 END) OVER e AS n, [{sums}] AS m FROM lagged
         WINDOW e AS (PARTITION BY entity ORDER BY period ROWS UNBOUNDED PRECEDING)),
-      want AS (SELECT * FROM mom WHERE o BETWEEN {MONTH_CUT - 3} AND {LAST_SHIP_MONTH - 1}),
+      want AS (SELECT * FROM mom WHERE o BETWEEN {MONTH_CUT - 3} AND {LAST_SHIPPED} - 1),
       {st.solve_ctes('want', ['entity', 'o'], {'var': (_X, [8, 9, 10])})}, {', '.join(steps)}
       SELECT entity, 'VAR_NK_Q' AS model_id, CAST(o + 1 AS INTEGER) AS forecast_period, {r6('f1_y')} AS mean, {r6('t1 - f1_y')} AS error FROM step4 WHERE o + 1 > {MONTH_CUT}
-      UNION ALL SELECT entity, 'VAR_NK_Y', CAST(o + 4 AS INTEGER), {r6('f4_y')}, {r6('t4 - f4_y')} FROM step4 WHERE o + 4 BETWEEN {MONTH_CUT + 1} AND {LAST_SHIP_MONTH}"""
+      UNION ALL SELECT entity, 'VAR_NK_Y', CAST(o + 4 AS INTEGER), {r6('f4_y')}, {r6('t4 - f4_y')} FROM step4 WHERE o + 4 BETWEEN {MONTH_CUT + 1} AND {LAST_SHIPPED}"""
 
 
 @query("q_var_forecast", sql(_var_sql(), "flag_m", recursive=True))
 def var_forecast(spark, d):
     """Iterated forecasts of the three-variable system at every origin."""
-    out = systems.var_backtest(b.flag_features(spark, d), ["entity"], NK, 2, "VAR_NK", MONTH_CUT, LAST_SHIP_MONTH)
+    out = systems.var_backtest(b.flag_features(spark, d), ["entity"], NK, 2, "VAR_NK", MONTH_CUT, b.ship_months(spark, d)[1])
     return out.select("entity", "model_id", "forecast_period", rounded(F.col("mean")).alias("mean"), rounded(F.col("error")).alias("error"))
 
 
@@ -241,7 +241,7 @@ def johansen(spark, d):
 
 @query("q_arma_backtest")
 def arma_backtest(spark, d):
-    return arma.arma_backtest(b.growth_q(spark, d), ["entity"], "y", (2, 1), "ARIMA", CUT, LAST)
+    return arma.arma_backtest(b.growth_q(spark, d), ["entity"], "y", (2, 1), "ARIMA", CUT, b.quarters(spark, d)[1])
 
 
 @query(
@@ -261,7 +261,7 @@ def arma_ar_one(spark, d):
     def log(c):
         return rounded(F.signum(c) * F.log1p(F.abs(F.col(c))), 4).alias(f"{c}_log")
 
-    out = arma.arma_backtest(b.growth_q(spark, d), ["entity"], "y", (1, 0), "ARIMA", CUT, LAST).filter("mean IS NOT NULL")
+    out = arma.arma_backtest(b.growth_q(spark, d), ["entity"], "y", (1, 0), "ARIMA", CUT, b.quarters(spark, d)[1]).filter("mean IS NOT NULL")
     return out.select("entity", "model_id", "forecast_period", log("mean"), log("upper"))
 
 
@@ -342,9 +342,9 @@ def pcr(spark, d):
 @query("q_favar_backtest")
 def favar_backtest(spark, d):
     panel = b.factor_panel(spark, d)
-    full = factors.favar_backtest(panel, ["entity"], "y", b.FACTOR_FEATURES, 1, 3, "FAVAR_FULL", MONTH_CUT, LAST_SHIP_MONTH)
+    full = factors.favar_backtest(panel, ["entity"], "y", b.FACTOR_FEATURES, 1, 3, "FAVAR_FULL", MONTH_CUT, b.ship_months(spark, d)[1])
     return full.unionByName(
-        factors.favar_backtest(panel, ["entity"], "y", b.SELECTED_FEATURES, 2, 3, "FAVAR_SW", MONTH_CUT, LAST_SHIP_MONTH)
+        factors.favar_backtest(panel, ["entity"], "y", b.SELECTED_FEATURES, 2, 3, "FAVAR_SW", MONTH_CUT, b.ship_months(spark, d)[1])
     )
 
 
@@ -365,12 +365,12 @@ def model_comparison(spark, d):
     panel = stage(b.factor_panel(spark, d), "factor-panel")
     span = (["entity"], "y")
     made = [
-        baselines.baseline_records(panel, *span, MONTH_CUT, LAST_SHIP_MONTH, models=("RW",)),
-        arma.arma_backtest(panel, *span, (2, 1), "ARIMA", MONTH_CUT, LAST_SHIP_MONTH),
-        systems.var_backtest(panel, ["entity"], NK, 2, "VAR_NK", MONTH_CUT, LAST_SHIP_MONTH),
-        systems.var_backtest(panel, ["entity"], LI, 1, "VAR_LI", MONTH_CUT, LAST_SHIP_MONTH),
-        factors.favar_backtest(panel, *span, b.FACTOR_FEATURES, 1, 3, "FAVAR_FULL", MONTH_CUT, LAST_SHIP_MONTH),
-        factors.favar_backtest(panel, *span, b.SELECTED_FEATURES, 2, 3, "FAVAR_SW", MONTH_CUT, LAST_SHIP_MONTH),
+        baselines.baseline_records(panel, *span, MONTH_CUT, b.ship_months(spark, d)[1], models=("RW",)),
+        arma.arma_backtest(panel, *span, (2, 1), "ARIMA", MONTH_CUT, b.ship_months(spark, d)[1]),
+        systems.var_backtest(panel, ["entity"], NK, 2, "VAR_NK", MONTH_CUT, b.ship_months(spark, d)[1]),
+        systems.var_backtest(panel, ["entity"], LI, 1, "VAR_LI", MONTH_CUT, b.ship_months(spark, d)[1]),
+        factors.favar_backtest(panel, *span, b.FACTOR_FEATURES, 1, 3, "FAVAR_FULL", MONTH_CUT, b.ship_months(spark, d)[1]),
+        factors.favar_backtest(panel, *span, b.SELECTED_FEATURES, 2, 3, "FAVAR_SW", MONTH_CUT, b.ship_months(spark, d)[1]),
     ]
     records = stage(bind_rows(*made), "forecast-records", ["model_id"])
     return evaluate.accuracy_table(records, ["entity"], "FAVAR_FULL", literals.model_order(spark))

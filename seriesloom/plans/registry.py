@@ -23,16 +23,28 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-# First and last quarter of the complete calendar, and the end of training (1999 Q4).
-FIRST, LAST, CUT = 7980, 8005, 7999
-# Months of orders (1995-01 .. 2001-08) and of shipments (1995-01 .. 2001-11).
-FIRST_MONTH, LAST_ORDER_MONTH, LAST_SHIP_MONTH = 23940, 24019, 24022
-HOURS, DAYS = 720, 30
+# End of training (1999 Q4). Where calendars begin and end is read from the data.
+CUT = 7999
 EPOCH = "2024-01-01"
 
 _regimes = ", ".join(str(r) for r in literals.regime_rows())
 
+
+def _span(period: str, source: str) -> str:
+    return f"SELECT min({period}) AS a, max({period}) AS z FROM {source}"
+
+
+def _calendar(span: str) -> str:
+    return f"(SELECT unnest(range(a, z + 1)) AS p FROM {span})"
+
+
+LAST_QUARTER, LAST_SHIPPED = "(SELECT z FROM quarters)", "(SELECT z FROM ship_months)"
+
 CTES: dict[str, str] = {
+    "quarters": _span("CAST(year(o_orderdate)*4 + quarter(o_orderdate) - 1 AS INTEGER)", "orders"),
+    "order_months": _span("CAST(year(o_orderdate)*12 + month(o_orderdate) - 1 AS INTEGER)", "orders"),
+    "ship_months": _span("CAST(year(l_shipdate)*12 + month(l_shipdate) - 1 AS INTEGER)", "lineitem"),
+    "hours": _span("period", "event_raw"),
     "regimes": f"SELECT * FROM (VALUES {_regimes}) t(regime_id, s, e)",
     "nation_raw": """
         SELECT n_name AS entity, CAST(year(o_orderdate)*4 + quarter(o_orderdate) - 1 AS INTEGER) AS period,
@@ -41,8 +53,7 @@ CTES: dict[str, str] = {
         GROUP BY 1, 2""",
     "nation_q": f"""
         SELECT k.entity, CAST(p AS INTEGER) AS period, value, n_orders
-        FROM (SELECT DISTINCT entity FROM nation_raw WHERE period BETWEEN {FIRST} AND {LAST}) k
-             CROSS JOIN range({FIRST}, {LAST + 1}) t(p)
+        FROM (SELECT DISTINCT entity FROM nation_raw) k CROSS JOIN {_calendar("quarters")} t
              LEFT JOIN nation_raw r ON r.entity = k.entity AND r.period = p""",
     "growth_q": """
         SELECT entity, period, value, 100.0*(value/nullif(lag(value) OVER w, 0) - 1.0) AS y
@@ -57,7 +68,7 @@ CTES: dict[str, str] = {
         FROM orders GROUP BY 1, 2""",
     "priority_m": f"""
         SELECT k.entity, CAST(p AS INTEGER) AS period, value
-        FROM (SELECT DISTINCT entity FROM priority_raw) k CROSS JOIN range({FIRST_MONTH}, {LAST_ORDER_MONTH + 1}) t(p)
+        FROM (SELECT DISTINCT entity FROM priority_raw) k CROSS JOIN {_calendar("order_months")} t
              LEFT JOIN priority_raw r ON r.entity = k.entity AND r.period = p""",
     "flag_raw": """
         SELECT l_returnflag AS entity, CAST(year(l_shipdate)*12 + month(l_shipdate) - 1 AS INTEGER) AS period,
@@ -66,7 +77,7 @@ CTES: dict[str, str] = {
         FROM lineitem GROUP BY 1, 2""",
     "flag_m": f"""
         SELECT k.entity, CAST(p AS INTEGER) AS period, revenue, quantity, discount, tax, n
-        FROM (SELECT DISTINCT entity FROM flag_raw) k CROSS JOIN range({FIRST_MONTH}, {LAST_SHIP_MONTH + 1}) t(p)
+        FROM (SELECT DISTINCT entity FROM flag_raw) k CROSS JOIN {_calendar("ship_months")} t
              LEFT JOIN flag_raw r ON r.entity = k.entity AND r.period = p""",
     "event_raw": f"""
         SELECT event_type AS entity,
@@ -75,7 +86,7 @@ CTES: dict[str, str] = {
         FROM events GROUP BY 1, 2""",
     "event_h": f"""
         SELECT k.entity, CAST(p AS INTEGER) AS period, CAST(coalesce(n, 0) AS DOUBLE) AS x
-        FROM (SELECT DISTINCT entity FROM event_raw) k CROSS JOIN range(0, {HOURS}) t(p)
+        FROM (SELECT DISTINCT entity FROM event_raw) k CROSS JOIN {_calendar("hours")} t
              LEFT JOIN event_raw r ON r.entity = k.entity AND r.period = p""",
     "event_d": f"""
         SELECT event_type AS entity, CAST(date_diff('day', DATE '{EPOCH}', CAST(ts AS DATE)) AS INTEGER) AS period,
@@ -100,7 +111,7 @@ CTES: dict[str, str] = {
           UNION ALL SELECT entity, o, 'MEAN_Y', 'Y', 4, t4, mu, sd FROM base
           UNION ALL SELECT entity, o, 'ARIMA_Q', 'Q', 1, t1, c + b*y, sqrt(v) FROM base
           UNION ALL SELECT entity, o, 'ARIMA_Y', 'Y', 4, t4, c*(1 + b + b*b + b*b*b) + b*b*b*b*y, sqrt(v*(1 + pow(b,2) + pow(b,4) + pow(b,6))) FROM base)
-        WHERE o + h BETWEEN {CUT + 1} AND {LAST}""",
+        WHERE o + h BETWEEN {CUT + 1} AND {LAST_QUARTER}""",
     "rel": """
         SELECT *, error/nullif(max(CASE WHEN model_id = 'RW_' || horizon THEN error END) OVER (PARTITION BY entity, horizon, forecast_period), 0) AS rel_error
         FROM records""",
@@ -110,14 +121,14 @@ CTES: dict[str, str] = {
         FROM lineitem""",
 }
 _USES = {
-    "nation_q": ["nation_raw"],
-    "growth_q": ["nation_raw", "nation_q"],
-    "priority_m": ["priority_raw"],
-    "flag_m": ["flag_raw"],
-    "event_h": ["event_raw"],
-    "base": ["nation_raw", "nation_q", "growth_q"],
-    "records": ["nation_raw", "nation_q", "growth_q", "base"],
-    "rel": ["nation_raw", "nation_q", "growth_q", "base", "records"],
+    "nation_q": ["quarters", "nation_raw"],
+    "growth_q": ["quarters", "nation_raw", "nation_q"],
+    "priority_m": ["order_months", "priority_raw"],
+    "flag_m": ["ship_months", "flag_raw"],
+    "event_h": ["event_raw", "hours"],
+    "base": ["quarters", "nation_raw", "nation_q", "growth_q"],
+    "records": ["quarters", "nation_raw", "nation_q", "growth_q", "base"],
+    "rel": ["quarters", "nation_raw", "nation_q", "growth_q", "base", "records"],
 }
 
 

@@ -8,7 +8,7 @@ from seriesloom.functions.periods import quarter_index
 from seriesloom.functions.scalars import rounded
 from seriesloom.operators import joins, reshape, windows
 from seriesloom.plans import bindings as b
-from seriesloom.plans.registry import CUT, FIRST, query, r6, sql
+from seriesloom.plans.registry import CUT, query, r6, sql
 from seriesloom.sources import literals
 from seriesloom.sources.panels import calendar_panel
 
@@ -127,7 +127,7 @@ def melt(spark, d):
 )
 def spread_n(spark, d):
     long = b.flag_m(spark, d).select("entity", "period", rounded(F.col("revenue")).alias("revenue"), "n")
-    return reshape.spread(long, ["period"], "entity", ["A", "N", "R"], ["revenue", "n"])
+    return reshape.spread(long, ["period"], "entity", reshape.levels(long, "entity"), ["revenue", "n"])
 
 
 _YEARS = list(range(1995, 2002))
@@ -144,12 +144,13 @@ _YEARS = list(range(1995, 2002))
     ),
 )
 def transpose(spark, d):
+    rows = b.table(spark, d, "lineitem")
+    flags = reshape.levels(rows, "l_returnflag")
     per_year = (
-        b.table(spark, d, "lineitem")
-        .groupBy(F.year("l_shipdate").alias("year"))
-        .agg(*[F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity"))).alias(f) for f in "ANR"])
+        rows.groupBy(F.year("l_shipdate").alias("year"))
+        .agg(*[F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity"))).alias(f) for f in flags])
     )
-    return reshape.transpose(per_year, "year", _YEARS)
+    return reshape.transpose(per_year, "year", reshape.levels(per_year, "year"))
 
 
 @query(
@@ -355,10 +356,11 @@ def semi_anti(spark, d):
     "q_origin_cross",
     sql(
         f"""SELECT entity, CAST(o AS INTEGER) AS origin, period, {r6('y')} AS y
-            FROM growth_q JOIN range({CUT}, 8005) t(o) ON period <= o WHERE period > {FIRST}""",
+            FROM growth_q JOIN (SELECT unnest(range({CUT}, z)) AS o FROM quarters) t ON period <= o WHERE period > (SELECT a FROM quarters)""",
         "growth_q",
     ),
 )
 def origin_cross(spark, d):
-    rows = reshape.period_slice(b.growth_q(spark, d), FIRST + 1)
-    return joins.origin_rows(rows, CUT, 8004).select("entity", "origin", "period", rounded(F.col("y")).alias("y"))
+    first, last = b.quarters(spark, d)
+    rows = reshape.period_slice(b.growth_q(spark, d), first + 1)
+    return joins.origin_rows(rows, CUT, last - 1).select("entity", "origin", "period", rounded(F.col("y")).alias("y"))

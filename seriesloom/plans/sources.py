@@ -8,7 +8,7 @@ from seriesloom.functions.periods import format_quarter, parse_quarter, quarter_
 from seriesloom.functions.scalars import clean_name, rounded
 from seriesloom.operators.joins import regime_join
 from seriesloom.operators.ordering import bind_rows
-from seriesloom.operators.reshape import melt
+from seriesloom.operators.reshape import levels, melt
 from seriesloom.operators.stationary import override_codes
 from seriesloom.plans import bindings as b
 from seriesloom.plans.registry import query, r6, sql
@@ -16,8 +16,6 @@ from seriesloom.session import stage_path
 from seriesloom.sources import literals
 from seriesloom.sources.panels import load_dictionary, read_wide_csv, split_metadata_rows, stage
 
-NATIONS = [f"NATION_{i}" for i in range(25)]
-
 
 @query(
     "q_load_panel",
@@ -42,9 +40,10 @@ def load_panel(spark, d):
 def split_rows(spark, d):
     """The wide feature file is rebuilt from the panel as CSV, read as text and taken apart."""
     panel, info, codes = b.nation_q(spark, d), b.info(spark, d), b.codes(spark, d)
+    names = levels(codes, "series")
 
     def wide(long, key, value):
-        cells = [F.first(F.when(F.col(key[0]) == n, value), ignorenulls=True).alias(n) for n in NATIONS]
+        cells = [F.first(F.when(F.col(key[0]) == n, value), ignorenulls=True).alias(n) for n in names]
         return long.groupBy(key[1]).agg(*cells)
 
     first_day = F.concat_ws("/", ((quarter_of(F.col("period")) - 1) * 3 + 1).cast("string"), F.lit("1"), year_of(F.col("period")).cast("string"))
@@ -52,8 +51,8 @@ def split_rows(spark, d):
     factors = wide(info.withColumn("sasdate", F.lit("factors")), ("series", "sasdate"), F.col("factors").cast("string"))
     transform = wide(codes.withColumn("sasdate", F.lit("transform:")), ("series", "sasdate"), F.col("code").cast("string"))
     path = stage_path(spark, "wide-file")
-    bind_rows(factors, transform, body).select("sasdate", *NATIONS).write.csv(path, header=True)
-    meta, data = split_metadata_rows(read_wide_csv(spark, path, ["sasdate", *NATIONS]))
+    bind_rows(factors, transform, body).select("sasdate", *names).write.csv(path, header=True)
+    meta, data = split_metadata_rows(read_wide_csv(spark, path, ["sasdate", *names]))
     no_period = F.lit(None).cast("int").alias("period")
     return bind_rows(
         meta.unpivot(["series"], ["factors", "code"], "kind", "value").select(
