@@ -114,7 +114,7 @@ def histogram_density(df: DataFrame, keys: list[str], value: str, low: float, wi
         F.count(value).alias("_total"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")
     )
     return (
-        cells.join(curve, keys)  # both sides are aggregates
+        attach_group_stats(cells, curve, keys)
         .withColumn("density", F.col("n") / (F.col("_total") * F.lit(float(width))))
         .drop("_total")
     )

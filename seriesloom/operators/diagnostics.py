@@ -15,17 +15,16 @@ from seriesloom.functions.scalars import chi2_tail_even, critical_bucket, normal
 from seriesloom.functions.tails import f_tail
 from seriesloom.operators.moments import ONE, f_statistic, grouped_moments, map_rows, ols, shift_to_start, unpack
 from seriesloom.operators.reshape import by_period, recode, row_sum
-from seriesloom.operators.windows import lagged
+from seriesloom.operators.windows import at_lag, lagged
 
 # --- autocorrelation -----------------------------------------------------------------------
 
 
 def autocorrelations(panel: DataFrame, keys: list[str], value: str, lags: int = 10) -> DataFrame:
     """``n`` and the array ``acf`` of lags 1.. per series (full-sample mean and denominator)."""
-    w = by_period(keys)
     seen = panel.filter(F.col(value).isNotNull())
     centred = seen.withColumn("_d", F.col(value) - F.avg(value).over(W.partitionBy(*keys)))
-    products = {f"_p{k}": F.col("_d") * F.lag("_d", k).over(w) for k in range(1, lags + 1)}
+    products = {f"_p{k}": F.col("_d") * at_lag("_d", keys, k) for k in range(1, lags + 1)}
     sums = centred.withColumns(products).groupBy(*keys).agg(
         F.count("_d").alias("n"),
         F.sum(F.col("_d") * F.col("_d")).alias("_s0"),
@@ -113,24 +112,28 @@ def adf_critical(name: str, n: Column, which: int) -> Column:
 def _unit_root_frame(panel: DataFrame, keys: list[str], value: str, lags: int) -> tuple[DataFrame, list[str]]:
     seen = panel.filter(F.col(value).isNotNull()).withColumn("_x", F.col(value).cast("double"))
     seen = shift_to_start(seen, keys, ["_x"])
-    w = by_period(keys)
+    whole = W.partitionBy(*keys)
     base = seen.withColumns(
         {
-            "_t": F.row_number().over(w).cast("double"),
-            "_size": F.count(F.lit(1)).over(W.partitionBy(*keys)),
-            "_y1": F.lag("_x").over(w),
-            "_dy": F.col("_x") - F.lag("_x").over(w),
+            "_t": (F.col("period") - F.min("period").over(whole) + 1).cast("double"),
+            "_size": F.count(F.lit(1)).over(whole),
+            "_y1": at_lag("_x", keys),
         }
-    )
+    ).withColumn("_dy", F.col("_x") - F.col("_y1"))
     names = [f"_d{k}" for k in range(1, lags + 1)]
-    return base.withColumns({c: F.coalesce(F.lag("_dy", k).over(w), F.lit(0.0)) for k, c in enumerate(names, 1)}), names
+    found = base.withColumns({c: at_lag("_dy", keys, k) for k, c in enumerate(names, 1)})
+    # how many lagged differences in a row a period has behind it
+    depth = F.when(F.col("_dy").isNull(), -1)
+    for k, c in enumerate(names):
+        depth = depth.when(F.col(c).isNull(), k)
+    return found.withColumn("_depth", depth.otherwise(lags)).fillna(0.0, names), names
 
 
 def adf_tests(panel: DataFrame, keys: list[str], value: str, lag: int = 1) -> DataFrame:
     """Augmented Dickey-Fuller statistics without constant (tau1), with drift (phi1), with trend (phi3)."""
     frame, lags = _unit_root_frame(panel, keys, value, lag)
     columns = [ONE, "_t", "_y1", *lags, "_dy"]
-    sums = grouped_moments(frame, keys, columns, F.col("_t") > lag + 1, F.max("_size").alias("size"), F.max("_s__x").alias("shift"))
+    sums = grouped_moments(frame, keys, columns, F.col("_depth") >= lag, F.max("_size").alias("size"), F.max("_s__x").alias("shift"))
     dy, d = len(columns) - 1, list(range(3, 3 + lag))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -171,7 +174,7 @@ def adf_trend_p(panel: DataFrame, keys: list[str], value: str, max_periods: int
     order = F.floor(F.pow(F.col("_size") - 1.0, F.lit(1.0 / 3.0)) + 1e-9)
     frame = frame.withColumn("_k", order.cast("int"))
     columns = [ONE, "_t", "_y1", *lags, "_dy"]
-    sums = grouped_moments(frame, keys, columns, F.col("_t") > F.col("_k") + 1, F.max("_size").alias("size"), F.max("_k").alias("k"))
+    sums = grouped_moments(frame, keys, columns, F.col("_depth") >= F.col("_k"), F.max("_size").alias("size"), F.max("_k").alias("k"))
     dy = len(columns) - 1
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -219,7 +222,8 @@ def kpss_tests(panel: DataFrame, keys: list[str], value: str, max_periods: int |
     top = int(4 * (max_periods / 100) ** 0.25 + 1e-9)
     w, whole = by_period(keys), W.partitionBy(*keys)
     seen = panel.filter(F.col(value).isNotNull()).withColumn("_x", F.col(value).cast("double"))
-    timed = seen.withColumn("_t", F.row_number().over(w).cast("double")).withColumn("_n", F.count("_x").over(whole))
+    begin = F.min("period").over(whole)
+    timed = seen.withColumn("_t", (F.col("period") - begin + 1).cast("double")).withColumn("_n", F.count("_x").over(whole))
     x, t = F.col("_x"), F.col("_t")
     fits = timed.withColumn("_el", x - F.avg(x).over(whole)).withColumn(
         "_et", x - (F.regr_intercept(x, t).over(whole) + F.regr_slope(x, t).over(whole) * t)
@@ -231,7 +235,7 @@ def kpss_tests(panel: DataFrame, keys: list[str], value: str, max_periods: int |
         columns[f"{e}_s"] = F.sum(e).over(w.rowsBetween(W.unboundedPreceding, 0))
         for k in range(1, top + 1):
             weight = F.greatest(F.lit(0.0), 1.0 - F.lit(float(k)) / (F.col("_l") + 1.0))
-            columns[f"{e}_{k}"] = weight * F.col(e) * F.coalesce(F.lag(e, k).over(w), F.lit(0.0))
+            columns[f"{e}_{k}"] = weight * F.col(e) * F.coalesce(at_lag(e, keys, k), F.lit(0.0))
     parts = parts.withColumns(columns)
 
     def statistic(e: str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from seriesloom.functions.scalars import cut_label, percent_text, ratio
 from seriesloom.operators.aggregates import exact_percentiles_of
 from seriesloom.operators.baselines import RECORD_COLUMNS
+from seriesloom.operators.joins import attach_group_stats
 
 
 def ml_records(
@@ -67,7 +68,8 @@ def error_metrics(records: DataFrame, by: list[str], bounded: bool = False) -> D
         return records.groupBy(*by).agg(*sums, *medians)
     tagged = records.select(*by, "error", F.abs(e).alias("mdae"), F.abs("rel_error").alias("mdrae"))
     medians = exact_percentiles_of(tagged, by, ["mdae", "mdrae"], {"q": 0.5})
-    return tagged.groupBy(*by).agg(*sums).join(medians.withColumnsRenamed({"mdae_q": "mdae", "mdrae_q": "mdrae"}), by, "left")
+    medians = medians.withColumnsRenamed({"mdae_q": "mdae", "mdrae_q": "mdrae"})
+    return attach_group_stats(tagged.groupBy(*by).agg(*sums), medians, by, "left")
 
 
 def sign_hits(records: DataFrame, by: list[str], first: int, last: int) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.tails import t_tail
 from seriesloom.operators.moments import map_rows, per_series
-from seriesloom.operators.systems import FORECAST_FIELDS, companion_forecast, design, key_schema, to_records
+from seriesloom.operators.systems import FORECAST_FIELDS, companion_forecast, design, key_schema, no_nan, on_calendar, to_records
 
 
 def gram(df: DataFrame, vector: str, size: int, key: str | None = None) -> DataFrame:
@@ -203,18 +203,23 @@ def pcr_cv(moments: DataFrame, size: int, max_r: int) -> DataFrame:
 
 
 def _standard_scores(x: np.ndarray, r: int) -> np.ndarray:
-    sd = x.std(axis=0, ddof=1)
+    """Scores of the complete rows; NaN where a row is incomplete."""
+    whole = np.isfinite(x).all(axis=1)
+    seen = x[whole]
+    sd = seen.std(axis=0, ddof=1)
     keep = sd > 0
-    z = (x[:, keep] - x[:, keep].mean(axis=0)) / sd[keep]
+    z = (seen[:, keep] - seen[:, keep].mean(axis=0)) / sd[keep]
     _, vectors = components(np.atleast_2d(np.corrcoef(z, rowvar=False)))
-    return z @ vectors[:, :r]
+    out = np.full((len(x), min(r, z.shape[1])), np.nan)
+    out[whole] = z @ vectors[:, :r]
+    return out
 
 
 def _fit_forecast(values: np.ndarray, p: int, steps: int) -> tuple[np.ndarray, np.ndarray] | None:
     x, y = design(values, p)
     n, z = x.shape
-    if n <= z:
-        return None
+    if n <= z or not np.isfinite(values[len(values) - p :]).all():
+        return None  # too few rows, or a hole in the last periods
     coef = np.linalg.lstsq(x, y, rcond=None)[0]
     u = y - x @ coef
     state = values[-1 : -p - 1 : -1].reshape(1, -1)
@@ -228,24 +233,23 @@ def favar_backtest(
 ) -> DataFrame:
     """At every origin: components of the features up to it, then a VAR(p) of target and r scores.
 
-    The period itself is never a variable. A series' own rows are all a task needs.
+    The period itself is never a variable. A series' own rows are all a task needs. An origin whose
+    last ``p`` periods have a hole, or with too few complete rows before it, gets a NULL forecast.
     """
     steps = max(horizons)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = pdf[[target, *features]].to_numpy(float)
-        whole = np.isfinite(data).all(axis=1)
+        data, begin = on_calendar(pdf, [target, *features]), int(pdf["period"].min())
         truth = dict(zip(pdf["period"], pdf[target]))
         rows = []
-        for origin in range(cut + 1 - steps, last - min(horizons) + 1):
-            used = data[whole & (pdf["period"].to_numpy() <= origin)]
-            if len(used) < max(10, 2 + p * (r + 1) * 2) or origin not in truth:
-                continue
-            values = np.column_stack([used[:, 0], _standard_scores(used[:, 1:], r)])
-            made = _fit_forecast(values, p, steps)
-            if made is not None:
-                rows += [(origin, h, truth.get(origin + h, np.nan), made[0][h - 1], made[1][h - 1]) for h in horizons]
-        out = pd.DataFrame(rows, columns=["training_end", "periods_ahead", "true_value", "mean", "se"])
+        for origin in range(max(begin, cut + 1 - steps), last - min(horizons) + 1):
+            used, made = data[: origin - begin + 1], None
+            if origin < begin + len(data) and np.isfinite(used).all(axis=1).sum() >= max(10, 2 + p * (r + 1) * 2):
+                made = _fit_forecast(np.column_stack([used[:, 0], _standard_scores(used[:, 1:], r)]), p, steps)
+            for h in horizons:
+                mean, se = (made[0][h - 1], made[1][h - 1]) if made is not None else (np.nan, np.nan)
+                rows.append((origin, h, truth.get(origin + h, np.nan), mean, se))
+        out = no_nan(pd.DataFrame(rows, columns=["training_end", "periods_ahead", "true_value", "mean", "se"]))
         for key in keys:
             out[key] = pdf[key].iloc[0]
         return out[[*keys, "training_end", "periods_ahead", "true_value", "mean", "se"]]
@@ -261,24 +265,27 @@ def factor_cv(
 ) -> DataFrame:
     """Growing-window choice of the number of factors: one-step errors per series, fold and r.
 
-    Fold i trains on the first ``n - go_back + skip * i`` rows and tests on the next one.
+    Fold i trains on the first ``n - go_back + skip * i`` periods and tests on the next one. A fold too
+    short to fit, or whose last periods have a hole, gets a NULL forecast.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = pdf[[target, *features]].to_numpy(float)
-        data = data[np.isfinite(data).all(axis=1)]
+        data = on_calendar(pdf, [target, *features])
+        whole = np.flatnonzero(np.isfinite(data).all(axis=1))
+        data = data[whole[0] : whole[-1] + 1] if whole.size else data[:0]
         n = len(data)
         rows = []
         for i in range(1, (go_back - 1) // skip + 1):
             size = n - go_back + skip * i
-            if size < 4 * (max_r + 2) // 2 or size >= n:
-                continue
-            factors = _standard_scores(data[:size, 1:], max_r)
+            used = data[: max(size, 0)]
+            enough = np.isfinite(used).all(axis=1).sum() >= max(3, 4 * (max_r + 2) // 2)
+            factors = _standard_scores(used[:, 1:], max_r) if enough else None
+            truth = data[size, 0] if 0 <= size < n else np.nan
             for r in range(1, max_r + 1):
-                made = _fit_forecast(np.column_stack([data[:size, 0], factors[:, :r]]), p, 1)
-                if made is not None:
-                    rows.append((i, r, data[size, 0], made[0][0], made[0][0] - data[size, 0]))
-        out = pd.DataFrame(rows, columns=["fold", "r", "true_value", "forecast", "error"])
+                made = _fit_forecast(np.column_stack([used[:, 0], factors[:, :r]]), p, 1) if enough else None
+                forecast = np.nan if made is None else made[0][0]
+                rows.append((i, r, truth, forecast, forecast - truth))
+        out = no_nan(pd.DataFrame(rows, columns=["fold", "r", "true_value", "forecast", "error"]))
         for key in keys:
             out[key] = pdf[key].iloc[0]
         return out[[*keys, "fold", "r", "true_value", "forecast", "error"]]

@@ -6,22 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-# Rows up to which per-group results are sent to every task instead of being shuffled against.
-STATS_ROWS = 10_000
+def attach_group_stats(rows: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join per-group results (one row per key) back to the rows they describe; NULL keys are a group.
 
-
-def attach_group_stats(rows: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Join per-group results (one row per key) back to the rows they describe.
-
-    The rows may be dominated by one key, so they should not be shuffled by it. The results are
-    therefore evaluated here, once, up to a fixed number of rows: if all fit, they are broadcast
-    and the rows stay where they are. With more groups than that both sides are joined by key and
-    skewed partitions are left to adaptive execution.
+    One plan at any number of groups. The results are an aggregate, so adaptive execution knows
+    their size before it joins: it broadcasts them while they are below its threshold, and beyond
+    that splits the partition of a key that holds very many rows.
     """
-    taken = stats.limit(STATS_ROWS + 1).collect()
-    if len(taken) <= STATS_ROWS:
-        return rows.join(F.broadcast(rows.sparkSession.createDataFrame(taken, stats.schema)), keys)
-    return rows.join(stats, keys)
+    named = stats.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_on_{k}"))
+    return rows.join(named, same, how).drop(*[f"_on_{k}" for k in keys])
 
 
 def join_on_period(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

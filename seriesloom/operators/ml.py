@@ -20,6 +20,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.operators.joins import attach_group_stats
 from seriesloom.operators.windows import minmax_rescale, top_with_ties
 from seriesloom.sources.panels import stage
 
@@ -118,7 +119,7 @@ def fit_folds(frame: DataFrame, keys: list[str], make: Callable[[], Estimator],
 
 def fold_scores(predictions: DataFrame, by: list[str]) -> DataFrame:
     e = F.col("truth") - F.col("response")
-    return predictions.filter(F.col("set") == "test").groupBy(*by).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.count(F.lit(1)).alias("n"))
+    return predictions.filter(F.col("set") == "test").groupBy(*by).agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.count(e).alias("n"))
 
 
 def best_candidate(trials: DataFrame, by: list[str], candidate: str, score: str = "rmse") -> DataFrame:
@@ -127,7 +128,7 @@ def best_candidate(trials: DataFrame, by: list[str], candidate: str, score: str
     pick = F.min(F.struct("mean_score", candidate)).alias("_best")
     if by:
         chosen = means.groupBy(*by).agg(pick)
-        flagged = means.join(chosen, by)
+        flagged = attach_group_stats(means, chosen, by)
     else:
         flagged = means.withColumn("_best", means.agg(pick).scalar())
     return flagged.withColumn("is_best", F.col(candidate) == F.col(f"_best.{candidate}")).drop("_best")

@@ -170,6 +170,19 @@ def coefficient_table(panel: DataFrame, keys: list[str], columns: list[str], p:
 # --- system diagnostics: one small least-squares problem per series ------------------------
 
 
+def on_calendar(pdf: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    """A series' columns with one row per period from its first to its last, NaN where one is missing."""
+    period = pdf["period"].to_numpy(np.int64)
+    out = np.full((int(period.max() - period.min()) + 1 if len(period) else 0, len(columns)), np.nan)
+    out[period - period.min() if len(period) else period] = pdf[columns].to_numpy(float)
+    return out
+
+
+def no_nan(frame: pd.DataFrame) -> pd.DataFrame:
+    """NaN as NULL."""
+    return frame.astype(object).where(frame.notna(), None)
+
+
 def design(values: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
     """Regressors (1, lag blocks) and targets of the rows without missing values."""
     t = len(values)
@@ -195,7 +208,7 @@ def causality_tests(panel: DataFrame, keys: list[str], columns: list[str], p: in
     k = len(columns)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = design(unit_scale(pdf[columns].to_numpy(float))[0], p)
+        x, y = design(unit_scale(on_calendar(pdf, columns))[0], p)
         n, z = x.shape
         if n <= z:
             return pd.DataFrame(columns=[*keys, "direction", "series", "f_stat", "df1", "df2", "p_value"])
@@ -230,20 +243,30 @@ def system_portmanteau(panel: DataFrame, keys: list[str], columns: list[str], p:
     k = len(columns)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = design(unit_scale(pdf[columns].to_numpy(float))[0], p)
+        values = unit_scale(on_calendar(pdf, columns))[0]
+        x, y = design(values, p)
         n = len(x)
-        u = y - x @ (np.linalg.pinv(x) @ y)
+        names = ["lags", "df", "box_pierce", "ljung_box", "hosking", "p_box_pierce", "p_ljung_box", "p_hosking"]
+        if n <= x.shape[1]:
+            out = pd.DataFrame([(h, float(k * k * (h - p)), *[None] * 6) for h in lags], columns=names)
+            return out.assign(**{key: pdf[key].iloc[0] for key in keys})[[*keys, *names]]
+        good = np.array([np.isfinite(values[t - p : t + 1]).all() for t in range(p, len(values))])
+        u = np.zeros((len(good), k))
+        u[good] = y - x @ (np.linalg.pinv(x) @ y)  # a missing residual adds nothing to a product
         inv = np.linalg.pinv(u.T @ u / n)
-        traces = np.array([np.trace(c.T @ inv @ c @ inv) for c in (u[j:].T @ u[: n - j] / n for j in range(1, max(lags) + 1))])
+        products = (u[j:].T @ u[: max(0, len(u) - j)] / n if j < len(u) else np.zeros((k, k)) for j in range(1, max(lags) + 1))
+        traces = np.array([np.trace(c.T @ inv @ c @ inv) for c in products])
         steps = np.arange(1, max(lags) + 1)
         rows = []
         for h in lags:
             df = k * k * (h - p)
+            if h >= n or df <= 0:  # more lags than residuals
+                rows.append((h, float(df), *[None] * 6))
+                continue
             tr, j = traces[:h], steps[:h]
             stats = (n * tr.sum(), (n * (n + 2) * tr / (n - j)).sum(), (n * n * tr / (n - j)).sum())
             rows.append((h, float(df), *stats, *(float(gamma_tail(df / 2.0, s / 2.0)) for s in stats)))
-        names = ["lags", "df", "box_pierce", "ljung_box", "hosking", "p_box_pierce", "p_ljung_box", "p_hosking"]
-        out = pd.DataFrame(rows, columns=names)
+        out = no_nan(pd.DataFrame(rows, columns=names))
         for key in keys:
             out[key] = pdf[key].iloc[0]
         return out[[*keys, *names]]
@@ -257,7 +280,7 @@ def var_order(panel: DataFrame, keys: list[str], columns: list[str], max_p: int
     k = len(columns)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values, sd = unit_scale(pdf[columns].to_numpy(float))
+        values, sd = unit_scale(on_calendar(pdf, columns))
         x, y = design(values, max_p)
         n = len(x)
         rows = []
@@ -298,14 +321,21 @@ def johansen_trace(panel: DataFrame, keys: list[str], columns: list[str], order:
     k = len(columns)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf[columns].to_numpy(float)
-        v = unit_scale(v[np.isfinite(v).all(axis=1)])[0]
+        v = unit_scale(on_calendar(pdf, columns))[0]
         d = np.diff(v, axis=0)
         t = len(d)
-        z0 = d[order - 1 :]
-        z1 = np.hstack([np.ones((t - order + 1, 1)), *[d[order - 1 - i : t - i] for i in range(1, order)]])
-        zk = v[: len(v) - order]
-        n = len(z0)
+        names = ["rank", "eigenvalue", "trace", "crit10", "crit5", "crit1"]
+        n = max(0, t - order + 1)
+        if n:
+            z0 = d[order - 1 :]
+            z1 = np.hstack([np.ones((n, 1)), *[d[order - 1 - i : t - i] for i in range(1, order)]])
+            zk = v[: len(v) - order]
+            good = np.isfinite(np.hstack([z0, z1, zk])).all(axis=1)
+            z0, z1, zk = z0[good], z1[good], zk[good]
+            n = len(z0)
+        if n <= 1 + k * order:  # too short for its own regressors
+            out = pd.DataFrame([(r, *[None] * 5) for r in range(k)], columns=names)
+            return out.assign(**{key: pdf[key].iloc[0] for key in keys})[[*keys, *names]]
         project = np.linalg.pinv(z1)
         r0, rk = z0 - z1 @ (project @ z0), zk - z1 @ (project @ zk)
         s00, s0k, skk = r0.T @ r0 / n, r0.T @ rk / n, rk.T @ rk / n
@@ -316,10 +346,10 @@ def johansen_trace(panel: DataFrame, keys: list[str], columns: list[str], order:
             left = k - r
             crit = [JOHANSEN_TRACE[a][left - 1] if left <= 6 else np.nan for a in (0.10, 0.05, 0.01)]
             rows.append((r, float(lam[r]), float(-n * np.log1p(-lam[r:]).sum()), *crit))
-        out = pd.DataFrame(rows, columns=["rank", "eigenvalue", "trace", "crit10", "crit5", "crit1"])
+        out = no_nan(pd.DataFrame(rows, columns=names))
         for key in keys:
             out[key] = pdf[key].iloc[0]
-        return out[[*keys, "rank", "eigenvalue", "trace", "crit10", "crit5", "crit1"]]
+        return out[[*keys, *names]]
 
     fields = "rank int, eigenvalue double, trace double, crit10 double, crit5 double, crit1 double"
     return per_series(panel.select(*keys, "period", *columns), keys, run, f"{key_schema(panel, keys)}, {fields}")

@@ -19,6 +19,11 @@ def lagged(value: str, keys: list[str], k: int = 1) -> Column:
     return F.lag(value, k).over(by_period(keys))
 
 
+def at_lag(value: str, keys: list[str], k: int = 1) -> Column:
+    """The value exactly ``k`` periods earlier, NULL where that period is missing: no lag jumps a hole."""
+    return F.first(value).over(W.partitionBy(*keys).orderBy("period").rangeBetween(-k, -k))
+
+
 def growth(value: str, keys: list[str]) -> Column:
     """Discrete growth in percent."""
     return 100.0 * (ratio(F.col(value), lagged(value, keys)) - 1.0)

@@ -228,22 +228,18 @@ def _dm_sql(power: int, adjusted: bool) -> str:
         s AS (SELECT *, CASE WHEN v > 0 AND n > h THEN mean_d/sqrt(v)*{factor} END AS statistic FROM a)"""
 
 
-_T5 = """CASE WHEN statistic IS NULL THEN NULL ELSE 0.5 - (atan(statistic/sqrt(5.0)) + sin(atan(statistic/sqrt(5.0)))*cos(atan(statistic/sqrt(5.0)))
-   *(1.0 + 2.0/3.0*pow(cos(atan(statistic/sqrt(5.0))), 2)))/pi() END"""
-
-
 @query(
     "q_dm_test",
     sql(
         f"""{_dm_sql(2, True)} SELECT entity, horizon, model, benchmark, n, {r6('mean_d')} AS mean_d, {r6('statistic')} AS statistic,
-            CASE WHEN n = 6 THEN {r6(_T5)} END AS p_greater FROM s""",
+            {r6(st.t_tail('statistic', '(n - 1)'))} AS p_greater FROM s""",
         "records",
     ),
 )
 def dm_test(spark, d):
-    """One-sided p-value of the t law; the SQL knows its closed form for five degrees of freedom."""
+    """Squared loss, with the one-sided p-value of the t(n - 1) law."""
     out = evaluate.dm_statistic(records(spark, d), ["entity"], PAIRS, 2, True)
-    p = F.when(F.col("n") == 6, t_sf(F.col("statistic"), F.lit(5.0)))
+    p = t_sf(F.col("statistic"), (F.col("n") - 1).cast("double"))
     return out.select(
         "entity", "horizon", "model", "benchmark", "n", rounded(F.col("mean_d")).alias("mean_d"),
         rounded(F.col("statistic")).alias("statistic"), rounded(p).alias("p_greater"),

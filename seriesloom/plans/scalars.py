@@ -8,6 +8,7 @@ from seriesloom.functions.periods import quarter_index, quarter_start
 from seriesloom.functions.scalars import band, chi2_tail_even, normal_quantile, percent_text, ratio, rounded, safe_log, stars
 from seriesloom.functions.tails import chi2_sf, f_sf, normal_sf, t_sf
 from seriesloom.plans import bindings as b
+from seriesloom.plans import sqltools as st
 from seriesloom.plans.registry import query, r6
 
 
@@ -126,8 +127,7 @@ def _chi2_sql(x: str, df: int) -> str:
 @query(
     "q_tail_probability",
     f"""WITH {_STATS} SELECT o_custkey, n, {r6('t')} AS t, {r6(_Z)} AS p_normal, {r6(_chi2_sql('x', 10))} AS p_chi2, {r6(_chi2_sql('x', 10))} AS p_chi2_gamma,
-               CASE WHEN n = 6 THEN {r6('0.5 - (atan(t/sqrt(5.0)) + sin(atan(t/sqrt(5.0)))*cos(atan(t/sqrt(5.0)))*(1.0 + 2.0/3.0*pow(cos(atan(t/sqrt(5.0))), 2)))/pi()')}
-                    WHEN n = 3 THEN {r6('0.5 - t/(2*sqrt(2 + t*t))')} END AS p_t,
+               {r6(st.t_tail('t', '(n - 1)'))} AS p_t,
                {r6('pow(1 + t*t/4.0, -2)')} AS p_f FROM z""",
 )
 def tail_probability(spark, d):
@@ -152,7 +152,7 @@ def tail_probability(spark, d):
         rounded(normal_sf("t")).alias("p_normal"),
         rounded(chi2_tail_even(F.col("x"), 10)).alias("p_chi2"),
         rounded(chi2_sf(F.col("x"), F.lit(10.0))).alias("p_chi2_gamma"),
-        rounded(F.when(F.col("n").isin(3, 6), t_sf(F.col("t"), (F.col("n") - 1).cast("double")))).alias("p_t"),
+        rounded(t_sf(F.col("t"), (F.col("n") - 1).cast("double"))).alias("p_t"),
         rounded(f_sf(half_square, F.lit(2.0), F.lit(4.0))).alias("p_f"),
     )
 
