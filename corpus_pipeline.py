@@ -11,31 +11,43 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm import language, line_dedup, mixing, ngram_join, packing
-from seriesloom.llm.common import table
+from seriesloom.llm.common import shielded, table
 from seriesloom.llm.queries import word_vocabulary
 from seriesloom.sources.panels import stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language is found (null, empty or without a letter) go."""
-    found = language.predict(docs, language.learn(docs), keep=docs.columns)
-    return found.filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+
+    def work(inner: DataFrame) -> DataFrame:
+        found = language.predict(inner, language.learn(inner), keep=inner.columns)
+        return found.filter(F.col("lang_pred") != language.UNKNOWN)
+
+    return shielded(docs, work)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines leave the texts; a document of repeated lines only stays with an empty text."""
-    done = line_dedup.deduplicate(docs, keep=docs.columns)
-    made = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)}
-    return done.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
+
+    def work(inner: DataFrame) -> DataFrame:
+        done = line_dedup.deduplicate(inner, keep=inner.columns)
+        made = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(inner.schema["n_chars"].dataType)}
+        return done.select(*[made[c].alias(c) if c in made else F.col(c) for c in inner.columns])
+
+    return shielded(docs, work)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each class stays; rows without a doc_id stay."""
-    classes = ngram_join.join(docs)
-    first = classes.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("text")
-    stay = docs.join(first, "doc_id", "left_semi").withColumn("copy", F.row_number().over(order)).filter("copy = 1")
-    return stay.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+    def work(inner: DataFrame) -> DataFrame:
+        classes = ngram_join.join(inner)
+        first = classes.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+        order = Window.partitionBy("doc_id").orderBy("text")
+        stay = inner.join(first, "doc_id", "left_semi").withColumn("copy", F.row_number().over(order)).filter("copy = 1")
+        return stay.select(*inner.columns).unionByName(inner.filter(F.col("doc_id").isNull()))
+
+    return shielded(docs, work)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

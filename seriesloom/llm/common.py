@@ -137,6 +137,19 @@ def text_groups(texts: list[str], size: int = PIECE) -> Iterator[tuple[int, int]
         yield lo, len(texts)
 
 
+USED = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def shielded(docs: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Apply ``work``, which keeps its input's columns, under names that no operator makes.
+
+    Columns other than those of ``documents`` are called ``extra_i`` inside and get their own names back.
+    """
+    inside = [c if c in USED else f"extra_{i}" for i, c in enumerate(docs.columns)]
+    out = work(docs.toDF(*inside))
+    return out.select(*[F.col(a).alias(b) for a, b in zip(inside, docs.columns)])
+
+
 def texts_of(column) -> list[str]:
     """A pandas text column as a list, null as the empty text."""
     return [t if isinstance(t, str) else "" for t in column]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from seriesloom.llm.common import shielded
 from seriesloom.sources.panels import stage
 
 BLOCK = 64
@@ -192,6 +193,10 @@ def mixed_texts(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     words taken in that round, each run of neighbouring words as it stands, runs joined by a line
     break. ``n_chars`` becomes the length of that text. Documents of which nothing is taken go.
     """
+    return shielded(docs, lambda inner: _cut_texts(inner, pieces))
+
+
+def _cut_texts(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     columns = docs.columns
     named = docs.withColumn("row", F.xxhash64("doc_id", "source", "text")).dropDuplicates(["row", "doc_id"])
     spans = F.array_sort(F.collect_list(F.struct("first_word", "n_words")))
