@@ -90,9 +90,13 @@ class WordSplitter:
         if parts:
             yield owners, parts
 
-    def split(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word hashes of all texts in order, words per text, and characters in words per text."""
+    def split(self, texts: list[str], prefix: int = 0) -> tuple[np.ndarray, ...]:
+        """Word hashes of all texts in order, words per text, and characters in words per text.
+
+        With ``prefix`` also hashes of each word's first ``prefix`` characters (of a shorter word: of all).
+        """
         hashes: list[np.ndarray] = []
+        heads: list[np.ndarray] = []
         counts = np.zeros(len(texts), np.int64)
         chars = np.zeros(len(texts), np.int64)
         for owners, parts in self._pieces(texts):
@@ -102,14 +106,17 @@ class WordSplitter:
             inside = self.inside[codes]
             edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
             starts, ends = edges[::2], edges[1::2]
-            prefix = np.zeros(codes.size + 1, np.uint64)
-            np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * self.up[: codes.size], out=prefix[1:])
-            hashes.append(mix((prefix[ends] - prefix[starts]) * self.down[starts]))
+            total = np.zeros(codes.size + 1, np.uint64)
+            np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * self.up[: codes.size], out=total[1:])
+            hashes.append(mix((total[ends] - total[starts]) * self.down[starts]))
+            if prefix:
+                heads.append(mix(~((total[np.minimum(starts + prefix, ends)] - total[starts]) * self.down[starts])))
             first = np.cumsum([0] + [len(p) + 1 for p in parts[:-1]])
             owner = np.asarray(owners)[np.searchsorted(first, starts, side="right") - 1]
             counts += np.bincount(owner, minlength=len(texts))
             chars += np.bincount(owner, weights=ends - starts, minlength=len(texts)).astype(np.int64)
-        return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), counts, chars
+        flat = [np.concatenate(h) if h else np.zeros(0, np.uint64) for h in (hashes, heads)]
+        return (flat[0], counts, chars, flat[1]) if prefix else (flat[0], counts, chars)
 
 
 def windows(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -250,12 +250,12 @@ def leaf_buckets(
             F.count(F.lit(1)).alias("n"),
             F.bit_xor(F.xxhash64("rep")).alias("sum1"),
             F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("sum2"),
-            F.min(F.struct(F.xxhash64("rep", "node").alias("h"), F.col("rep").alias("rep"))).alias("leader"),
+            F.min_by("rep", F.xxhash64("rep", "node")).alias("leader"),
         ).filter("n > 1")
         counts = stage(counts, f"path-counts-{at}")
         small = counts.filter(F.col("n") <= bucket).groupBy("n", "sum1", "sum2").agg(F.min("node").alias("node"))
         leaves.append(level.join(small.select("node"), "node").select(F.xxhash64("node", F.lit(at)).alias("bucket"), "rep"))
-        large = counts.filter(F.col("n") > bucket).select("node", "n", F.col("leader.rep").alias("leader"))
+        large = counts.filter(F.col("n") > bucket).select("node", "n", "leader")
         if large.isEmpty():
             break
         rest = level.join(large, "node")

@@ -20,7 +20,7 @@ BUCKETS = 1 << 16
 SAMPLE = 50_000
 SMOOTHING = 1.0
 # Mean log ratio per n-gram below which a document is turned down.
-LEAST_RATIO = -0.5
+LEAST_RATIO = -0.2
 SYMBOLS = "#*$%&|<>"
 
 

@@ -19,18 +19,41 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import WordSplitter, id_hash, map_texts, text_groups, texts_of
+from seriesloom.llm.common import WordSplitter, id_hash, map_texts, mix, text_groups, texts_of, windows
+from seriesloom.sources.panels import stage
 
-# Words share this many counters; the table that goes to tasks has this size at any scale.
+# Words and word beginnings share this many counters; the table that goes to tasks has this size at any scale.
 BUCKETS = 1 << 18
+# Letters of a word's beginning, which stands for its inflected forms.
+PREFIX = 4
 SAMPLE = 50_000
 FOLDS, HELD = 5, 0
 
 
+def near_keys(texts: list[str], words: WordSplitter) -> np.ndarray:
+    """Four minima of hashes over a text's runs of three words: near copies mostly share one."""
+    out = np.zeros((len(texts), 4), np.int64)
+    for lo, hi in text_groups(texts):
+        hashes, counts, _ = words.split([t.lower() for t in texts[lo:hi]])
+        runs, at = windows(hashes, counts, 3)
+        owner = np.repeat(np.arange(counts.size), counts)[at]
+        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if owner.size else owner
+        # fewer than three words: the words together
+        whole = np.concatenate([[np.uint64(0)], np.cumsum(hashes, dtype=np.uint64)])
+        ends = np.cumsum(counts)
+        for k in range(4):
+            out[lo:hi, k] = mix(whole[ends] - whole[ends - counts] + np.uint64(k + 1)).view(np.int64)
+            if owner.size:
+                least = np.minimum.reduceat(mix(runs + np.uint64(k + 1)), first)
+                out[lo + owner[first], k] = least.view(np.int64)
+    return out
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Texts and labels of about ``sample`` labelled documents outside the held-out fold, drawn by hash.
+    """Texts and labels of labelled documents outside the held-out fold, near copies once.
 
-    The drawn labels are a bounded table, so they and not the texts are sent around.
+    About ``sample`` of them are drawn by hash. The drawn labels are a bounded table, so they and
+    not the texts are sent around.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("y"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (id_hash() % FOLDS != HELD))
@@ -38,7 +61,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     if total > sample:
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int((1 << 30) * sample / total))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
-    return docs.select("doc_id", F.col("text").alias("text")).join(F.broadcast(known), "doc_id").select("y", "text")
+    drawn = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+
+    def make():
+        words = WordSplitter("alnum")
+
+        def run(texts: list[str]) -> dict:
+            keys = near_keys(texts, words)
+            return {f"k{i}": keys[:, i] for i in range(4)}
+
+        return run
+
+    # one document of each group of near copies, so that no text teaches its own words many times over
+    one = map_texts(drawn, ["doc_id", "y"], make, "k0 long, k1 long, k2 long, k3 long")
+    for i in range(4):
+        rest = [c for c in one.columns if c != f"k{i}"]
+        one = one.groupBy(f"k{i}").agg(F.min(F.struct(*rest)).alias("r")).select("r.*")
+    one = stage(one, "labelled-sample")
+    return docs.select("doc_id", "text").join(F.broadcast(one.distinct()), "doc_id").select("y", "text")
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def _bucket_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,10 +91,10 @@ def _bucket_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         texts, y = texts_of(frame["text"]), frame["y"].to_numpy()
         for lo, hi in text_groups(texts):
-            hashes, counts, _ = words.split([t.lower() for t in texts[lo:hi]])
+            hashes, counts, _, heads = words.split([t.lower() for t in texts[lo:hi]], PREFIX)
             # a document counts each of its words once, so that no long or repetitive one decides
             owner = np.repeat(np.arange(lo, hi), counts)
-            pairs = np.unique(owner * BUCKETS + (hashes % np.uint64(BUCKETS)).astype(np.int64))
+            pairs = np.unique(np.concatenate([owner * BUCKETS + _bucket(h) for h in (hashes, heads)]))
             toxic = y[pairs // BUCKETS] > 0
             total[1] += np.bincount(pairs[toxic] % BUCKETS, minlength=BUCKETS)
             total[0] += np.bincount(pairs[~toxic] % BUCKETS, minlength=BUCKETS)
@@ -58,7 +102,7 @@ def _bucket_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"bucket": at, "clean": total[0, at], "toxic": total[1, at]})
 
 
-def word_weights(sample: DataFrame, prior: float = 10_000.0, least_z: float = 3.5, gap_cost: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def word_weights(sample: DataFrame, prior: float = 10_000.0, least_z: float = 4.0, gap_cost: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Score of each bucket, and its share of clean words.
 
     The score is the log-odds where they are surely positive, ``-gap_cost`` elsewhere.
@@ -104,8 +148,9 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 def _scored(texts: list[str], words: WordSplitter, weights: np.ndarray) -> Iterator[tuple[int, list]]:
     for lo, hi in text_groups(texts):
-        hashes, counts, _ = words.split([t.lower() for t in texts[lo:hi]])
-        scores = weights[(hashes % np.uint64(BUCKETS)).astype(np.int64)]
+        hashes, counts, _, heads = words.split([t.lower() for t in texts[lo:hi]], PREFIX)
+        # a word is as toxic as itself or its beginning, whichever says more
+        scores = np.maximum(weights[_bucket(hashes)], weights[_bucket(heads)])
         ends = np.cumsum(counts)
         for n, end in zip(counts.tolist(), ends.tolist()):
             yield n, maximal_segments(scores[end - n : end])
@@ -132,15 +177,21 @@ def extreme_value_scale(weights: np.ndarray, share_positive: np.ndarray) -> floa
 
 
 def _evidence(n: int, segments: list, rate: float, per_word: float, sure: float) -> tuple[float, list]:
-    """Log of how few such segments chance gives, summed over the significant ones; the best alone if none is."""
-    best, total, kept = 0.0, 0.0, []
-    for first, last, score in segments:
-        e = rate * score - math.log(max(per_word * n, 1e-12))
-        best = max(best, e)
-        if e >= sure:
-            total += e
-            kept.append((first, last, float(e)))
-    return max(best, total), kept
+    """How unlikely chance is to give a text's segments, as minus the log of a probability, and the significant ones.
+
+    ``x`` of a segment is minus the log of the number of segments as good that chance gives in
+    ``n`` words. The ``r`` best together have the law of a sum of extremes; the least likely ``r``
+    counts.
+    """
+    per_text = math.log(max(per_word * n, 1e-12))
+    x = sorted((rate * score - per_text for _, _, score in segments), reverse=True)
+    best, total = 0.0, 0.0
+    for r, each in enumerate(x, 1):
+        total += each
+        if total > 0:
+            best = max(best, total + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(max(total, 1.0)))
+    kept = [(a, b, float(rate * score - per_text)) for a, b, score in segments if rate * score - per_text >= sure]
+    return best, kept
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
