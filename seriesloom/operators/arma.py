@@ -70,8 +70,8 @@ def starting_values(y: np.ndarray, p: int, q: int) -> np.ndarray:
     return out
 
 
-def fit_css(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = None, rounds: int = 60, lags: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Parameters, residuals and sums of squares by damped Gauss-Newton steps on all rows at once."""
+def fit_css(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = None, rounds: int = 300, lags: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Parameters, residuals, sums of squares and whether each row settled, by damped Gauss-Newton steps on all rows at once."""
     live = live_mask(y, n, p if start is None else start, p if lags is None else lags)
     params = np.array([starting_values(row[:size][np.isfinite(row[:size])], p, q) for row, size in zip(y, n)])
 
@@ -120,14 +120,14 @@ def fit_css(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = No
         params[took], e[took], best[took] = trial[ok], e_new[ok], s_new[ok]
         damping[i] = np.where(ok, np.maximum(damping[i] / 5, 1e-9), damping[i] * 8)
         # a row ends by its own progress only, so that its neighbours in the batch do not matter
-        active[i] = (gain > 1e-12) & (damping[i] < 1e8)
-    return params, e, best
+        active[i] = (gain > 1e-10) & (damping[i] < 1e8)
+    return params, e, best, ~active
 
 
 ROWS_AT_ONCE = 256
 
 
-def fit_many(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = None, rounds: int = 60, lags: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_many(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = None, rounds: int = 300, lags: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """:func:`fit_css` in slices, so that memory does not depend on the Arrow batch size."""
     parts = [fit_css(y[i : i + ROWS_AT_ONCE], n[i : i + ROWS_AT_ONCE], p, q, start, rounds, lags) for i in range(0, len(y), ROWS_AT_ONCE)]
     return tuple(np.concatenate(column) for column in zip(*parts))
@@ -184,7 +184,8 @@ def arma_backtest(
     """ARMA(p, q) with mean refitted at every origin."""
     p, q = order
     arrays = series_arrays(panel, keys, value)
-    origins = arrays.withColumn("training_end", F.explode(F.sequence(F.lit(cut + 1 - max(horizons)), F.lit(last - min(horizons)))))
+    # an array crosses the shuffle once; its origins are laid out behind it
+    origins = spread(arrays, keys).withColumn("training_end", F.explode(F.sequence(F.lit(cut + 1 - max(horizons)), F.lit(last - min(horizons)))))
     size = F.col("training_end") - F.col("first") + 1
     rows = origins.withColumn("size", size).filter((F.col("size") > 0) & (F.col("size") <= F.size("values")))
 
@@ -196,7 +197,7 @@ def arma_backtest(
         if enough.any():
             some = pdf[enough]
             ys, ns = y[enough], n[enough]
-            params, e, sse = fit_many(ys, ns, p, q)
+            params, e, sse, _ = fit_many(ys, ns, p, q)
             mean, weight = forecast_css(ys, ns, params, e, p, q, max(horizons))
             sigma2 = sse / used[enough]
             for h in horizons:
@@ -210,7 +211,7 @@ def arma_backtest(
                 )
         return pd.concat(parts) if parts else pd.DataFrame(columns=[*keys, "training_end", "periods_ahead", "true_value", "mean", "se"])
 
-    out = map_rows(spread(rows, [*keys, "training_end"]), run, f"{key_schema(rows, keys)}, {FORECAST_FIELDS}")
+    out = map_rows(rows, run, f"{key_schema(rows, keys)}, {FORECAST_FIELDS}")
     target = F.col("training_end") + F.col("periods_ahead")
     return to_records(out.filter(target.between(cut + 1, last)), keys, model)
 
@@ -221,10 +222,9 @@ def arma_orders(panel: DataFrame, keys: list[str], value: str, max_p: int = 10,
     Candidates are rows: (series, p) pairs spread over the cluster, each fitting its range of q.
     """
     arrays = series_arrays(panel, keys, value)
-    grid = arrays.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(max_p)))).withColumn(
-        "q", F.explode(F.sequence(F.lit(0), F.lit(max_q)))
-    )
-    spread_grid = spread(grid, [*keys, "p", "q"])
+    # an array crosses the shuffle once per p; its range of q is laid out behind it
+    grid = spread(arrays.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(max_p)))), [*keys, "p"])
+    spread_grid = grid.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(max_q))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -234,18 +234,18 @@ def arma_orders(panel: DataFrame, keys: list[str], value: str, max_p: int = 10,
             used = live_mask(y, n, start, max_p).sum(axis=1)
             k = p + q + 2
             good = used - k - 1 > 0
-            aicc, sigma = np.full(len(some), np.nan), np.full(len(some), np.nan)
+            aicc, sigma, settled = np.full(len(some), np.nan), np.full(len(some), np.nan), np.zeros(len(some), bool)
             if good.any():
-                _, _, sse = fit_many(y[good], n[good], int(p), int(q), start, 25, max_p)
+                _, _, sse, settled[good] = fit_many(y[good], n[good], int(p), int(q), start, lags=max_p)
                 u = used[good]
                 with np.errstate(all="ignore"):
                     sigma[good] = sse / u
                     aicc[good] = u * (np.log(2 * np.pi * sse / u) + 1) + 2 * k + 2 * k * (k + 1) / (u - k - 1)
-            parts.append(some[keys].assign(p=p, q=q, sigma2=sigma, aicc=aicc))
+            parts.append(some[keys].assign(p=p, q=q, sigma2=sigma, aicc=aicc, converged=settled))
         return pd.concat(parts)
 
-    scored = map_rows(spread_grid, run, f"{key_schema(grid, keys)}, p int, q int, sigma2 double, aicc double")
-    usable = F.when(F.abs("aicc") < 1e300, F.col("aicc"))
+    scored = map_rows(spread_grid, run, f"{key_schema(grid, keys)}, p int, q int, sigma2 double, aicc double, converged boolean")
+    usable = F.when((F.abs("aicc") < 1e300) & F.col("converged"), F.col("aicc"))
     w = W.partitionBy(*keys)
     return (
         scored.withColumn("aicc", usable)

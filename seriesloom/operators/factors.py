@@ -21,16 +21,19 @@ from seriesloom.operators.systems import FORECAST_FIELDS, companion_forecast, de
 def gram(df: DataFrame, vector: str, size: int, key: str | None = None) -> DataFrame:
     """Sums of products of (1, vector - centre) as one array of upper-triangle cells per key.
 
-    The centre is any one vector of the data; it only keeps the sums near zero and is returned
-    beside them.
+    The centre is the least vector of the data; it only keeps the sums near zero and is returned
+    beside them. A vector of another length than ``size`` raises; one holding NaN is left out and
+    does not count in ``n``.
 
     ``key`` must have few values (folds, say): each task keeps and emits one matrix per key.
     """
     rows, cols = np.triu_indices(size + 1)
     source = df.select(*([key] if key else []), vector).filter(F.col(vector).isNotNull())
 
-    start = source.select(vector).first()
-    centre = np.nan_to_num(np.asarray(start[0], dtype=float)) if start else np.zeros(size)
+    least, shortest, longest = source.agg(F.min(vector), F.min(F.size(vector)), F.max(F.size(vector))).first()
+    if least is not None and not shortest == longest == size:
+        raise ValueError(f"vectors have {shortest} to {longest} entries, not {size}")
+    centre = np.zeros(size) if least is None else np.nan_to_num(np.asarray(least, dtype=float))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}

@@ -213,24 +213,63 @@ class KernelRegression:
     Features and target are standardised, so cost and tube width are in units of the target's
     deviation.
 
-    Each step is one pass over the frame: every task forms, per model, the weighted normal
-    equations of its training rows (iteratively reweighted least squares); a grouped sum adds them
-    up and the driver solves one small system per model.
+    The hinge beside the tube is rounded over ``smooth``, which falls in stages, so that Newton's
+    method applies. Each step is one pass over the frame: every task sums, per model and trial point,
+    loss, gradient and curvature of its training rows; a grouped sum adds them up and the driver
+    solves one small system per model. A model that does not reach ``tolerance`` raises.
     """
 
-    def __init__(self, frame: DataFrame, keys: list[str], models: list[SvrModel], n_landmarks: int = 24, rounds: int = 12):
+    STAGES = (1.0, 0.1, 0.01, 0.001)
+    STRIDES = (1.0, 0.4, 0.1, 0.02)
+
+    def __init__(
+        self, frame: DataFrame, keys: list[str], models: list[SvrModel], n_landmarks: int = 24, rounds: int = 60, tolerance: float = 1e-6
+    ):
+        """``n_landmarks`` is the rank of the kernel approximation; ``rounds`` bounds the steps of one stage."""
         self.frame, self.keys, self.models = frame, keys, models
         self.space = kernel_space(frame, keys, models, n_landmarks)
-        self.weights = {m.number: None for m in models}
+        self.weights = {m.number: np.zeros(self.space.maps[m.number].shape[1] + 1) for m in models}
+        self.objective: dict[int, float] = {}
+        for smooth in self.STAGES:
+            self._settle(smooth, rounds, tolerance)
+
+    def _settle(self, smooth: float, rounds: int, tolerance: float) -> None:
+        """Newton steps until no model can gain more than ``tolerance`` of its objective."""
+        points = {m.number: [w] for m, w in ((m, self.weights[m.number]) for m in self.models)}
         for _ in range(rounds):
-            if self._step() < 1e-6:
-                break
-
-    def _step(self) -> float:
-        models, weights, space = self.models, dict(self.weights), self.space
+            found = self._sums(points, smooth)
+            following = {}
+            for m in self.models:
+                if m.number not in points:
+                    continue
+                value, w, gradient, *curvatures = min(
+                    (self._whole(m, w, *found.get((m.number, i), self._none(w))) for i, w in enumerate(points[m.number])), key=lambda v: v[0]
+                )
+                self.weights[m.number], self.objective[m.number] = w, value
+                steps = [-np.linalg.lstsq(c + 1e-8 * np.eye(len(w)), gradient, rcond=None)[0] for c in curvatures]
+                # what the cautious step, which bounds the loss from above, still promises
+                if -gradient @ steps[1] / 2 > tolerance * (1.0 + abs(value)):
+                    following[m.number] = [w] + [w + t * step for step in steps for t in self.STRIDES]
+            if not following:
+                return
+            points = following
+        raise RuntimeError(f"kernel regression: models {sorted(points)} did not settle in {rounds} steps")
+
+    @staticmethod
+    def _none(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        return 0.0, np.zeros(len(w)), np.zeros((len(w), len(w))), np.zeros((len(w), len(w)))
+
+    @staticmethod
+    def _whole(m: SvrModel, w: np.ndarray, loss: float, gradient: np.ndarray, *curvatures: np.ndarray) -> tuple:
+        ridge = np.ones(len(w))
+        ridge[-1] = 1e-9  # the intercept is free
+        return 0.5 * w @ (ridge * w) + m.cost * loss, w, ridge * w + m.cost * gradient, *(np.diag(ridge) + m.cost * c for c in curvatures)
+
+    def _sums(self, points: dict[int, list[np.ndarray]], smooth: float) -> dict[tuple[int, int], tuple]:
+        models, space = [m for m in self.models if m.number in points], self.space
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums: dict[int, np.ndarray] = {}
+            sums: dict[tuple[int, int], np.ndarray] = {}
             for batch in batches:
                 x, y = np.stack(batch["x"].to_numpy()).astype(float), batch["y"].to_numpy(float)
                 period = batch["period"].to_numpy()
@@ -241,34 +280,26 @@ class KernelRegression:
                     if not mine.any():
                         continue
                     phi, t = space.features(x[mine], m), (y[mine] - space.y_mean) / space.y_sd
-                    old = weights[m.number]
-                    if old is None:
-                        a, tube = np.ones(len(t)), np.zeros(len(t))
-                    else:
-                        r = t - phi @ old
+                    for i, w in enumerate(points[m.number]):
+                        r = t - phi @ w
                         over = np.abs(r) - m.epsilon
-                        a = np.where(over > 0, 1.0 / np.maximum(over, 1e-4), 0.0)
-                        tube = np.sign(r) * m.epsilon
-                    left = (phi * a[:, None]).T @ phi
-                    right = (phi * a[:, None]).T @ (t - tube)
-                    sums[m.number] = sums.get(m.number, 0.0) + np.concatenate([left.ravel(), right])
-            for number, cells in sums.items():
-                yield pd.DataFrame({"model": number, "cell": np.arange(len(cells)), "value": cells})
-
-        sums = self.frame.select("period", "y", "x").mapInPandas(run, "model int, cell int, value double")
-        table = sums.groupBy("model", "cell").agg(F.sum("value").alias("value")).toPandas()  # models x landmarks^2 numbers
-        change = 0.0
-        for m in self.models:
-            cells = table[table["model"] == m.number].sort_values("cell")["value"].to_numpy()
-            size = self.space.maps[m.number].shape[1] + 1
-            ridge = np.eye(size)
-            ridge[-1, -1] = 1e-9
-            new = np.linalg.lstsq(m.cost * cells[: size * size].reshape(size, size) + ridge, m.cost * cells[size * size :], rcond=None)[0]
-            old = self.weights[m.number]
-            blended = new if old is None else 0.5 * (old + new)
-            change = max(change, 1.0 if old is None else float(np.abs(blended - old).max()))
-            self.weights[m.number] = blended
-        return change
+                        inside = (over > 0) & (over < smooth)
+                        loss = np.where(inside, over * over / (2 * smooth), np.maximum(over - smooth / 2, 0.0)).sum()
+                        gradient = -phi.T @ (np.sign(r) * np.clip(over / smooth, 0.0, 1.0))
+                        true = phi[inside].T @ phi[inside] / smooth
+                        bound = (phi / np.maximum(np.abs(over), smooth)[:, None]).T @ phi
+                        sums[m.number, i] = sums.get((m.number, i), 0.0) + np.concatenate([[loss], gradient, true.ravel(), bound.ravel()])
+            for (number, i), cells in sums.items():
+                yield pd.DataFrame({"model": number, "point": i, "cell": np.arange(len(cells)), "value": cells})
+
+        sums = self.frame.select("period", "y", "x").mapInPandas(run, "model int, point int, cell int, value double")
+        # models x trial points x landmarks^2 numbers
+        table = sums.groupBy("model", "point", "cell").agg(F.sum("value").alias("value")).toPandas().sort_values("cell")
+        out = {}
+        for (number, i), part in table.groupby(["model", "point"]):
+            cells, size = part["value"].to_numpy(), len(points[number][i])
+            out[number, i] = cells[0], cells[1 : size + 1], *cells[size + 1 :].reshape(2, size, size)
+        return out
 
     def predictions(self, with_train: bool = False) -> DataFrame:
         """Test (and training) predictions of every model: ``keys, period, model, fold, set, truth, response``."""

@@ -129,8 +129,10 @@ def per_series(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.D
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Repartition by key into the configured number of shuffle partitions, not fewer."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    """Repartition by key into no fewer partitions than the cluster has cores or the session asks for."""
+    spark = df.sparkSession
+    asked = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(asked, spark.sparkContext.defaultParallelism), *keys)
 
 
 def lag_columns(df: DataFrame, keys: list[str], columns: list[str], lags: int) -> tuple[DataFrame, list[str]]:

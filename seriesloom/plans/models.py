@@ -18,7 +18,6 @@ MONTH_CUT = 24000  # 2000-01
 NK = ["y", "q", "disc"]
 LI = ["y", "q", "disc", "tax", "gn"]
 LEVELS = ["revenue", "quantity", "discount"]
-DIM = 64
 LAGS = list(range(10, 51, 5))
 
 
@@ -270,8 +269,13 @@ def arma_order(spark, d):
     return arma.arma_orders(b.flag_features(spark, d), ["entity"], "y", 10, 10)
 
 
+def _dim(spark, d):
+    """Entries of a vector: one number, the same for all."""
+    return b.vectors(spark, d).agg(F.max(F.size("v"))).first()[0] or 1
+
+
 def _gram(spark, d):
-    return factors.gram(b.vectors(spark, d), "v", DIM)
+    return factors.gram(b.vectors(spark, d), "v", _dim(spark, d))
 
 
 @query(
@@ -280,7 +284,7 @@ def _gram(spark, d):
         SELECT CAST(l.i AS INTEGER) AS a, CAST(r.i AS INTEGER) AS b, count(*) AS n, {r6('corr(l.v, r.v)')} AS r FROM x l JOIN x r USING (vec_id) WHERE l.i <= r.i GROUP BY 1, 2""",
 )
 def corr_matrix(spark, d):
-    out = factors.correlation_rows(_gram(spark, d), DIM)
+    out = factors.correlation_rows(_gram(spark, d), _dim(spark, d))
     return out.select("a", "b", "n", rounded(F.col("r")).alias("r"))
 
 
@@ -293,7 +297,7 @@ def corr_matrix(spark, d):
 )
 def corr_pvalues(spark, d):
     """P-values from the data, pairs of different columns only."""
-    out = factors.correlation_rows(_gram(spark, d), DIM).filter("a < b")
+    out = factors.correlation_rows(_gram(spark, d), _dim(spark, d)).filter("a < b")
     return out.select("a", "b", rounded(F.col("t")).alias("t"), rounded(F.col("p_value")).alias("p_value"))
 
 
@@ -305,27 +309,27 @@ def corr_pvalues(spark, d):
 def pca_identity(spark, d):
     """Scores on all components times loadings: the standardised data, if the decomposition is right."""
     moments = _gram(spark, d)
-    scored = factors.scores(b.vectors(spark, d), "v", moments, DIM, DIM)
-    weights = factors.loading_matrix(moments, DIM).scalar()
+    scored = factors.scores(b.vectors(spark, d), "v", moments, _dim(spark, d), _dim(spark, d))
+    weights = factors.loading_matrix(moments, _dim(spark, d)).scalar()
     rows = scored.withColumn("_w", weights).select("vec_id", F.posexplode(F.transform("_w", lambda w: factors.dot(w, F.col("scores")))).alias("i", "z"))
     return rows.select("vec_id", (F.col("i") + 1).alias("feature"), rounded(F.col("z")).alias("z"))
 
 
 @query("q_pca")
 def pca(spark, d):
-    return factors.explained(_gram(spark, d), DIM, DIM).drop("k")
+    return factors.explained(_gram(spark, d), _dim(spark, d), _dim(spark, d)).drop("k")
 
 
 @query("q_pca_scores")
 def pca_scores(spark, d):
-    out = factors.scores(b.vectors(spark, d), "v", _gram(spark, d), DIM, 5)
+    out = factors.scores(b.vectors(spark, d), "v", _gram(spark, d), _dim(spark, d), 5)
     return out.select("vec_id", *[F.col("scores")[i].alias(f"pc{i + 1}") for i in range(5)])
 
 
 @query("q_pca_loadings")
 def pca_loadings(spark, d):
     """Loadings beside the dictionary group of their feature (25 nations stand for 64 features, cycled)."""
-    rows = factors.loading_rows(_gram(spark, d), DIM, 5).drop("k")
+    rows = factors.loading_rows(_gram(spark, d), _dim(spark, d), 5).drop("k")
     named = rows.withColumn("series", F.concat(F.lit("NATION_"), (F.col("feature") % 25).cast("string")))
     return joins.dictionary_join(named, b.info(spark, d), "series", "series")
 
@@ -334,9 +338,9 @@ def pca_loadings(spark, d):
 def pcr(spark, d):
     """Five-fold principal-component regression of the first component of every vector on the rest."""
     rotated = b.vectors(spark, d).select(
-        (F.col("vec_id") % 5).cast("int").alias("fold"), F.concat(F.slice("v", 2, DIM - 1), F.slice("v", 1, 1)).alias("v")
+        (F.col("vec_id") % 5).cast("int").alias("fold"), F.concat(F.slice("v", 2, _dim(spark, d) - 1), F.slice("v", 1, 1)).alias("v")
     )
-    return factors.pcr_cv(factors.gram(rotated, "v", DIM, "fold"), DIM, 10)
+    return factors.pcr_cv(factors.gram(rotated, "v", _dim(spark, d), "fold"), _dim(spark, d), 10)
 
 
 @query("q_favar_backtest")

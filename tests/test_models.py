@@ -189,7 +189,7 @@ def test_arma_recovers_a_process():
     y = np.zeros(n)
     for t in range(2, n):
         y[t] = 0.5 * y[t - 1] - 0.3 * y[t - 2] + e[t] + 0.4 * e[t - 1]
-    params, _, sse = arma.fit_css((y + 2.0)[None], np.array([n]), 2, 1)
+    params, _, sse, settled = arma.fit_css((y + 2.0)[None], np.array([n]), 2, 1)
     assert params[0] == pytest.approx([2.0, 0.5, -0.3, 0.4], abs=0.08)
     assert sse[0] / n == pytest.approx(1.0, abs=0.06)
 
@@ -293,11 +293,43 @@ def test_kernel_regression_learns_a_curve(spark):
     frame = spark.createDataFrame(rows, "entity string, period int, y double, x array<double>")
     folds = ml.test_folds(38, 39, 0)
     models = [ml.SvrModel(i, kernel, 10.0, 0.05, f) for i, (kernel, f) in enumerate((k, f) for k in ("radial", "sigmoid") for f in folds)]
-    out = ml.fold_scores(ml.KernelRegression(frame, ["entity"], models, 24, 15).predictions(), ["model"])
+    out = ml.fold_scores(ml.KernelRegression(frame, ["entity"], models, 24).predictions(), ["model"])
     scores = {r["model"]: r["rmse"] for r in out.collect()}
     assert len(scores) == 4 and max(scores[0], scores[1]) < 0.25 and max(scores[2], scores[3]) < 0.4
 
 
+@pytest.mark.parametrize("kernel", ["radial", "sigmoid", "polynomial"])
+def test_kernel_regression_reaches_the_optimum(spark, kernel):
+    """No slow subgradient descent on the exact objective gets below the fitted one."""
+    rng = np.random.default_rng(3)
+    rows = [(t % 5, t // 5, float(np.tanh(x[0]) + 0.1 * rng.normal()), x.tolist()) for t, x in enumerate(rng.normal(size=(200, 2)))]
+    frame = spark.createDataFrame(rows, "entity int, period int, y double, x array<double>")
+    model = ml.SvrModel(0, kernel, 0.3, 0.1, ml.Fold(1, 100, 100))
+    fit = ml.KernelRegression(frame, ["entity"], [model])
+    x, y = np.array([r[3] for r in rows]), np.array([r[2] for r in rows])
+    phi, t = fit.space.features(x, model), (y - fit.space.y_mean) / fit.space.y_sd
+    ridge = np.ones(phi.shape[1])
+    ridge[-1] = 1e-9
+
+    def objective(w):
+        return 0.5 * w @ (ridge * w) + model.cost * np.maximum(np.abs(t - phi @ w) - model.epsilon, 0).sum()
+
+    w, best = np.zeros(phi.shape[1]), np.inf
+    for k in range(20_000):
+        r = t - phi @ w
+        w = w - (0.2 / (10 + k)) * (ridge * w - model.cost * phi.T @ (np.sign(r) * (np.abs(r) > model.epsilon)))
+        best = min(best, objective(w))
+    assert objective(fit.weights[0]) <= best + 2e-3 * best
+    with pytest.raises(RuntimeError):
+        ml.KernelRegression(frame, ["entity"], [model], rounds=1)
+
+
+def test_vectors_of_another_length_raise(spark):
+    frame = spark.createDataFrame([([1.0, 2.0, 3.0],), ([1.0, 0.0, 2.0],)], "v array<double>")
+    with pytest.raises(ValueError):
+        factors.gram(frame, "v", 2)
+
+
 def test_arma_does_not_close_holes():
     """With a hole the AR(1) fit uses only true neighbours."""
     rng = np.random.default_rng(4)
@@ -305,7 +337,7 @@ def test_arma_does_not_close_holes():
     for t in range(1, 60):
         y[t] = 0.6 * y[t - 1] + rng.normal()
     y[[20, 21, 40]] = np.nan
-    params, _, _ = arma.fit_css(y[None], np.array([60]), 1, 0)
+    params, _, _, _ = arma.fit_css(y[None], np.array([60]), 1, 0)
     a, c = y[:-1], y[1:]
     good = np.isfinite(a) & np.isfinite(c)
     slope = np.polyfit(a[good], c[good], 1)[0]
