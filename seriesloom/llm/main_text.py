@@ -164,10 +164,14 @@ def distribution(weights: list[int], window: int = WINDOW) -> list[int]:
 
 
 def main_text(page: str, window: int = WINDOW) -> str:
-    """Text between surge and dive points. Where a page marks its article, lines outside weigh nothing."""
+    """Text between surge and dive points.
+
+    Where a page marks its article, lines outside weigh nothing and each line inside something.
+    Elsewhere a line of links stays only between two lines of text.
+    """
     lines = lines_of(page)
-    marked = any(inside and weight for _, weight, inside in lines)
-    weights = [weight if inside or not marked else 0 for _, weight, inside in lines]
+    marked = any(inside for _, _, inside in lines)
+    weights = [(max(1, weight) if inside else 0) if marked else weight for _, weight, inside in lines]
     sums = distribution(weights, window)
     kept: list[str] = []
     i = 0
@@ -179,8 +183,10 @@ def main_text(page: str, window: int = WINDOW) -> str:
         while i < len(lines) and sums[i]:
             i += 1
         dive = i  # from here on a whole window weighs nothing
-        region = [k for k in range(surge, dive) if weights[k] or (lines[k][2] and marked and surge < k)]
-        kept += [lines[k][0] for k in region]
+        for k in range(surge, dive):
+            between = not marked and surge < k < len(lines) - 1 and weights[k - 1] and weights[k + 1]
+            if weights[k] or between:
+                kept.append(lines[k][0])
     return "\n\n".join(kept)
 
 
