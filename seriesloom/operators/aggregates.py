@@ -16,21 +16,14 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     The built-in exact percentile gathers a group's distinct values in one aggregation buffer.
     Here a mergeable sketch first brackets each wanted rank within ``4 / accuracy`` of the group.
     A second grouped count keeps apart only the values inside a bracket and lumps the others, so
-    no task receives more than that slice of any group. Groups of up to ``accuracy`` rows are
-    bracketed by their extremes.
+    no task receives more than that slice of any group. The lump also keeps the values next to each
+    bracket: in a small group, where the sketch is exact, a rank may lie one place outside.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     margin = 4.0 / accuracy
     lows = F.percentile_approx("_v", [max(0.0, p - margin) for p in probs.values()], accuracy)
     highs = F.percentile_approx("_v", [min(1.0, p + margin) for p in probs.values()], accuracy)
-    size = F.count("_v")
-
-    def bounds(edge: Column, extreme: Column) -> Column:
-        return F.when(size > accuracy, edge).otherwise(F.array_repeat(extreme, len(probs)))
-
-    brackets = rows.groupBy(*keys).agg(
-        size.alias("_n"), bounds(lows, F.min("_v")).alias("_lo"), bounds(highs, F.max("_v")).alias("_hi")
-    )
+    brackets = rows.groupBy(*keys).agg(F.count("_v").alias("_n"), lows.alias("_lo"), highs.alias("_hi"))
     joined = attach_group_stats(rows, brackets, keys)
     v, inside = F.col("_v"), F.lit(False)
     for i in range(len(probs)):
@@ -38,19 +31,33 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
     counted = joined.groupBy(*keys, F.when(inside, v).alias("_v"), "_n", "_lo", "_hi").agg(
         F.count(F.lit(1)).alias("_c"),
         F.array(*[F.count(F.when(v < F.col("_lo")[i], 1)) for i in range(len(probs))]).alias("_below"),
+        F.array(*[F.max(F.when(v < F.col("_lo")[i], v)) for i in range(len(probs))]).alias("_before"),
+        F.array(*[F.min(F.when(v > F.col("_hi")[i], v)) for i in range(len(probs))]).alias("_after"),
     )
     wanted = F.array(*[F.lit(float(p)) for p in probs.values()])
-    slots = counted.select(*keys, "_v", "_n", "_c", "_lo", "_hi", "_below", F.posexplode(wanted).alias("_i", "_p"))
+    carried = ["_v", "_n", "_c", "_lo", "_hi", "_below", "_before", "_after"]
+    slots = counted.select(*keys, *carried, F.posexplode(wanted).alias("_i", "_p"))
     group = W.partitionBy(*keys, "_i")
     low, high = F.col("_lo")[F.col("_i")], F.col("_hi")[F.col("_i")]
     hit = (v >= low) & (v <= high)
     running = F.sum(F.when(hit, F.col("_c"))).over(group.orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
-    ranked = slots.withColumn("_upto", F.sum(F.col("_below")[F.col("_i")]).over(group) + running).filter(hit)
+    below = F.sum(F.col("_below")[F.col("_i")]).over(group)
+    ranked = slots.withColumns(
+        {
+            "_under": below,
+            "_upto": below + running,
+            "_prev": F.max(F.col("_before")[F.col("_i")]).over(group),
+            "_next": F.min(F.col("_after")[F.col("_i")]).over(group),
+        }
+    ).filter(hit)
     place = F.col("_p") * (F.col("_n") - 1)
+
+    def at(rank: Column) -> Column:
+        found = F.min(F.when(F.col("_upto") >= rank, v))
+        return F.when(F.max(rank <= F.col("_under")), F.max("_prev")).otherwise(F.coalesce(found, F.min("_next")))
+
     picked = ranked.groupBy(*keys, "_i").agg(
-        F.min(F.when(F.col("_upto") >= F.floor(place) + 1, v)).alias("_x"),
-        F.min(F.when(F.col("_upto") >= F.ceil(place) + 1, v)).alias("_y"),
-        F.max(place - F.floor(place)).alias("_f"),
+        at(F.floor(place) + 1).alias("_x"), at(F.ceil(place) + 1).alias("_y"), F.max(place - F.floor(place)).alias("_f")
     )
     result = F.col("_x") + F.col("_f") * (F.col("_y") - F.col("_x"))
     columns = [F.max(F.when(F.col("_i") == i, result)).alias(name) for i, name in enumerate(probs)]

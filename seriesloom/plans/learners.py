@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seriesloom.functions.scalars import rounded
-from seriesloom.operators import evaluate, ml
+from seriesloom.operators import evaluate, folds, ml
+from seriesloom.operators.ordering import bind_rows
 from seriesloom.operators.windows import growth, lag_frame
 from seriesloom.plans import bindings as b
 from seriesloom.plans.registry import CUT, query, r6, sql
 from seriesloom.plans.reshape import _supply
+from seriesloom.sources.panels import stage
 
 FEATURES = ["y", "orders", "supply", "season"]
 
@@ -72,22 +74,62 @@ def svr_backtest(spark, d):
     return out
 
 
+# Random candidates per learner, and the ranges they are drawn from.
+TRIALS = 2
+RANGES = {
+    "RF": {"trees": (20, 90, "int"), "mtry": (1, 8, "int"), "node_size": (4, 95, "int")},
+    "GB": {"trees": (5, 25, "int"), "depth": (1, 4, "int"), "rate": (-1.5, -0.5, "pow10")},
+    "SVR": {"cost": (-1.5, 0.5, "pow10"), "epsilon": (0.05, 0.2, "real")},
+}
+
+
+def candidates(spark, learner: str, trials: int) -> list[dict]:
+    """Draws of one learner's parameters: ``trials`` rows."""
+    seat = spark.range(1).select(F.lit(learner).alias("learner"))
+    number = F.lit(sorted(RANGES).index(learner))
+    return [r.asDict() for r in folds.random_candidates(seat, "learner", number, RANGES[learner], trials).orderBy("trial").collect()]
+
+
+def _learner(learner: str, c: dict, n: int):
+    if learner == "RF":
+        return ml.forest(c["trees"], c["mtry"], c["node_size"], n)
+    return ml.boosting(c["trees"], c["depth"], c["rate"])
+
+
+def _scored(rows, learner: str, drawn: list[dict], names: list[str], at: list[ml.Fold]):
+    """Test errors of every candidate and fold: ``learner, candidate, fold, rmse``."""
+    if learner == "SVR":
+        kernels = ("sigmoid", "radial", "polynomial")
+        models = [
+            ml.SvrModel(i * len(at) + k, kernels[i % 3], c["cost"], c["epsilon"], fold) for i, c in enumerate(drawn) for k, fold in enumerate(at)
+        ]
+        scores = ml.fold_scores(ml.KernelRegression(rows, ["entity"], models).predictions(), ["model", "fold"])
+        number = F.floor(F.col("model") / len(at)).cast("int")
+        return scores.select(F.lit(learner).alias("learner"), number.alias("candidate"), "fold", "rmse")
+    out = None
+    for i, c in enumerate(drawn):
+        fitted = ml.fit_folds(rows, ["entity"], lambda c=c: _learner(learner, c, len(names)), at)
+        one = ml.fold_scores(fitted.predictions, ["fold"]).select(F.lit(learner).alias("learner"), F.lit(i).alias("candidate"), "fold", "rmse")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("q_tune")
-def tune(spark, d):
-    """Forest candidates and kernel candidates on the same thinned growing folds, with the winners."""
+def tune(spark, d, trials: int = TRIALS):
+    """Random search of three learners over the same six growing folds of the training part.
+
+    The winner of each learner is refitted in the folds of the test part; ``outer_rmse`` is its
+    mean error there.
+    """
     rows, names = frame(spark, d, 1)
-    folds = ml.test_folds(CUT - 5, CUT, 0, skip=2)
-    trials = None
-    for i, (trees, mtry, node) in enumerate([(20, 2, 5), (20, 4, 5), (40, 4, 20)]):
-        fitted = ml.fit_folds(rows, ["entity"], lambda t=trees, m=mtry, s=node: ml.forest(t, m, s, len(names), depth=5), folds)
-        scored = ml.fold_scores(fitted.predictions, ["fold"]).select(F.lit("RF").alias("learner"), F.lit(i).alias("candidate"), "fold", "rmse")
-        trials = scored if trials is None else trials.unionByName(scored)
-    fit, _ = _svr(rows, ["sigmoid", "radial", "polynomial"], [0.06, 0.36], [0.1], folds)
-    scored = ml.fold_scores(fit.predictions(), ["model", "fold"])
-    kernel_trials = scored.select(
-        F.lit("SVR").alias("learner"), F.floor(F.col("model") / len(folds)).cast("int").alias("candidate"), "fold", "rmse"
-    )
-    return ml.best_candidate(trials.unionByName(kernel_trials), ["learner"], "candidate")
+    inner, outer = ml.test_folds(CUT - 5, CUT, 0), ml.test_folds(CUT + 1, b.quarters(spark, d)[1], 0)
+    drawn = {learner: candidates(spark, learner, trials) for learner in RANGES}
+    tried = bind_rows(*[_scored(rows, learner, c, names, inner) for learner, c in drawn.items()])
+    ranked = stage(ml.best_candidate(tried, ["learner"], "candidate"), "tuning-trials")
+    best = {r["learner"]: r["candidate"] for r in ranked.filter("is_best").collect()}  # one row a learner
+    again = bind_rows(*[_scored(rows, learner, [drawn[learner][k]], names, outer) for learner, k in best.items()])
+    refit = again.groupBy("learner").agg(F.avg("rmse").alias("outer_rmse")).withColumn("is_best", F.lit(True))
+    return ranked.join(refit, ["learner", "is_best"], "left")
 
 
 @query(
@@ -108,13 +150,14 @@ def tune_select(spark, d):
 def benchmark(spark, d):
     """Three learners on the same folds: RMSE and median absolute error of test and training rows."""
     rows, names = frame(spark, d, 1)
-    folds = ml.test_folds(CUT + 1, b.quarters(spark, d)[1], 0, skip=2)
-    rf = ml.fit_folds(rows, ["entity"], lambda: ml.forest(30, 4, 5, len(names), depth=5), folds, True).predictions
-    gb = ml.fit_folds(rows, ["entity"], lambda: ml.boosting(10, 3, 0.1), folds, True).predictions
-    fit, _ = _svr(rows, ["sigmoid"], [0.06], [0.1], folds)
+    tests = ml.test_folds(CUT + 1, b.quarters(spark, d)[1], 0)
+    rf = ml.fit_folds(rows, ["entity"], lambda: ml.forest(ml.FINAL_FOREST["trees"], ml.FINAL_FOREST["mtry"], 5, len(names), depth=6), tests, True).predictions
+    gb = ml.fit_folds(rows, ["entity"], lambda: ml.boosting(20, 3, 0.1), tests, True).predictions
+    fit, _ = _svr(rows, ["sigmoid"], [ml.FINAL_SVR["cost"]], [0.1], tests)
     svr = fit.predictions(True).drop("model")
     every = rf.withColumn("learner", F.lit("RF")).unionByName(gb.withColumn("learner", F.lit("GB"))).unionByName(svr.withColumn("learner", F.lit("SVR")))
-    tagged = every.withColumn("error", F.col("truth") - F.col("response")).withColumn("rel_error", F.lit(None).cast("double"))
+    errors = every.withColumn("error", F.col("truth") - F.col("response")).withColumn("rel_error", F.lit(None).cast("double"))
+    tagged = stage(errors, "benchmark-predictions")  # the measures pass over it several times
     scored = evaluate.error_metrics(tagged, ["learner", "set"])
     return scored.select("learner", "set", "n", "rmse", "mdae")
 
@@ -125,7 +168,7 @@ def importance(spark, d):
     out = None
     for h, horizon in ((1, "1-quarter ahead"), (4, "1-year ahead")):
         rows, names = frame(spark, d, h)
-        fitted = ml.fit_folds(rows, ["entity"], lambda n=len(names): ml.forest(20, 4, 5, n, depth=5), ml.test_folds(CUT + 1, b.quarters(spark, d)[1], h - 1, skip=2))
+        fitted = ml.fit_folds(rows, ["entity"], lambda n=len(names): ml.forest(20, 4, 5, n, depth=5), ml.test_folds(CUT + 1, b.quarters(spark, d)[1], h - 1))
         table = [(horizon, names[i], fold, g) for fold, i, g in fitted.importance]
         part = spark.createDataFrame(table, "horizon string, feature string, fold int, gain double")
         out = part if out is None else out.unionByName(part)

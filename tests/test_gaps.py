@@ -88,3 +88,15 @@ def test_many_groups_same_plan(spark):
     rows = spark.range(40_000).select((F.col("id") % 20_000).alias("k"), F.col("id").cast("double").alias("v"))
     out = windows.minmax_rescale(rows, ["k"], "v")
     assert out.filter("rescaled = 1").count() == 20_000
+
+
+def test_percentiles_of_small_groups_by_one_plan(spark):
+    rng = np.random.default_rng(1)
+    rows = [(n, float(v)) for n in [1, 2, 3, 4, 5, 7, 11, 24, 150] for v in np.round(rng.normal(size=n), 1)]
+    probs = {f"p{i}": p for i, p in enumerate([0.0, 0.05, 0.1, 0.25, 1 / 3, 0.5, 0.62, 0.75, 0.9, 0.95, 1.0])}
+    frame = spark.createDataFrame(rows, "n int, v double")
+    for accuracy in (100_000, 100):  # the second is too coarse to be exact for the largest group
+        for r in aggregates.exact_percentiles(frame, ["n"], "v", probs, accuracy).collect():
+            values = [v for n, v in rows if n == r["n"]]
+            for name, p in probs.items():
+                assert r[name] == pytest.approx(np.quantile(values, p)), (r["n"], p)
