@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -13,7 +12,6 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     """A session for tests and the bench; on a cluster the caller brings its own."""
     spark = (
         SparkSession.builder.master(master)
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="seriesloom-"))
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
