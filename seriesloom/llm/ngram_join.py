@@ -28,7 +28,7 @@ from seriesloom.sources.panels import stage
 
 WIDTH, LEAST = 5, 0.8
 TOKENS = 64
-BUCKET, DEPTH = 96, 6
+BUCKET, DEPTH = 128, 4
 RECALL = 0.985
 # Tokens that the first split of a run samples.
 ROOTS = 2
