@@ -8,8 +8,6 @@ windows of fixed length are cut; a document on a window's border becomes two pie
 from __future__ import annotations
 
 import os
-import sys
-import types
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import accumulate
@@ -27,8 +25,8 @@ from seriesloom.sources.panels import stage
 
 LENGTH = 2048
 END_ID = 1
-# Words whose ids a worker remembers; a full memory is emptied, not frozen.
-REMEMBERED = 1_000_000
+# Words whose ids a task remembers; a full memory is emptied, not frozen.
+REMEMBERED = 600_000
 # Signs that always form a token run of their own beside letters.
 _SIGNS = ".,!?;:|\"()[]{}*#$%&<>-+=/"
 # Separators that Python's split drops but the tokenizer's pattern keeps.
@@ -51,9 +49,7 @@ class WordTokenizer:
         self.dtype = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        # kept by the worker process, so that the next task finds it
-        home = sys.modules.setdefault("_seriesloom_words", types.ModuleType("_seriesloom_words"))
-        self.memory: dict[str, bytes] = home.__dict__.setdefault(f"ids:{path}", {})
+        self.memory: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> None:
         """Add words to the memory."""
