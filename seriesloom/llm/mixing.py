@@ -129,7 +129,8 @@ def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK, shard_slots: int =
     # a mix has a weight per source: this table is as long as the recipe, whatever the rows
     sizes = {r["source"]: r["size"] for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     plan_rows = _plan(sizes, seed, block)
-    plan = F.broadcast(spark.createDataFrame(plan_rows, PLAN))
+    recipe = spark.createDataFrame(plan_rows, PLAN)
+    plan = F.broadcast(recipe)  # one row per source
     slots = sum(r[4] for r in plan_rows)
     shards = max(1, -(-slots // shard_slots))
 
@@ -150,7 +151,8 @@ def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK, shard_slots: int =
         "src", "doc_id", "row", "begin", "size",
         F.explode(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))).alias("block"),
     )
-    cells = plan.filter("slots > 0").select("src", "slots").repartition("src").mapInPandas(
+    # from the recipe without the hint, which would pass on to the slots made of it
+    cells = recipe.filter("slots > 0").select("src", "slots").repartition("src").mapInPandas(
         _draws(seed, shards), "src int, shard long, first long, n long"
     )
     cells = cells.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(4096).cast("long"))))
