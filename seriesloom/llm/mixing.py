@@ -156,7 +156,9 @@ def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK, shard_slots: int =
         _draws(seed, shards), "src int, shard long, first long, n long"
     )
     cells = cells.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(4096).cast("long"))))
-    cells = cells.repartition("src", "shard", "part")
+    # few rows that become many: the number of tasks follows the slots, not the bytes
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-slots // SHARD_SLOTS))
+    cells = cells.repartition(tasks, "src", "shard", "part")
     drawn = cells.select(
         "src", "shard",
         F.explode(F.sequence(F.col("first") + F.col("part"), F.col("first") + F.least(F.col("part") + 4096, "n") - 1)).alias("slot"),
