@@ -8,9 +8,10 @@ sampled tokens into smaller buckets of sets that share them, down a path of choi
 on the bucket alone. Buckets of bounded size are compared by brute force on the complete sets; as
 many independent runs are made as the target recall needs.
 
-A bucket still large at the greatest depth holds sets that share many sampled tokens. It is compared
-in blocks of bounded size that all contain the same leader, different in every path, so a group of any size costs
-work in proportion to its size, its members meet through leaders, and no pair list is ever made of it.
+A bucket that splits hardly shrink, or that is still large at the greatest depth, is compared whole:
+its sets are dealt into blocks once, whatever number of such buckets they are in, and every two blocks
+that meet in one of them are a task of bounded size. A task gives each set a number of links and the
+least set linked, so every pair is compared and counted once and no pair list is ever made of it.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from seriesloom.sources.panels import stage
 WIDTH, LEAST = 5, 0.8
 TOKENS = 64
 BUCKET, DEPTH = 128, 4
+# Sets of a block; a task compares two.
+BLOCK = 128
 RECALL = 0.985
 # Tokens that the first split of a run samples.
 ROOTS = 2
@@ -127,9 +130,16 @@ def representatives(docs: DataFrame, tokens: int = TOKENS) -> tuple[DataFrame, D
     return members, signs
 
 
-def _children(tokens: int, branches: float, least: float):
-    """Buckets below a bucket for one of its sets: a hash of the path, the sampled token and its value."""
-    share = min(1.0, branches / (least * tokens))
+def _bit(token: np.ndarray) -> np.ndarray:
+    return (np.uint64(1) << (token % 64).astype(np.uint64)).view(np.int64)
+
+
+def _children(tokens: int, branches: float, least: float, at: int):
+    """Buckets below a bucket for one of its sets: a hash of the path, the sampled token and its value.
+
+    Tokens of the path, ``at`` of them, are not sampled again.
+    """
+    share = min(1.0, branches / (least * max(1, tokens - at)))
     bar = np.uint64(min(int(share * 2**64), 2**64 - 1))
     numbers = mix(np.arange(1, tokens + 1, dtype=np.uint64))
 
@@ -139,12 +149,12 @@ def _children(tokens: int, branches: float, least: float):
                 batch = whole.slice(lo, 4096)
                 node = batch.column("node").to_numpy().view(np.uint64)
                 signs = np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint32).reshape(-1, tokens)
-                chosen = mix(node[:, None] ^ numbers) < bar
-                row, token = np.nonzero(chosen)
+                used = batch.column("used").to_numpy()
+                fresh = (used[:, None] & _bit(np.arange(tokens))[None, :]) == 0
+                row, token = np.nonzero((mix(node[:, None] ^ numbers) < bar) & fresh)
                 below = mix(mix(node[row] + numbers[token]) ^ signs[row, token])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(below.view(np.int64)), batch.column("rep").take(pa.array(row))], names=["node", "rep"]
-                )
+                columns = [pa.array(below.view(np.int64)), batch.column("rep").take(pa.array(row)), pa.array(used[row] | _bit(token))]
+                yield pa.RecordBatch.from_arrays([*columns, batch.column("n").take(pa.array(row))], names=["node", "rep", "used", "above"])
 
     return run
 
@@ -160,18 +170,24 @@ def _roots(tokens: int, runs: int):
             for r in range(runs):
                 for token in ((ROOTS * r + k) % tokens for k in range(ROOTS)):
                     below = mix(mix(roots[r : r + 1] + numbers[token]) ^ signs[:, token])
-                    yield pa.RecordBatch.from_arrays([pa.array(below.view(np.int64)), batch.column("rep")], names=["node", "rep"])
+                    used = pa.array(np.repeat(_bit(np.array([token])), below.size))
+                    # there is no bucket above to shrink
+                    above = pa.nulls(below.size, pa.int64())
+                    columns = [pa.array(below.view(np.int64)), batch.column("rep"), used, above]
+                    yield pa.RecordBatch.from_arrays(columns, names=["node", "rep", "used", "above"])
 
     return run
 
 
 def _compare(width: int, least: float):
-    """Brute force inside each bucket over the complete sets; rows come sorted by bucket.
+    """Brute force inside each bucket and between two blocks over the complete sets; rows come sorted by bucket.
 
-    Gives every set its partners in the bucket and the least set it is connected with there.
+    Gives every set the least set it is connected with there and, in a bucket, its partners except
+    those whose block is compared with its own; between blocks (``side`` 0 and 1, or 0 only for a
+    block with itself), the number of its partners.
     """
 
-    def bucket_links(reps: np.ndarray, sets: list[np.ndarray]) -> list[tuple]:
+    def bucket_links(reps: np.ndarray, sets: list[np.ndarray], sides: list, blocks: list, peers: list) -> list[tuple]:
         size = np.array([s.size for s in sets])
         _, number, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(len(sets)), size)
@@ -190,6 +206,10 @@ def _compare(width: int, least: float):
             common += block @ block.T
         linked = common >= least * (size[:, None] + size[None, :] - common) - 1e-3
         np.fill_diagonal(linked, False)
+        if sides[0] is not None:
+            side = np.array(sides)
+            if side.any():
+                linked &= side[:, None] != side[None, :]
         low = np.arange(len(sets))
         while True:  # least member of each connected part
             new = np.minimum(low, np.where(linked, low[None, :], len(sets)).min(1))
@@ -197,11 +217,18 @@ def _compare(width: int, least: float):
             if (new == low).all():
                 break
             low = new
-        return [(int(reps[i]), int(reps[low[i]]), reps[linked[i]].tolist()) for i in np.flatnonzero(linked.any(1)).tolist()]
+        some = np.flatnonzero(linked.any(1)).tolist()
+        if sides[0] is not None:
+            return [(int(reps[i]), int(reps[low[i]]), [], int(linked[i].sum())) for i in some]
+        for i in some:
+            if peers[i]:
+                apart = set(peers[i])
+                linked[i] &= np.array([b not in apart for b in blocks])
+        return [(int(reps[i]), int(reps[low[i]]), reps[linked[i]].tolist(), 0) for i in some]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordSplitter("alnum")
-        current, reps, texts = None, [], []
+        current, reps, texts, sides, blocks, peers = None, [], [], [], [], []
 
         def finish() -> list[tuple]:
             if len(reps) < 2:
@@ -210,24 +237,24 @@ def _compare(width: int, least: float):
             for lo, hi in text_groups(texts):
                 hashes, counts, _ = words.split([t.lower() for t in texts[lo:hi]])
                 sets += shingles(hashes, counts, width)
-            order = np.argsort(reps, kind="stable")
-            return bucket_links(np.array(reps)[order], [sets[i] for i in order.tolist()])
+            order = np.argsort(reps, kind="stable").tolist()
+            return bucket_links(np.array(reps)[order], *([kind[i] for i in order] for kind in (sets, sides, blocks, peers)))
 
         def give(rows: list[tuple]) -> pa.RecordBatch:
-            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-            return pa.RecordBatch.from_arrays(columns, names=["rep", "least", "partners"])
+            return pa.RecordBatch.from_arrays(columns, names=["rep", "least", "partners", "n"])
 
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch, out = whole.slice(lo, 512), []
-                columns = (batch.column("bucket").to_pylist(), batch.column("rep").to_pylist(), texts_of(batch.column("text").to_pylist()))
-                for bucket, rep, text in zip(*columns):
+                columns = [batch.column(c).to_pylist() for c in ("bucket", "rep", "side", "block", "peers")]
+                for bucket, rep, side, block, others, text in zip(*columns, texts_of(batch.column("text").to_pylist())):
                     if bucket != current:
                         out += finish()
-                        current, reps, texts = bucket, [], []
-                    reps.append(rep)
-                    texts.append(text)
+                        current, reps, texts, sides, blocks, peers = bucket, [], [], [], [], []
+                    for kind, value in zip((reps, texts, sides, blocks, peers), (rep, text, side, block, others)):
+                        kind.append(value)
                 if out:
                     yield give(out)
         if out := finish():
@@ -238,40 +265,92 @@ def _compare(width: int, least: float):
 
 def leaf_buckets(
     signs: DataFrame, tokens: int, bucket: int, depth: int, branches: float, least: float, runs: int
-) -> DataFrame:
-    """``bucket, rep`` of every bucket to be compared, each distinct set of members once."""
-    spark = signs.sparkSession
+) -> tuple[DataFrame, DataFrame]:
+    """``bucket, rep, n`` of every bucket to be compared by itself, and of every one too large for that.
+
+    Each distinct set of members comes once a level.
+    """
     signs = stage(signs, "path-signs")
-    level = stage(signs.mapInArrow(_roots(tokens, runs), "node long, rep long"), "path-level-1")
+    schema = "node long, rep long, used long, above long"
+    level = stage(signs.mapInArrow(_roots(tokens, runs), schema), "path-level-1")
     leaves: list[DataFrame] = []
+    heavy: list[DataFrame] = []
     for at in range(1, depth + 1):
         # two exclusive ors of hashes name a bucket's members, so that equal buckets of different paths meet
         counts = level.groupBy("node").agg(
             F.count(F.lit(1)).alias("n"),
             F.bit_xor(F.xxhash64("rep")).alias("sum1"),
             F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("sum2"),
-            F.min_by("rep", F.xxhash64("rep", "node")).alias("leader"),
+            F.min("above").alias("above"),
         ).filter("n > 1")
         counts = stage(counts, f"path-counts-{at}")
-        small = counts.filter(F.col("n") <= bucket).groupBy("n", "sum1", "sum2").agg(F.min("node").alias("node"))
-        leaves.append(level.join(small.select("node"), "node").select(F.xxhash64("node", F.lit(at)).alias("bucket"), "rep"))
-        large = counts.filter(F.col("n") > bucket).select("node", "n", "leader")
+        # a bucket that keeps more of the one above than a split makes copies only multiplies: it is compared whole
+        whole = F.lit(at == depth) | F.coalesce(F.col("n") * (branches / least) > F.col("above"), F.lit(False))
+        oversize = F.col("n") > bucket
+
+        def members(chosen: DataFrame) -> DataFrame:
+            named = chosen.groupBy("n", "sum1", "sum2").agg(F.min("node").alias("node")).select("node", "n")
+            return level.join(named, "node").select(F.xxhash64("node", F.lit(at)).alias("bucket"), "rep", "n")
+
+        leaves.append(members(counts.filter(~oversize)))
+        heavy.append(members(counts.filter(oversize & whole)))
+        large = counts.filter(oversize & ~whole).select("node", "n")
         if large.isEmpty():
             break
-        rest = level.join(large, "node")
-        if at == depth:
-            block = F.pmod(F.xxhash64("rep", "node", F.lit(2)), F.ceil(F.col("n") / (bucket // 2)))
-            named = F.xxhash64("node", block, F.lit(-at)).alias("bucket")
-            blocks = rest.select(named, "rep", "leader")
-            # the leader joins every block; a block is as large as a bucket on average and seldom larger than two
-            leaves.append(blocks.select("bucket", "rep").unionByName(blocks.select("bucket", F.col("leader").alias("rep"))).distinct())
-            break
-        below = rest.select("node", "rep").join(signs, "rep").select("node", "rep", "sign")
-        level = stage(below.mapInArrow(_children(tokens, branches, least), "node long, rep long"), f"path-level-{at + 1}")
-    out = leaves[0]
-    for more in leaves[1:]:
-        out = out.unionByName(more)
-    return stage(out, "path-leaves")
+        below = level.select("node", "rep", "used").join(large, "node").join(signs, "rep").select("node", "rep", "used", "n", "sign")
+        level = stage(below.mapInArrow(_children(tokens, branches, least, at), schema), f"path-level-{at + 1}")
+    out = []
+    for name, parts in (("path-leaves", leaves), ("path-heavy", heavy)):
+        union = parts[0]
+        for more in parts[1:]:
+            union = union.unionByName(more)
+        out.append(stage(union, name))
+    return out[0], out[1]
+
+
+def block_pairs(heavy: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``rep, block``, each set of a large bucket in one block, and ``a, b`` of blocks that meet in a bucket, a <= b."""
+    home = heavy.groupBy("rep").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("home"))
+    home = stage(home, "path-homes")
+    sizes = home.groupBy("home").agg(F.count(F.lit(1)).alias("size"))
+    dealt = F.pmod(F.xxhash64("rep", F.lit(2)), F.ceil(F.col("size") / block))
+    blocks = stage(home.join(sizes, "home").select("rep", F.xxhash64("home", dealt).alias("block")), "path-blocks")
+    # buckets that meet the same blocks count once
+    met = heavy.join(blocks, "rep").groupBy("bucket").agg(F.sort_array(F.collect_set("block")).alias("blocks"))
+    return blocks, stage(_pairs(met.select("blocks").distinct()).distinct(), "path-block-pairs")
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """``a, b`` of every two of ``blocks``, a <= b, beside the other columns."""
+    others = [c for c in met.columns if c != "blocks"]
+    first = met.select(*others, "blocks", F.explode("blocks").alias("a"))
+    return first.select(*others, "a", F.explode("blocks").alias("b")).filter("a <= b")
+
+
+def comparisons(leaves: DataFrame, heavy: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``bucket, rep, side, block, peers``: the sets of each task of brute force.
+
+    ``side`` is null in a bucket; there ``block`` is a set's block, if it has one, and ``peers`` are the
+    blocks compared with that. Buckets whose pairs all meet between blocks are left out.
+    """
+    alone = leaves.select("bucket", "rep", F.lit(None).cast("int").alias("side"))
+    if heavy.isEmpty():
+        return alone.withColumns({"block": F.lit(None).cast("long"), "peers": F.lit(None).cast("array<long>")})
+    blocks, pairs = block_pairs(heavy, block)
+    inside = leaves.join(blocks, "rep").groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("held"), F.first("n").alias("n"), F.sort_array(F.collect_set("block")).alias("blocks")
+    ).filter("held = n").select("bucket", "blocks")
+    inside = stage(inside, "path-inside")
+    covered = inside.select("bucket").join(_pairs(inside).join(pairs, ["a", "b"], "left_anti").select("bucket"), "bucket", "left_anti")
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    peers = blocks.join(both.groupBy(F.col("a").alias("block")).agg(F.collect_set("b").alias("peers")), "block")
+    alone = alone.join(covered, "bucket", "left_anti").join(peers, "rep", "left").select("bucket", "rep", "side", "block", "peers")
+    name = F.xxhash64("a", "b", F.lit(-1)).alias("bucket")
+    sides = pairs.select(name, F.lit(0).alias("side"), F.col("a").alias("block")).unionByName(
+        pairs.filter("a < b").select(name, F.lit(1).alias("side"), F.col("b").alias("block"))
+    )
+    tasks = sides.join(blocks, "block").select("bucket", "rep", "side", "block", F.lit(None).cast("array<long>").alias("peers"))
+    return alone.unionByName(tasks)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -312,26 +391,27 @@ def join(
     """One row per row of ``docs (doc_id, text)``: ``doc_id, class_id, n_links, n_copies``.
 
     ``class_id`` is the smallest doc_id reachable over links and copies. ``n_links`` counts the
-    different texts found similar to this one; in a group beyond the bucket size it counts those met in the
-    compared blocks, since such a group's pairs are never listed. ``n_copies`` counts the rows with
+    different texts found similar to this one, each once. ``n_copies`` counts the rows with
     the same words. Words are runs of letters, digits and underscores in lower case; a text of
     fewer than ``width`` words is one shingle. A null text and one without a word stand alone
     (``n_copies`` 1), a row with null doc_id has a null class. Rows that share a doc_id share its class.
     """
     docs = docs.select("doc_id", "text")
     members, signs = representatives(docs, tokens)
-    leaves = leaf_buckets(signs, tokens, bucket, depth, branches, least, runs_for(recall, depth))
+    leaves, heavy = leaf_buckets(signs, tokens, bucket, depth, branches, least, runs_for(recall, depth))
+    tasks = comparisons(leaves, heavy)
     # one text per representative, wherever copies of it are
-    needed = leaves.select("rep").distinct()
+    needed = leaves.select("rep").unionByName(heavy.select("rep")).distinct()
     texts = docs.join(needed, F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    full = leaves.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("bucket", "rep", "text")
+    full = tasks.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("bucket", "rep", "side", "block", "peers", "text")
     compared = full.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _compare(width, least), "rep long, least long, partners array<long>"
+        _compare(width, least), "rep long, least long, partners array<long>, n long"
     )
     compared = stage(compared, "path-links")
     roots = components(compared.select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    # as many partners as a set met in its buckets, whose number the runs and the depth bound
-    degree = compared.groupBy("rep").agg(F.size(F.array_distinct(F.flatten(F.collect_list("partners")))).cast("long").alias("n_links"))
+    # as many partners as a set met in its buckets, whose number the runs and the depth bound, and those counted between blocks
+    listed = F.size(F.array_distinct(F.flatten(F.collect_list("partners")))).cast("long")
+    degree = compared.groupBy("rep").agg((listed + F.sum("n")).alias("n_links"))
     marks = stage(degree.join(roots, "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), "n_links"), "join-classes")
     return members.join(marks, "rep", "left").select(
         "doc_id",

@@ -272,6 +272,28 @@ def test_ngram_join_of_a_group_beyond_the_bucket(spark):
     assert len(wrong) <= 2
 
 
+def test_ngram_join_meets_every_pair_of_a_large_bucket(spark):
+    rng = np.random.default_rng(11)
+    passage = [f"w{k}" for k in range(140)]
+    # texts half of which is one passage; near pairs are hidden among them
+    rows = [(i, " ".join(passage + [f"o{i}x{k}" for k in range(70)]), "en", "a") for i in range(500)]
+    rows += [(1000 + i, rows[i][1] + " end", "en", "a") for i in range(0, 500, 10)]
+    # a star: edits each about 0.8 similar to one text, not to each other
+    star = [f"s{k}" for k in range(200)]
+    rows.append((2000, " ".join(star), "en", "a"))
+    for i in range(2001, 2301):
+        text = list(star)
+        for k in rng.choice(np.arange(5, 195, 10), 4, replace=False):
+            text[k] = f"n{i}x{k}"
+        rows.append((i, " ".join(text), "en", "a"))
+    got = by_id(ngram_join.join(docs(spark, rows), bucket=16))
+    classes, links, _ = brute_join(rows)
+    degree = Counter(i for pair in links for i in pair)
+    assert len(links) > 350 and degree[2000] == 300
+    assert [i for i, c in classes.items() if got[i][0]["class_id"] != c] == []
+    assert [i for i in classes if got[i][0]["n_links"] != degree[i]] == []
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (250, 2))] + [(i, i + 1) for i in range(1000, 1060)]
