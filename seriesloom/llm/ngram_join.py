@@ -29,7 +29,7 @@ from seriesloom.sources.panels import stage
 
 WIDTH, LEAST = 5, 0.8
 TOKENS = 64
-BUCKET, DEPTH = 128, 4
+BUCKET, DEPTH = 96, 12
 # Sets of a block; a task compares two.
 BLOCK = 128
 RECALL = 0.985
