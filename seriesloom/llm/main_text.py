@@ -38,6 +38,11 @@ BESIDE = {
     "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip",
     "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets",
 }
+# First parts of a class that say what a wrapper has, not what it is.
+_HAVING = {"has", "no", "not", "with", "without", "hide", "show"}
+# Words for what readers added, which may outweigh the article.
+_REPLIES = {"comment", "comments", "commentlist", "disqus", "replies", "reply", "respond"}
+_TITLED = {"section", "h1", "h2", "h3", "h4", "h5", "h6"}
 # Elements that are never taken for a part beside the article by their class.
 _FRAMES = {"html", "body", "article", "main"}
 # A new one of these ends an open one.
@@ -63,42 +68,78 @@ def _is_beside(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in _FRAMES or not attributes:
         return False
     for name, value in _NAMED.findall(attributes):
-        if name.lower() in ("class", "id", "role"):
-            words = {w.lower() for w in _WORD.findall(value)}
-            if words & BESIDE:
-                return not (in_article and words & {"header"} and not words & (BESIDE - {"header"}))
+        if name.lower() not in ("class", "id", "role"):
+            continue
+        # an id inside an article is mostly made from a title
+        titled = in_article and tag in _TITLED and name.lower() == "id"
+        for token in value.strip("\"'").split():
+            parts = [w.lower() for w in _WORD.findall(token)]
+            if not parts or parts[0] in _HAVING:
+                continue
+            if titled:
+                named = set(parts) if set(parts) <= _REPLIES else set()
+            else:
+                named = {parts[0], parts[-1]} & BESIDE
+            if named and not (in_article and "header" in parts and not set(parts) & (BESIDE - {"header"})):
+                return True
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """The page's blocks of text in order: text, characters that count, and whether it stands in an article."""
-    lines: list[tuple[str, int, bool]] = []
+def _spared(lines: list[tuple], mains: set[int], replies: set[int], dropped: set[int]) -> set[int]:
+    """Elements named as beside the article that hold it all the same.
+
+    Such are those around a main element, and, where no text of an article stands outside all of
+    them, those around an article or most of the page's text.
+    """
+    spared = set(mains)
+    if any(weight and inside and not set(owners) - spared for _, weight, inside, _, owners in lines):
+        return spared
+    held: dict[int, int] = {}
+    marked: dict[int, int] = {}
+    for _, weight, inside, _, owners in lines:
+        for e in owners:
+            held[e] = held.get(e, 0) + weight
+            marked[e] = marked.get(e, 0) + (weight if inside else 0)
+    total = sum(weight for _, weight, *_ in lines)
+    own = {e for e, weight in marked.items() if 2 * weight > sum(w for _, w, inside, *_ in lines if inside)}
+    return spared | (own - replies) | {e for e, weight in held.items() if 2 * weight > total and e not in replies and e not in dropped}
+
+
+def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
+    """The page's blocks of text in order: text, characters that count, whether it stands in an article, and in a heading."""
+    lines: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
+    besides: list[int] = []  # open elements beside the article, by place in the page
+    mains: set[int] = set()
+    replies: set[int] = set()
+    dropped: set[int] = set()
     buffer: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, beside, article
-    beside = article = links = 0
+    article = links = headings = 0
 
     def flush() -> None:
         if buffer:
             text = _SPACE.sub(" ", "".join(t for t, _ in buffer)).strip()
             if text:
                 linked = len(_SPACE.sub("", "".join(t for t, link in buffer if link)))
-                weight = 0 if beside else max(0, len(_SPACE.sub("", text)) - 2 * linked) or (0 if linked else len(text))
-                lines.append((text, weight, article > 0))
+                weight = max(0, len(_SPACE.sub("", text)) - 2 * linked) or (0 if linked else len(text))
+                lines.append((text, weight, article > 0, headings > 0, tuple(besides)))
             buffer.clear()
 
     def say(text: str) -> None:
-        if text and not beside:
+        if text:
             buffer.append((html.unescape(text), links > 0))
 
     def close(index: int) -> None:
-        nonlocal beside, article, links
+        nonlocal article, links, headings
         while len(stack) > index:
             tag, was_beside, was_article = stack.pop()
-            if tag not in INLINE:
+            if tag not in INLINE or was_beside:
                 flush()
-            beside -= was_beside
+            if was_beside:
+                besides.pop()
             article -= was_article
             links -= tag == "a"
+            headings -= tag in _TITLED and tag != "section"
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -146,13 +187,22 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if m["attr"].rstrip().endswith("/"):
             continue
         stack.append((tag, is_beside, is_article and not is_beside))
-        beside += is_beside
+        if is_article and not is_beside and tag != "article":
+            mains.update(besides)
+        if is_beside:
+            besides.append(m.start())
+            if tag in DROPPED:
+                dropped.add(m.start())
+            elif {w.lower() for w in _WORD.findall(m["attr"])} & _REPLIES:
+                replies.add(m.start())
+        headings += tag in _TITLED and tag != "section"
         article += is_article and not is_beside
         links += tag == "a"
     say(page[at:])
     close(0)
     flush()
-    return lines
+    spared = _spared(lines, mains, replies, dropped)
+    return [line[:4] for line in lines if spared.issuperset(line[4])]
 
 
 def distribution(weights: list[int], window: int = WINDOW) -> list[int]:
@@ -170,8 +220,8 @@ def main_text(page: str, window: int = WINDOW) -> str:
     Elsewhere a line of links stays only between two lines of text.
     """
     lines = lines_of(page)
-    marked = any(inside for _, _, inside in lines)
-    weights = [(max(1, weight) if inside else 0) if marked else weight for _, weight, inside in lines]
+    marked = any(inside for _, _, inside, _ in lines)
+    weights = [(max(1, weight) if inside else 0) if marked else weight for _, weight, inside, _ in lines]
     sums = distribution(weights, window)
     kept: list[str] = []
     i = 0

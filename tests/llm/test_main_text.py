@@ -27,6 +27,26 @@ def test_page(page):
     assert main_text.main_text(page) == CASES[page]
 
 
+WRAPPED = "<{0}><main><h1>A title</h1><p>All of the article text.</p></main><div class='sidebar'><p>Side</p></div></{1}>"
+
+
+@pytest.mark.parametrize("tag", ['div class="content-sidebar-wrap"', 'div class="has-sidebar"', "div class=no-sidebar", 'div class="with-banner"', 'div class="sidebar"', "form id=f"])
+def test_a_wrapper_of_the_article_stays(tag):
+    assert main_text.main_text(WRAPPED.format(tag, tag.split()[0])) == "A title\n\nAll of the article text."
+    article = WRAPPED.replace("main>", "article>").format(tag, tag.split()[0])
+    assert main_text.main_text(article) == "A title\n\nAll of the article text."
+
+
+def test_titles_inside_an_article_stay():
+    page = '<article><p>one</p><h2 id="related-work">Related work</h2><p>two</p><section id="search"><p>three</p></section><section id="social-effects"><p>four</p></section></article>'
+    assert main_text.main_text(page) == "one\n\nRelated work\n\ntwo\n\nthree\n\nfour"
+
+
+def test_most_of_the_text_stays_whatever_its_name():
+    page = '<div class="widget-body"><p>The long text of this page is in here.</p></div><div class="widget"><p>Small</p></div>'
+    assert main_text.main_text(page) == "The long text of this page is in here."
+
+
 def test_given_pages_give_their_article(spark):
     rows = spark.read.parquet(f"{DATA}/pages.parquet")
     got = {r["page_id"]: r for r in main_text.extract(rows).collect()}
