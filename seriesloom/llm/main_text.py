@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that every block element becomes one line. A line weighs as many characters
-as stand outside links; lines of menus, forms, notices and the like weigh nothing. The weights are
-summed over sliding windows of lines; text is kept from each point where the sums surge to the next
-point where they dive to nothing.
+as stand outside links; menus, forms, notices and the like are left out. A page that marks its article
+gives that. On any other page the weights are summed over sliding windows of lines; text is kept from
+each point where the sums surge to the next point where they dive, both measured by the page's own
+typical line, without the sparse lines at its ends.
 """
 
 from __future__ import annotations
@@ -58,6 +59,8 @@ _NAMED = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 WINDOW = 3
+# A typical line weighs as many times a sparse one.
+SPARSE = 5
 
 
 def _is_beside(tag: str, attributes: str, in_article: bool) -> bool:
@@ -213,29 +216,59 @@ def distribution(weights: list[int], window: int = WINDOW) -> list[int]:
     return [prefix[min(len(weights), i + window)] - prefix[i] for i in range(len(weights))]
 
 
-def main_text(page: str, window: int = WINDOW) -> str:
-    """Text between surge and dive points.
+def typical(weights: list[int]) -> int:
+    """Half of the page's weight is in lines of this weight or more."""
+    left = sum(weights)
+    for w in sorted(weights, reverse=True):
+        left -= 2 * w
+        if left <= 0:
+            return w
+    return 0
+
+
+def regions(weights: list[int], headings: list[bool], window: int = WINDOW) -> list[tuple[int, int]]:
+    """Bounds of the runs of lines from surge to dive.
 
-    Where a page marks its article, lines outside weigh nothing and each line inside something.
-    Elsewhere a line of links stays only between two lines of text.
+    A surge is where a window holds as much as a typical line, a dive where all of a window weighs
+    less than a sparse line. Sparse lines at the ends go, but a heading right before the text stays.
     """
-    lines = lines_of(page)
-    marked = any(inside for _, _, inside, _ in lines)
-    weights = [(max(1, weight) if inside else 0) if marked else weight for _, weight, inside, _ in lines]
+    usual = typical(weights)
+    if not usual:
+        return []
     sums = distribution(weights, window)
-    kept: list[str] = []
+    out = []
     i = 0
-    while i < len(lines):
-        if not sums[i]:
+    while i < len(weights):
+        if sums[i] < usual:
             i += 1
             continue
-        surge = i
-        while i < len(lines) and sums[i]:
+        lo = i
+        while i < len(weights) and SPARSE * sums[i] >= usual:
             i += 1
-        dive = i  # from here on a whole window weighs nothing
-        for k in range(surge, dive):
-            between = not marked and surge < k < len(lines) - 1 and weights[k - 1] and weights[k + 1]
-            if weights[k] or between:
+        hi = i
+        dense = [k for k in range(lo, hi) if SPARSE * weights[k] >= usual]
+        if dense:
+            lo, hi = dense[0], dense[-1] + 1
+            while lo > (out[-1][1] if out else 0) and headings[lo - 1] and weights[lo - 1]:
+                lo -= 1
+            out.append((lo, hi))
+    return out
+
+
+def main_text(page: str, window: int = WINDOW) -> str:
+    """Text of the marked article, or else between surge and dive points.
+
+    Where a page marks its article, every line inside is kept and none outside. Elsewhere a line of
+    links stays only between two lines of text.
+    """
+    lines = lines_of(page)
+    if any(inside for _, _, inside, _ in lines):
+        return "\n\n".join(text for text, _, inside, _ in lines if inside)
+    weights = [weight for _, weight, *_ in lines]
+    kept: list[str] = []
+    for lo, hi in regions(weights, [heading for *_, heading in lines], window):
+        for k in range(lo, hi):
+            if weights[k] or (lo < k < hi - 1 and weights[k - 1] and weights[k + 1]):
                 kept.append(lines[k][0])
     return "\n\n".join(kept)
 

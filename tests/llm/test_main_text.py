@@ -27,6 +27,20 @@ def test_page(page):
     assert main_text.main_text(page) == CASES[page]
 
 
+def test_sums_decide_on_a_page_without_marks():
+    said = [f"Paragraph {i} says a good deal about its subject, in more than one clause, so that it is long. " * 3 for i in range(8)]
+    body = "".join(f"<div>{x}</div>" for x in said[:4]) + "<div>A short line between.</div>" + "".join(f"<div>{x}</div>" for x in said[4:])
+    before = "<div>Acme Daily</div><div>All the news, daily</div><div>Posted in News by staff</div><div><h1>A fine title</h1></div>"
+    after = "<div>Buy now</div><div>12 Main Street</div><div>Springfield</div><div>Call us today</div><div>&copy; 2024 Acme. All rights reserved.</div>"
+    page = f"<html><body><div>{before}</div><div>{body}</div><div>{after}</div></body></html>"
+    want = ["A fine title", *(x.strip() for x in said[:4]), "A short line between.", *(x.strip() for x in said[4:])]
+    assert main_text.main_text(page) == "\n\n".join(want)
+    # short lines far from any text never surge
+    assert main_text.main_text(page.replace(before, before.replace("h1", "b") + "<div>Skip</div>" * 9)) == "\n\n".join(want[1:])
+    # a page of short lines only is typical for itself
+    assert main_text.main_text("<div>one line</div><div>two lines</div><div>three</div>") == "one line\n\ntwo lines\n\nthree"
+
+
 WRAPPED = "<{0}><main><h1>A title</h1><p>All of the article text.</p></main><div class='sidebar'><p>Side</p></div></{1}>"
 
 
