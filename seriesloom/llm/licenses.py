@@ -7,6 +7,10 @@ expressions only.
 
 from __future__ import annotations
 
+import re
+import textwrap
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +47,61 @@ SPELLINGS = [
 COPYRIGHT_LINE = r"(^|\n)[ \t]*((copyright|©|\(c\))[^\n]*|all rights reserved[. \t]*)"
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 
+# Title lines that a complete text may come with or without.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause Simplified License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause New or Revised License"],
+    "Zlib": ["zlib License", "The zlib License"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+    "Unlicense": ["The Unlicense"],
+}
+# Complete texts that grant use without copyleft; the other files' texts do not.
+PERMISSIVE = {*TITLES, "Apache-2.0", "CC0-1.0"}
+# Texts up to this length are listed in every layout.
+SHORT = 3000
+
+
+def _layouts(text: str) -> list[str]:
+    """A text as given, with a line a paragraph, and, if short, in all layouts that differ in canonical form.
+
+    Lines that begin with the word copyright are not canonical, so that breaks matter.
+    """
+    paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text.strip())]
+    found = [text, "\n\n".join(paragraphs)]
+    if len(text) <= SHORT:
+        for indent in ("", "   "):
+            for width in range(60, 121):
+                found.append("\n\n".join(textwrap.fill(p, width, subsequent_indent=indent, break_on_hyphens=False) for p in paragraphs))
+    seen: dict[str, str] = {}
+    for one in found:
+        seen.setdefault(" ".join(re.findall(r"[^\W_]+", re.sub(COPYRIGHT_LINE, r"\1", one.lower()))), one)
+    return list(seen.values())
+
+
+def complete_texts() -> list[tuple[str, bool, str]]:
+    """Complete licences from ``license_texts``: ``ID.txt``, and ``ID~2.txt`` for a second edition."""
+    out = []
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        name = path.stem.split("~")[0]
+        text = path.read_text(encoding="utf-8")
+        bodies = [text]
+        if name.startswith("BSD-"):
+            bodies += [b.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR") for b in bodies]
+            bodies += [re.sub(r"(?m)^\d\. ", "* ", b) for b in bodies]
+        for body in bodies:
+            for layout in _layouts(body):
+                titled = [f"{title}\n\n{layout}" for title in TITLES.get(name, [])]
+                out += [(name, name in PERMISSIVE, t) for t in (layout, *titled)]
+    return out
+
+
+KNOWN += complete_texts()
+# The paragraph that grants the rights, by which a text inside a longer one is noticed.
+KNOWN += [(i, True, t.split("\n\n")[0]) for i, _, t in KNOWN if i in ("MIT", "ISC") and t.startswith("Permission") and "\n\n" in t]
+
 
 def canonical(text: Column) -> Column:
     """Lower case, no copyright lines, one spelling, words parted by one blank."""

@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -86,6 +88,23 @@ def test_licenses(spark, hostile):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_complete_license_files(spark):
+    folder = Path(licenses.__file__).parent / "license_texts"
+    files = [(p.stem.split("~")[0], p.read_text(encoding="utf-8")) for p in sorted(folder.glob("*.txt"))]
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0", "Unlicense", "Zlib", "BSL-1.0", "CC-BY-SA-4.0"} <= {n for n, _ in files}
+    body = dict(files)
+    owner = "Copyright (c) 2020 A. N. Author\nAll rights reserved.\n\n"
+    files += [(n, f"{title}\n\n{owner}{body[n]}") for n, title in (("MIT", "MIT License"), ("MIT", "The MIT License (MIT)"), ("ISC", "ISC License"), ("BSD-3-Clause", "BSD 3-Clause License"))]
+    for n in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib"):
+        for width in (66, 72, 78, 80):
+            files.append((n, owner + "\n\n".join(textwrap.fill(p, width) for p in body[n].split("\n\n"))))
+    rows = [(i, text, None, None) for i, (_, text) in enumerate(files)]
+    rows.append((9000, f"read this first\n\nMIT License\n\n{body['MIT']}\n\nand more", None, None))
+    got = by_id(licenses.scan(docs(spark, rows)))
+    assert [(n, got[i][0]["license_id"]) for i, (n, _) in enumerate(files) if got[i][0]["license_id"] != n] == []
+    assert got[9000][0]["license_id"] is None and got[9000][0]["notice_ids"] == "MIT"
+
+
 def brute_segments(scores):
     """Maximal segments by their definition: greatest first, then left and right of it."""
     if not len(scores):
