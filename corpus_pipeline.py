@@ -20,7 +20,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language is found (null, empty or without a letter) go."""
 
     def work(inner: DataFrame) -> DataFrame:
-        found = language.predict(inner, language.learn(inner), keep=inner.columns)
+        profiles = language.learn(inner)
+        if not profiles:  # no usable label: nothing can be said but whether there is a letter
+            return inner.filter(F.col("text").rlike(r"\p{L}"))
+        found = language.predict(inner, profiles, keep=inner.columns)
         return found.filter(F.col("lang_pred") != language.UNKNOWN)
 
     return shielded(docs, work)

@@ -54,3 +54,10 @@ def test_run_mixes_what_is_left(spark):
     ends = rows.assign(end=rows["sequence_id"] * 2048 + rows["offset"] + rows["length"]).sort_values("end")
     assert (ends["end"] - ends["length"]).tolist() == [0, *ends["end"].tolist()[:-1]]
     assert rows["doc_id"].nunique() > 100
+
+
+def test_language_stage_without_labels_keeps_texts_with_letters(spark):
+    rows = [(1, "some words", None, "a", 10), (2, "日本語", None, "a", 3), (3, "12 !", None, "a", 4), (4, None, None, "a", None)]
+    inner = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stay = dict(pipeline.STAGES)["language_id"](spark, inner, "")
+    assert sorted(r["doc_id"] for r in stay.collect()) == [1, 2]
