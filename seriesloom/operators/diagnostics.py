@@ -110,12 +110,14 @@ def adf_critical(name: str, n: Column, which: int) -> Column:
 
 
 def _unit_root_frame(panel: DataFrame, keys: list[str], value: str, lags: int) -> tuple[DataFrame, list[str]]:
+    """Regressors of the tests. Missing values are dropped first, so these tests close the holes of a series."""
     seen = panel.filter(F.col(value).isNotNull()).withColumn("_x", F.col(value).cast("double"))
+    seen = seen.withColumn("period", F.row_number().over(W.partitionBy(*keys).orderBy("period")))
     seen = shift_to_start(seen, keys, ["_x"])
     whole = W.partitionBy(*keys)
     base = seen.withColumns(
         {
-            "_t": (F.col("period") - F.min("period").over(whole) + 1).cast("double"),
+            "_t": F.col("period").cast("double"),
             "_size": F.count(F.lit(1)).over(whole),
             "_y1": at_lag("_x", keys),
         }
