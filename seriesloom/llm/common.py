@@ -7,6 +7,7 @@ names, never meet the columns it makes.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,81 +43,112 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@cache
+def _inside(kind: str) -> np.ndarray:
+    """Whether each code point belongs to a word of this kind."""
+    inside = np.zeros(0x110000, dtype=bool)
+    if kind == "alnum":
+        inside[:] = [chr(c).isalnum() for c in range(0x110000)]
+        inside[ord("_")] = True
+    else:
+        inside[:] = True
+        inside[[ord(c) for c in BLANK]] = False
+    return inside
+
+
 class WordSplitter:
     """Words of many texts at once, as 64-bit hashes.
 
     ``kind`` says what a word is: ``"alnum"`` for runs of letters, digits and underscores,
     ``"run"`` for runs of anything but ASCII white space. A prefix sum of a polynomial over the
-    code points gives the hash of every word without a step per word.
+    code points gives the hash of every word without a step per word. A word of any length is one
+    word: where a long text has to be cut inside one, its hash goes on in the next piece.
     """
 
     def __init__(self, kind: str):
-        inside = np.zeros(0x110000, dtype=bool)
-        if kind == "alnum":
-            inside[: 0x30000] = [chr(c).isalnum() for c in range(0x30000)]
-            inside[ord("_")] = True
-        else:
-            inside[:] = True
-            inside[[ord(c) for c in BLANK]] = False
-        self.inside = inside
+        self.inside = _inside(kind)
         size = PIECE + 2
         self.up = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, _BASE, np.uint64)]))
         self.down = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, _INVERSE, np.uint64)]))
 
-    def _pieces(self, texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-        """Groups of texts of at most PIECE characters; a longer text is cut between words if it can be."""
+    def _pieces(self, texts: list[str]) -> Iterator[tuple[list[int], list[str], bool]]:
+        """Groups of texts of at most PIECE characters, and whether the first word began in the piece before.
+
+        A longer text is cut between words if it can be.
+        """
         owners: list[int] = []
         parts: list[str] = []
         held = 0
+
+        def within(text: str, at: int) -> bool:
+            return 0 < at < len(text) and bool(self.inside[ord(text[at - 1])] and self.inside[ord(text[at])])
+
         for i, text in enumerate(texts):
-            at = 0
-            if len(text) > PIECE - 1 and parts:
-                yield owners, parts
-                owners, parts, held = [], [], 0
-            while len(text) - at > PIECE - 1:
-                cut = at + PIECE - 1
-                while cut > at and self.inside[ord(text[cut - 1])] and self.inside[ord(text[cut])]:
-                    cut -= 1
-                cut = cut if cut > at else at + PIECE - 1
-                yield [i], [text[at:cut]]
-                at = cut
-            rest = text[at:] if at else text
-            if held + len(rest) + 1 > PIECE and parts:
-                yield owners, parts
+            if len(text) + 1 > PIECE:
+                if parts:
+                    yield owners, parts, False
+                    owners, parts, held = [], [], 0
+                at = 0
+                while at < len(text):
+                    end = cut = min(at + PIECE - 1, len(text))
+                    while cut > at and within(text, cut):
+                        cut -= 1
+                    cut = cut if cut > at else end
+                    yield [i], [text[at:cut]], within(text, at)
+                    at = cut
+                continue
+            if held + len(text) + 1 > PIECE:
+                yield owners, parts, False
                 owners, parts, held = [], [], 0
             owners.append(i)
-            parts.append(rest)
-            held += len(rest) + 1
+            parts.append(text)
+            held += len(text) + 1
         if parts:
-            yield owners, parts
+            yield owners, parts, False
 
     def split(self, texts: list[str], prefix: int = 0) -> tuple[np.ndarray, ...]:
         """Word hashes of all texts in order, words per text, and characters in words per text.
 
         With ``prefix`` also hashes of each word's first ``prefix`` characters (of a shorter word: of all).
         """
-        hashes: list[np.ndarray] = []
+        sums: list[np.ndarray] = []
         heads: list[np.ndarray] = []
         counts = np.zeros(len(texts), np.int64)
         chars = np.zeros(len(texts), np.int64)
-        for owners, parts in self._pieces(texts):
+        last = 0  # length so far of the last word
+        for owners, parts, goes_on in self._pieces(texts):
             codes = np.frombuffer("\n".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
-            if not codes.size:
-                continue
             inside = self.inside[codes]
             edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
             starts, ends = edges[::2], edges[1::2]
+            if not starts.size:
+                continue
             total = np.zeros(codes.size + 1, np.uint64)
             np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * self.up[: codes.size], out=total[1:])
-            hashes.append(mix((total[ends] - total[starts]) * self.down[starts]))
-            if prefix:
-                heads.append(mix(~((total[np.minimum(starts + prefix, ends)] - total[starts]) * self.down[starts])))
+            found = (total[ends] - total[starts]) * self.down[starts]
+            begun = (total[np.minimum(starts + prefix, ends)] - total[starts]) * self.down[starts]
             first = np.cumsum([0] + [len(p) + 1 for p in parts[:-1]])
             owner = np.asarray(owners)[np.searchsorted(first, starts, side="right") - 1]
-            counts += np.bincount(owner, minlength=len(texts))
             chars += np.bincount(owner, weights=ends - starts, minlength=len(texts)).astype(np.int64)
-        flat = [np.concatenate(h) if h else np.zeros(0, np.uint64) for h in (hashes, heads)]
-        return (flat[0], counts, chars, flat[1]) if prefix else (flat[0], counts, chars)
+            if goes_on:
+                size = int(ends[0])
+                shift = np.uint64(pow(_BASE, last, 1 << 64))
+                sums[-1][-1:] += found[:1] * shift
+                if last < prefix:
+                    short = min(prefix - last, size)
+                    heads[-1][-1:] += (total[short : short + 1] - total[:1]) * shift
+                last = last + size if starts.size == 1 else int(ends[-1] - starts[-1])
+                found, begun, owner = found[1:], begun[1:], owner[1:]
+            else:
+                last = int(ends[-1] - starts[-1])
+            counts += np.bincount(owner, minlength=len(texts))
+            if found.size:
+                sums.append(found)
+                heads.append(begun)
+        hashes = mix(np.concatenate(sums)) if sums else np.zeros(0, np.uint64)
+        if not prefix:
+            return hashes, counts, chars
+        return hashes, counts, chars, mix(~np.concatenate(heads)) if heads else np.zeros(0, np.uint64)
 
 
 def windows(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

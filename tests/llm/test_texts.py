@@ -205,17 +205,72 @@ def test_language(spark, hostile):
     assert language.learn(docs(spark, [])) == {}
 
 
-def test_out_of_place_distance(spark):
-    symbols = language._symbols()
+def plain_grams(text):
+    """n-grams of a text by their definition: words of letters, padded by one blank."""
     counts = Counter()
-    for w in "abca abc b".split():
+    for w in "".join(c if c.isalpha() else " " for c in text.lower()).split():
         padded = f" {w} "
-        counts.update(padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1) if padded[i : i + n].strip())
-    codes, n = language._counts("Abca abc, b", symbols)
-    # n-grams of one blank and a letter at either side exist in both readings
-    assert sum(n) == sum(counts.values())
-    ranked = language.rank_text("abca abc b", symbols, 5)
-    assert len(ranked) == 5 and len(set(ranked.tolist())) == 5
+        counts.update(padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1) if (padded[i : i + n].strip() if n < 3 else padded[i + 1] != " "))
+    return counts
+
+
+def gram_name(code):
+    places = [code >> 21 * k & (1 << 21) - 1 for k in (2, 1, 0)]
+    return "".join(" " if p == language.GAP else chr(p) for p in places if p)
+
+
+def plain_ranks(text, ranks):
+    grams = plain_grams(text)
+    order = sorted(grams, key=lambda g: (-grams[g], len(g), [language.GAP if c == " " else ord(c) for c in g]))
+    return order[:ranks]
+
+
+def test_out_of_place_distance(spark, monkeypatch):
+    texts = ["Abca abc, b", "é м ß в ä œ з éм", "x", "a" * 50 + "\U00031350\U00031351 b", "日本 語", ""]
+    for text in texts:
+        for step in (1 << 20, 3):
+            monkeypatch.setattr(language, "STEP", step)
+            codes, n = language.gram_counts(text)
+            assert dict(zip(map(gram_name, codes.tolist()), n.tolist())) == plain_grams(text)
+        assert [gram_name(c) for c in language.rank_text(text, 5).tolist()] == plain_ranks(text, 5)
+    monkeypatch.undo()
+    # prediction by the definition of the distance
+    rows = [(i, t, k, "s") for i, (t, k) in enumerate([("the cat and the dog", "aa"), ("la queue et le chat", "bb"), ("der Hund und die Katze", "cc")] * 8)]
+    table = docs(spark, rows)
+    profiles = {k: [gram_name(c) for c in p] for k, p in language.learn(table).items()}
+    asked = ["the dog ate", "le chat et", "die Katze", "étude", "zzz the la der", "\U00031350"]
+    got = by_id(language.predict(docs(spark, [(i, t, None, None) for i, t in enumerate(asked)]), language.learn(table)))
+    for i, text in enumerate(asked):
+        ranked = plain_ranks(text, language.RANKS)
+        apart = {k: sum(abs(p.index(g) - r) if g in p else language.RANKS for r, g in enumerate(ranked)) for k, p in profiles.items()}
+        first, second = sorted(apart, key=lambda k: (apart[k], k))[:2]
+        assert got[i][0]["lang_pred"] == first
+        assert got[i][0]["score"] == pytest.approx(1 - apart[first] / (apart[first] + apart[second]))
+
+
+def test_very_long_words_and_texts(spark):
+    """A size changes no result: words of millions of letters, texts of millions of characters."""
+    long = "ab" * 1_500_000
+    text = "one two " + long + " three"
+    hashes, counts, chars = WordSplitter("run").split([text, long, "three"])
+    assert counts.tolist() == [4, 1, 1] and chars[0] == len(long) + 11
+    assert hashes[2] == hashes[4] and hashes[3] == hashes[5]
+    _, _, _, heads = WordSplitter("alnum").split([long, "abab", "\U00031350\U00031351"], 4)
+    assert heads[0] == heads[1] and len(heads) == 3
+    wide = "nicht straße über " * 280_000 + "z"  # five million characters
+    codes, n = language.gram_counts(wide)
+    plain = Counter({g: 280_000 * c for g, c in plain_grams("nicht straße über").items()}) + plain_grams("z")
+    assert dict(zip(map(gram_name, codes.tolist()), n.tolist())) == plain
+    rows = [(1, text, "en", "a"), (2, wide, "en", "a"), (3, " ".join(["w"] * 9 + ["x" * 1_200_000, "y"]), "en", "a")]
+    table = docs(spark, rows)
+    known = spark.createDataFrame([(i, i % 2, i % 2) for i in range(4)], "doc_id long, quality int, toxic int")
+    judged = by_id(quality.judge(table, quality.log_ratios(table, known)))
+    assert [judged[i][0]["n_words"] for i in (1, 2, 3)] == [4, 840_001, 11]
+    scored = by_id(toxicity.score(table.select("doc_id", "text"), toxicity.fit(table, known)))
+    assert all(0 <= scored[i][0]["score"] <= 1 for i in (1, 2, 3))
+    twice = docs(spark, rows[:1] + [(5, text.upper(), "en", "a"), (6, text.replace(" three", "c three"), "en", "a")])
+    joined = by_id(ngram_join.join(twice))
+    assert joined[5][0]["class_id"] == 1 and joined[1][0]["n_copies"] == 2 and joined[6][0]["class_id"] == 6
 
 
 def shingle_sets(rows):
