@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import exact_dedup, language, licenses, line_dedup, main_text, mixing, ngram_join, packing, quality, toxicity
+from seriesloom.llm import (
+    conversations,
+    exact_dedup,
+    language,
+    licenses,
+    line_dedup,
+    main_text,
+    merkle,
+    mixing,
+    ngram_join,
+    packing,
+    personal,
+    quality,
+    toxicity,
+)
 from seriesloom.llm.common import id_hash, table
 
 
@@ -70,11 +84,26 @@ def op10_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.judge(docs, quality.log_ratios(docs, table(spark, d, "labels")))
 
 
+def op11_personal_data(spark: SparkSession, d: str) -> DataFrame:
+    return personal.scan(table(spark, d, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    proven = merkle.manifest(table(spark, d, "documents"), {"presented": merkle.tampered_leaf()})
+    return merkle.audit(proven, "presented")
+
+
+def op13_conversation_repair(spark: SparkSession, d: str) -> DataFrame:
+    given = table(spark, d, "conversations")
+    return conversations.report(conversations.Repair(conversations.damaged(given)), given)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_toxicity, op3_packing, op4_language, op5_ngram_join,
         op6_mixing, op7_main_text, op8_line_dedup, op9_exact_dedup, op10_quality,
+        op11_personal_data, op12_merkle_manifest, op13_conversation_repair,
     )
 }
 
@@ -82,4 +111,5 @@ ORACLES: dict[str, str] = {
     "op1_license_scan": licenses.oracle(),
     "op8_line_dedup": line_dedup.oracle(),
     "op9_exact_dedup": exact_dedup.oracle(),
+    "op12_merkle_manifest": merkle.oracle(),
 }
