@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,6 +11,16 @@ from pyspark.sql import Window as W
 from seriesloom.operators.reshape import by_period
 
 
+@dataclass(frozen=True)
+class Fold:
+    """A test period and the training periods before it."""
+
+    number: int
+    train_to: int
+    test: int
+    train_from: int | None = None
+
+
 def origins(panel: DataFrame, keys: list[str], cut: int, h: int) -> DataFrame:
     """Training ends per series: the first forecast target is ``cut + 1``, the last the data end."""
     ends = panel.groupBy(*keys).agg(F.max("period").alias("_end"))

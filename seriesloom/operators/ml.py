@@ -1,4 +1,4 @@
-"""Learners on pooled lag frames: forests, boosted trees, kernel regression, tuning, importance.
+"""Learners on pooled lag frames: boosted trees, kernel regression, tuning, importance (forests: ``forests``).
 
 One model serves all series of a fold; series differ through their features. A fold is a test
 period: training rows end ``gap`` periods before it. The number of fits is candidates times folds,
@@ -16,10 +16,11 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Estimator
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.operators.folds import Fold
 from seriesloom.operators.joins import attach_group_stats
 from seriesloom.operators.windows import minmax_rescale, top_with_ties
 from seriesloom.sources.panels import stage
@@ -31,14 +32,6 @@ FINAL_SVR = {"kernel": "sigmoid", "cost": 0.06}
 PARALLEL_FITS = 4
 
 
-@dataclass
-class Fold:
-    number: int
-    train_to: int
-    test: int
-    train_from: int | None = None
-
-
 @dataclass
 class Fitted:
     """Union of fold predictions and the importance rows of the fold models."""
@@ -63,14 +56,6 @@ def pooled_frame(frame: DataFrame, features: list[str], target: str, keys: list[
     return stage(rows.select(*keys, "period", F.col(target).cast("double").alias("y"), F.array(*cols).alias("x")), name)
 
 
-def forest(trees: int, mtry: int, node_size: int, n_features: int, depth: int = 10, seed: int = 7) -> Estimator:
-    """Trees on samples without replacement; ``mtry`` features per split."""
-    return RandomForestRegressor(
-        featuresCol="features", labelCol="y", numTrees=int(trees), featureSubsetStrategy=str(min(int(mtry), n_features)),
-        minInstancesPerNode=int(node_size), maxDepth=depth, bootstrap=False, subsamplingRate=0.632, seed=seed,
-    )
-
-
 def boosting(trees: int, depth: int, rate: float, seed: int = 7) -> Estimator:
     """Squared loss, all rows and columns in every round."""
     return GBTRegressor(

@@ -16,26 +16,32 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def span(df: DataFrame, period: Column) -> tuple[int, int]:
-    """First and last calendar cell of a table, both 0 for an empty one: two numbers, read from one column."""
-    low, high = df.agg(F.min(period), F.max(period)).first()
-    return (0, 0) if low is None else (low, high)
+_SPANS: dict[tuple, tuple[int, int]] = {}
+
+
+def span(spark: SparkSession, d: str, name: str, period: Column) -> tuple[int, int]:
+    """First and last calendar cell of a table, both 0 for an empty one: two numbers, read from one column once a session."""
+    key = spark.sparkContext.applicationId, d, name, str(period)
+    if key not in _SPANS:
+        low, high = table(spark, d, name).agg(F.min(period), F.max(period)).first()
+        _SPANS[key] = (0, 0) if low is None else (low, high)
+    return _SPANS[key]
 
 
 def quarters(spark: SparkSession, d: str) -> tuple[int, int]:
-    return span(table(spark, d, "orders"), quarter_index(F.col("o_orderdate")))
+    return span(spark, d, "orders", quarter_index(F.col("o_orderdate")))
 
 
 def order_months(spark: SparkSession, d: str) -> tuple[int, int]:
-    return span(table(spark, d, "orders"), month_index(F.col("o_orderdate")))
+    return span(spark, d, "orders", month_index(F.col("o_orderdate")))
 
 
 def ship_months(spark: SparkSession, d: str) -> tuple[int, int]:
-    return span(table(spark, d, "lineitem"), month_index(F.col("l_shipdate")))
+    return span(spark, d, "lineitem", month_index(F.col("l_shipdate")))
 
 
 def hours(spark: SparkSession, d: str) -> tuple[int, int]:
-    return span(table(spark, d, "events"), hour_index(F.col("ts"), EPOCH))
+    return span(spark, d, "events", hour_index(F.col("ts"), EPOCH))
 
 
 def nation_raw(spark: SparkSession, d: str, first: int | None = None, last: int | None = None) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from seriesloom.functions.scalars import rounded
-from seriesloom.operators import evaluate, folds, ml
+from seriesloom.operators import evaluate, folds, forests, ml
 from seriesloom.operators.ordering import bind_rows
 from seriesloom.operators.windows import growth, lag_frame
 from seriesloom.plans import bindings as b
@@ -16,40 +18,81 @@ from seriesloom.sources.panels import stage
 FEATURES = ["y", "orders", "supply", "season"]
 
 
-def frame(spark, d, h: int):
-    """Growth per nation with lags h and h + 1 of itself, of order counts and of supplier shipments."""
+def grown(spark, d):
+    """Growth per nation of order values, order counts and supplier shipments."""
     panel = b.nation_q(spark, d).join(_supply(spark, d), ["entity", "period"], "left")
-    grown = panel.select(
+    return panel.select(
         "entity", "period", growth("value", ["entity"]).alias("y"), growth("n_orders", ["entity"]).alias("orders"),
         growth("shipped", ["entity"]).alias("supply"), (F.col("period") % 4).cast("double").alias("season"),
     )
-    lagged = lag_frame(grown, ["entity"], "y", FEATURES[1:], h, 2)
+
+
+def lags(panel, h: int):
+    """Rows with lags h and h + 1 of every column of ``grown``, and the features' names."""
+    lagged = lag_frame(panel, ["entity"], "y", FEATURES[1:], h, 2)
     names = [c for c in lagged.columns if "_l" in c]
     return ml.pooled_frame(lagged, names, "y", ["entity"], f"lag-frame-{h}"), names
 
 
+def frame(spark, d, h: int):
+    return lags(grown(spark, d), h)
+
+
+HORIZONS = ((1, "Q"), (4, "Y"))
+
+
+def _at_horizons(spark, d, work):
+    """``work(rows, feature names, folds, horizon name, h)`` for both horizons, side by side, on one staged panel."""
+    panel = stage(grown(spark, d), "growth-panel")
+
+    def one(horizon):
+        h, name = horizon
+        return work(*lags(panel, h), _tests(spark, d, h), name, h)
+
+    with ThreadPoolExecutor(len(HORIZONS)) as pool:
+        return list(pool.map(one, HORIZONS))
+
+
 def _records(predictions, model, h, horizon):
-    return evaluate.ml_records(predictions, ["entity"], f"{model}_{horizon}_I2", h, horizon, with_band=False)
+    return evaluate.ml_records(predictions, ["entity"], f"{model}_{horizon}_I2", h, horizon)
+
 
+def _tests(spark, d, h):
+    return ml.test_folds(CUT + 1, b.quarters(spark, d)[1], h - 1)
 
-def _backtest(spark, d, model, make):
-    out = None
-    for h, horizon in ((1, "Q"), (4, "Y")):
-        rows, names = frame(spark, d, h)
-        fitted = ml.fit_folds(rows, ["entity"], lambda n=len(names): make(n), ml.test_folds(CUT + 1, b.quarters(spark, d)[1], h - 1))
-        records = _records(fitted.predictions, model, h, horizon)
-        out = records if out is None else out.unionByName(records)
-    return out
+
+def _both_horizons(spark, d, model, predict):
+    """Records of a learner whose ``predict(rows, feature names, folds)`` gives its test forecasts."""
+    return bind_rows(*_at_horizons(spark, d, lambda rows, names, at, name, h: _records(predict(rows, names, at), model, h, name)))
+
+
+def _final_forest(rows, names, at: list[ml.Fold], **how):
+    """The study's forest in every fold: its trees and its forecasts."""
+    cells, n = forests.binned(rows, ["entity"], min(f.train_to for f in at), "forest-bins")
+    size = ml.FINAL_FOREST["node_size"]
+    pools = [forests.Pool(f.number, f, ml.FINAL_FOREST["trees"], min(ml.FINAL_FOREST["mtry"], n), size) for f in at]
+    trees = forests.grow(cells, n, pools)
+    readings = [forests.Reading(p.number, p.number, p.trees, size) for p in pools]
+    return trees, forests.predictions(cells, ["entity"], trees, readings, **how)
 
 
 @query("q_rf_backtest")
 def rf_backtest(spark, d):
-    return _backtest(spark, d, "RF", lambda n: ml.forest(ml.FINAL_FOREST["trees"], ml.FINAL_FOREST["mtry"], 5, n, depth=6))
+    """The study's forest at every test period, with bands of one standard error by the infinitesimal jackknife."""
+    return _both_horizons(spark, d, "RF", lambda rows, names, at: _final_forest(rows, names, at, errors=True)[1])
+
+
+def _boosted(rows, at: list[ml.Fold], **how):
+    return ml.fit_folds(rows, ["entity"], lambda: ml.boosting(*SHALLOW), at, **how)
+
+
+# Rounds, depth and rate of the boosting that the queries run (README: times at the study's).
+SHALLOW = (20, 3, 0.1)
 
 
 @query("q_gb_backtest")
 def gb_backtest(spark, d):
-    return _backtest(spark, d, "GB", lambda n: ml.boosting(20, 3, 0.1))
+    return _both_horizons(spark, d, "GB", lambda rows, names, at: _boosted(rows, at).predictions)
 
 
 def _svr(rows, kernels, costs, epsilons, folds):
@@ -63,21 +106,19 @@ def _svr(rows, kernels, costs, epsilons, folds):
     return ml.KernelRegression(rows, ["entity"], models), models
 
 
+def _final_svr(rows, at: list[ml.Fold], **how):
+    return _svr(rows, ["sigmoid"], [ml.FINAL_SVR["cost"]], [0.1], at)[0].predictions(**how)
+
+
 @query("q_svr_backtest")
 def svr_backtest(spark, d):
-    out = None
-    for h, horizon in ((1, "Q"), (4, "Y")):
-        rows, _ = frame(spark, d, h)
-        fit, _ = _svr(rows, ["sigmoid"], [ml.FINAL_SVR["cost"]], [0.1], ml.test_folds(CUT + 1, b.quarters(spark, d)[1], h - 1))
-        records = _records(fit.predictions(), "SVR", h, horizon)
-        out = records if out is None else out.unionByName(records)
-    return out
+    return _both_horizons(spark, d, "SVR", lambda rows, names, at: _final_svr(rows, at))
 
 
-# Random candidates per learner, and the ranges they are drawn from.
-TRIALS = 2
+# Random candidates per learner, and the ranges they are drawn from. The study draws 300 of each.
+TRIALS = {"RF": 300, "GB": 2, "SVR": 3}
 RANGES = {
-    "RF": {"trees": (20, 90, "int"), "mtry": (1, 8, "int"), "node_size": (4, 95, "int")},
+    "RF": {"trees": (20, 90, "int"), "mtry": (0, 8, "int"), "node_size": (4, 95, "int")},
     "GB": {"trees": (5, 25, "int"), "depth": (1, 4, "int"), "rate": (-1.5, -0.5, "pow10")},
     "SVR": {"cost": (-1.5, 0.5, "pow10"), "epsilon": (0.05, 0.2, "real")},
 }
@@ -90,13 +131,22 @@ def candidates(spark, learner: str, trials: int) -> list[dict]:
     return [r.asDict() for r in folds.random_candidates(seat, "learner", number, RANGES[learner], trials).orderBy("trial").collect()]
 
 
-def _learner(learner: str, c: dict, n: int):
-    if learner == "RF":
-        return ml.forest(c["trees"], c["mtry"], c["node_size"], n)
-    return ml.boosting(c["trees"], c["depth"], c["rate"])
+def _forest_scores(rows, drawn: list[dict], at: list[ml.Fold]):
+    """Test errors of all candidates from one pool of trees per number of features tried and fold."""
+    cells, n = forests.binned(rows, ["entity"], min(f.train_to for f in at), "tuning-bins")
+    pools, readings = {}, []
+    for i, c in enumerate(drawn):
+        mtry = min(int(c["mtry"]), n)
+        for k, fold in enumerate(at):
+            number = mtry * len(at) + k
+            held = pools.get(number, forests.Pool(number, fold, 1, mtry, 1 << 62))
+            pools[number] = forests.Pool(number, fold, max(held.trees, int(c["trees"])), mtry, min(held.node_size, int(c["node_size"])))
+            readings.append(forests.Reading(i * len(at) + k, number, int(c["trees"]), int(c["node_size"])))
+    trees = forests.grow(cells, n, list(pools.values()))
+    return ml.fold_scores(forests.predictions(cells, ["entity"], trees, readings), ["model", "fold"])
 
 
-def _scored(rows, learner: str, drawn: list[dict], names: list[str], at: list[ml.Fold]):
+def _scored(rows, learner: str, drawn: list[dict], at: list[ml.Fold]):
     """Test errors of every candidate and fold: ``learner, candidate, fold, rmse``."""
     if learner == "SVR":
         kernels = ("sigmoid", "radial", "polynomial")
@@ -104,30 +154,33 @@ def _scored(rows, learner: str, drawn: list[dict], names: list[str], at: list[ml
             ml.SvrModel(i * len(at) + k, kernels[i % 3], c["cost"], c["epsilon"], fold) for i, c in enumerate(drawn) for k, fold in enumerate(at)
         ]
         scores = ml.fold_scores(ml.KernelRegression(rows, ["entity"], models).predictions(), ["model", "fold"])
-        number = F.floor(F.col("model") / len(at)).cast("int")
-        return scores.select(F.lit(learner).alias("learner"), number.alias("candidate"), "fold", "rmse")
-    out = None
-    for i, c in enumerate(drawn):
-        fitted = ml.fit_folds(rows, ["entity"], lambda c=c: _learner(learner, c, len(names)), at)
-        one = ml.fold_scores(fitted.predictions, ["fold"]).select(F.lit(learner).alias("learner"), F.lit(i).alias("candidate"), "fold", "rmse")
-        out = one if out is None else out.unionByName(one)
-    return out
+    elif learner == "RF":
+        scores = _forest_scores(rows, drawn, at)
+    else:
+        out = []
+        for i, c in enumerate(drawn):
+            fitted = ml.fit_folds(rows, ["entity"], lambda c=c: ml.boosting(c["trees"], c["depth"], c["rate"]), at)
+            one = ml.fold_scores(fitted.predictions, ["fold"])
+            out.append(one.select(F.lit(learner).alias("learner"), F.lit(i).alias("candidate"), "fold", "rmse"))
+        return bind_rows(*out)
+    number = F.floor(F.col("model") / len(at)).cast("int")
+    return scores.select(F.lit(learner).alias("learner"), number.alias("candidate"), "fold", "rmse")
 
 
 @query("q_tune")
-def tune(spark, d, trials: int = TRIALS):
+def tune(spark, d, trials: dict[str, int] = TRIALS):
     """Random search of three learners over the same six growing folds of the training part.
 
     The winner of each learner is refitted in the folds of the test part; ``outer_rmse`` is its
     mean error there.
     """
-    rows, names = frame(spark, d, 1)
-    inner, outer = ml.test_folds(CUT - 5, CUT, 0), ml.test_folds(CUT + 1, b.quarters(spark, d)[1], 0)
-    drawn = {learner: candidates(spark, learner, trials) for learner in RANGES}
-    tried = bind_rows(*[_scored(rows, learner, c, names, inner) for learner, c in drawn.items()])
+    rows, _ = frame(spark, d, 1)
+    inner, outer = ml.test_folds(CUT - 5, CUT, 0), _tests(spark, d, 1)
+    drawn = {learner: candidates(spark, learner, trials[learner]) for learner in RANGES}
+    tried = bind_rows(*[_scored(rows, learner, c, inner) for learner, c in drawn.items()])
     ranked = stage(ml.best_candidate(tried, ["learner"], "candidate"), "tuning-trials")
     best = {r["learner"]: r["candidate"] for r in ranked.filter("is_best").collect()}  # one row a learner
-    again = bind_rows(*[_scored(rows, learner, [drawn[learner][k]], names, outer) for learner, k in best.items()])
+    again = bind_rows(*[_scored(rows, learner, [drawn[learner][k]], outer) for learner, k in best.items()])
     refit = again.groupBy("learner").agg(F.avg("rmse").alias("outer_rmse")).withColumn("is_best", F.lit(True))
     return ranked.join(refit, ["learner", "is_best"], "left")
 
@@ -150,11 +203,10 @@ def tune_select(spark, d):
 def benchmark(spark, d):
     """Three learners on the same folds: RMSE and median absolute error of test and training rows."""
     rows, names = frame(spark, d, 1)
-    tests = ml.test_folds(CUT + 1, b.quarters(spark, d)[1], 0)
-    rf = ml.fit_folds(rows, ["entity"], lambda: ml.forest(ml.FINAL_FOREST["trees"], ml.FINAL_FOREST["mtry"], 5, len(names), depth=6), tests, True).predictions
-    gb = ml.fit_folds(rows, ["entity"], lambda: ml.boosting(20, 3, 0.1), tests, True).predictions
-    fit, _ = _svr(rows, ["sigmoid"], [ml.FINAL_SVR["cost"]], [0.1], tests)
-    svr = fit.predictions(True).drop("model")
+    at = _tests(spark, d, 1)
+    rf = _final_forest(rows, names, at, with_train=True)[1].drop("model", "se")
+    gb = _boosted(rows, at, with_train=True).predictions
+    svr = _final_svr(rows, at, with_train=True).drop("model")
     every = rf.withColumn("learner", F.lit("RF")).unionByName(gb.withColumn("learner", F.lit("GB"))).unionByName(svr.withColumn("learner", F.lit("SVR")))
     errors = every.withColumn("error", F.col("truth") - F.col("response")).withColumn("rel_error", F.lit(None).cast("double"))
     tagged = stage(errors, "benchmark-predictions")  # the measures pass over it several times
@@ -164,15 +216,17 @@ def benchmark(spark, d):
 
 @query("q_importance")
 def importance(spark, d):
-    """Mean impurity importance over fold models per horizon, rescaled, top ten with ties."""
-    out = None
-    for h, horizon in ((1, "1-quarter ahead"), (4, "1-year ahead")):
-        rows, names = frame(spark, d, h)
-        fitted = ml.fit_folds(rows, ["entity"], lambda n=len(names): ml.forest(20, 4, 5, n, depth=5), ml.test_folds(CUT + 1, b.quarters(spark, d)[1], h - 1))
-        table = [(horizon, names[i], fold, g) for fold, i, g in fitted.importance]
-        part = spark.createDataFrame(table, "horizon string, feature string, fold int, gain double")
-        out = part if out is None else out.unionByName(part)
-    return ml.importance_rank(out, ["horizon"], "feature", "gain")
+    """Mean impurity importance over fold models per learner and horizon, rescaled, top ten with ties."""
+    words = {"Q": "1-quarter ahead", "Y": "1-year ahead"}
+
+    def gains_of(rows, names, at, name, _):
+        forest = _final_forest(rows, names, at)[0].importance()
+        out = [("RF", words[name], names[i], fold, float(g)) for fold, gains in forest.items() for i, g in enumerate(gains)]
+        return out + [("GB", words[name], names[i], fold, g) for fold, i, g in _boosted(rows, at).importance]
+
+    table = [row for rows in _at_horizons(spark, d, gains_of) for row in rows]  # folds x features rows
+    gains = spark.createDataFrame(table, "learner string, horizon string, feature string, fold int, gain double")
+    return ml.importance_rank(gains, ["learner", "horizon"], "feature", "gain")
 
 
 @query(
