@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,6 +14,7 @@ from seriesloom.functions.scalars import cut_label, percent_text, ratio
 from seriesloom.operators.aggregates import exact_percentiles_of
 from seriesloom.operators.baselines import RECORD_COLUMNS
 from seriesloom.operators.joins import attach_group_stats
+from seriesloom.operators.moments import map_rows
 
 
 def ml_records(
@@ -135,6 +138,62 @@ def dm_statistic(
     return sums.select(*by, "n", "mean_d", (raw * factor).alias("statistic"))
 
 
+def model_name(model_id: str = "model_id") -> Column:
+    """Model without its horizon and information set."""
+    return F.regexp_replace(model_id, "_[QY](_I[0-9]+)?$", "")
+
+
+def all_comparisons(
+    records: DataFrame, keys: list[str], models: list[str], pairs: list[tuple[str, str]] | None = None, power: int = 2, adjusted: bool = True
+) -> DataFrame:
+    """Diebold-Mariano statistics of all ``(model, benchmark)`` pairs of ``models``, or those listed, from one pass.
+
+    The targets that every model has forecast give one vector of losses each. A series' vectors, no more
+    than its calendar is long, yield the means and the products of losses k periods apart, a models x models matrix per
+    lag up to h - 1. A pair's mean difference is a difference of means, and each of its autocovariances is a
+    quadratic form of one of these matrices, so no pair needs its own join or window. Statistics are NULL as
+    in ``dm_statistic``; series without a common target give no row.
+    """
+    pairs = pairs or [(m, b) for m in models for b in models if m != b]
+    m, bench = ([models.index(p[i]) for p in pairs] for i in (0, 1))
+    by = [*keys, "horizon", "periods_ahead"]
+    errors = records.filter(F.col("error").isNotNull()).groupBy(*by, "forecast_period").agg(
+        F.map_from_entries(F.collect_list(F.struct(model_name().alias("model"), "error"))).alias("_errors")
+    )
+    losses = F.array(*[F.pow(F.abs(F.try_element_at("_errors", F.lit(name))), F.lit(float(power))) for name in models])
+    whole = errors.withColumn("_l", losses).filter(~F.exists("_l", lambda v: v.isNull()))
+    series = whole.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col("forecast_period").alias("t"), F.col("_l").alias("l")))).alias("_d"))
+    series = series.select(*by, F.transform("_d", lambda v: v["t"]).alias("_t"), F.flatten(F.transform("_d", lambda v: v["l"])).alias("_l"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for row in pdf.itertuples(index=False):
+            t = np.asarray(row[-2], dtype=int)
+            loss = np.asarray(row[-1], dtype=float).reshape(len(t), len(models))
+            n, h = len(t), int(row[len(by) - 1])
+            mean = loss.mean(0)
+            centred = np.zeros((t[-1] - t[0] + 1, len(models)))  # a target that is not there adds nothing
+            centred[t - t[0]] = loss - mean
+            total = np.zeros(len(pairs))
+            for k in range(min(h, len(centred))):
+                c = centred[k:].T @ centred[: len(centred) - k]
+                total += (1 if k == 0 else 2) * (c[bench, bench] - c[bench, m] - c[m, bench] + c[m, m])
+            variance, apart = total / n**2, mean[bench] - mean[m]
+            with np.errstate(all="ignore"):
+                stat = np.where((variance > 0) & (n > h), apart / np.sqrt(variance), np.nan)
+            inner = (n + 1 - 2 * h + h * (h - 1) / n) / n
+            stat = stat * (np.sqrt(inner) if inner > 0 else np.nan) if adjusted else stat
+            out = pd.DataFrame({"model": [p[0] for p in pairs], "benchmark": [p[1] for p in pairs], "n": n, "mean_d": apart, "statistic": stat})
+            for key, value in zip(by, row):
+                out[key] = value
+            parts.append(out[[*by, "model", "benchmark", "n", "mean_d", "statistic"]])
+        return pd.concat(parts)
+
+    schema = ", ".join(f"{c} {series.schema[c].dataType.simpleString()}" for c in by)
+    made = map_rows(series, run, f"{schema}, model string, benchmark string, n bigint, mean_d double, statistic double")
+    return made.withColumn("statistic", F.when(~F.isnan("statistic"), F.col("statistic")))
+
+
 # Edges of the p-value classes, closed on the left.
 P_VALUE_BREAKS = [float("-inf"), 0.01, 0.05, 0.1, 1.0]
 
@@ -166,9 +225,8 @@ def pair_gains(metrics: DataFrame, keys: list[str], pairs: list[tuple[str, str]]
 def accuracy_table(records: DataFrame, keys: list[str], benchmark: str, order: DataFrame) -> DataFrame:
     """RMSE, MdRAE and RMSE relative to the benchmark, quarter and year side by side, in list order."""
     metrics = error_metrics(relative_errors(records, keys, benchmark), ["model_id", "horizon"])
-    base = F.regexp_replace("model_id", "_[QY]$", "")
     wide = (
-        metrics.withColumn("model", base)
+        metrics.withColumn("model", model_name())
         .groupBy("model")
         .agg(
             *[

@@ -265,6 +265,37 @@ def dm_pvalues(spark, d):
     )
 
 
+_MODELS = ("RW", "MEAN", "ARIMA")
+_TABLE_SQL = f"""+e AS (SELECT *, regexp_replace(model_id, '_[QY]$', '') AS model FROM records WHERE error IS NOT NULL),
+    whole AS (SELECT entity, horizon, forecast_period FROM e GROUP BY 1, 2, 3 HAVING count(DISTINCT model) = {len(_MODELS)}),
+    d AS (SELECT a.entity, a.horizon, a.periods_ahead AS h, a.model, b.model AS benchmark, a.forecast_period AS t, b.error*b.error - a.error*a.error AS d
+          FROM e a JOIN e b USING (entity, horizon, forecast_period) JOIN whole USING (entity, horizon, forecast_period) WHERE a.model <> b.model),
+    c AS (SELECT *, d - avg(d) OVER (PARTITION BY entity, horizon, model, benchmark) AS c FROM d),
+    g AS (SELECT x.entity, x.horizon, x.model, x.benchmark, sum(CASE WHEN x.t - y.t = 0 THEN 1 WHEN x.t - y.t BETWEEN 1 AND x.h - 1 THEN 2 ELSE 0 END*x.c*y.c) AS v
+          FROM c x JOIN c y ON x.entity = y.entity AND x.horizon = y.horizon AND x.model = y.model AND x.benchmark = y.benchmark AND y.t BETWEEN x.t - 3 AND x.t GROUP BY 1, 2, 3, 4),
+    a AS (SELECT entity, horizon, h, model, benchmark, count(*) AS n, avg(d) AS mean_d FROM d GROUP BY 1, 2, 3, 4, 5),
+    s AS (SELECT *, CASE WHEN v > 0 AND n > h THEN mean_d/sqrt(v/(n*n))*sqrt(greatest(0.0, (n + 1 - 2*h + h*(h - 1.0)/n)/n)) END AS statistic
+          FROM a JOIN g USING (entity, horizon, model, benchmark))"""
+
+
+@query(
+    "q_dm_table",
+    sql(
+        f"""{_TABLE_SQL} SELECT entity, horizon, model, benchmark, n, {r6('sign(mean_d)*ln(1 + abs(mean_d))')} AS mean_d_log, {r6('statistic')} AS statistic,
+            {r6(st.t_tail('statistic', '(n - 1)'))} AS p_greater FROM s""",
+        "records",
+    ),
+)
+def dm_table(spark, d):
+    """Every model against every other on the targets that all have, with the t(n - 1) p-value; mean differences on a signed log scale."""
+    out = evaluate.all_comparisons(records(spark, d), ["entity"], list(_MODELS))
+    p = t_sf(F.col("statistic"), (F.col("n") - 1).cast("double"))
+    return out.select(
+        "entity", "horizon", "model", "benchmark", "n", rounded(F.signum("mean_d") * F.log1p(F.abs("mean_d"))).alias("mean_d_log"),
+        rounded(F.col("statistic")).alias("statistic"), rounded(p).alias("p_greater"),
+    )
+
+
 _PHI = """CASE WHEN statistic IS NULL THEN NULL WHEN abs(statistic) > 8 THEN CASE WHEN statistic > 0 THEN 0.0 ELSE 1.0 END WHEN statistic = 0 THEN 0.5 ELSE
    0.5 - sign(statistic)*exp(-statistic*statistic/2)/sqrt(2*pi())*list_sum(list_transform(range(0, 200),
    lambda k: exp((2*k + 1)*ln(abs(statistic)) - ((k + 1)*ln(2.0) + lgamma(k + 1.5) - 0.5*ln(pi()))))) END"""

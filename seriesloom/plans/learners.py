@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.scalars import rounded
-from seriesloom.operators import evaluate, folds, forests, ml
+from seriesloom.functions.tails import normal_sf
+from seriesloom.operators import arma, baselines, evaluate, factors, folds, forests, joins, ml, systems
 from seriesloom.operators.ordering import bind_rows
 from seriesloom.operators.windows import growth, lag_frame
 from seriesloom.plans import bindings as b
 from seriesloom.plans.registry import CUT, query, r6, sql
 from seriesloom.plans.reshape import _supply
+from seriesloom.sources import literals
 from seriesloom.sources.panels import stage
 
 FEATURES = ["y", "orders", "supply", "season"]
@@ -41,9 +44,9 @@ def frame(spark, d, h: int):
 HORIZONS = ((1, "Q"), (4, "Y"))
 
 
-def _at_horizons(spark, d, work):
+def _at_horizons(spark, d, work, panel=None):
     """``work(rows, feature names, folds, horizon name, h)`` for both horizons, side by side, on one staged panel."""
-    panel = stage(grown(spark, d), "growth-panel")
+    panel = panel or stage(grown(spark, d), "growth-panel")
 
     def one(horizon):
         h, name = horizon
@@ -115,6 +118,63 @@ def svr_backtest(spark, d):
     return _both_horizons(spark, d, "SVR", lambda rows, names, at: _final_svr(rows, at))
 
 
+LEARNERS = ("RF", "GB", "SVR")
+ECONOMETRIC = ("RW", "ARIMA", "VAR_LI", "VAR_NK", "FAVAR_FULL", "FAVAR_SW")
+
+
+_RECORDS: dict[tuple, DataFrame] = {}
+
+
+def every_record(spark, d):
+    """Forecasts of all econometric models and all learners for the same targets, staged once a session."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _RECORDS:
+        _RECORDS[key] = stage(_every_record(spark, d), "all-records")
+    return _RECORDS[key]
+
+
+def _every_record(spark, d):
+    panel = stage(grown(spark, d), "growth-panel")
+    last = b.quarters(spark, d)[1]
+    span = (["entity"], "y")
+    made = [
+        baselines.baseline_records(panel, *span, CUT, last, models=("RW",)),
+        arma.arma_backtest(panel, *span, (2, 1), "ARIMA", CUT, last),
+        systems.var_backtest(panel, ["entity"], ["y", "orders"], 1, "VAR_LI", CUT, last),
+        systems.var_backtest(panel, ["entity"], ["y", "orders", "supply"], 2, "VAR_NK", CUT, last),
+        factors.favar_backtest(panel, *span, ["orders", "supply"], 1, 1, "FAVAR_FULL", CUT, last),
+        factors.favar_backtest(panel, *span, ["orders", "supply"], 2, 1, "FAVAR_SW", CUT, last),
+    ]
+
+    def learned(rows, names, at, horizon, h):
+        found = {"RF": _final_forest(rows, names, at, errors=True)[1], "GB": _boosted(rows, at).predictions, "SVR": _final_svr(rows, at)}
+        return bind_rows(*[_records(p, learner, h, horizon) for learner, p in found.items()])
+
+    return bind_rows(*made, *_at_horizons(spark, d, learned, panel))
+
+
+@query("q_dm_learners")
+def dm_learners(spark, d):
+    """Each learner against each econometric model, for the quarter and the year: absolute loss, normal p-values."""
+    pairs = [(learner, model) for learner in LEARNERS for model in ECONOMETRIC]
+    out = evaluate.all_comparisons(every_record(spark, d), ["entity"], [*ECONOMETRIC, *LEARNERS], pairs, 1, False)
+    return out.withColumn("p_greater", normal_sf(F.col("statistic")))
+
+
+@query("q_accuracy_learners")
+def accuracy_learners(spark, d):
+    """All models side by side, relative to the full FAVAR, in display order."""
+    return evaluate.accuracy_table(every_record(spark, d), ["entity"], "FAVAR_FULL", literals.model_order(spark))
+
+
+@query("q_crisis_learners")
+def crisis_learners(spark, d):
+    """Forecasts of all models around a recession beside the truth, the forest's bands left out."""
+    rows = every_record(spark, d).filter((F.col("horizon") == "Q") & F.col("forecast_period").between(CUT + 2, CUT + 6))
+    flagged = joins.regime_join(evaluate.blank_bands(rows, ["RF_Q_I2"]), literals.recessions(spark), "forecast_period")
+    return flagged.select("entity", "model_id", "forecast_period", "true_value", "mean", "lower", "upper", "in_regime")
+
+
 # Random candidates per learner, and the ranges they are drawn from. The study draws 300 of each.
 TRIALS = {"RF": 300, "GB": 2, "SVR": 3}
 RANGES = {

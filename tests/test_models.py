@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seriesloom.operators import arma, baselines, diagnostics as dg, factors, ml, systems
+from seriesloom.operators import arma, baselines, diagnostics as dg, evaluate, factors, ml, systems
 from seriesloom.plans import bindings as b
 
 
@@ -342,3 +342,31 @@ def test_arma_does_not_close_holes():
     good = np.isfinite(a) & np.isfinite(c)
     slope = np.polyfit(a[good], c[good], 1)[0]
     assert params[0, 1] == pytest.approx(slope, abs=1e-5)
+
+
+def test_all_comparisons_agree_with_pairwise_tests(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for e in range(3):
+        for h, horizon in ((1, "Q"), (4, "Y")):
+            for t in range(100, 130):
+                if e == 2 and t in (110, 111):
+                    continue
+                rows += [(f"e{e}", f"{m}_{horizon}{'_I2' if m == 'RF' else ''}", horizon, h, t, None if (e, m, t) == (1, "B", 105) else float(rng.normal() * s)) for m, s in (("A", 1.0), ("B", 1.4), ("RF", 0.8))]
+    frame = spark.createDataFrame(rows, "entity string, model_id string, horizon string, periods_ahead int, forecast_period int, error double")
+    got = {(r["entity"], r["horizon"], r["model"], r["benchmark"]): r for r in evaluate.all_comparisons(frame, ["entity"], ["A", "B", "RF"]).collect()}
+    assert len(got) == 3 * 2 * 6
+    for (entity, horizon, m, b), r in got.items():
+        h = r["periods_ahead"]
+        error = {k: {t: x for e, i, z, _, t, x in rows if (e, z) == (entity, horizon) and i.startswith(k + "_") and x is not None} for k in ("A", "B", "RF")}
+        at = sorted(set.intersection(*(set(v) for v in error.values())))
+        d = {t: error[b][t] ** 2 - error[m][t] ** 2 for t in at}
+        mean = np.mean(list(d.values()))
+        cov = [sum((d[t] - mean) * (d[t - k] - mean) for t in at if t - k in d) for k in range(h)]
+        n = len(at)
+        v = (cov[0] + 2 * sum(cov[1:])) / n**2
+        assert r["n"] == n and r["mean_d"] == pytest.approx(mean)
+        assert r["statistic"] == (pytest.approx(mean / np.sqrt(v) * np.sqrt((n + 1 - 2 * h + h * (h - 1) / n) / n)) if v > 0 else None)
+    plain = frame.withColumn("model_id", F.regexp_replace("model_id", "_I2$", "")).filter("entity = 'e0'")
+    for r in evaluate.dm_statistic(plain, ["entity"], [("A", "B"), ("RF", "A")]).collect():
+        assert got["e0", r["horizon"], r["model"], r["benchmark"]]["statistic"] == pytest.approx(r["statistic"])
