@@ -8,8 +8,9 @@ sampled tokens into smaller buckets of sets that share them, down a path of choi
 on the bucket alone. Buckets of bounded size are compared by brute force on the complete sets; as
 many independent runs are made as the target recall needs.
 
-A bucket that splits hardly shrink, or that is still large at the greatest depth, is compared whole:
-its sets are dealt into blocks once, whatever number of such buckets they are in, and every two blocks
+One split that hardly shrinks a bucket says little: the sampled token may be one that a passage common to
+many different sets brings into nearly all of them. A bucket that several splits in a row hardly shrink,
+or that is still large at the greatest depth, is compared whole: its sets are dealt into blocks once, whatever number of such buckets they are in, and every two blocks
 that meet in one of them are a task of bounded size. A task gives each set a number of links and the
 least set linked, so every pair is compared and counted once and no pair list is ever made of it.
 """
@@ -30,6 +31,8 @@ from seriesloom.sources.panels import stage
 WIDTH, LEAST = 5, 0.8
 TOKENS = 64
 BUCKET, DEPTH = 96, 12
+# A split that leaves more than this share of a bucket hardly shrinks it; so many in a row, and it is compared whole.
+SHARE, STAYS = 0.76, 3
 # Sets of a block; a task compares two.
 BLOCK = 128
 RECALL = 0.985
@@ -153,8 +156,10 @@ def _children(tokens: int, branches: float, least: float, at: int):
                 fresh = (used[:, None] & _bit(np.arange(tokens))[None, :]) == 0
                 row, token = np.nonzero((mix(node[:, None] ^ numbers) < bar) & fresh)
                 below = mix(mix(node[row] + numbers[token]) ^ signs[row, token])
-                columns = [pa.array(below.view(np.int64)), batch.column("rep").take(pa.array(row)), pa.array(used[row] | _bit(token))]
-                yield pa.RecordBatch.from_arrays([*columns, batch.column("n").take(pa.array(row))], names=["node", "rep", "used", "above"])
+                at_row = pa.array(row)
+                columns = [pa.array(below.view(np.int64)), batch.column("rep").take(at_row), pa.array(used[row] | _bit(token))]
+                columns += [batch.column(c).take(at_row) for c in ("n", "stays")]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "rep", "used", "above", "stays"])
 
     return run
 
@@ -173,8 +178,8 @@ def _roots(tokens: int, runs: int):
                     used = pa.array(np.repeat(_bit(np.array([token])), below.size))
                     # there is no bucket above to shrink
                     above = pa.nulls(below.size, pa.int64())
-                    columns = [pa.array(below.view(np.int64)), batch.column("rep"), used, above]
-                    yield pa.RecordBatch.from_arrays(columns, names=["node", "rep", "used", "above"])
+                    columns = [pa.array(below.view(np.int64)), batch.column("rep"), used, above, pa.array(np.zeros(below.size, np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["node", "rep", "used", "above", "stays"])
 
     return run
 
@@ -271,7 +276,7 @@ def leaf_buckets(
     Each distinct set of members comes once a level.
     """
     signs = stage(signs, "path-signs")
-    schema = "node long, rep long, used long, above long"
+    schema = "node long, rep long, used long, above long, stays int"
     level = stage(signs.mapInArrow(_roots(tokens, runs), schema), "path-level-1")
     leaves: list[DataFrame] = []
     heavy: list[DataFrame] = []
@@ -282,10 +287,12 @@ def leaf_buckets(
             F.bit_xor(F.xxhash64("rep")).alias("sum1"),
             F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("sum2"),
             F.min("above").alias("above"),
+            F.min("stays").alias("stays"),
         ).filter("n > 1")
+        stays = F.when(F.col("n") > F.col("above") * SHARE, F.col("stays") + 1).otherwise(0)
+        counts = counts.withColumn("stays", stays.cast("int"))
         counts = stage(counts, f"path-counts-{at}")
-        # a bucket that keeps more of the one above than a split makes copies only multiplies: it is compared whole
-        whole = F.lit(at == depth) | F.coalesce(F.col("n") * (branches / least) > F.col("above"), F.lit(False))
+        whole = F.lit(at == depth) | (F.col("stays") >= STAYS)
         oversize = F.col("n") > bucket
 
         def members(chosen: DataFrame) -> DataFrame:
@@ -294,10 +301,10 @@ def leaf_buckets(
 
         leaves.append(members(counts.filter(~oversize)))
         heavy.append(members(counts.filter(oversize & whole)))
-        large = counts.filter(oversize & ~whole).select("node", "n")
+        large = counts.filter(oversize & ~whole).select("node", "n", "stays")
         if large.isEmpty():
             break
-        below = level.select("node", "rep", "used").join(large, "node").join(signs, "rep").select("node", "rep", "used", "n", "sign")
+        below = level.select("node", "rep", "used").join(large, "node").join(signs, "rep").select("node", "rep", "used", "n", "stays", "sign")
         level = stage(below.mapInArrow(_children(tokens, branches, least, at), schema), f"path-level-{at + 1}")
     out = []
     for name, parts in (("path-leaves", leaves), ("path-heavy", heavy)):
