@@ -48,6 +48,33 @@ def css_residuals(y: np.ndarray, live: np.ndarray, params: np.ndarray, p: int, q
     return e
 
 
+def css_derivatives(y: np.ndarray, live: np.ndarray, params: np.ndarray, e: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Derivatives of the one-step errors by every parameter, rows x time x parameters.
+
+    Each obeys the recursion of the errors with its own input: the mean gives one less the
+    autoregressive weights, a weight of lag i gives the value i steps back, one of a past error that error.
+    """
+    count, t = y.shape
+    size = 1 + p + q
+    z = np.nan_to_num(y) - params[:, :1]
+    out = np.zeros((count, t, size))
+    out[:, :, 0] = (params[:, 1 : 1 + p].sum(axis=1) - 1.0)[:, None]
+    for i in range(1, p + 1):
+        out[:, i:, i] = -z[:, :-i]
+    for j in range(1, q + 1):
+        out[:, j:, p + j] = -e[:, :-j]
+    out *= live[:, :, None]
+    if q:
+        theta = params[:, p + 1 : p + 1 + q]
+        seen = live[:, :, None].astype(float)
+        with np.errstate(all="ignore"):
+            for s in range(1, t):
+                m = min(q, s)
+                past = out[:, s - m : s][:, ::-1]
+                out[:, s] -= seen[:, s] * np.matmul(theta[:, None, :m], past)[:, 0]
+    return out
+
+
 def starting_values(y: np.ndarray, p: int, q: int) -> np.ndarray:
     """Two regressions: a long autoregression for errors, then lags of values and errors."""
     mean = y.mean()
@@ -70,10 +97,20 @@ def starting_values(y: np.ndarray, p: int, q: int) -> np.ndarray:
     return out
 
 
-def fit_css(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = None, rounds: int = 300, lags: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Parameters, residuals, sums of squares and whether each row settled, by damped Gauss-Newton steps on all rows at once."""
+def fit_css(
+    y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = None, rounds: int = 300, lags: int | None = None, orders: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Parameters, residuals, sums of squares and whether each row settled, by damped Gauss-Newton steps on all rows at once.
+
+    ``orders`` gives each row its own order up to (p, q), rows x 2; the weights beyond it stay zero.
+    """
     live = live_mask(y, n, p if start is None else start, p if lags is None else lags)
-    params = np.array([starting_values(row[:size][np.isfinite(row[:size])], p, q) for row, size in zip(y, n)])
+    own = np.tile([p, q], (len(y), 1)) if orders is None else orders
+    params = np.zeros((len(y), 1 + p + q))
+    free = np.zeros(params.shape, bool)
+    for k, (row, size, (a, m)) in enumerate(zip(y, n, own)):
+        at = np.concatenate([[0], 1 + np.arange(a), 1 + p + np.arange(m)])
+        params[k, at], free[k, at] = starting_values(row[:size][np.isfinite(row[:size])], a, m), True
 
     def loss(theta):
         e = css_residuals(y, live, theta, p, q)
@@ -90,24 +127,15 @@ def fit_css(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = No
     e, best = loss(params)
     size = params.shape[1]
     damping = np.full(len(y), 1e-3)
-    scale = np.maximum(1.0, np.abs(params[:, :1]))
     active = np.ones(len(y), dtype=bool)
     for _ in range(rounds):
-        # every parameter of every unfinished row moves in one recursion
         i = np.flatnonzero(active)
         if not len(i):
             break
-        steps = np.ones((len(i), size)) * 1e-6
-        steps[:, 0] *= scale[i, 0]
-        moved = np.repeat(params[i][:, None, :], size, axis=1)
-        moved[:, np.arange(size), np.arange(size)] += steps
-        bent = css_residuals(np.repeat(y[i], size, axis=0), np.repeat(live[i], size, axis=0), moved.reshape(-1, size), p, q)
-        bent = bent.reshape(len(i), size, -1)
-        with np.errstate(all="ignore"):
-            jac = np.transpose((bent - e[i][:, None, :]) / steps[:, :, None], (0, 2, 1))
-        jac = np.nan_to_num(jac, posinf=0.0, neginf=0.0)
-        g = np.einsum("bti,bt->bi", jac, e[i])
-        h = np.einsum("bti,btj->bij", jac, jac)
+        jac = np.nan_to_num(css_derivatives(y[i], live[i], params[i], e[i], p, q), posinf=0.0, neginf=0.0) * free[i][:, None, :]
+        across = np.transpose(jac, (0, 2, 1))
+        g = np.matmul(across, e[i][:, :, None])[:, :, 0]
+        h = np.matmul(across, jac)
         diag = np.maximum(np.einsum("bii->bi", h), 1e-12)
         h[:, np.arange(size), np.arange(size)] += damping[i, None] * diag + 1e-12
         trial = params[i] - np.linalg.solve(h, g[:, :, None])[:, :, 0]
@@ -127,9 +155,12 @@ def fit_css(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = No
 ROWS_AT_ONCE = 256
 
 
-def fit_many(y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = None, rounds: int = 300, lags: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def fit_many(
+    y: np.ndarray, n: np.ndarray, p: int, q: int, start: int | None = None, rounds: int = 300, lags: int | None = None, orders: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """:func:`fit_css` in slices, so that memory does not depend on the Arrow batch size."""
-    parts = [fit_css(y[i : i + ROWS_AT_ONCE], n[i : i + ROWS_AT_ONCE], p, q, start, rounds, lags) for i in range(0, len(y), ROWS_AT_ONCE)]
+    slices = [slice(i, i + ROWS_AT_ONCE) for i in range(0, len(y), ROWS_AT_ONCE)]
+    parts = [fit_css(y[c], n[c], p, q, start, rounds, lags, None if orders is None else orders[c]) for c in slices]
     return tuple(np.concatenate(column) for column in zip(*parts))
 
 
@@ -219,7 +250,8 @@ def arma_backtest(
 def arma_orders(panel: DataFrame, keys: list[str], value: str, max_p: int = 10, max_q: int = 10) -> DataFrame:
     """AICc of every ARMA(p, q) up to the given orders on one common sample, with the best per series.
 
-    Candidates are rows: (series, p) pairs spread over the cluster, each fitting its range of q.
+    Candidates are rows: (series, p) pairs spread over the cluster, each laid out over its range of q. Rows of
+    all orders in a batch are fitted together, so the time steps of a batch are gone through once a round.
     """
     arrays = series_arrays(panel, keys, value)
     # an array crosses the shuffle once per p; its range of q is laid out behind it
@@ -227,22 +259,20 @@ def arma_orders(panel: DataFrame, keys: list[str], value: str, max_p: int = 10,
     spread_grid = grid.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(max_q))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for (p, q), some in pdf.groupby(["p", "q"]):
-            y, n = _padded(some["values"], [len(v) for v in some["values"]])
-            start = max(max_p, max_q)
-            used = live_mask(y, n, start, max_p).sum(axis=1)
-            k = p + q + 2
-            good = used - k - 1 > 0
-            aicc, sigma, settled = np.full(len(some), np.nan), np.full(len(some), np.nan), np.zeros(len(some), bool)
-            if good.any():
-                _, _, sse, settled[good] = fit_many(y[good], n[good], int(p), int(q), start, lags=max_p)
-                u = used[good]
-                with np.errstate(all="ignore"):
-                    sigma[good] = sse / u
-                    aicc[good] = u * (np.log(2 * np.pi * sse / u) + 1) + 2 * k + 2 * k * (k + 1) / (u - k - 1)
-            parts.append(some[keys].assign(p=p, q=q, sigma2=sigma, aicc=aicc, converged=settled))
-        return pd.concat(parts)
+        y, n = _padded(pdf["values"], [len(v) for v in pdf["values"]])
+        start = max(max_p, max_q)
+        used = live_mask(y, n, start, max_p).sum(axis=1)
+        orders = pdf[["p", "q"]].to_numpy(int)
+        k = orders.sum(axis=1) + 2
+        good = used - k - 1 > 0
+        aicc, sigma, settled = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan), np.zeros(len(pdf), bool)
+        if good.any():
+            _, _, sse, settled[good] = fit_many(y[good], n[good], max_p, max_q, start, lags=max_p, orders=orders[good])
+            u, k = used[good], k[good]
+            with np.errstate(all="ignore"):
+                sigma[good] = sse / u
+                aicc[good] = u * (np.log(2 * np.pi * sse / u) + 1) + 2 * k + 2 * k * (k + 1) / (u - k - 1)
+        return pdf[[*keys, "p", "q"]].assign(sigma2=sigma, aicc=aicc, converged=settled)
 
     scored = map_rows(spread_grid, run, f"{key_schema(grid, keys)}, p int, q int, sigma2 double, aicc double, converged boolean")
     usable = F.when((F.abs("aicc") < 1e300) & F.col("converged"), F.col("aicc"))
