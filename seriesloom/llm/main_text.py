@@ -19,7 +19,7 @@ from seriesloom.llm.common import map_texts
 
 # Elements that are never part of the text.
 DROPPED = {
-    "head", "script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "nav", "aside", "footer",
+    "head", "script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "nav", "aside", "footer",
     "form", "button", "select", "textarea", "input", "label", "fieldset", "dialog", "menu", "audio", "video",
 }
 # Elements that hold no other element.

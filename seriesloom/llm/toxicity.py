@@ -125,25 +125,33 @@ def word_weights(sample: DataFrame, prior: float = 10_000.0, least_z: float = 4.
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments ``(first, last, score)`` of a sequence, in linear time.
 
-    Words that score below zero in a row are folded into one step first.
+    Every candidate is linked to the nearest earlier one that begins at a lower prefix sum, so that a search passes
+    over a candidate once; where there is no such one, all candidates before are final.
     """
     at = np.flatnonzero(scores > 0)
     if not at.size:
         return []
     prefix = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
-    found: list[tuple[float, float, int, int]] = []
+    final: list[tuple[float, float, int, int]] = []
+    open_: list[tuple[float, float, int, int]] = []
+    link: list[int] = []
     for i in at.tolist():
         left, right, first = float(prefix[i]), float(prefix[i + 1]), i
+        j = len(open_) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][0] >= left:
-                j -= 1
-            if j < 0 or found[j][1] >= right:
-                found.append((left, right, first, i))
+            while j >= 0 and open_[j][0] >= left:
+                j = link[j]
+            if j < 0 or open_[j][1] >= right:
                 break
-            left, first = found[j][0], found[j][2]
-            del found[j:]
-    return [(first, last, right - left) for left, right, first, last in found]
+            left, first, before = open_[j][0], open_[j][2], link[j]
+            del open_[j:], link[j:]
+            j = before
+        if j < 0:
+            final += open_
+            open_, link = [], []
+        open_.append((left, right, first, i))
+        link.append(j)
+    return [(first, last, right - left) for left, right, first, last in final + open_]
 
 
 def _scored(texts: list[str], words: WordSplitter, weights: np.ndarray) -> Iterator[tuple[int, list]]:

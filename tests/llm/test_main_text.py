@@ -16,6 +16,7 @@ CASES = {
  '<body><header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>x y</p><table><tr><td>a</td><td>b</td></tr></table><ul><li>i1<li>i2</ul><pre>k\n  l</pre></article><div class="cookie-notice">We use cookies</div></body>':"Title\n\nx y\n\na b\n\ni1\n\ni2\n\nk l",
  '<article><p>see <a href=x>all of this linked paragraph</a></p><p><a>only link</a></p><p>end</p></article>':"see all of this linked paragraph\n\nonly link\n\nend",
  '<p>a</p><!-- c <p>no</p> --><script>if (a<b) "<p>x</p>"</script><style>p{}</style><p>b':"a\n\nb",
+ '<article><p>area <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds</p></article>':"area a=2 holds",
     "<div><p>Some text before the links</p><p><a href=x>a link</a></p><p>and after</p></div><ul><li><a>x</a></li></ul>": (
         "Some text before the links\n\na link\n\nand after"
     ),

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -125,6 +126,17 @@ def test_maximal_segments():
         assert got == [(a, b, round(s, 6)) for a, b, s in brute_segments(scores.tolist())]
 
 
+def test_segment_scan_takes_linear_time():
+    def seconds(hits):
+        scores = np.full(26 * hits, -0.05)
+        scores[::26] = 1.0  # prefix sums fall, so no segment ever joins another
+        begin = time.perf_counter()
+        assert len(toxicity.maximal_segments(scores)) == hits
+        return time.perf_counter() - begin
+
+    assert seconds(64_000) < 12 * max(seconds(16_000), 0.01)
+
+
 def test_toxicity(spark, hostile):
     rng = np.random.default_rng(1)
     rows, labels = [], []
