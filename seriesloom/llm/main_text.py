@@ -29,6 +29,8 @@ INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins",
     "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u",
     "var", "wbr", "br", "td", "th",
+    "math", "semantics", "mrow", "mi", "mo", "mn", "ms", "mtext", "mspace", "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup",
+    "munder", "mover", "munderover",
 }
 # Words of a class, id or role that name a part beside the article.
 BESIDE = {
