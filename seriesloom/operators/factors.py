@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.tails import t_tail
 from seriesloom.operators.moments import map_rows, per_series
-from seriesloom.operators.systems import FORECAST_FIELDS, companion_forecast, design, key_schema, no_nan, on_calendar, to_records
+from seriesloom.operators.systems import FORECAST_FIELDS, companion_forecast, key_schema, no_nan, on_calendar, to_records
 
 
 def gram(df: DataFrame, vector: str, size: int, key: str | None = None) -> DataFrame:
@@ -205,29 +205,70 @@ def pcr_cv(moments: DataFrame, size: int, max_r: int) -> DataFrame:
 # --- factor-augmented autoregression -------------------------------------------------------
 
 
-def _standard_scores(x: np.ndarray, r: int) -> np.ndarray:
-    """Scores of the complete rows; NaN where a row is incomplete."""
-    whole = np.isfinite(x).all(axis=1)
-    seen = x[whole]
-    sd = seen.std(axis=0, ddof=1)
-    keep = sd > 0
-    z = (seen[:, keep] - seen[:, keep].mean(axis=0)) / sd[keep]
-    _, vectors = components(np.atleast_2d(np.corrcoef(z, rowvar=False)))
-    out = np.full((len(x), min(r, z.shape[1])), np.nan)
-    out[whole] = z @ vectors[:, :r]
-    return out
+class ExpandingFactors:
+    """Sums of products of a growing sample, from which components and the system on them are read at any origin.
 
+    ``data`` has the target first, then the features, a row per period. Two matrices grow by one period at a time: of the
+    features, and of all columns beside their ``p`` lags. Scores are linear in the features, so the moments of
+    the system on target and scores are a projection of the second matrix, and no period is gone through again.
+    """
 
-def _fit_forecast(values: np.ndarray, p: int, steps: int) -> tuple[np.ndarray, np.ndarray] | None:
-    x, y = design(values, p)
-    n, z = x.shape
-    if n <= z or not np.isfinite(values[len(values) - p :]).all():
-        return None  # too few rows, or a hole in the last periods
-    coef = np.linalg.lstsq(x, y, rcond=None)[0]
-    u = y - x @ coef
-    state = values[-1 : -p - 1 : -1].reshape(1, -1)
-    mean, se = companion_forecast(coef[None], (u.T @ u / (n - z))[None], state, p, steps)
-    return mean[0, :, 0], se[0, :, 0]
+    def __init__(self, data: np.ndarray, p: int):
+        seen = np.isfinite(data)
+        # a shift by the first value keeps the digits that carry the variation
+        first = np.array([c[m][0] if m.any() else 0.0 for c, m in zip(data.T, seen.T)])
+        self.data, self.first, self.p, self.rows = data - first, first, p, 0
+        k = data.shape[1]
+        self.features = np.zeros((k, k))
+        self.system = np.zeros((1 + k * (p + 1),) * 2)
+        self.complete = 0
+
+    def advance(self, rows: int) -> None:
+        """Take in the periods up to ``rows``."""
+        for t in range(self.rows, min(rows, len(self.data))):
+            x = np.concatenate([[1.0], self.data[t, 1:]])
+            if np.isfinite(x).all():
+                self.features += np.outer(x, x)
+                self.complete += bool(np.isfinite(self.data[t, 0]))
+            if t >= self.p:
+                w = np.concatenate([[1.0], *(self.data[t - i] for i in range(self.p + 1))])
+                if np.isfinite(w).all():
+                    self.system += np.outer(w, w)
+        self.rows = rows
+
+    def loadings(self, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """Constant and weights that make the first ``r`` scores of (shifted) features."""
+        _, mean, sd, _ = correlation(self.features)
+        keep = sd > 1e-12 * np.maximum(1.0, np.abs(mean))
+        part = np.concatenate([[0], 1 + np.flatnonzero(keep)])
+        _, mean, sd, corr = correlation(self.features[np.ix_(part, part)])
+        weights = np.zeros((len(keep), min(r, int(keep.sum()))))
+        weights[keep] = components(np.atleast_2d(corr))[1][:, :r] / sd[:, None]
+        return -mean @ weights[keep], weights
+
+    def forecast(self, loadings: tuple[np.ndarray, np.ndarray], steps: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Means and standard errors of the target; None with too few rows or a hole in the last periods."""
+        constant, weights = loadings
+        p, k, size = self.p, self.data.shape[1], 1 + weights.shape[1]
+        last = self.data[self.rows - p : self.rows] if self.rows >= p else self.data[:0]
+        n, z = int(self.system[0, 0]), 1 + size * p
+        if n <= z or len(last) < p or not np.isfinite(last).all():
+            return None
+        basis = np.zeros((1 + k * (p + 1), 1 + size * (p + 1)))
+        basis[0, 0] = 1.0
+        for i in range(p + 1):
+            at, to = 1 + k * i, 1 + size * i
+            basis[at, to], basis[0, to + 1 : to + size] = 1.0, constant
+            basis[at + 1 : at + k, to + 1 : to + size] = weights
+        m = basis.T @ self.system @ basis
+        x, y = np.r_[0, 1 + size : m.shape[0]], np.arange(1, 1 + size)
+        # columns of unit length before the solution, so that units do not decide what is singular
+        scale = np.sqrt(np.maximum(np.diag(m)[x], 1e-300))
+        coef = np.linalg.lstsq(m[np.ix_(x, x)] / np.outer(scale, scale), m[np.ix_(x, y)] / scale[:, None], rcond=1e-13)[0] / scale[:, None]
+        rss = m[np.ix_(y, y)] - coef.T @ m[np.ix_(x, y)]
+        state = np.column_stack([last[:, 0], constant + last[:, 1:] @ weights])[::-1].reshape(1, -1)
+        mean, se = companion_forecast(coef[None], ((rss + rss.T) / 2 / (n - z))[None], state, p, steps)
+        return mean[0, :, 0] + self.first[0], se[0, :, 0]
 
 
 def favar_backtest(
@@ -236,6 +277,8 @@ def favar_backtest(
 ) -> DataFrame:
     """At every origin: components of the features up to it, then a VAR(p) of target and r scores.
 
+    Both come from sums of products that grow with the origins.
+
     The period itself is never a variable. A series' own rows are all a task needs. An origin whose
     last ``p`` periods have a hole, or with too few complete rows before it, gets a NULL forecast.
     """
@@ -245,10 +288,12 @@ def favar_backtest(
         data, begin = on_calendar(pdf, [target, *features]), int(pdf["period"].min())
         truth = dict(zip(pdf["period"], pdf[target]))
         rows = []
+        sample = ExpandingFactors(data, p)
         for origin in range(max(begin, cut + 1 - steps), last - min(horizons) + 1):
-            used, made = data[: origin - begin + 1], None
-            if origin < begin + len(data) and np.isfinite(used).all(axis=1).sum() >= max(10, 2 + p * (r + 1) * 2):
-                made = _fit_forecast(np.column_stack([used[:, 0], _standard_scores(used[:, 1:], r)]), p, steps)
+            sample.advance(origin - begin + 1)
+            made = None
+            if origin < begin + len(data) and sample.complete >= max(10, 2 + p * (r + 1) * 2):
+                made = sample.forecast(sample.loadings(r), steps)
             for h in horizons:
                 mean, se = (made[0][h - 1], made[1][h - 1]) if made is not None else (np.nan, np.nan)
                 rows.append((origin, h, truth.get(origin + h, np.nan), mean, se))
@@ -278,14 +323,15 @@ def factor_cv(
         data = data[whole[0] : whole[-1] + 1] if whole.size else data[:0]
         n = len(data)
         rows = []
+        sample = ExpandingFactors(data, p)
         for i in range(1, (go_back - 1) // skip + 1):
             size = n - go_back + skip * i
-            used = data[: max(size, 0)]
-            enough = np.isfinite(used).all(axis=1).sum() >= max(3, 4 * (max_r + 2) // 2)
-            factors = _standard_scores(used[:, 1:], max_r) if enough else None
+            sample.advance(max(size, 0))
+            enough = sample.complete >= max(3, 4 * (max_r + 2) // 2)
+            constant, weights = sample.loadings(max_r) if enough else (None, None)
             truth = data[size, 0] if 0 <= size < n else np.nan
             for r in range(1, max_r + 1):
-                made = _fit_forecast(np.column_stack([used[:, 0], factors[:, :r]]), p, 1) if enough else None
+                made = sample.forecast((constant[:r], weights[:, :r]), 1) if enough else None
                 forecast = np.nan if made is None else made[0][0]
                 rows.append((i, r, truth, forecast, forecast - truth))
         out = no_nan(pd.DataFrame(rows, columns=["fold", "r", "true_value", "forecast", "error"]))

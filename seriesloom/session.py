@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,9 +29,16 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or where that is unset one in the warehouse."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``.
+
+    Only a local session, whose tasks all run on this machine, may leave it unset; its folder is in the warehouse.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/seriesloom-stage").rstrip("/")
+    if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = spark.conf.get("spark.sql.warehouse.dir") + "/seriesloom-stage"
+    return named.rstrip("/")
 
 
 _STAGED: list[str] = []

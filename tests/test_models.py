@@ -370,3 +370,45 @@ def test_all_comparisons_agree_with_pairwise_tests(spark):
     plain = frame.withColumn("model_id", F.regexp_replace("model_id", "_I2$", "")).filter("entity = 'e0'")
     for r in evaluate.dm_statistic(plain, ["entity"], [("A", "B"), ("RF", "A")]).collect():
         assert got["e0", r["horizon"], r["model"], r["benchmark"]]["statistic"] == pytest.approx(r["statistic"])
+
+
+def refitted(values, features, r, p, steps):
+    """Scores and a system fitted on the raw rows of one origin."""
+    whole = np.isfinite(features).all(axis=1)
+    seen = features[whole]
+    keep = seen.std(axis=0, ddof=1) > 0
+    z = (seen[:, keep] - seen[:, keep].mean(axis=0)) / seen[:, keep].std(axis=0, ddof=1)
+    scores = np.full((len(features), min(r, z.shape[1])), np.nan)
+    scores[whole] = z @ factors.components(np.atleast_2d(np.corrcoef(z, rowvar=False)))[1][:, :r]
+    data = np.column_stack([values, scores])
+    x, y = systems.design(data, p)
+    if len(x) <= x.shape[1] or not np.isfinite(data[-p:]).all():
+        return None
+    coef = np.linalg.lstsq(x, y, rcond=None)[0]
+    u = y - x @ coef
+    state = data[-1 : -p - 1 : -1].reshape(1, -1)
+    mean, se = systems.companion_forecast(coef[None], (u.T @ u / (len(x) - x.shape[1]))[None], state, p, steps)
+    return mean[0, :, 0], se[0, :, 0]
+
+
+@pytest.mark.parametrize("trial", range(6))
+def test_growing_moments_equal_refits(trial):
+    rng = np.random.default_rng(trial)
+    k, p, t = int(rng.integers(2, 8)), int(rng.integers(1, 4)), 80
+    d = rng.normal(size=(t, k + 1))
+    d[:, 1:] += rng.normal(size=(t, 1)).cumsum(0) * 0.3
+    d = d * 10.0 ** rng.integers(-3, 6, k + 1)
+    d += 5 * d.std(0) * rng.normal(size=k + 1)
+    if trial % 2:
+        d[rng.integers(0, 70, 2), rng.integers(0, k + 1, 2)] = np.nan
+    if trial == 4:
+        d[:, 2] = 7.0
+    sample = factors.ExpandingFactors(d, p)
+    for rows in range(40, t):
+        sample.advance(rows)
+        for r in (1, 2):
+            want, got = refitted(d[:rows, 0], d[:rows, 1:], r, p, 4), sample.forecast(sample.loadings(r), 4)
+            assert (want is None) == (got is None)
+            if want is not None:
+                assert got[0] == pytest.approx(want[0], rel=1e-8, abs=1e-8 * np.nanmax(np.abs(d[:rows, 0])))
+                assert got[1] == pytest.approx(want[1], rel=1e-8)
