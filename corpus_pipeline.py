@@ -41,7 +41,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each class stays; rows without a doc_id stay."""
+    """The document of the smallest doc_id of each class stays; rows without a doc_id stay.
+
+    Rows that share a doc_id are one document: of them the row whose text comes first stays.
+    """
 
     def work(inner: DataFrame) -> DataFrame:
         classes = ngram_join.join(inner)
