@@ -31,7 +31,7 @@ WIDTH, LEAST = 5, 0.8
 TOKENS = 64
 BUCKET, DEPTH = 96, 12
 # Sets of a block; a task compares two.
-BLOCK = 128
+BLOCK = 256
 RECALL = 0.985
 # Tokens that the first split of a run samples.
 ROOTS = 2
