@@ -10,8 +10,9 @@ many independent runs are made as the target recall needs.
 
 A bucket that splits hardly shrink, or that is still large at the greatest depth, is compared whole:
 its sets are dealt into blocks once, whatever number of such buckets they are in, and every two blocks
-that meet in one of them are a task of bounded size. A task gives each set a number of links and the
-least set linked, so every pair is compared and counted once and no pair list is ever made of it.
+that meet in one of them are compared; a task takes a block and up to PARTNERS others in turn. It gives each
+set a number of links and the least set linked, so every pair is compared and counted once and no pair list
+is ever made of it.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.llm.common import WordSplitter, map_texts, mix, text_groups, texts_of, windows
@@ -30,8 +31,8 @@ from seriesloom.sources.panels import stage
 WIDTH, LEAST = 5, 0.8
 TOKENS = 64
 BUCKET, DEPTH = 96, 12
-# Sets of a block; a task compares two.
-BLOCK = 256
+# Sets of a block, and blocks that a task compares with its own, one after the other.
+BLOCK, PARTNERS = 128, 16
 RECALL = 0.985
 # Tokens that the first split of a run samples.
 ROOTS = 2
@@ -179,12 +180,16 @@ def _roots(tokens: int, runs: int):
     return run
 
 
+# What a row is to a task between blocks: of its own block, compared with itself too or not, or of a partner block.
+OWN, OWN_ONCE, PARTNER = 0, 1, 2
+
+
 def _compare(width: int, least: float):
-    """Brute force inside each bucket and between two blocks over the complete sets; rows come sorted by bucket.
+    """Brute force inside each bucket and between blocks over the complete sets; rows come sorted by bucket, side and block.
 
     Gives every set the least set it is connected with there and, in a bucket, its partners except
-    those whose block is compared with its own; between blocks (``side`` 0 and 1, or 0 only for a
-    block with itself), the number of its partners.
+    those whose block is compared with its own; between blocks, the number of its partners. There a task holds
+    its own block and one partner block at a time.
     """
 
     def bucket_links(reps: np.ndarray, sets: list[np.ndarray], sides: list, blocks: list, peers: list) -> list[tuple]:
@@ -228,17 +233,32 @@ def _compare(width: int, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordSplitter("alnum")
-        current, reps, texts, sides, blocks, peers = None, [], [], [], [], []
+        current = part = None
+        # a task's own block, whose sets are kept, and the rows being read
+        base: list[tuple] = []
+        held: list[tuple] = []
 
-        def finish() -> list[tuple]:
-            if len(reps) < 2:
-                return []
+        def sets_of(texts: list[str]) -> list[np.ndarray]:
             sets: list[np.ndarray] = []
             for lo, hi in text_groups(texts):
                 hashes, counts, _ = words.split([t.lower() for t in texts[lo:hi]])
                 sets += shingles(hashes, counts, width)
-            order = np.argsort(reps, kind="stable").tolist()
-            return bucket_links(np.array(reps)[order], *([kind[i] for i in order] for kind in (sets, sides, blocks, peers)))
+            return sets
+
+        def finish() -> list[tuple]:
+            nonlocal base, held
+            found = [(rep, keys, side, block, others) for (rep, side, block, others, _), keys in zip(held, sets_of([h[4] for h in held]))]
+            held = []
+            if found and found[0][2] in (OWN, OWN_ONCE):
+                base, alone = [(rep, keys, 0, block, others) for rep, keys, _, block, others in found], found[0][2] == OWN
+                found = base if alone else []
+            elif found and found[0][2] == PARTNER:
+                found = base + found
+            if len(found) < 2:
+                return []
+            found.sort(key=lambda f: f[0])
+            reps, *kinds = (list(column) for column in zip(*found))
+            return bucket_links(np.array(reps), *kinds)
 
         def give(rows: list[tuple]) -> pa.RecordBatch:
             types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())
@@ -250,11 +270,12 @@ def _compare(width: int, least: float):
                 batch, out = whole.slice(lo, 512), []
                 columns = [batch.column(c).to_pylist() for c in ("bucket", "rep", "side", "block", "peers")]
                 for bucket, rep, side, block, others, text in zip(*columns, texts_of(batch.column("text").to_pylist())):
-                    if bucket != current:
+                    at = None if side is None else (side, block)
+                    if bucket != current or at != part:
                         out += finish()
-                        current, reps, texts, sides, blocks, peers = bucket, [], [], [], [], []
-                    for kind, value in zip((reps, texts, sides, blocks, peers), (rep, text, side, block, others)):
-                        kind.append(value)
+                        base = base if bucket == current else []
+                        current, part = bucket, at
+                    held.append((rep, side, block, others, text))
                 if out:
                     yield give(out)
         if out := finish():
@@ -330,7 +351,7 @@ def _pairs(met: DataFrame) -> DataFrame:
 def comparisons(leaves: DataFrame, heavy: DataFrame, block: int = BLOCK) -> DataFrame:
     """``bucket, rep, side, block, peers``: the sets of each task of brute force.
 
-    ``side`` is null in a bucket; there ``block`` is a set's block, if it has one, and ``peers`` are the
+    ``side`` is null in a bucket (else what a set is to its task); there ``block`` is a set's block, if it has one, and ``peers`` are the
     blocks compared with that. Buckets whose pairs all meet between blocks are left out.
     """
     alone = leaves.select("bucket", "rep", F.lit(None).cast("int").alias("side"))
@@ -345,10 +366,12 @@ def comparisons(leaves: DataFrame, heavy: DataFrame, block: int = BLOCK) -> Data
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     peers = blocks.join(both.groupBy(F.col("a").alias("block")).agg(F.collect_set("b").alias("peers")), "block")
     alone = alone.join(covered, "bucket", "left_anti").join(peers, "rep", "left").select("bucket", "rep", "side", "block", "peers")
-    name = F.xxhash64("a", "b", F.lit(-1)).alias("bucket")
-    sides = pairs.select(name, F.lit(0).alias("side"), F.col("a").alias("block")).unionByName(
-        pairs.filter("a < b").select(name, F.lit(1).alias("side"), F.col("b").alias("block"))
-    )
+    # a block with itself comes first, since a <= b
+    turn = Window.partitionBy("a").orderBy("b")
+    pairs = pairs.withColumn("task", F.floor((F.row_number().over(turn) - 1) / PARTNERS))
+    name = F.xxhash64("a", "task", F.lit(-1)).alias("bucket")
+    own = pairs.select("a", "task").distinct().select(name, F.when(F.col("task") == 0, OWN).otherwise(OWN_ONCE).alias("side"), F.col("a").alias("block"))
+    sides = own.unionByName(pairs.filter("a < b").select(name, F.lit(PARTNER).alias("side"), F.col("b").alias("block")))
     tasks = sides.join(blocks, "block").select("bucket", "rep", "side", "block", F.lit(None).cast("array<long>").alias("peers"))
     return alone.unionByName(tasks)
 
@@ -404,7 +427,7 @@ def join(
     needed = leaves.select("rep").unionByName(heavy.select("rep")).distinct()
     texts = docs.join(needed, F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     full = tasks.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("bucket", "rep", "side", "block", "peers", "text")
-    compared = full.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+    compared = full.repartition("bucket").sortWithinPartitions("bucket", "side", "block").mapInArrow(
         _compare(width, least), "rep long, least long, partners array<long>, n long"
     )
     compared = stage(compared, "path-links")
