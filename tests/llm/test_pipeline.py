@@ -21,10 +21,10 @@ def test_query_equals_its_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_gives_a_row_per_document(spark, name):
     rows = QUERIES[name](spark, DATA)
-    source = "pages" if "main_text" in name else "documents"
-    key = "page_id" if source == "pages" else "doc_id"
+    sources = {"op7_main_text": ("pages", "page_id"), "op13_conversation_repair": ("conversations", "conv_id")}
+    source, key = sources.get(name, ("documents", "doc_id"))
     whole = spark.read.parquet(f"{DATA}/{source}.parquet")
-    assert rows.select(key).distinct().count() == whole.count()
+    assert rows.count() >= rows.select(key).distinct().count() == whole.select(key).distinct().count()
 
 
 def test_stages_keep_columns_whatever_their_names(spark):
