@@ -9,10 +9,11 @@ on the bucket alone. Buckets of bounded size are compared by brute force on the
 many independent runs are made as the target recall needs.
 
 A bucket that splits hardly shrink, or that is still large at the greatest depth, is compared whole:
-its sets are dealt into blocks once, whatever number of such buckets they are in, and every two blocks
-that meet in one of them are compared; a task takes a block and up to PARTNERS others in turn. It gives each
-set a number of links and the least set linked, so every pair is compared and counted once and no pair list
-is ever made of it.
+its sets are dealt into blocks once, whatever number of such buckets they are in, by rising size, and every two
+blocks that meet in one of them are compared; a task takes a block and up to PARTNERS others in turn. Sets whose
+sizes differ by more than the threshold allows cannot be similar, so they are not sent to each other. A task gives
+each set a number of links and the least set linked, so every pair that can be linked is compared and counted
+once and no pair list is ever made of it.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ TOKENS = 64
 BUCKET, DEPTH = 96, 12
 # Sets of a block, and blocks that a task compares with its own, one after the other.
 BLOCK, PARTNERS = 128, 16
+# Steps of set size that blocks tell apart, for each factor of e.
+SIZE_STEPS = 32
+# What rounding may take of a product of sizes and the threshold.
+SLACK = 1e-3
 RECALL = 0.985
 # Tokens that the first split of a run samples.
 ROOTS = 2
@@ -93,6 +98,7 @@ def _embedding(tokens: int):
         def run(texts: list[str]) -> dict:
             keys: list[tuple[int | None, int | None]] = []
             signs: list[bytes | None] = []
+            sizes: list[int | None] = []
             for lo, hi in text_groups(texts):
                 hashes, counts, _ = words.split([t.lower() for t in texts[lo:hi]])
                 ends = np.cumsum(counts)
@@ -100,13 +106,15 @@ def _embedding(tokens: int):
                     if not n:
                         keys.append((None, None))
                         signs.append(None)
+                        sizes.append(None)
                         continue
                     own = hashes[end - n : end]
                     place = mix(np.arange(1, n + 1, dtype=np.uint64))
                     with np.errstate(over="ignore"):
                         keys.append((int((own * place).sum().view(np.int64)), int(mix(own ^ place).sum().view(np.int64))))
                     signs.append(minima(found, multiplier, shift).tobytes())
-            return {"k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "sign": signs}
+                    sizes.append(found.size)
+            return {"k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "sign": signs, "size": sizes}
 
         return run
 
@@ -114,20 +122,20 @@ def _embedding(tokens: int):
 
 
 def representatives(docs: DataFrame, tokens: int = TOKENS) -> tuple[DataFrame, DataFrame]:
-    """``members (doc_id, rep)`` and ``reps (rep, sign)``.
+    """``members (doc_id, rep)`` and ``signs (rep, sign, size)``; ``size`` is the number of distinct shingles.
 
     ``rep`` is the smallest doc_id with the same words in the same order. Documents without a word
     are in ``members`` with a null ``rep``: they have no shingle and are linked with nothing.
     """
-    rows = map_texts(docs, ["doc_id"], _embedding(tokens), "k1 long, k2 long, sign binary")
+    rows = map_texts(docs, ["doc_id"], _embedding(tokens), "k1 long, k2 long, sign binary, size long")
     rows = stage(rows, "shingle-signs")
     known = rows.filter(F.col("k1").isNotNull() & F.col("doc_id").isNotNull())
     reps = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
     reps = stage(reps, "shingle-copies")
     members = rows.select("doc_id", "k1", "k2").join(reps, ["k1", "k2"], "left").select("doc_id", "rep", "n_copies")
-    signs = known.select(F.col("doc_id").alias("id"), "k1", "k2", "sign").join(
+    signs = known.select(F.col("doc_id").alias("id"), "k1", "k2", "sign", "size").join(
         reps.select("k1", "k2", "rep"), ["k1", "k2"]
-    ).filter("id = rep").groupBy("rep").agg(F.min("sign").alias("sign"))
+    ).filter("id = rep").groupBy("rep").agg(F.min("sign").alias("sign"), F.min("size").alias("size"))
     return members, signs
 
 
@@ -209,7 +217,7 @@ def _compare(width: int, least: float):
             block = np.zeros((len(sets), min(8192, int(column[-1]) + 1 - at)), np.float32)
             block[row[lo:hi], column[lo:hi] - at] = 1
             common += block @ block.T
-        linked = common >= least * (size[:, None] + size[None, :] - common) - 1e-3
+        linked = common >= least * (size[:, None] + size[None, :] - common) - SLACK
         np.fill_diagonal(linked, False)
         if sides[0] is not None:
             side = np.array(sides)
@@ -291,7 +299,6 @@ def leaf_buckets(
 
     Each distinct set of members comes once a level.
     """
-    signs = stage(signs, "path-signs")
     schema = "node long, rep long, used long, above long"
     level = stage(signs.mapInArrow(_roots(tokens, runs), schema), "path-level-1")
     leaves: list[DataFrame] = []
@@ -329,16 +336,30 @@ def leaf_buckets(
     return out[0], out[1]
 
 
-def block_pairs(heavy: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """``rep, block``, each set of a large bucket in one block, and ``a, b`` of blocks that meet in a bucket, a <= b."""
+def block_pairs(heavy: DataFrame, sizes: DataFrame, least: float = LEAST, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``rep, size, block``, each set of a large bucket in one block, and ``a, b, near`` of blocks that meet in a bucket, a <= b.
+
+    ``sizes (rep, size)`` orders the sets of a bucket before they are cut into blocks. Without ``near`` no set of one
+    block can be as similar as ``least`` to one of the other.
+    """
     home = heavy.groupBy("rep").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("home"))
-    home = stage(home, "path-homes")
-    sizes = home.groupBy("home").agg(F.count(F.lit(1)).alias("size"))
-    dealt = F.pmod(F.xxhash64("rep", F.lit(2)), F.ceil(F.col("size") / block))
-    blocks = stage(home.join(sizes, "home").select("rep", F.xxhash64("home", dealt).alias("block")), "path-blocks")
+    step = F.floor(F.log("size") * SIZE_STEPS)
+    home = stage(home.join(sizes, "rep").withColumn("step", step), "path-homes")
+    # places by rising size from sums over the steps; within a step a hash deals them
+    steps = home.groupBy("home", "step").agg(F.count(F.lit(1)).alias("held"))
+    along = Window.partitionBy("home").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumn("before", F.coalesce(F.sum("held").over(along), F.lit(0)))
+    place = F.col("before") + F.pmod(F.xxhash64("rep", F.lit(2)), F.col("held"))
+    dealt = home.join(steps, ["home", "step"]).select("rep", "size", F.xxhash64("home", F.floor(place / block)).alias("block"))
+    blocks = stage(dealt, "path-blocks")
     # buckets that meet the same blocks count once
     met = heavy.join(blocks, "rep").groupBy("bucket").agg(F.sort_array(F.collect_set("block")).alias("blocks"))
-    return blocks, stage(_pairs(met.select("blocks").distinct()).distinct(), "path-block-pairs")
+    bounds = blocks.groupBy("block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    pairs = _pairs(met.select("blocks").distinct()).distinct()
+    for side in "ab":
+        pairs = pairs.join(bounds.toDF(side, f"low_{side}", f"high_{side}"), side)
+    near = (F.col("low_b") * least - SLACK <= F.col("high_a")) & (F.col("low_a") * least - SLACK <= F.col("high_b"))
+    return blocks, stage(pairs.select("a", "b", "low_a", "high_a", near.alias("near")), "path-block-pairs")
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -348,31 +369,38 @@ def _pairs(met: DataFrame) -> DataFrame:
     return first.select(*others, "a", F.explode("blocks").alias("b")).filter("a <= b")
 
 
-def comparisons(leaves: DataFrame, heavy: DataFrame, block: int = BLOCK) -> DataFrame:
+def comparisons(leaves: DataFrame, heavy: DataFrame, sizes: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """``bucket, rep, side, block, peers``: the sets of each task of brute force.
 
     ``side`` is null in a bucket (else what a set is to its task); there ``block`` is a set's block, if it has one, and ``peers`` are the
-    blocks compared with that. Buckets whose pairs all meet between blocks are left out.
+    blocks compared with that. Buckets whose pairs all meet between blocks are left out, and so are sets of a
+    partner block that are too small or too large for every set of the task's own block.
     """
     alone = leaves.select("bucket", "rep", F.lit(None).cast("int").alias("side"))
     if heavy.isEmpty():
         return alone.withColumns({"block": F.lit(None).cast("long"), "peers": F.lit(None).cast("array<long>")})
-    blocks, pairs = block_pairs(heavy, block)
+    blocks, pairs = block_pairs(heavy, sizes, least, block)
     inside = leaves.join(blocks, "rep").groupBy("bucket").agg(
         F.count(F.lit(1)).alias("held"), F.first("n").alias("n"), F.sort_array(F.collect_set("block")).alias("blocks")
     ).filter("held = n").select("bucket", "blocks")
     inside = stage(inside, "path-inside")
     covered = inside.select("bucket").join(_pairs(inside).join(pairs, ["a", "b"], "left_anti").select("bucket"), "bucket", "left_anti")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = pairs.filter("near").drop("near")
+    both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     peers = blocks.join(both.groupBy(F.col("a").alias("block")).agg(F.collect_set("b").alias("peers")), "block")
     alone = alone.join(covered, "bucket", "left_anti").join(peers, "rep", "left").select("bucket", "rep", "side", "block", "peers")
     # a block with itself comes first, since a <= b
     turn = Window.partitionBy("a").orderBy("b")
-    pairs = pairs.withColumn("task", F.floor((F.row_number().over(turn) - 1) / PARTNERS))
+    near = near.withColumn("task", F.floor((F.row_number().over(turn) - 1) / PARTNERS))
     name = F.xxhash64("a", "task", F.lit(-1)).alias("bucket")
-    own = pairs.select("a", "task").distinct().select(name, F.when(F.col("task") == 0, OWN).otherwise(OWN_ONCE).alias("side"), F.col("a").alias("block"))
-    sides = own.unionByName(pairs.filter("a < b").select(name, F.lit(PARTNER).alias("side"), F.col("b").alias("block")))
-    tasks = sides.join(blocks, "block").select("bucket", "rep", "side", "block", F.lit(None).cast("array<long>").alias("peers"))
+    side = F.when(F.col("task") == 0, OWN).otherwise(OWN_ONCE)
+    bounds = [F.col("low_a").alias("low"), F.col("high_a").alias("high")]
+    own = near.select("a", "task", "low_a", "high_a").distinct().select(name, side.alias("side"), F.col("a").alias("block"), *bounds)
+    sides = own.unionByName(near.filter("a < b").select(name, F.lit(PARTNER).alias("side"), F.col("b").alias("block"), *bounds))
+    fits = (blocks["size"] * least - SLACK <= sides["high"]) & (sides["low"] * least - SLACK <= blocks["size"])
+    tasks = sides.join(blocks, (sides["block"] == blocks["block"]) & fits).select(
+        "bucket", "rep", "side", blocks["block"], F.lit(None).cast("array<long>").alias("peers")
+    )
     return alone.unionByName(tasks)
 
 
@@ -421,8 +449,9 @@ def join(
     """
     docs = docs.select("doc_id", "text")
     members, signs = representatives(docs, tokens)
+    signs = stage(signs, "path-signs")
     leaves, heavy = leaf_buckets(signs, tokens, bucket, depth, branches, least, runs_for(recall, depth))
-    tasks = comparisons(leaves, heavy)
+    tasks = comparisons(leaves, heavy, signs.select("rep", "size"), least)
     # one text per representative, wherever copies of it are
     needed = leaves.select("rep").unionByName(heavy.select("rep")).distinct()
     texts = docs.join(needed, F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))

@@ -380,6 +380,34 @@ def test_ngram_join_meets_every_pair_of_a_large_bucket(spark):
     assert [i for i in classes if got[i][0]["n_links"] != degree[i]] == []
 
 
+def test_ngram_join_of_a_large_bucket_of_many_sizes(spark):
+    rng = np.random.default_rng(12)
+    passage = [f"w{k}" for k in range(120)]
+    # a common passage in texts of 125 to 640 words; some have a copy that is longer by up to a quarter, at the threshold
+    rows = [(i, " ".join(passage + [f"o{i}x{k}" for k in range(int(rng.integers(5, 520)))]), "en", "a") for i in range(600)]
+    for i in range(0, 600, 6):
+        n = len(rows[i][1].split()) - 4
+        more = n // 4 + int(rng.integers(-2, 2))
+        rows.append((1000 + i, rows[i][1] + "".join(f" m{i}x{k}" for k in range(more)), "en", "a"))
+    reps = [(i, len(t.split()) - 4) for i, t, *_ in rows]
+    heavy = spark.createDataFrame([(7, i, len(reps)) for i, _ in reps], "bucket long, rep long, n long")
+    blocks, pairs = ngram_join.block_pairs(heavy, spark.createDataFrame(reps, "rep long, size long"), block=32)
+    sizes = dict(reps)
+    block = {r["rep"]: r["block"] for r in blocks.collect()}
+    near = {(r["a"], r["b"]): r["near"] for r in pairs.collect()}
+    assert len(block) == len(reps) and not all(near.values())
+    for i in sizes:
+        for j in sizes:
+            if sizes[i] <= sizes[j] and sizes[i] >= 0.8 * sizes[j]:
+                assert near[tuple(sorted((block[i], block[j])))]
+    got = by_id(ngram_join.join(docs(spark, rows), bucket=16))
+    classes, links, _ = brute_join(rows)
+    degree = Counter(i for pair in links for i in pair)
+    assert len(links) > 40
+    assert [i for i, c in classes.items() if got[i][0]["class_id"] != c] == []
+    assert [i for i in classes if got[i][0]["n_links"] != degree[i]] == []
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (250, 2))] + [(i, i + 1) for i in range(1000, 1060)]
