@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from seriesloom.functions.scalars import chi2_tail_even, critical_bucket, normal_quantile, ratio
 from seriesloom.functions.tails import f_tail
-from seriesloom.operators.moments import ONE, f_statistic, grouped_moments, map_rows, ols, shift_to_start, unpack
+from seriesloom.operators.moments import ONE, f_statistic, grouped_moments, map_rows, nested_rss, ols, shift_to_start, unpack
 from seriesloom.operators.reshape import by_period, recode, row_sum
 from seriesloom.operators.windows import at_lag, lagged
 
@@ -131,29 +131,61 @@ def _unit_root_frame(panel: DataFrame, keys: list[str], value: str, lags: int) -
     return found.withColumn("_depth", depth.otherwise(lags)).fillna(0.0, names), names
 
 
-def adf_tests(panel: DataFrame, keys: list[str], value: str, lag: int = 1) -> DataFrame:
-    """Augmented Dickey-Fuller statistics without constant (tau1), with drift (phi1), with trend (phi3)."""
-    frame, lags = _unit_root_frame(panel, keys, value, lag)
+def _least_bic(m: np.ndarray, fixed: list[int], lags: list[int], dy: int, least: int) -> np.ndarray:
+    """Lag order from ``least`` on of least BIC on the same rows, the lower one of equals; 0 where no order leaves a degree of freedom."""
+    n = m[:, 0, 0]
+    rss = nested_rss(m, [*fixed, *lags], dy)[:, len(fixed) + least - 1 :]
+    size = len(fixed) + np.arange(least, len(lags) + 1)
+    with np.errstate(all="ignore"):
+        bic = n[:, None] * np.log(rss / n[:, None]) + size * np.log(n)[:, None]
+    bic = np.where(n[:, None] > size, bic, np.inf)
+    return np.where(np.isinf(bic).all(1) & ~(bic == -np.inf).any(1), 0, least + bic.argmin(1))
+
+
+def adf_tests(panel: DataFrame, keys: list[str], value: str, lag: int = 1, max_lags: int | None = None) -> DataFrame:
+    """Augmented Dickey-Fuller statistics without constant (tau1), with drift (phi1), with trend (phi3).
+
+    ``lag`` lagged differences enter; with ``max_lags``, each of the three models takes the order from 1 to
+    ``max_lags`` of least BIC, all orders on the rows that have ``max_lags`` differences behind them, and
+    ``k_none``, ``k_drift`` and ``k_trend`` tell it. A series too short for any order has NULL there.
+    """
+    top = max_lags or lag
+    frame, lags = _unit_root_frame(panel, keys, value, top)
     columns = [ONE, "_t", "_y1", *lags, "_dy"]
-    sums = grouped_moments(frame, keys, columns, F.col("_depth") >= lag, F.max("_size").alias("size"), F.max("_s__x").alias("shift"))
-    dy, d = len(columns) - 1, list(range(3, 3 + lag))
+    sums = grouped_moments(frame, keys, columns, F.col("_depth") >= top, F.max("_size").alias("size"), F.max("_s__x").alias("shift"))
+    dy, d = len(columns) - 1, list(range(3, 3 + top))
+    fixed = {"none": [2], "drift": [0, 2], "trend": [0, 1, 2]}
+    orders = [f"k_{model}" for model in fixed] if max_lags else []
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m = unpack(pdf["moments"], len(columns))
         # without a constant the level itself is the regressor: undo its shift
         level = np.broadcast_to(np.eye(len(columns)), m.shape).copy()
         level[:, 2, 0] = pdf["shift"]
-        none, drift, trend = ols(level @ m @ np.transpose(level, (0, 2, 1)), [2, *d], dy), ols(m, [0, 2, *d], dy), ols(m, [0, 1, 2, *d], dy)
+        moments = {"none": level @ m @ np.transpose(level, (0, 2, 1)), "drift": m, "trend": m}
         out = pdf[[*keys, "size"]].copy()
-        with np.errstate(all="ignore"):
-            out["tau1"] = none["beta"][:, 0] / none["se"][:, 0]
-            out["tau3"] = trend["beta"][:, 2] / trend["se"][:, 2]
-        out["phi1"] = f_statistic(ols(m, d, dy), drift, 2)
-        out["phi3"] = f_statistic(ols(m, [0, *d], dy), trend, 2)
-        return out[[*keys, "size", "tau1", "phi1", "phi3", "tau3"]]
+        stats = {c: np.full(len(pdf), np.nan) for c in ("tau1", "phi1", "phi3", "tau3")}
+        for model, x in fixed.items():
+            order = _least_bic(moments[model], x, d, dy, 1) if max_lags else np.full(len(pdf), lag)
+            if max_lags:
+                out[f"k_{model}"] = pd.Series(order, index=out.index, dtype="Int32").mask(order == 0)
+            for k in np.unique(order[order > 0] if max_lags else order):
+                mine = order == k
+                at, behind = moments[model][mine], d[: int(k)]
+                fit = ols(at, [*x, *behind], dy)
+                with np.errstate(all="ignore"):
+                    if model == "none":
+                        stats["tau1"][mine] = fit["beta"][:, 0] / fit["se"][:, 0]
+                    elif model == "drift":
+                        stats["phi1"][mine] = f_statistic(ols(at, behind, dy), fit, 2)
+                    else:
+                        stats["phi3"][mine] = f_statistic(ols(at, [0, *behind], dy), fit, 2)
+                        stats["tau3"][mine] = fit["beta"][:, 2] / fit["se"][:, 2]
+        return out.assign(**stats)[[*keys, "size", *stats, *orders]]
 
     schema = ", ".join(f"{k} {sums.schema[k].dataType.simpleString()}" for k in keys)
-    stats = map_rows(sums, run, f"{schema}, size bigint, tau1 double, phi1 double, phi3 double, tau3 double")
+    found = ", ".join(["tau1 double, phi1 double, phi3 double, tau3 double", *[f"{c} int" for c in orders]])
+    stats = map_rows(sums, run, f"{schema}, size bigint, {found}")
     n = F.col("size") - 1
     clean = stats.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("tau1", "phi1", "phi3", "tau3")})
 

@@ -99,6 +99,22 @@ def ols(m: np.ndarray, x: list[int], y: int) -> dict[str, np.ndarray]:
     return {"beta": beta, "se": se, "rss": rss, "n": n, "df": df, "inverse": inverse, "sigma2": sigma2}
 
 
+def nested_rss(m: np.ndarray, x: list[int], y: int) -> np.ndarray:
+    """Residual sums of squares of column ``y`` on the first one, two, ... of the columns ``x``, for a stack of moment matrices.
+
+    Sweeping one column after the other out of the matrix gives all nested models in one factorisation. A column
+    that those before it explain adds nothing.
+    """
+    left, out = m.copy(), []
+    for j in x:
+        pivot = left[:, j, j]
+        with np.errstate(all="ignore"):
+            scale = np.where(pivot > 1e-13 * m[:, j, j], 1 / pivot, 0.0)
+        left = left - left[:, :, j, None] * (left[:, j] * scale[:, None])[:, None, :]
+        out.append(np.maximum(left[:, y, y], 0.0))
+    return np.stack(out, 1)
+
+
 def f_statistic(restricted: dict, full: dict, q: int) -> np.ndarray:
     with np.errstate(all="ignore"):
         return np.where(full["df"] > 0, ((restricted["rss"] - full["rss"]) / q) / (full["rss"] / full["df"]), np.nan)

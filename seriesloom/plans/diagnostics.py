@@ -118,6 +118,48 @@ def adf(spark, d):
     return out.select("entity", "size", *[rounded(F.col(c)).alias(c) for c in ("tau1", "phi1", "phi3", "tau3")], "p_none", "p_drift", "p_trend")
 
 
+# the same rows for both orders; a restricted model takes the order of its full one
+_BIC_ORDERS = {k: {model: ([c for c in x if c <= 3 + k], [6]) for model, x in {
+    "none": [3, 4, 5], "drift": [1, 3, 4, 5], "trend": [1, 2, 3, 4, 5], "rd": [4, 5], "rt": [1, 4, 5]}.items()} for k in (1, 2)}
+_BIC_MODELS = {f"{model}{k}": columns for k, models in _BIC_ORDERS.items() for model, columns in models.items()}
+
+
+def _bic(model: str, k: int) -> str:
+    return f"(n*ln(rss_{model}{k}/n) + {len(_BIC_MODELS[f'{model}{k}'][0])}*ln(n))"
+
+
+def _of_order(model: str, expression: str) -> str:
+    """The expression, with # for the order, at the order of the model."""
+    return f"CASE k_{model} WHEN 1 THEN {expression.replace('#', '1')} ELSE {expression.replace('#', '2')} END"
+
+
+_ADF_BIC = f"""{_SRC}, {_DIFF},
+  {st.moments_cte('momb', '(SELECT * FROM lagd WHERE d2 IS NOT NULL)', ['entity', 'size'], ['1.0', 't/10.0', 'y1', 'd1', 'd2', 'dy'])},
+  {st.solve_ctes('momb', ['entity', 'size'], _BIC_MODELS, 'b')},
+  rb AS (SELECT entity, size, max(n) AS n, {', '.join(f"{_model_value(k, st.rss(x, 6))} AS rss_{k}" for k, (x, _) in _BIC_MODELS.items())},
+        {', '.join(f"{_model_value(f'none{k}', st.beta(1, 1 + k))} AS b{k}, {_model_value(f'none{k}', st.inverse(1, 1 + k))} AS v{k}" for k in (1, 2))} FROM solb GROUP BY 1, 2),
+  kb AS (SELECT *, {', '.join(f"CASE WHEN {_bic(m, 2)} < {_bic(m, 1)} THEN 2 ELSE 1 END AS k_{m}" for m in ('none', 'drift', 'trend'))} FROM rb),
+  sb AS (SELECT entity, size, k_none, k_drift, k_trend, {_of_order('none', 'b#/sqrt(rss_none#/(n - 1 - #)*v#)')} AS tau1,
+        {_of_order('drift', '((rss_rd# - rss_drift#)/2)/(rss_drift#/(n - 2 - #))')} AS phi1,
+        {_of_order('trend', '((rss_rt# - rss_trend#)/2)/(rss_trend#/(n - 3 - #))')} AS phi3 FROM kb),
+  bb AS (SELECT *, {_bucket('tau1', 'tau1', True)} AS p_none, {_bucket('phi1', 'phi1', False)} AS p_drift, {_bucket('phi3', 'phi3', False)} AS p_trend FROM sb)"""
+
+
+@query(
+    "q_adf_bic",
+    sql(
+        f"""+{_ADF_BIC} SELECT entity, size, k_none, k_drift, k_trend, {r6('tau1')} AS tau1, {r6('phi1')} AS phi1, {r6('phi3')} AS phi3, p_none, p_drift, p_trend FROM bb""",
+        "nation_q",
+        recursive=True,
+    ),
+)
+def adf_bic(spark, d):
+    """Lag order of each model by BIC, up to two."""
+    out = dg.adf_tests(_levels(spark, d), ["entity"], "x", max_lags=2)
+    stats = [rounded(F.col(c)).alias(c) for c in ("tau1", "phi1", "phi3")]
+    return out.select("entity", "size", "k_none", "k_drift", "k_trend", *stats, "p_none", "p_drift", "p_trend")
+
+
 _ADF_P = f"""ordered AS (SELECT *, CAST(floor(pow(size - 1.0, 1/3.0) + 1e-9) AS INTEGER) AS ord FROM lagd),
   {st.moments_cte('momp', '(SELECT * FROM ordered WHERE t > ord + 1 AND ord = 2)', ['entity', 'size', 'ord'], ['1.0', 't/10.0', 'y1', 'd1', 'd2', 'dy'])},
   {st.moments_cte('momq', '(SELECT * FROM ordered WHERE t > ord + 1 AND ord = 1)', ['entity', 'size', 'ord'], ['1.0', 't/10.0', 'y1', 'd1', 'dy'])},

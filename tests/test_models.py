@@ -57,6 +57,42 @@ def test_adf_statistics(spark, walk, entity):
     assert trend["k"] == k and trend["statistic"] == pytest.approx(beta[2] / se[2], rel=1e-7)
 
 
+def test_adf_order_by_bic(spark):
+    rng = np.random.default_rng(4)
+    series = {"short": rng.normal(size=8), "tiny": rng.normal(size=4)}
+    for name, phi in {"one": [0.5], "three": [0.3, 0.0, 0.5], "many": [0.2, 0.2, 0.2, 0.3]}.items():
+        d = list(rng.normal(size=4))
+        for _ in range(150):
+            d.append(sum(p * d[-1 - i] for i, p in enumerate(phi)) + rng.normal())
+        series[name] = 1000 + np.cumsum(d)
+    rows = [(name, t, float(v)) for name, y in series.items() for t, v in enumerate(y)]
+    top = 4
+    found = dg.adf_tests(spark.createDataFrame(rows, "entity string, period int, y double"), ["entity"], "y", max_lags=top)
+    got = {r["entity"]: r for r in found.collect()}
+    models = {"none": [2], "drift": [0, 2], "trend": [0, 1, 2]}
+    chosen = set()
+    for name in ("one", "three", "many"):
+        x, d = adf_matrix(series[name], top)
+        n = len(d)
+        rss = lambda cols: float((least_squares(x[:, cols], d)[2] ** 2).sum())
+        for model, fixed in models.items():
+            order = min(range(1, top + 1), key=lambda k: n * np.log(rss([*fixed, *range(3, 3 + k)]) / n) + (len(fixed) + k) * np.log(n))
+            assert got[name][f"k_{model}"] == order
+            chosen.add(order)
+            behind = list(range(3, 3 + order))
+            full, df = rss([*fixed, *behind]), n - len(fixed) - order
+            if model == "none":
+                beta, se, _ = least_squares(x[:, [2, *behind]], d)
+                assert got[name]["tau1"] == pytest.approx(beta[0] / se[0], rel=1e-6)
+            else:
+                small = rss(behind if model == "drift" else [0, *behind])
+                assert got[name]["phi1" if model == "drift" else "phi3"] == pytest.approx((small - full) / 2 / (full / df), rel=1e-6)
+    assert len(chosen) > 1
+    # three rows have four differences behind them: one order of the model without constant, none of the others
+    assert got["short"]["k_none"] in (1, 2) and got["short"]["k_trend"] is None and got["short"]["phi3"] is None
+    assert got["tiny"]["k_none"] is None and got["tiny"]["tau1"] is None and got["tiny"]["size"] == 4
+
+
 def test_unit_root_verdicts_differ(walk):
     p = {r["entity"]: r["p_value"] for r in dg.adf_trend_p(walk, ["entity"], "y", 120).collect()}
     assert p["root"] > 0.05 and p["calm"] <= 0.05
