@@ -99,22 +99,75 @@ def ols(m: np.ndarray, x: list[int], y: int) -> dict[str, np.ndarray]:
     return {"beta": beta, "se": se, "rss": rss, "n": n, "df": df, "inverse": inverse, "sigma2": sigma2}
 
 
-def nested_rss(m: np.ndarray, x: list[int], y: int) -> np.ndarray:
-    """Residual sums of squares of column ``y`` on the first one, two, ... of the columns ``x``, for a stack of moment matrices.
+def sweep_out(left: np.ndarray, whole: np.ndarray, j: int) -> np.ndarray:
+    """``left``, what remains of the moment matrices ``whole`` after earlier columns, without what column ``j`` explains.
 
-    Sweeping one column after the other out of the matrix gives all nested models in one factorisation. A column
-    that those before it explain adds nothing.
+    A column that those before it explain adds nothing.
     """
-    left, out = m.copy(), []
+    pivot = left[:, j, j]
+    with np.errstate(all="ignore"):
+        scale = np.where(pivot > 1e-13 * whole[:, j, j], 1 / pivot, 0.0)
+    return left - left[:, :, j, None] * (left[:, j] * scale[:, None])[:, None, :]
+
+
+def nested_rss(m: np.ndarray, x: list[int], y: int) -> np.ndarray:
+    """Residual sums of squares of column ``y`` on the first one, two, ... of the columns ``x``, for a stack of moment
+    matrices: one factorisation gives all nested models."""
+    left, out = m, []
     for j in x:
-        pivot = left[:, j, j]
-        with np.errstate(all="ignore"):
-            scale = np.where(pivot > 1e-13 * m[:, j, j], 1 / pivot, 0.0)
-        left = left - left[:, :, j, None] * (left[:, j] * scale[:, None])[:, None, :]
+        left = sweep_out(left, m, j)
         out.append(np.maximum(left[:, y, y], 0.0))
     return np.stack(out, 1)
 
 
+def lag_moments(
+    panel: DataFrame, keys: list[str], columns: list[str], lags: int, design: Callable[[np.ndarray], np.ndarray], size: int
+) -> DataFrame:
+    """``keys, moments``: per series, the sums of products of the ``size`` columns that ``design`` makes of its rows.
+
+    ``design`` gets values as (rows, 1 + lags, columns), the present first, shifted by each series' first value; only
+    periods with ``lags`` complete periods right behind them count, and a series without any has zeros. Rows pass
+    in Arrow batches and only one matrix is held, so a series may have any length.
+    """
+    w = W.partitionBy(*keys).orderBy("period").rangeBetween(-lags, 0)
+    shifted = shift_to_start(panel.select(*keys, "period", *columns), keys, columns)
+    now = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns])
+    behind = shifted.select(*keys, now.alias("_now"), "period").select(*keys, F.flatten(F.collect_list("_now").over(w)).alias("_behind"))
+    width = len(columns) * (1 + lags)
+    cells = np.triu_indices(size)
+
+    def product(part: pd.Series) -> np.ndarray:
+        whole = part[part.str.len() == width]
+        if not len(whole):
+            return np.zeros((size, size))
+        x = np.stack(whole.to_numpy()).astype(float).reshape(len(whole), 1 + lags, len(columns))[:, ::-1]
+        z = design(x[np.isfinite(x).all(axis=(1, 2))])
+        return z.T @ z
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def give(names: list[tuple]) -> pd.DataFrame:
+            found = pd.DataFrame(names, columns=keys, dtype=object)
+            return found.assign(moments=[held.pop(name)[cells] for name in names])
+
+        for batch in batches:
+            for _, part in batch.groupby(keys, sort=False, dropna=False):
+                name = tuple(part[keys].astype(object).iloc[0])
+                held[name] = held.get(name, 0.0) + product(part["_behind"])
+            # rows come series by series: only the last one may go on
+            if done := list(held)[:-1]:
+                yield give(done)
+        if held:
+            yield give(list(held))
+
+    schema = ", ".join(f"{k} {panel.schema[k].dataType.simpleString()}" for k in keys)
+    parts = behind.mapInPandas(run, f"{schema}, moments array<double>")
+    zeros = F.array_repeat(F.lit(0.0), len(cells[0]))
+    total = F.reduce(F.collect_list("moments"), zeros, lambda a, b: F.zip_with(a, b, lambda u, v: u + v))
+    return parts.groupBy(*keys).agg(total.alias("moments"))
+
+
 def f_statistic(restricted: dict, full: dict, q: int) -> np.ndarray:
     with np.errstate(all="ignore"):
         return np.where(full["df"] > 0, ((restricted["rss"] - full["rss"]) / q) / (full["rss"] / full["df"]), np.nan)

@@ -11,7 +11,9 @@ from pyspark.sql import Window as W
 from seriesloom.functions.scalars import band
 from seriesloom.functions.tails import f_tail, gamma_tail, t_tail
 from seriesloom.operators.baselines import HORIZON_NAMES, RECORD_COLUMNS
-from seriesloom.operators.moments import ONE, grouped_moments, lag_columns, map_rows, moment_array, ols, per_series, shift_to_start, solve, unpack
+from seriesloom.operators.moments import (
+    ONE, grouped_moments, lag_columns, lag_moments, map_rows, moment_array, ols, per_series, shift_to_start, solve, sweep_out, unpack,
+)
 from seriesloom.operators.reshape import by_period
 from seriesloom.operators.windows import expanding
 
@@ -276,33 +278,32 @@ def system_portmanteau(panel: DataFrame, keys: list[str], columns: list[str], p:
 
 
 def var_order(panel: DataFrame, keys: list[str], columns: list[str], max_p: int = 10) -> DataFrame:
-    """AIC, HQ, SC and FPE of VAR(1..max_p) on the sample common to all orders."""
+    """AIC, HQ, SC and FPE of VAR(1..max_p) on the sample common to all orders.
+
+    Taking the lag blocks out of one moment matrix, one after the other, leaves every order's residual covariance.
+    """
     k = len(columns)
+    size = 1 + k * (max_p + 1)
+
+    def design(x: np.ndarray) -> np.ndarray:
+        return np.hstack([np.ones((len(x), 1)), *[x[:, i] for i in range(1, max_p + 1)], x[:, 0]])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values, sd = unit_scale(on_calendar(pdf, columns))
-        x, y = design(values, max_p)
-        n = len(x)
-        rows = []
+        m = unpack(pdf["moments"], size)
+        n = m[:, 0, 0]
+        left, out = sweep_out(m, m, 0), []
         for p in range(1, max_p + 1):
-            part = x[:, : 1 + k * p]
-            if n <= part.shape[1]:
-                continue
-            u = y - part @ (np.linalg.pinv(part) @ y)
-            sign, logdet = np.linalg.slogdet(u.T @ u / n)
-            if sign <= 0:
-                continue
-            logdet += 2 * np.log(sd).sum()
-            size = p * k * k
-            fpe = ((n + k * p + 1) / (n - k * p - 1)) ** k * np.exp(logdet)
-            rows.append((p, logdet + 2 * size / n, logdet + 2 * np.log(np.log(n)) * size / n, logdet + np.log(n) * size / n, fpe))
-        out = pd.DataFrame(rows, columns=["p", "aic", "hq", "sc", "fpe"])
-        for key in keys:
-            out[key] = pdf[key].iloc[0]
-        return out[[*keys, "p", "aic", "hq", "sc", "fpe"]]
+            for j in range(1 + k * (p - 1), 1 + k * p):
+                left = sweep_out(left, m, j)
+            with np.errstate(all="ignore"):
+                sign, logdet = np.linalg.slogdet(left[:, -k:, -k:] / n[:, None, None])
+                each = {c: logdet + weight * p * k * k / n for c, weight in (("aic", 2.0), ("hq", 2 * np.log(np.log(n))), ("sc", np.log(n)))}
+                fpe = ((n + k * p + 1) / (n - k * p - 1)) ** k * np.exp(logdet)
+            out.append(pdf[keys].assign(p=p, **each, fpe=fpe)[(n > 1 + k * p) & (sign > 0)])
+        return pd.concat(out)
 
     fields = "p int, aic double, hq double, sc double, fpe double"
-    scored = per_series(panel.select(*keys, "period", *columns), keys, run, f"{key_schema(panel, keys)}, {fields}")
+    scored = map_rows(lag_moments(panel, keys, columns, max_p, design, size), run, f"{key_schema(panel, keys)}, {fields}")
     w = W.partitionBy(*keys)
     return scored.withColumns({f"best_{c}": F.min_by("p", c).over(w) for c in ("aic", "hq", "sc", "fpe")})
 
@@ -317,39 +318,36 @@ JOHANSEN_TRACE = {
 
 
 def johansen_trace(panel: DataFrame, keys: list[str], columns: list[str], order: int = 2) -> DataFrame:
-    """Trace statistics in the long-run form: differences on level lag ``order``, given lagged differences."""
+    """Trace statistics in the long-run form: differences on level lag ``order``, given lagged differences.
+
+    All product moments come from one matrix of sums per series.
+    """
     k = len(columns)
+    given = 1 + k * (order - 1)
+    size = given + 2 * k
+
+    def design(x: np.ndarray) -> np.ndarray:
+        steps = x[:, :-1] - x[:, 1:]
+        return np.hstack([np.ones((len(x), 1)), *[steps[:, i] for i in range(1, order)], steps[:, 0], x[:, order]])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = unit_scale(on_calendar(pdf, columns))[0]
-        d = np.diff(v, axis=0)
-        t = len(d)
-        names = ["rank", "eigenvalue", "trace", "crit10", "crit5", "crit1"]
-        n = max(0, t - order + 1)
-        if n:
-            z0 = d[order - 1 :]
-            z1 = np.hstack([np.ones((n, 1)), *[d[order - 1 - i : t - i] for i in range(1, order)]])
-            zk = v[: len(v) - order]
-            good = np.isfinite(np.hstack([z0, z1, zk])).all(axis=1)
-            z0, z1, zk = z0[good], z1[good], zk[good]
-            n = len(z0)
-        if n <= 1 + k * order:  # too short for its own regressors
-            out = pd.DataFrame([(r, *[None] * 5) for r in range(k)], columns=names)
-            return out.assign(**{key: pdf[key].iloc[0] for key in keys})[[*keys, *names]]
-        project = np.linalg.pinv(z1)
-        r0, rk = z0 - z1 @ (project @ z0), zk - z1 @ (project @ zk)
-        s00, s0k, skk = r0.T @ r0 / n, r0.T @ rk / n, rk.T @ rk / n
-        values = np.linalg.eigvals(np.linalg.pinv(skk) @ s0k.T @ np.linalg.pinv(s00) @ s0k)
-        lam = np.clip(np.sort(values.real)[::-1], 0.0, 1.0 - 1e-12)
-        rows = []
-        for r in range(k):
-            left = k - r
-            crit = [JOHANSEN_TRACE[a][left - 1] if left <= 6 else np.nan for a in (0.10, 0.05, 0.01)]
-            rows.append((r, float(lam[r]), float(-n * np.log1p(-lam[r:]).sum()), *crit))
-        out = no_nan(pd.DataFrame(rows, columns=names))
-        for key in keys:
-            out[key] = pdf[key].iloc[0]
-        return out[[*keys, *names]]
+        m = unpack(pdf["moments"], size)
+        left = m
+        for j in range(given):
+            left = sweep_out(left, m, j)
+        out = []
+        for name, n, s in zip(pdf[keys].itertuples(index=False, name=None), m[:, 0, 0], left[:, given:, given:]):
+            lam = np.full(k, np.nan)
+            if n > 1 + k * order:  # long enough for its own regressors
+                scale = np.sqrt(np.maximum(np.diag(s), 0.0))
+                scale = np.where(scale > 0, scale, 1.0)
+                s = s / np.outer(scale, scale)
+                values = np.linalg.eigvals(np.linalg.pinv(s[k:, k:]) @ s[k:, :k] @ np.linalg.pinv(s[:k, :k]) @ s[:k, k:])
+                lam = np.clip(np.sort(values.real)[::-1], 0.0, 1.0 - 1e-12)
+            for r in range(k):
+                crit = [JOHANSEN_TRACE[a][k - r - 1] if k - r <= 6 and n > 1 + k * order else np.nan for a in (0.10, 0.05, 0.01)]
+                out.append((*name, r, float(lam[r]), float(-n * np.log1p(-lam[r:]).sum()), *crit))
+        return no_nan(pd.DataFrame(out, columns=[*keys, "rank", "eigenvalue", "trace", "crit10", "crit5", "crit1"]))
 
     fields = "rank int, eigenvalue double, trace double, crit10 double, crit5 double, crit1 double"
-    return per_series(panel.select(*keys, "period", *columns), keys, run, f"{key_schema(panel, keys)}, {fields}")
+    return map_rows(lag_moments(panel, keys, columns, order, design, size), run, f"{key_schema(panel, keys)}, {fields}")

@@ -228,6 +228,43 @@ def johansen_pair(spark, d):
     return out.select("entity", "rank", rounded(F.col("eigenvalue")).alias("eigenvalue"), rounded(F.col("trace")).alias("trace"), "crit1")
 
 
+_ORDER_Y = [11, 12, 13]
+
+
+def _order_sql() -> str:
+    """Orders one to three of three variables: residual covariances by elimination, their determinants written out."""
+    models = {str(p): (list(range(1, 2 + 3 * p)), _ORDER_Y) for p in (1, 2, 3)}
+
+    def s(x: list[int], i: int, j: int) -> str:
+        terms = " - ".join(f"{st.beta(r, len(x), i)}*m[{c}][{_ORDER_Y[j]}]" for r, c in enumerate(x, 1))
+        return f"(m[{_ORDER_Y[i]}][{_ORDER_Y[j]}] - {terms})/n"
+
+    def cell(i: int, j: int) -> str:
+        return f"CASE model {' '.join(f'WHEN {name!r} THEN {s(x, i, j)}' for name, (x, _) in models.items())} END AS s{i}{j}"
+
+    lags = ", ".join(f"lag({v}, {p}) OVER w AS {v}{p}" for p in (1, 2, 3) for v in "abc")
+    columns = [f"{v}{p}" for p in (1, 2, 3) for v in "abc"] + list("abc")
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    return f"""+v AS (SELECT entity, period, quantity - 25 AS a, discount*100 - 5 AS b, tax*100 - 4 AS c FROM flag_m),
+      l AS (SELECT *, {lags} FROM v WINDOW w AS (PARTITION BY entity ORDER BY period)),
+      {st.moments_cte('mom', f'(SELECT * FROM l WHERE {complete})', ['entity'], ['1.0', *columns])},
+      {st.solve_ctes('mom', ['entity'], models)},
+      c AS (SELECT entity, CAST(model AS INTEGER) AS p, n, {', '.join(cell(i, j) for i in range(3) for j in range(i, 3))} FROM sol),
+      d AS (SELECT entity, p, n, ln(s00*(s11*s22 - s12*s12) - s01*(s01*s22 - s12*s02) + s02*(s01*s12 - s11*s02)) AS ld FROM c)
+      SELECT entity, p, {r6('ld + 18*p/n')} AS aic, {r6('ld + 18*ln(ln(n))*p/n')} AS hq, {r6('ld + 9*ln(n)*p/n')} AS sc,
+             {r6('pow((n + 3*p + 1)/(n - 3*p - 1), 3)*exp(ld)')} AS fpe, arg_min(p, ld + 9*ln(n)*p/n) OVER (PARTITION BY entity) AS best_sc
+      FROM d WHERE n > 3*p + 1"""
+
+
+@query("q_var_order_three", sql(_order_sql(), "flag_m", recursive=True))
+def var_order_three(spark, d):
+    """Three variables and orders, where the determinants have a closed form."""
+    levels = [F.col("quantity"), F.col("discount") * 100, F.col("tax") * 100]
+    panel = b.flag_m(spark, d).select("entity", "period", *[c.alias(n) for c, n in zip(levels, "abc")])
+    out = systems.var_order(panel, ["entity"], ["a", "b", "c"], 3)
+    return out.select("entity", "p", *[rounded(F.col(c)).alias(c) for c in ("aic", "hq", "sc", "fpe")], "best_sc")
+
+
 @query("q_var_order")
 def var_order(spark, d):
     return systems.var_order(b.flag_features(spark, d), ["entity"], NK, 10)

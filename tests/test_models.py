@@ -292,6 +292,42 @@ def test_johansen_ignores_units(walk):
     assert a[2]["trace"] > 0 and [r["crit1"] for r in a[:3]] == [37.22, 23.52, 11.65]
 
 
+def test_order_and_cointegration_from_moments(spark):
+    """Against least squares on the rows themselves, with a hole, a series too short and columns far from zero."""
+    rng = np.random.default_rng(21)
+    long = np.cumsum(rng.normal(size=(400, 3)), axis=0) + [1e4, -50.0, 3.0]
+    long[:, 1] = 0.5 * long[:, 0] + rng.normal(size=400)
+    series = {"long": long, "short": rng.normal(size=(4, 3))}
+    rows = [(name, t, *map(float, v)) for name, y in series.items() for t, v in enumerate(y) if (name, t) not in {("long", 100), ("long", 101)}]
+    rows.append(("long", 100, 1.0, None, 2.0))
+    panel = spark.createDataFrame(rows, "entity string, period int, a double, b double, c double").repartition(3)
+    y = long.copy()
+    y[100:102] = np.nan
+    p_max = 3
+    at = [t for t in range(p_max, 400) if np.isfinite(y[t - p_max : t + 1]).all()]
+    n = len(at)
+    got = {(r["entity"], r["p"]): r for r in systems.var_order(panel, ["entity"], ["a", "b", "c"], p_max).collect()}
+    assert {name for name, _ in got} == {"long"}
+    for p in range(1, p_max + 1):
+        x = np.array([np.r_[1.0, y[t - p : t][::-1].ravel()] for t in at])
+        u = y[at] - x @ np.linalg.lstsq(x, y[at], rcond=None)[0]
+        logdet = np.linalg.slogdet(u.T @ u / n)[1]
+        assert got["long", p]["aic"] == pytest.approx(logdet + 18 * p / n, rel=1e-7)
+        assert got["long", p]["sc"] == pytest.approx(logdet + np.log(n) * 9 * p / n, rel=1e-7)
+        assert got["long", p]["fpe"] == pytest.approx(((n + 3 * p + 1) / (n - 3 * p - 1)) ** 3 * np.exp(logdet), rel=1e-6)
+    order = 2
+    at = [t for t in range(order, 400) if np.isfinite(y[t - order : t + 1]).all()]
+    z0, zk = np.array([y[t] - y[t - 1] for t in at]), np.array([y[t - order] for t in at])
+    z1 = np.array([np.r_[1.0, y[t - 1] - y[t - 2]] for t in at])
+    r0, rk = (z - z1 @ np.linalg.lstsq(z1, z, rcond=None)[0] for z in (z0, zk))
+    lam = np.sort(np.linalg.eigvals(np.linalg.solve(rk.T @ rk, rk.T @ r0) @ np.linalg.solve(r0.T @ r0, r0.T @ rk)).real)[::-1]
+    found = {(r["entity"], r["rank"]): r for r in systems.johansen_trace(panel, ["entity"], ["a", "b", "c"], order).collect()}
+    assert len(found) == 6 and all(found["short", r]["trace"] is None for r in range(3))
+    for r in range(3):
+        assert found["long", r]["eigenvalue"] == pytest.approx(lam[r], rel=1e-6)
+        assert found["long", r]["trace"] == pytest.approx(-len(at) * np.log1p(-lam[r:]).sum(), rel=1e-6)
+
+
 def test_var_order_prefers_short_lags(walk):
     best = systems.var_order(walk, ["entity"], ["y", "x"], 6).filter("entity = 'calm'").first()
     assert best["best_sc"] == 1
