@@ -197,6 +197,34 @@ def test_packing_round_trip(spark, hostile, memory, monkeypatch):
     assert packing.pack(docs(spark, []), word_vocabulary).count() == 0
 
 
+@pytest.mark.parametrize("memory", [1_000_000, 8])
+def test_ids_of_odd_words(memory, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "REMEMBERED", memory)
+    encoder, words = Tokenizer.from_file(word_vocabulary()), packing.WordTokenizer(word_vocabulary())
+    # names of special tokens count in their own case only
+    texts = ["a <|ENDOFTEXT|> b", "A<|endoftext|>B", "<|StartOfText|>", "<| ÄB Σ", "", " \t", "x\x1fy Z", "e\u0338=\u0338 =\u0338 a=\u0338"]
+    signs = list("aZéÿʯŉǅßΣσİжҐ漢か\u0958\ufb1d\u212be\u0301ªº²٣9_'.,!=<|>… \n\t\xa0\x85\u2003\x1c\u200b😀÷×\u0338") + ["'s", "'LL", "the", "Über"]
+    rng = np.random.default_rng(8)
+    texts += ["".join(rng.choice(signs, rng.integers(1, 40))) for _ in range(3000)]
+    for lo in range(0, len(texts), 500):
+        part = texts[lo : lo + 500]
+        got = [np.frombuffer(x, words.dtype).tolist() for x in words.encode(part)]
+        assert got == [encoder.encode(t, add_special_tokens=False).ids for t in part]
+    assert len(words.words) <= max(memory, 10_000)
+
+
+def test_a_word_longer_than_others_together(monkeypatch):
+    from tokenizers import Tokenizer
+
+    text = "ab " * 400 + "é" * 3000 + "!" * 3000 + " x"
+    monkeypatch.setattr(packing, "LINES", 1)
+    want = Tokenizer.from_file(word_vocabulary()).encode(text, add_special_tokens=False).ids
+    got = packing.WordTokenizer(word_vocabulary()).encode([text, "", text])
+    assert [np.frombuffer(x, np.uint16).tolist() for x in got] == [want, [], want]
+
+
 def test_language(spark, hostile):
     rng = np.random.default_rng(2)
     kinds = {"aa": ["thing", "other", "with", "the", "and"], "bb": ["être", "queue", "les", "mais", "où"], "cc": ["nicht", "straße", "über"]}
