@@ -11,6 +11,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -176,6 +177,33 @@ def text_groups(texts: list[str], size: int = PIECE) -> Iterator[tuple[int, int]
         yield lo, len(texts)
 
 
+# Bytes of text that a task takes at a time, unless one text is longer.
+SLICE = 1 << 22
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session's Arrow batches end at SLICE bytes, unless the caller has set a limit.
+
+    Their number of rows alone does not bound texts: the buffers of 10,000 take a task tens of MB in the JVM and again in Python.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(SLICE))
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The same rows in order, ``size`` bytes of ``text`` at a time."""
+    size = size or SLICE
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64)
+        ends = np.cumsum(lengths + 1)
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 USED = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -195,9 +223,9 @@ def texts_of(column) -> list[str]:
 
 
 def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list[str]], dict]], made: str) -> DataFrame:
-    """Add columns computed from whole texts, one Arrow batch at a time.
+    """Add columns computed from whole texts, a slice of an Arrow batch at a time.
 
-    ``make`` runs once a task and returns a function from the batch's texts (null as empty) to the
+    ``make`` runs once a task and returns a function from the slice's texts (null as empty) to the
     columns named in the DDL string ``made``. The columns in ``keep`` pass through untouched, nulls
     included.
     """
@@ -207,7 +235,7 @@ def map_texts(df: DataFrame, keep: list[str], make: Callable[[], Callable[[list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in text_slices(batches):
             columns = work(texts_of(batch.column("text").to_pylist()))
             arrays = [batch.column(k) for k in keep] + [pa.array(columns[f.name], type=arrow.field(f.name).type) for f in new]
             yield pa.RecordBatch.from_arrays(arrays, names=arrow.names)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType, LongType
 
-from seriesloom.llm.common import BLANK, mix, texts_of
+from seriesloom.llm.common import BLANK, mix, text_slices, texts_of
 from seriesloom.sources.panels import stage
 
 LEAST_LENGTH, LEAST_DOCS = 20, 3
@@ -97,7 +97,7 @@ def _lines(docs: DataFrame, least_length: int) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches):
             owner, line, hashes = [], [], []
             for i, text in enumerate(texts_of(batch.column("text").to_pylist())):
                 for j, each in enumerate(text.split("\n")):
@@ -249,7 +249,7 @@ def deduplicate(
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches):
             columns: list[list] = [[], [], [], []]
             for text, gone in zip(texts_of(batch.column("text").to_pylist()), batch.column("drops").to_pylist()):
                 lines = text.split("\n")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from seriesloom.llm.common import shielded
+from seriesloom.llm.common import shielded, text_slices
 from seriesloom.sources.panels import stage
 
 BLOCK = 64
@@ -212,7 +212,7 @@ def _cut_texts(docs: DataFrame, pieces: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = re.compile(WORD)
-        for batch in batches:
+        for batch in text_slices(batches):
             texts = [cut(t, s, word) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
             made = {"text": texts, "n_chars": [len(t) for t in texts]}
             arrays = [batch.column(c) if c in passed else pa.array(made[c], arrow.field(c).type) for c in columns]

@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, LongType, BinaryType, IntegerType
 
-from seriesloom.llm.common import text_groups, texts_of
+from seriesloom.llm.common import text_slices, texts_of
 from seriesloom.sources.panels import stage
 
 LENGTH = 2048
 END_ID = 1
 # Words whose ids a task remembers; a full memory is emptied, not frozen.
 REMEMBERED = 600_000
-# Characters of texts that are encoded together.
+# Bytes of texts that are encoded together.
 TOGETHER = 1 << 23
 # Words of a line, and lines that the tokenizer takes in one call.
 LINE, LINES = 50, 200
@@ -172,17 +172,14 @@ def tokenize(docs: DataFrame, tokenizer: str | Callable[[], str], end_id: int =
         words = WordTokenizer(tokenizer() if callable(tokenizer) else tokenizer)
         end, width = np.array([end_id], dtype=words.dtype).tobytes(), np.dtype(words.dtype).itemsize
         part, total = TaskContext.get().partitionId(), 0
-        for whole in batches:
-            texts = texts_of(whole.column("text").to_pylist())
-            for lo, hi in text_groups(texts, TOGETHER):
-                batch = whole.slice(lo, hi - lo)
-                ids = [x + end for x in words.encode(texts[lo:hi])]
-                n = [len(x) // width for x in ids]
-                before = list(accumulate(n, initial=total))
-                total = before.pop()
-                arrays = [batch.column("doc_id"), pa.array([part] * len(n), pa.int32()), pa.array(before, pa.int64())]
-                arrays += [pa.array(n, pa.int64()), pa.array(ids, arrow.field("ids").type)]
-                yield pa.RecordBatch.from_arrays(arrays, names=arrow.names)
+        for batch in text_slices(batches, TOGETHER):
+            ids = [x + end for x in words.encode(texts_of(batch.column("text").to_pylist()))]
+            n = [len(x) // width for x in ids]
+            before = list(accumulate(n, initial=total))
+            total = before.pop()
+            arrays = [batch.column("doc_id"), pa.array([part] * len(n), pa.int32()), pa.array(before, pa.int64())]
+            arrays += [pa.array(n, pa.int64()), pa.array(ids, arrow.field("ids").type)]
+            yield pa.RecordBatch.from_arrays(arrays, names=arrow.names)
 
     return stage(docs.select("doc_id", "text").mapInArrow(run, schema), "token-stream")
 

@@ -1,6 +1,7 @@
 """The corpus pipeline stage by stage, and the queries against their SQL."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 from check_oracles import canonical
 from conftest import DATA
@@ -42,6 +43,25 @@ def test_stages_keep_columns_whatever_their_names(spark):
     assert set(ids["packing"]) == set(ids["mixing"]) <= set(ids["ngram_join"])
 
 
+@pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
+def test_stages_bound_the_bytes_of_arrow_batches(spark, name):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    frame = docs(spark, [(i, f"{i} " + "word " * 20_000, "en", "a") for i in range(120)])
+    dict(pipeline.STAGES)[name](spark, frame, DATA)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["size"])
+
+    most = frame.coalesce(1).select("text").mapInArrow(sizes, "size long").agg({"size": "max"}).first()[0]
+    assert most < 6_000_000
+    spark.conf.set(key, "1000000")
+    dict(pipeline.STAGES)[name](spark, frame, DATA)
+    assert spark.conf.get(key) == "1000000"  # the caller's own limit stays
+    spark.conf.unset(key)
+
+
 @pytest.mark.parametrize("name", [n for n, _ in pipeline.STAGES])
 def test_stages_take_an_empty_table(spark, name):
     step = dict(pipeline.STAGES)[name]

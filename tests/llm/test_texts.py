@@ -9,11 +9,12 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seriesloom.llm import exact_dedup, language, licenses, line_dedup, mixing, ngram_join, packing, quality, toxicity
-from seriesloom.llm.common import WordSplitter, windows
+from seriesloom.llm import common, exact_dedup, language, licenses, line_dedup, mixing, ngram_join, packing, quality, toxicity
+from seriesloom.llm.common import WordSplitter, text_slices, windows
 from seriesloom.llm.queries import word_vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, bucket string, row string, size long"
@@ -572,3 +573,23 @@ def test_targets_stop_at_three_times_the_source():
     # by code point: a weighs 5, b 2, c 1, null 5
     assert got["b"] == 3 and got["a"] == 300 and got[None] == 150 and got["c"] == pytest.approx(1151 - 453)
     assert mixing.targets({"a": 0, "b": 0}) == {"a": 0.0, "b": 0.0}
+
+
+def test_texts_come_in_bounded_slices():
+    texts = ["é" * 5, None, "", "x" * 50, "yy", "z" * 9, "w"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(["cut off", *texts])], names=["doc_id", "text"]).slice(1)
+    got = list(text_slices(iter([batch, batch.slice(7)]), 16))
+    assert [r for b in got for r in b.to_pylist()] == batch.to_pylist()
+    assert [b.column("text").to_pylist() for b in got] == [texts[:3], texts[3:4], texts[4:]]
+
+
+def test_a_task_holds_a_slice_of_texts(spark, monkeypatch):
+    monkeypatch.setattr(common, "SLICE", 1 << 10)
+
+    def work(texts):
+        return {"most": [sum(map(len, texts))] * len(texts)}
+
+    rows = docs(spark, [(i, "word " * 100, None, None) for i in range(40)]).coalesce(1)
+    most = common.map_texts(rows, ["doc_id"], lambda: work, "most long").collect()
+    assert sorted(r["doc_id"] for r in most) == list(range(40))
+    assert max(r["most"] for r in most) < 40 * 500
